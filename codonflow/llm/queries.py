@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
 from .shared import table
 
 
@@ -12,8 +14,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op9_url_filters": op9_url_filters,
+    "op10_license_scans": op10_license_scans,
 }
 
 OP4_SQL = r"""
@@ -32,4 +44,5 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(r.top) AS BIGINT) A
 
 ORACLE_SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op9_url_filters": url_filter.judge_sql(),
 }
