@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
+from .mixing import MIX_SQL, mixed
 from .shared import table
+from .token_ids import token_table
+from .topk import TOP_SQL, top_k
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -23,7 +39,10 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_token_ids": op6_token_ids,
+    "op7_exact_topk": op7_exact_topk,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
 }
@@ -43,6 +62,8 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(r.top) AS BIGINT) A
 """
 
 ORACLE_SQL = {
+    "op1_source_mixing": MIX_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op7_exact_topk": TOP_SQL,
     "op9_url_filters": url_filter.judge_sql(),
 }
