@@ -9,6 +9,7 @@ from . import url_filter
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .mixing import MIX_SQL, mixed
+from .quality import classify
 from .shared import table
 from .token_ids import token_table
 from .topk import TOP_SQL, top_k
@@ -30,6 +31,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_token_ids": op6_token_ids,
     "op7_exact_topk": op7_exact_topk,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
 }
