@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import html_extract, url_filter
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .mixing import MIX_SQL, mixed
@@ -19,6 +19,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_html_extraction": op2_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_token_ids": op6_token_ids,
     "op7_exact_topk": op7_exact_topk,
