@@ -13,8 +13,10 @@ byte, low bit first) and its rank directory (u32 for every 512 bits).
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,15 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, parts, shared_dir
-from .words import slices
+from .words import hashes, slices
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
 END_ID = 0
 #: ids after which a segment is closed
 SEGMENT_IDS = 1 << 19
-#: words whose ids a task remembers
-CACHE_WORDS = 300_000
+#: pieces of texts whose ids a worker remembers, about 50 bytes each
+CACHE_PIECES = 2_000_000
+#: text that is encoded at once
+TEXT_BYTES = 1 << 20
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -96,83 +100,169 @@ class Segment:
         return value
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each ASCII byte and of each two-byte character of U+00A1 to U+024F, by its bytes.
+
+    1 letter, 2 number, 3 other, 4 white space; 0: not told here.  In this range the
+    classes are the same in all versions of Unicode.
+    """
+    of = lambda c: {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3)
+    one, two = np.zeros(256, np.uint8), np.zeros(1 << 16, np.uint8)
+    one[9:14] = one[32] = 4
+    for c in range(33, 127):
+        one[c] = of(chr(c))
+    one[ord("'")] = 0  # may begin a contraction
+    for c in range(0xA1, 0x250):
+        a, b = chr(c).encode()
+        two[a << 8 | b] = of(chr(c))
+    return one, two
+
+
+_ONE, _TWO = _classes()
+_LEAD = np.zeros(256, bool)
+_LEAD[0xC2:0xCA] = True
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins of the matches of the byte-level word pattern, for each text the number before it, and whether it was told.
+
+    The pattern takes a run of letters, of numbers or of others with one space before
+    it, and of white space all but what the next match takes, or the last one.  A text
+    with an apostrophe, a control character or characters outside ``_classes`` is
+    not told.
+    """
+    n = len(data)
+    kind = _ONE[data]
+    lead = np.flatnonzero(_LEAD[data[:-1]]) if n > 1 else np.zeros(0, np.int64)
+    both = _TWO[data[lead].astype(np.int64) << 8 | data[lead + 1]]
+    kind[lead] = kind[lead + 1] = both
+    bad = np.concatenate(([0], np.cumsum(kind == 0)))
+    told = bad[offsets[1:]] == bad[offsets[:-1]]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    change = edge[:-1].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    white = kind == 4
+    begin = change.copy()
+    # a run of others begins one earlier, at a space before it
+    after_space = np.zeros(n, bool)
+    after_space[1:] = (data[:-1] == 32) & ~edge[1:-1]
+    begin &= white | ~after_space
+    # the last white space before another run, in one text
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & ~white[1:] & ~edge[1:-1]
+    begin |= last
+    starts = np.flatnonzero(begin)
+    return starts, np.searchsorted(starts, offsets), told
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, each word encoded once while it is remembered.
+    """Ids of texts by the tokenizers library, each piece encoded once while it is remembered.
 
-    The byte-level tokenizers encode the matches of their word pattern one by one, so
-    the ids of a text are those of its words in turn.  The pattern is applied here only
-    to texts of code points up to U+023F, where all versions of Unicode agree;
-    others, and those with a special token, go to the library whole.
+    A byte-level tokenizer encodes the matches of its word pattern one by one, so the
+    ids of a text are those of its pieces in turn.  Pieces are remembered by a 64-bit
+    hash.  Texts that ``pieces`` does not tell, and those with a special token, go to
+    the library whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for k, text in enumerate(texts):
-            if (text.isascii() or max(text) < "ɀ") and not any(s in text for s in self.special):
-                split.append((k, self.words(text)))
-            else:
-                whole.append(k)
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*(w for _, w in split)) - self.cache.keys())
-        self.cache.update(zip(new, self._ids(new), strict=True))
-        get = self.cache.__getitem__
-        for k, found in split:
-            out[k] = b"".join(map(get, found))
-        return out
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+        own = self._library(texts)
+        count = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(count.sum()))
+        begin = np.cumsum(count) - count + len(self.ids)
+        order = np.argsort(np.concatenate((self.known, h)), kind="stable")
+        self.known = np.concatenate((self.known, h))[order]
+        self.begin = np.concatenate((self.begin, begin))[order]
+        self.count = np.concatenate((self.count, count))[order]
+        self.ids = np.concatenate((self.ids, flat))
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, h)
+        at[at == len(self.known)] = 0
+        return at, self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and how many each has."""
+        starts, first, told = pieces(data, offsets)
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            told &= ~np.array([any(s in raw[a:z] for s in self.special) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], bool)
+        ends = np.append(starts[1:], len(data))
+        keep = np.repeat(told, np.diff(first))
+        starts, ends = starts[keep], ends[keep]
+        text = np.repeat(np.arange(len(told)), np.diff(first))[keep]
+        h = hashes(data, starts, ends)
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        at, there = self._find(distinct)
+        if not there.all():
+            new = where[~there]
+            self._learn(distinct[~there], [raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at, _ = self._find(distinct)
+        begin, count = self.begin[at][back], self.count[at][back]
+        done = np.cumsum(count)
+        ids = self.ids[np.repeat(begin - (done - count), count) + np.arange(done[-1] if len(done) else 0)]
+        sizes = np.bincount(text, weights=count, minlength=len(told)).astype(np.int64)
+        whole = np.flatnonzero(~told)
+        if len(whole):
+            parts_ = np.split(ids, np.cumsum(sizes)[:-1])
+            for k, own in zip(whole.tolist(), self._library([raw[offsets[k] : offsets[k + 1]].decode() for k in whole.tolist()]), strict=True):
+                parts_[k] = np.array(own, np.uint32)
+                sizes[k] = len(own)
+            ids = np.concatenate(parts_)
+        return ids, sizes
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 SEGMENTS = "part int, seg int, n_ids long, doc_ids array<long>, sizes array<long>, codes binary"
 
 
-def _encode(path: str, pattern: str):
+def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seg = _encoder(path, pattern), TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
+        encoder, part, seg = _encoder(path), TaskContext.get().partitionId(), 0
         docs, sizes, ids, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            codes = encode_segment(np.frombuffer(b"".join(ids), "<u4"))
-            cols = [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([held], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([codes], pa.binary())]
+            cols = [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([held], pa.int64()), pa.array([docs], pa.list_(pa.int64()))]
+            cols += [pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([encode_segment(np.concatenate(ids))], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "seg", "n_ids", "doc_ids", "sizes", "codes"])
 
         for b in batches:
-            texts = b.column(1).fill_null("")
-            for at, to, _, _ in slices(texts):
-                for doc, own in zip(b.column(0)[at:to].to_pylist(), encoder(texts[at:to].to_pylist()), strict=True):
-                    docs.append(doc)
-                    sizes.append(len(own) // 4 + 1)
-                    ids += (own, end)
-                    held += sizes[-1]
-                    if held >= SEGMENT_IDS:
-                        yield closed()
-                        docs, sizes, ids, held, seg = [], [], [], 0, seg + 1
+            for at, to, data, offsets in slices(b.column(1), TEXT_BYTES):
+                own, n = encoder(data, offsets)
+                own = np.insert(own, np.cumsum(n), END_ID)
+                docs += b.column(0)[at:to].to_pylist()
+                sizes.append(n + 1)
+                ids.append(own)
+                held += len(own)
+                if held >= SEGMENT_IDS:
+                    yield closed()
+                    docs, sizes, ids, held, seg = [], [], [], 0, seg + 1
         if docs:
             yield closed()
 
@@ -193,7 +283,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every row of docs, in ascending order of id (null first), to segment files at path.
 
     A row's ids are those of its whole text (null: of the empty text) and END_ID.
@@ -201,7 +291,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, id
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encode(tokenizer, pattern), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_encode(tokenizer), SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -230,11 +320,11 @@ def token_at(spark: SparkSession, path: str, position: int) -> int:
     return Segment(bytes(row.codes)).at(position - row["first"])
 
 
-def token_table(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes docs to files of their own in the shared folder, reads them back and removes them."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token_ids-{uuid.uuid4().hex}"
-    write_token_ids(docs, path, tokenizer, pattern)
+    write_token_ids(docs, path, tokenizer)
     out = cut(read_token_ids(spark, path))
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
