@@ -74,6 +74,15 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def lowered_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of U+00C0 to U+00DE become small."""
+    low = _LOWER[data]
+    if len(low) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        low[1:][second] += 0x20
+    return low
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64 bits (finaliser of the splitmix generator)."""
     with np.errstate(over="ignore"):
