@@ -9,6 +9,7 @@ from . import html_extract, url_filter
 from .decontaminate import find_leaks
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
+from .line_dedup import LINE_SQL, dedup_lines
 from .mixing import MIX_SQL, mixed
 from .quality import classify
 from .shared import table
@@ -32,6 +33,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_ids": op6_token_ids,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
@@ -81,6 +87,7 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, CAST(min(r.top) AS BIGINT) A
 ORACLE_SQL = {
     "op1_source_mixing": MIX_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op5_line_dedup": LINE_SQL,
     "op7_exact_topk": TOP_SQL,
     "op9_url_filters": url_filter.judge_sql(),
 }
