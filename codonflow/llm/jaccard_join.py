@@ -12,10 +12,11 @@ where a pivot tells nothing.  So pivots are taken where they do tell something:
    them.  Distances to the pivots are exact.  Documents within the distance link.
 4. The rest of every block recurses: documents already connected need no further
    look, the next pivot comes from those not connected to a former one.
-5. What is left after ``pivot_rounds`` is joined exactly: pairs of a block that are
-   not connected, pass the size filter, lie in each other's triangle-inequality
-   window for every pivot that both were measured against, and share enough of
-   their prefixes.  Each is verified on the whole sets.
+5. What is left after ``pivot_rounds`` is joined exactly.  Blocks with many open pairs
+   are joined by region, within the windows of the triangle inequality around its pivot
+   (``_hot_links``).  Elsewhere pairs of a block that are not connected, pass the
+   size filter, lie in each other's window for every pivot that both were measured
+   against, and share enough of their prefixes are verified on the whole sets.
 
 Links between connected documents that were never measured are counted as
 connected, not listed: components are exact.
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,12 @@ from .shared import components, cut, parts
 
 #: a shingle counts as frequent from so many documents on; only the most frequent are told apart
 FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
-#: occurrences within one slice of text from which a task reports a shingle
-LOCAL_FROM = 3
+#: occurrences among so many shingles from which a task reports one
+LOCAL_FROM, COUNTED_AT_ONCE = 3, 1 << 20
+#: open pairs of a block from which it is joined as part of a region, on whole sets
+HOT_PAIRS = 50_000
+#: documents of a region that meet in one task: not connected ones, and all
+REGION_LEFT, REGION_RIGHT = 512, 2048
 #: participants of a verification up to which their ids are broadcast (16 bytes each); a join by shuffle beyond
 BROADCAST_ROWS = 1_000_000
 SALTS = 16
@@ -63,16 +69,23 @@ def _fingerprints(size: int):
                 fp.append(content_id(own) if len(own) else 0)
                 local.append(own)
                 held += len(own)
+                if held >= COUNTED_AT_ONCE:
+                    yield _often(local)
+                    local, held = [], 0
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(ids), pa.int64())], ["doc_id", "n", "sid", "often"])
             if held:
-                seen, counts = _runs(np.concatenate(local))
-                keep = counts >= LOCAL_FROM
-                m = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(counts[keep], pa.int64()), pa.nulls(m, pa.int64()), pa.array(seen[keep].view(np.int64))], ["doc_id", "n", "sid", "often"])
+                yield _often(local)
 
     return run
 
 
+def _often(local: list[np.ndarray]) -> pa.RecordBatch:
+    seen, counts = _runs(np.concatenate(local))
+    keep = counts >= LOCAL_FROM
+    m = int(keep.sum())
+    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(counts[keep], pa.int64()), pa.nulls(m, pa.int64()), pa.array(seen[keep].view(np.int64))], ["doc_id", "n", "sid", "often"])
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
@@ -198,13 +211,16 @@ class _Measure:
         self.docs, self.size = docs, size
         self.of = ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        wanted = cut(wanted.join(self.of, "sid").select("doc_id").distinct())
+    def sets(self, sids: DataFrame) -> DataFrame:
+        """(sid, own) for each of sids(sid)."""
+        wanted = cut(sids.distinct().join(self.of, "sid").select("doc_id").distinct())
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         sets = self.docs.join(wanted, "doc_id").select("text").mapInArrow(_sets(self.size), "sid long, own binary")
-        sets = sets.groupBy("sid").agg(F.first("own").alias("own"))
+        return sets.groupBy("sid").agg(F.first("own").alias("own"))
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
         x = sets.select(F.col("sid").alias("a"), F.col("own").alias("own_a"))
         y = sets.select(F.col("sid").alias("b"), F.col("own").alias("own_b"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b", "na", "nb")
@@ -214,11 +230,89 @@ class _Measure:
 def _labelled(live: DataFrame, comps: DataFrame) -> DataFrame:
     """live with the component of each sid, without the blocks that are of one component."""
     comps = comps.select(F.col("node").alias("sid"), "root")
-    rows = live.select("shingle", "sid", "n").join(comps, "sid", "left").select("shingle", "sid", "n", F.coalesce("root", "sid").alias("comp"))
+    rows = live.select("shingle", "sid", "n", "w").join(comps, "sid", "left").select("shingle", "sid", "n", "w", F.coalesce("root", "sid").alias("comp"))
     open_ = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
     return cut(rows.join(open_, "shingle"))
 
 
+def _blocks(state: DataFrame) -> DataFrame:
+    """(shingle, major, pairs): the largest component of each block, and pairs with a document outside it."""
+    each = state.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle")
+    each = each.agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    return each.select("shingle", F.col("m.comp").alias("major"), ((F.col("all") - F.col("m.c")) * F.col("all")).alias("pairs"))
+
+
+def _cold_pairs(state: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the other blocks that are not connected, with the number of blocks that they share."""
+    own = state.join(blocks.where(F.col("pairs") < HOT_PAIRS), "shingle")
+    x = own.where("comp <> major").select("shingle", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("comp_x"))
+    y = own.select("shingle", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("major")).alias("in_major"))
+    pairs = x.join(y, "shingle").where(F.col("comp_x") != F.col("comp_y")).where(F.col("in_major") | (F.col("x") < F.col("y"))).where(_sizes_fit("nx", "ny", percent))
+    swap = F.col("x") > F.col("y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.max(F.when(swap, F.col("ny")).otherwise(F.col("nx"))).cast("long").alias("na"), F.max(F.when(swap, F.col("nx")).otherwise(F.col("ny"))).cast("long").alias("nb"), F.count("*").alias("c"))
+
+
+def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, percent: int) -> DataFrame | None:
+    """Links of the blocks with many open pairs.
+
+    All these blocks with one pivot are its region, and its documents are compared on
+    whole sets.  A band holds the distances to the pivot of the width of the
+    threshold; a document meets those of its own band and of the two beside it, as
+    the triangle inequality allows no others.  A pair that shares such a block is
+    settled here, whatever other blocks it shares.
+    """
+    hot = blocks.where(F.col("pairs") >= HOT_PAIRS)
+    if hot.isEmpty():
+        return None
+    own = cut(state.join(hot, "shingle"))
+    within = own.groupBy("sid").agg(F.count("*").alias("k"))
+    pivots = own.join(within, "sid").groupBy("shingle").agg(F.max(F.struct("k", "sid", "n")).alias("p")).select("shingle", F.col("p.sid").alias("p"), F.col("p.n").cast("long").alias("np"))
+    members = own.join(pivots, "shingle").groupBy("p", "sid").agg(F.max("n").cast("long").alias("n"), F.max("np").alias("np"), F.max("comp").alias("comp"), F.max(F.col("comp") != F.col("major")).alias("outside"))
+    members = cut(members)
+    found = measure(members.where("sid <> p").select(F.col("sid").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb")))
+    width = 1 - percent / 100
+    d = found.select(F.col("a").alias("sid"), F.col("b").alias("p"), F.floor((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))) / (width + 1e-9)).cast("int").alias("band"))
+    placed = members.join(d, ["sid", "p"], "left").withColumn("band", F.coalesce("band", F.lit(0)))
+    sizes = placed.groupBy("p").agg(F.ceil(F.count_if("outside") / REGION_LEFT).alias("lefts"), F.ceil(F.count("*") / REGION_RIGHT).alias("rights"))
+    placed = placed.join(sizes, "p").join(measure.sets(members.select("sid")), "sid")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    one_of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    left = placed.where("outside").select("p", "band", one_of("lefts").alias("i"), F.explode(all_of("rights")).alias("j"), "sid", "comp", "own")
+    right = placed.where("lefts > 0").select("p", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lefts", one_of("rights").alias("j"), "sid", "comp", "own")
+    right = right.withColumn("i", F.explode(all_of("lefts")))
+    right = right.select(*[F.col(c).alias(c) for c in ("p", "band", "i", "j", "sid", "comp", "own")])  # a side of its own
+    key = ["p", "band", "i", "j"]
+    return cut(left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_region(percent), "a long, b long").distinct())
+
+
+def _region(percent: int):
+    def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sets = [np.frombuffer(x, _U) for x in right["own"]]
+            sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            holder = np.repeat(np.arange(len(sets)), sizes)[order]
+            vocabulary, begin = np.unique(flat[order], return_index=True)
+            begin = np.append(begin, len(flat))
+            comps, ids = right["comp"].to_numpy(), right["sid"].to_numpy()
+            for sid, comp, x in zip(left["sid"], left["comp"], left["own"], strict=True):
+                x = np.frombuffer(x, _U)
+                at = np.searchsorted(vocabulary, x)
+                at[at == len(vocabulary)] = 0
+                at = at[vocabulary[at] == x]
+                runs = begin[at + 1] - begin[at]
+                place = np.repeat(begin[at] - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum()) if len(at) else np.zeros(0, np.int64)
+                common = np.bincount(holder[place], minlength=len(sets))
+                linked = np.flatnonzero((comps != comp) & (100 * common >= percent * (len(x) + sizes - common)))
+                for k in linked[np.unique(comps[linked], return_index=True)[1]]:  # one link to each component says all
+                    links.append((sid, int(ids[k])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = words.SHINGLE, pivot_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -247,17 +341,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     measure = _Measure(docs, ids, size)
     links, distances = None, None
     nothing = spark.createDataFrame([], "node long, root long")
-    state = _labelled(live, nothing)
+    # w: the part of a set's shingles that is in blocks; it is largest amid a group of near copies
+    central = live.groupBy("sid").agg((F.count("*") / F.max("n")).alias("w"))
+    state = _labelled(live.join(central, "sid"), nothing)
     for k in range(pivot_rounds):
         if state.isEmpty():
             break
-        if k:
-            most = state.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-            choice = state.join(most, "shingle").where("comp <> major")
-        else:
-            choice = state
-        order = F.struct(F.xxhash64("sid", F.lit(k)), F.col("sid"), F.col("comp"), F.col("n"))
-        pivots = choice.groupBy("shingle").agg(F.min(order).alias("p")).select("shingle", "p.sid", "p.comp", "p.n").toDF("shingle", "b", "comp_b", "nb")
+        choice = state.join(_blocks(state), "shingle").where("comp <> major") if k else state
+        pivots = choice.groupBy("shingle").agg(F.max(F.struct("w", "sid", "comp", "n")).alias("p")).select("shingle", "p.sid", "p.comp", "p.n").toDF("shingle", "b", "comp_b", "nb")
         pairs = state.join(pivots, "shingle").where("comp <> comp_b").groupBy(F.col("sid").alias("a"), "b").agg(F.max("n").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"), F.count("*").alias("c"))
         found = measure(cut(_plausible(pairs, percent)))
         distances = found if distances is None else distances.unionByName(found)
@@ -265,14 +356,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = new if links is None else links.unionByName(new)
         state = _labelled(state, components(links))
     if not state.isEmpty():
-        most = state.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-        x = state.join(most, "shingle").where("comp <> major").select("shingle", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("comp_x"))
-        y = state.join(most, "shingle").select("shingle", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("comp_y"), (F.col("comp") == F.col("major")).alias("in_major"))
-        pairs = x.join(y, "shingle").where(F.col("comp_x") != F.col("comp_y")).where(F.col("in_major") | (F.col("x") < F.col("y"))).where(_sizes_fit("nx", "ny", percent))
-        swap = F.col("x") > F.col("y")
-        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-            F.max(F.when(swap, F.col("ny")).otherwise(F.col("nx"))).cast("long").alias("na"), F.max(F.when(swap, F.col("nx")).otherwise(F.col("ny"))).cast("long").alias("nb"), F.count("*").alias("c"))
-        pairs = cut(_plausible(pairs, percent))
+        blocks = cut(_blocks(state))
+        hot = _hot_links(state, blocks, measure, percent)
+        if hot is not None:
+            links = hot if links is None else links.unionByName(hot)
+        pairs = cut(_plausible(_cold_pairs(state, blocks, percent), percent))
         if distances is not None:
             pairs = _windowed(pairs, distances, percent)
         new = _linked(measure(pairs), percent)
@@ -300,3 +388,21 @@ def _windowed(pairs: DataFrame, distances: DataFrame, percent: int) -> DataFrame
     far = both.where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
     known = d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return cut(pairs.join(far, ["a", "b"], "left_anti").join(known, ["a", "b"], "left_anti"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = words.SHINGLE, pivot_rounds: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component; rows without words or id stay.
+
+    Of several rows of one id, all of them the first of a component, one stays.
+    """
+    comps = cut(jaccard_components(docs, id_col, text_col, percent, size, pivot_rounds))
+    out = comps.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    kept = docs.join(out, F.col(id_col) == F.col("__gone"), "left_anti")
+    firsts = comps.where("component_id = doc_id and n_shingles > 0")
+    if firsts.count() == firsts.select("doc_id").distinct().count():
+        return kept
+    again = firsts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__again"))
+    single = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti")
+    doubled = kept.join(again, F.col(id_col) == F.col("__again"), "left_semi")
+    return single.unionByName(doubled.dropDuplicates([id_col]))

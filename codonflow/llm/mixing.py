@@ -93,6 +93,44 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, n), "")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: str = "mix", length_col: str | None = None) -> DataFrame:
+    """The rows of the mix with the columns of docs: a row for every epoch that holds it.
+
+    Where a budget ends inside a document, the last of its rows has only the words up
+    to there (and ``length_col``, if given, their code points).  Rows without words
+    aren't in the mix.  The plan is one row per source: epochs, and the document, by
+    key, at which the last one is cut; texts are not shuffled.  Repeated rows at
+    that cut are all cut alike.
+    """
+    plan = mixed(docs, id_col, text_col, source_col, weights, most_epochs, seed).where("size > 0")
+    epochs = F.floor(F.round("target").cast("long") / F.col("source_size"))
+    extra = F.col("taken") - epochs * F.col("size")
+    place = F.struct(random_key(F.col("doc_id"), seed).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.col("size"))
+    cuts = plan.groupBy("source").agg(F.max(epochs).alias("__epochs"), F.max(F.when(extra > 0, F.struct(place.alias("at"), extra.alias("words")))).alias("__cut"))
+    cuts = cut(cuts.withColumnRenamed("source", "__source"))
+    size = word_count(F.col(text_col))
+    rows = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
+    own = F.struct(random_key(F.col(id_col), seed).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), size.alias("size"))
+    at = F.col("__cut.at")
+    rows = rows.withColumn("__size", size)
+    whole = F.col("__epochs") + F.when(own < at, 1).otherwise(0)
+    part = F.when((own == at) & (F.col("__cut.words") > 0), F.col("__cut.words")).otherwise(0)
+    rows = rows.withColumn("__part", F.coalesce(part, F.lit(0))).withColumn("__whole", F.coalesce(whole, F.lit(0))).where("__size > 0 and __whole + (case when __part > 0 then 1 else 0 end) > 0")
+    lasts = F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("__take", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), lasts)))
+    cut_text = F.when((F.col("__take") > 0) & (F.col("__take") < F.col("__size")), _first_words(F.col(text_col), F.col("__take").cast("int"))).otherwise(F.col(text_col))
+    rows = rows.withColumn("__text", cut_text)
+    columns = {text_col: F.col("__text")}
+    if length_col:
+        columns[length_col] = F.when(F.col("__take") > 0, F.length("__text")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)
+    return rows.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 MIX_SQL = r"""
 WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat('mix', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS key FROM documents),
 z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1),
