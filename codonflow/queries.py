@@ -1,6 +1,431 @@
-"""Queries of the genomics engine over the driver's tables, and their SQL."""
+"""Queries of the genomics engine over the driver's tables, and their SQL.
+
+Numbers from kernels are rounded in both, as sums in another order differ in the last digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures as X
+from .functions import sequences as S
+from .model.hmm import HmmParameters, coding_hmm
+from .model.likelihood import DECIBANS, branch_matrices
+from .model.species import example_model
+from .operators import alignments as A
+from .operators import annotate as N
+from .operators import orfs as O
+from .operators import scoring as C
+from .operators import tracks as T
+from .sources import sinks as K
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+MODEL = example_model()
+PAIR = example_model("(a:0.1,b:0.2);")
+HMM = coding_hmm(HmmParameters(0.1, 20.0, (0.4, 0.3, 0.3), (60.0, 200.0, 20.0)))
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CODONS = "[s[CAST(i * 3 + 1 AS INT):CAST(i * 3 + 3 AS INT)] FOR i IN range(0, length(s) // 3)]".replace("s[", "dna[").replace("length(s)", "length(dna)")
+_AMINO = "".join(S.AMINO)
+_ID = "(instr('ACGT', c[1:1]) - 1) * 16 + (instr('ACGT', c[2:2]) - 1) * 4 + instr('ACGT', c[3:3]) - 1"
+_D = "d AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS dna FROM documents)"
+
+
+# --- functions (F1-F21, K6)
+@query(f"WITH {_D} SELECT doc_id, reverse(translate(dna, 'ACGT', 'TGCA')) AS turned, translate(lower(dna), 'acgt', 'tgca') AS other FROM d")
+def fn_reverse_complement(spark, sf):
+    return X.dna(spark, sf).select("doc_id", S.reverse_complement("dna").alias("turned"), S.complement(F.lower("dna")).alias("other"))
+
+
+@query(f"WITH {_D}, c AS (SELECT doc_id, unnest({_CODONS}) AS c FROM d) SELECT c AS codon, CAST({_ID} AS INT) AS id, substr('{_AMINO}', CAST({_ID} AS INT) + 1, 1) AS amino, count(*) AS n, c IN ('TAA', 'TAG', 'TGA') AS stop FROM c GROUP BY c")
+def fn_codon_counts(spark, sf):
+    rows = X.dna(spark, sf).select(F.explode(S.codons("dna")).alias("codon"))
+    rows = rows.groupBy("codon").agg(F.count("*").alias("n"))
+    return rows.select("codon", S.codon_id("codon").alias("id"), S.amino(S.codon_id("codon")).alias("amino"), "n", S.is_stop("codon").alias("stop"))
+
+
+@query(f"WITH {_D} SELECT doc_id, coalesce(array_to_string([substr('{_AMINO}', CAST({_ID} AS INT) + 1, 1) FOR c IN {_CODONS}], ''), '') AS peptide FROM d")
+def fn_translate(spark, sf):
+    return X.dna(spark, sf).select("doc_id", S.peptide("dna").alias("peptide"))
+
+
+@query("SELECT CAST(i AS INT) AS id, substr('ACGT', CAST(i // 16 AS INT) + 1, 1) || substr('ACGT', CAST(i // 4 % 4 AS INT) + 1, 1) || substr('ACGT', CAST(i % 4 AS INT) + 1, 1) AS codon FROM range(0, 64) t(i)")
+def fn_codon_decode(spark, sf):
+    return spark.range(64).select(F.col("id").cast("int").alias("id"), S.codon_text(F.col("id")).alias("codon"))
+
+
+@query(f"WITH {_D} SELECT k AS frame, w AS strand, doc_id, CAST(least(CASE WHEN w = '-' THEN (((k - (50000 - (doc_id + 1 + length(dna)) + 2)) % 3) + 3) % 3 ELSE (((k - doc_id - 1) % 3) + 3) % 3 END, length(dna)) AS INT) AS skip FROM d, (VALUES (1), (2), (3)) k(k), (VALUES ('+'), ('-')) w(w)")
+def fn_frame_skip(spark, sf):
+    rows = X.dna(spark, sf).select("doc_id", "dna", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("frame")).select("*", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"))
+    return rows.select("frame", "strand", "doc_id", S.frame_skip("strand", "frame", F.col("doc_id") + 1, F.length("dna"), F.lit(50000)).alias("skip"))
+
+
+@query("SELECT event_id, regexp_replace(printf('%.3f', CAST(CAST(value AS FLOAT) AS DOUBLE)), '(\\.[0-9]+?)0+$', '\\1') AS text FROM events")
+def fn_number_trim(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", S.trimmed("value").alias("text"))
+
+
+@query("SELECT event_id, CASE WHEN p < 1e-15 THEN -15.0 WHEN p > 1 - 1e-15 THEN 15.0 ELSE round(log10(p / (1 - p)), 6) END AS odds, round(pow(10.0, value / 1000), 6) AS ratio, CAST(CASE WHEN value / 50 < 1 THEN 210 WHEN value / 50 > 7 THEN 0 ELSE 210 - 30 * floor(value / 50) END AS INT) AS shade FROM (SELECT event_id, value, least(value / 400.0, 1.0) AS p FROM events)")
+def fn_odds_and_colour(spark, sf):
+    rows = X.table(spark, sf, "events").select("event_id", "value", F.least(F.col("value") / 400.0, F.lit(1.0)).alias("p"))
+    return rows.select("event_id", F.round(S.log_odds("p"), 6).alias("odds"), F.round(S.emission(F.col("value") / 100), 6).alias("ratio"), S.colour(F.col("value") / 50).alias("shade"))
+
+
+@query(f"WITH {X.FEATURE_SQL} SELECT line_no, chrom || ':' || \"begin\" || '-' || \"end\" || '#' || strand AS key, CAST(CASE WHEN strand = '-' THEN (((30001 - \"end\" + phase) % 3) + 3) % 3 + 3 ELSE (phase + \"begin\" - 1) % 3 END AS INT) AS frame FROM f")
+def fn_place_and_frame(spark, sf):
+    f = X.features(spark, sf)
+    return f.select("line_no", S.place_key("chrom", "begin", "end", "strand").alias("key"), S.track_frame("strand", "phase", "begin", "end", F.lit(30001)).alias("frame"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'transcript_id \"T' || event_id || '.1\";' ELSE 'transcript_id=T' || event_id || '.1;' END AS id, CASE WHEN event_id % 2 = 0 THEN 'gtf' ELSE 'gff' END AS style FROM events")
+def fn_attributes(spark, sf):
+    e = X.table(spark, sf, "events")
+    name = F.concat(F.lit("T"), F.col("event_id").cast("string"), F.lit(".1"))
+    attrs = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('gene_id "g"; transcript_id "'), name, F.lit('"; x "y";'))).otherwise(F.concat(F.lit("ID=g;transcript_id="), name, F.lit(";x=y")))
+    return e.select("event_id", attrs.alias("a")).select("event_id", S.transcript_id("a").alias("id"), S.attribute_style("a").alias("style"))
+
+
+# --- alignments (S3-S9, F8, W1) and their rows
+def _maf(spark, sf) -> DataFrame:
+    """Alignment rows from the msa: one block an alignment, 700 bases apart on three chromosomes, with gaps in the reference."""
+    rows = X.msa(spark, sf).select("aln_id", F.posexplode("seqs").alias("k", "text"))
+    names = F.element_at(F.array(*map(F.lit, ("A.one", "b", "C", "other"))), F.col("k") + 1)
+    text = F.when((F.col("k") == 0) & (F.length("text") > 9), F.concat(F.substring("text", 1, 3), F.lit("--"), F.expr("substring(text, 6)"))).otherwise(F.col("text"))
+    return rows.select(F.lit("f").alias("file"), F.col("aln_id").alias("block_id"), F.col("k").alias("row_no"), F.substring_index(names, ".", 1).alias("species"), F.concat(F.lit("chr"), (F.col("aln_id") % 3).cast("string")).alias("chrom"),
+        (F.floor(F.col("aln_id") / 3) * 700).alias("start0"), F.length("text").cast("long").alias("size"), F.lit("+").alias("strand"), F.lit(1_000_000).cast("long").alias("src_size"), text.alias("text"))
+
+
+_GAPLESS = "CASE WHEN length(s0) > 9 THEN {s}[1:3] || {s}[6:] ELSE {s} END"
+
+
+@query(f"WITH {X.MSA_SQL} SELECT aln_id AS block_id, 'chr' || aln_id % 3 AS chrom, aln_id // 3 * 700 + 1 AS start, {_GAPLESS.format(s='s0')} AS ref, {_GAPLESS.format(s='s1')} AS second, repeat('N', length({_GAPLESS.format(s='s0')})) AS fourth FROM m")
+def maf_blocks(spark, sf):
+    groups = A.blocks(A.resolve_species(_maf(spark, sf), MODEL.leaves), 4, tracks=True)
+    return groups.select("block_id", "chrom", "start", F.col("seqs")[0].alias("ref"), F.col("seqs")[1].alias("second"), F.col("seqs")[3].alias("fourth"))
+
+
+@query("SELECT 'other' AS name, 'unresolved' AS kind UNION ALL SELECT 'd', 'never seen'")
+def species_reports(spark, sf):
+    rows = _maf(spark, sf)
+    return A.unresolved(rows, MODEL.leaves).select(F.col("species").alias("name"), F.lit("unresolved").alias("kind")).unionByName(A.never_seen(rows, MODEL.leaves).select(F.col("leaf").alias("name"), F.lit("never seen").alias("kind")))
+
+
+def _pieces(spark, sf) -> DataFrame:
+    """Blocks of 60 bases, some of which follow each other."""
+    rows = X.msa(spark, sf).where("length(seqs[0]) >= 60").select("aln_id", F.transform("seqs", lambda s: F.substring(s, 1, 60)).alias("seqs"))
+    return rows.select(F.lit("f").alias("file"), F.col("aln_id").alias("block_id"), F.lit("c").alias("chrom"), (F.col("aln_id") * 60 + 1).alias("start"), F.lit("+").alias("strand"), F.lit(10_000_000).cast("long").alias("chrom_len"), "seqs")
+
+
+@query(f"WITH {X.MSA_SQL}, p AS (SELECT aln_id * 60 + 1 AS start, s0[1:60] AS s FROM m WHERE length(s0) >= 60), n AS (SELECT *, CASE WHEN lag(start) OVER (ORDER BY start) = start - 60 THEN 0 ELSE 1 END AS new FROM p), i AS (SELECT *, sum(new) OVER (ORDER BY start) AS island FROM n) SELECT CAST(min(start) AS BIGINT) AS start, string_agg(s, '' ORDER BY start) AS ref, CAST(sum(60) AS BIGINT) AS own FROM i GROUP BY island")
+def stitched_blocks(spark, sf):
+    return A.stitched(_pieces(spark, sf)).select("start", F.col("seqs")[0].alias("ref"), F.col("own").cast("long").alias("own"))
+
+
+# --- likelihoods (M5-M14)
+def _alignments(spark, sf, leaves: int = 4) -> DataFrame:
+    return X.msa(spark, sf).select("aln_id", F.slice("seqs", 1, leaves).alias("seqs"))
+
+
+@query()
+def score_msa_fixed(spark, sf):
+    """Score, ancestral score and branch-length score of each alignment over the four-leaf tree."""
+    s = C.score_alignments(_alignments(spark, sf), MODEL, "FIXED", True)
+    return s.select("aln_id", F.round("phylo", 4).alias("phylo"), F.round("anc", 4).alias("anc"), F.round("bls", 6).alias("bls"))
+
+
+def _pair_sql() -> str:
+    """Log ratio of codon pairs over a tree of two leaves, from the matrices as constants."""
+    logs = []
+    for r in (PAIR.coding, PAIR.noncoding):
+        p = branch_matrices(PAIR.tree, r)
+        full = np.concatenate((p, p.sum(2, keepdims=True)), 2)
+        logs.append(np.log(np.einsum("x,xa,xb->ab", r.prior, full[0], full[1])))
+    table = DECIBANS * (logs[0] - logs[1])
+    values = ", ".join(repr(float(v)) for v in table.ravel())
+    ids = lambda s: f"[CASE WHEN regexp_matches(c, '^[ACGT]{{3}}$') THEN {_ID} ELSE 64 END FOR c IN [{s}[CAST(i * 3 + 1 AS INT):CAST(i * 3 + 3 AS INT)] FOR i IN range(0, length({s}) // 3)]]"
+    return f"WITH {X.MSA_SQL}, v AS (SELECT [{values}] AS t), k AS (SELECT aln_id, unnest({ids('s0')}) AS a, unnest({ids('s1')}) AS b FROM m)"
+
+
+@query(_pair_sql() + ", s AS (SELECT aln_id, sum(t[CAST(a * 65 + b + 1 AS INT)]) AS phylo FROM k, v GROUP BY 1) SELECT m.aln_id, round(coalesce(s.phylo, 0), 4) + 0.0 AS phylo FROM m LEFT JOIN s ON s.aln_id = m.aln_id")
+def score_msa_pair(spark, sf):
+    s = C.score_alignments(_alignments(spark, sf, 2), PAIR, "FIXED")
+    return s.select("aln_id", (F.round("phylo", 4) + 0.0).alias("phylo"))
+
+
+@query(_pair_sql() + " SELECT a * 65 + b AS pair, count(*) AS n, round(any_value(t[CAST(a * 65 + b + 1 AS INT)]), 6) + 0.0 AS score FROM k, v GROUP BY 1")
+def score_codon_columns(spark, sf):
+    rows = C.score_codons(_alignments(spark, sf, 2).withColumn("keep", F.col("seqs")), PAIR)
+    ids = lambda k: S.codon_id(F.substring(F.col("keep")[k], (F.col("nth") * 3 + 1).cast("int"), F.lit(3)))
+    return rows.select((ids(0) * 65 + ids(1)).cast("long").alias("pair"), "score").groupBy("pair").agg(F.count("*").alias("n"), (F.round(F.first("score"), 6) + 0.0).alias("score"))
+
+
+def _few(spark, sf) -> DataFrame:
+    return _alignments(spark, sf).select("aln_id", F.transform("seqs", lambda s: F.substring(s, 1, 60)).alias("seqs")).where("length(seqs[0]) = 60")
+
+
+@query()
+def score_msa_mle(spark, sf):
+    """Maximum-likelihood tree scales over the first 20 codons of each alignment (a fit an alignment)."""
+    return C.score_alignments(_few(spark, sf), MODEL, "MLE", True).select("aln_id", F.round("phylo", 3).alias("phylo"), F.round("anc", 3).alias("anc"))
+
+
+@query()
+def score_msa_omega(spark, sf):
+    """Mechanistic fits over the first 20 codons of each alignment."""
+    return C.score_alignments(_few(spark, sf), MODEL, "OMEGA").select("aln_id", F.round("phylo", 2).alias("phylo"))
+
+
+def _bls_sql() -> str:
+    t = MODEL.tree
+    under = [" OR ".join(f"p{j}" for j in range(4) if t.below[b, j]) for b in range(t.nodes - 1)]
+    beyond = [" OR ".join(f"p{j}" for j in range(4) if not t.below[b, j]) for b in range(t.nodes - 1)]
+    total = " + ".join(f"CASE WHEN ({u}) AND ({v}) THEN {t.length[b]!r} ELSE 0 END" for b, (u, v) in enumerate(zip(under, beyond, strict=True)))
+    seen = ", ".join(f"s{k}[CAST(i AS INT):CAST(i AS INT)] <> 'N' AS p{k}" for k in range(4))
+    return f"WITH {X.MSA_SQL}, b AS (SELECT aln_id, unnest(range(1, length(s0) + 1)) AS i, s0, s1, s2, s3 FROM m), p AS (SELECT aln_id, {seen} FROM b), e AS (SELECT aln_id, avg(({total}) / {t.total!r}) AS bls FROM p GROUP BY 1) SELECT m.aln_id, round(coalesce(bls, 0), 6) AS bls FROM m LEFT JOIN e ON e.aln_id = m.aln_id"
+
+
+@query(_bls_sql())
+def branch_length_scores(spark, sf):
+    return C.score_alignments(_alignments(spark, sf), MODEL, "FIXED").select("aln_id", F.round("bls", 6).alias("bls"))
+
+
+@query(f"WITH {X.MSA_SQL}, s AS (SELECT unnest([s0, s1, s2, s3]) AS dna FROM m), c AS (SELECT unnest({_CODONS}) AS c FROM s), k AS (SELECT c FROM c WHERE regexp_matches(c, '^[ACGT]{{3}}$')), gg AS (SELECT p AS place, c[CAST(p + 1 AS INT):CAST(p + 1 AS INT)] AS base, count(*) AS n FROM k, range(0, 3) r(p) GROUP BY 1, 2) SELECT CAST(x.p AS INT) AS place, y.b AS base, coalesce(n, 0) + 1 AS n FROM range(0, 3) x(p), (VALUES ('A'), ('C'), ('G'), ('T')) y(b) LEFT JOIN gg ON gg.place = x.p AND gg.base = y.b")
+def codon_base_counts(spark, sf):
+    return C.base_counts(_alignments(spark, sf))
+
+
+# --- tracks (A1, F11, K2-K5, H1-H4)
+@query()
+def build_raw_tracks(spark, sf):
+    """Six frames of codon scores of stitched blocks, with enough power."""
+    return T.raw_tracks(A.stitched(_pieces(spark, sf)), MODEL).select("chrom", "frame", "pos", F.round("score", 4).alias("score"), F.round("power", 6).alias("power"))
+
+
+@query()
+def build_power_track(spark, sf):
+    s = A.stitched(_pieces(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
+    return T.power_track(C.score_bases(s, MODEL)).select("chrom", "pos", F.round("power", 6).alias("power"))
+
+
+@query(f"WITH {X.TRACK_SQL}, g AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) = pos - 3 THEN 0 ELSE 1 END AS new FROM t), h AS (SELECT *, max(CASE WHEN new = 1 THEN pos END) OVER (PARTITION BY chrom, frame ORDER BY pos) AS segment FROM g) SELECT chrom, frame, segment, count(*) AS n, round(avg(score), 6) AS mean FROM h GROUP BY 1, 2, 3")
+def track_segments(spark, sf):
+    return T.segments(X.tracks(spark, sf)).groupBy("chrom", "frame", "segment").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query(f"WITH {X.TRACK_SQL}, g AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <> pos - 3, true) AS new FROM t WHERE frame = '+1') SELECT chrom, pos, CAST(nth AS INT) AS nth, line FROM (SELECT chrom, pos, unnest(CASE WHEN new THEN [0, 1] ELSE [0] END) AS nth, unnest(CASE WHEN new THEN ['fixedStep chrom=' || chrom || ' start=' || pos || ' step=3 span=3', v] ELSE [v] END) AS line FROM (SELECT *, regexp_replace(printf('%.3f', CAST(CAST(score AS FLOAT) AS DOUBLE)), '(\\.[0-9]+?)0+$', '\\1') AS v FROM g))")
+def fixed_step_lines(spark, sf):
+    return K.fixed_step_lines(X.tracks(spark, sf).where("frame = '+1'"))
+
+
+def _hmm_sql() -> str:
+    """Forward and backward passes over the first six codons of every segment, written out."""
+    start, move = HMM.start.tolist(), HMM.move.tolist()
+    step = lambda f, e: ", ".join("(" + " + ".join(f"{f}[{i + 1}] * {move[i][j]!r}" for i in range(4)) + f") * {e if j == 0 else '1.0'} AS v{j}" for j in range(4))
+    return f"""WITH RECURSIVE {X.TRACK_SQL}, r AS (SELECT chrom, frame, pos, round(score, 3) AS score FROM t WHERE frame IN ('+1', '-2')),
+g AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) = pos - 3 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT *, max(CASE WHEN new = 1 THEN pos END) OVER (PARTITION BY chrom, frame ORDER BY pos) AS segment FROM g),
+nn AS (SELECT chrom, frame, segment, pos, pow(10.0, score / 10) AS e, row_number() OVER (PARTITION BY chrom, frame, segment ORDER BY pos) AS k, count(*) OVER (PARTITION BY chrom, frame, segment) AS n FROM s),
+f AS (SELECT chrom, frame, segment, k, [{start[0]!r} * e, {start[1]!r}, {start[2]!r}, {start[3]!r}] AS v FROM nn n WHERE k = 1
+  UNION ALL SELECT chrom, frame, segment, k, [v0 / greatest(v0, v1, v2, v3), v1 / greatest(v0, v1, v2, v3), v2 / greatest(v0, v1, v2, v3), v3 / greatest(v0, v1, v2, v3)] FROM (SELECT n.chrom, n.frame, n.segment, n.k, {step('f.v', 'n.e')} FROM f JOIN nn n ON n.chrom = f.chrom AND n.frame = f.frame AND n.segment = f.segment AND n.k = f.k + 1)),
+b AS (SELECT chrom, frame, segment, k, [1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS v FROM nn n WHERE k = n
+  UNION ALL SELECT chrom, frame, segment, k, [v0 / greatest(v0, v1, v2, v3), v1 / greatest(v0, v1, v2, v3), v2 / greatest(v0, v1, v2, v3), v3 / greatest(v0, v1, v2, v3)] FROM (SELECT b.chrom, b.frame, b.segment, b.k - 1 AS k, {", ".join("(" + " + ".join(f"{move[i][j]!r} * b.v[{j + 1}]" + (" * n.e" if j == 0 else "") for j in range(4)) + f") AS v{i}" for i in range(4))} FROM b JOIN nn n ON n.chrom = b.chrom AND n.frame = b.frame AND n.segment = b.segment AND n.k = b.k)
+  WHERE k > 0),
+p AS (SELECT n.chrom, n.frame, n.segment, n.pos, f.v[1] * b.v[1] AS c, f.v[1] * b.v[1] + f.v[2] * b.v[2] + f.v[3] * b.v[3] + f.v[4] * b.v[4] AS a FROM nn n JOIN f USING (chrom, frame, segment, k) JOIN b USING (chrom, frame, segment, k))
+SELECT chrom, frame, segment, pos, round(CASE WHEN c / a < 1e-15 THEN -15.0 WHEN c / a > 1 - 1e-15 THEN 15.0 ELSE log10((c / a) / (1 - c / a)) END, 4) AS log_odds FROM p"""
+
+
+@query(_hmm_sql())
+def smooth_tracks(spark, sf):
+    s = T.smooth(X.tracks(spark, sf).where("frame in ('+1', '-2')"), HMM)
+    return s.select("chrom", "frame", "segment", "pos", F.round("log_odds", 4).alias("log_odds"))
+
+
+@query()
+def coding_regions(spark, sf):
+    r = T.regions(T.smooth(X.tracks(spark, sf).where("frame <> 'power'"), HMM))
+    return r.select("chrom", "frame", "begin", "end", F.round("log_odds", 4).alias("log_odds"))
+
+
+@query()
+def coding_region_lines(spark, sf):
+    return K.bed_lines(T.regions(T.smooth(X.tracks(spark, sf).where("frame <> 'power'"), HMM)))
+
+
+@query()
+def score_msa_fixed_mean(spark, sf):
+    """Mean log odds of the codons of an alignment after smoothing."""
+    return T.mean_smoothed(_alignments(spark, sf), MODEL, HMM).select("aln_id", F.round("phylo", 4).alias("phylo"))
+
+
+# --- HMM parameters (W2, W3, A8-A10)
+def _exons(spark, sf) -> DataFrame:
+    return X.features(spark, sf).select("chrom", "strand", F.col("phase").cast("string").alias("phase"), F.col("begin").alias("start"), "end").where("start % 7 = 0")
+
+
+_EXONS = f"{X.FEATURE_SQL}, e AS (SELECT chrom, strand, CAST(phase AS VARCHAR) AS phase, \"begin\" AS start, \"end\" FROM f WHERE \"begin\" % 7 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY chrom, strand, phase ORDER BY start, \"end\") AS k FROM e)"
+_KEPT = f"""WITH RECURSIVE {_EXONS}, w AS (SELECT chrom, strand, phase, k, start, "end", CAST(NULL AS BIGINT) AS out_start, CAST(NULL AS BIGINT) AS out_end FROM o WHERE k = 1
+  UNION ALL SELECT o.chrom, o.strand, o.phase, o.k, CASE WHEN w."end" >= o.start AND o."end" - o.start <= w."end" - w.start THEN w.start ELSE o.start END, CASE WHEN w."end" >= o.start AND o."end" - o.start <= w."end" - w.start THEN w."end" ELSE o."end" END,
+    CASE WHEN w."end" < o.start THEN w.start END, CASE WHEN w."end" < o.start THEN w."end" END FROM w JOIN o ON o.chrom = w.chrom AND o.strand = w.strand AND o.phase = w.phase AND o.k = w.k + 1),
+kept AS (SELECT chrom, strand, phase, out_start AS start, out_end AS "end" FROM w WHERE out_start IS NOT NULL UNION ALL SELECT w.chrom, w.strand, w.phase, w.start, w."end" FROM w JOIN (SELECT chrom, strand, phase, max(k) AS k FROM o GROUP BY 1, 2, 3) l USING (chrom, strand, phase, k))"""
+
+
+@query(_KEPT + ' SELECT chrom, strand, phase, start, "end" FROM kept')
+def exons_without_overlaps(spark, sf):
+    return T.without_overlaps(_exons(spark, sf))
+
+
+@query(_KEPT + ', q AS (SELECT *, lead(start) OVER v AS nxt, row_number() OVER v AS k FROM kept WINDOW v AS (PARTITION BY chrom, strand, phase ORDER BY start, "end")) SELECT nxt - "end" - 1 AS gap FROM q WHERE nxt - "end" - 1 > 0 AND k % 2 = 1')
+def exon_gap_list(spark, sf):
+    return T.exon_gaps(T.without_overlaps(_exons(spark, sf)))
+
+
+@query(_KEPT + ' SELECT CAST(sum("end" - start + 1) AS BIGINT) AS bases, count(*) AS exons, round(sum("end" - start + 1) / 90000.0 / 6, 9) AS prior, round(sum("end" - start + 1) / count(*) / 3, 6) AS codons FROM kept')
+def exon_total_lengths(spark, sf):
+    t = T.exon_totals(T.without_overlaps(_exons(spark, sf)), 90_000)
+    return t.select("bases", "exons", F.round("prior", 9).alias("prior"), F.round("codons", 6).alias("codons"))
+
+
+@query()
+def hmm_parameters(spark, sf):
+    p = T.estimate_hmm(_exons(spark, sf), 90_000)
+    rows = [("coding_prior", p.coding_prior), ("coding_length", p.coding_length), *((f"weight_{k}", w) for k, w in enumerate(p.weights)), *((f"length_{k}", x) for k, x in enumerate(p.lengths))]
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in rows], "name string, value double")
+
+
+# --- annotation (J1-J3, A2-A4, F20)
+_BASES = f"""{X.FEATURE_SQL}, {X.TRACK_SQL}, {X.SIZE_SQL},
+c AS (SELECT f.*, CASE WHEN strand = '-' THEN ['-1', '-2', '-3'][CAST((((len - "end" + phase) % 3) + 3) % 3 + 1 AS INT)] ELSE ['+1', '+2', '+3'][CAST((phase + "begin" - 1) % 3 + 1 AS INT)] END AS frame FROM f JOIN z USING (chrom)),
+u AS (SELECT line_no, tx_no, chrom, frame, unnest(range("begin", "end" + 1)) AS base FROM c),
+tb AS (SELECT chrom, frame, pos + j AS base, score FROM t, range(0, 3) r(j)),
+v AS (SELECT u.line_no, u.tx_no, s.score AS s, p.score AS p FROM u LEFT JOIN tb s ON s.chrom = u.chrom AND s.frame = u.frame AND s.base = u.base LEFT JOIN tb p ON p.chrom = u.chrom AND p.frame = 'power' AND p.base = u.base)"""
+_MEANS = "round(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN s * p END) / nullif(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN p END), 0), 5) AS score_mean, round(sum(coalesce(p, 0)) / count(*), 11) AS power_mean"
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.round("score_mean", 5).alias("score_mean"), F.round("power_mean", 11).alias("power_mean"))
+
+
+@query(f"WITH {_BASES} SELECT line_no, {_MEANS} FROM v GROUP BY 1")
+def annotate_exons(spark, sf):
+    return _rounded(N.annotate(X.features(spark, sf).withColumn("line", F.lit("")), X.tracks(spark, sf), X.sizes(spark)), "line_no")
+
+
+@query(f"WITH {_BASES} SELECT tx_no, {_MEANS} FROM v GROUP BY 1")
+def annotate_transcripts(spark, sf):
+    f = X.features(spark, sf).select("file", "line_no", "tx_no", "feature", "chrom", "begin", "end", "strand", "phase")
+    tx = f.groupBy("file", "tx_no").agg((F.min("line_no") - 1).alias("line_no"), F.min("chrom").alias("chrom"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("strand").alias("strand"))
+    tx = tx.withColumn("feature", F.lit("transcript")).withColumn("phase", F.lit(None).cast("int"))
+    out = N.annotate(f.unionByName(tx), X.tracks(spark, sf), X.sizes(spark))
+    return _rounded(out.where("feature = 'transcript'"), "tx_no")
+
+
+@query(f"WITH {X.FEATURE_SQL} SELECT DISTINCT chrom FROM f WHERE chrom NOT IN ('A', 'N')")
+def chromosomes_without_size(spark, sf):
+    return N.missing_chromosomes(X.features(spark, sf), X.sizes(spark).where("chrom <> 'R'"))
+
+
+@query(f"WITH {X.FEATURE_SQL}, s AS (SELECT chrom || ':' || \"begin\" || '-' || (\"end\" - phase) || '#' || strand || '#' || phase AS key, min(line_no) AS score FROM f WHERE line_no % 3 <> 0 GROUP BY 1), xx AS (SELECT f.*, s.score FROM f LEFT JOIN s ON s.key = chrom || ':' || \"begin\" || '-' || (\"end\" - phase) || '#' || strand || '#' || phase) SELECT tx_no, round(sum(score * (\"end\" - \"begin\" + 1)) / sum(CASE WHEN score IS NOT NULL THEN \"end\" - \"begin\" + 1 END), 4) AS score FROM xx GROUP BY 1")
+def annotate_by_place(spark, sf):
+    f = X.features(spark, sf)
+    key = F.concat(S.place_key("chrom", "begin", F.col("end") - F.col("phase"), "strand"), F.lit("#"), F.col("phase").cast("string"))
+    scores = f.where("line_no % 3 <> 0").select(key.alias("key"), F.col("line_no").cast("double").alias("score"), "line_no")
+    return N.transcript_means(N.score_by_place(f, scores)).select("tx_no", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {X.FEATURE_SQL} SELECT chrom, \"begin\", \"end\", strand, min(line_no) AS line_no FROM f GROUP BY 1, 2, 3, 4")
+def distinct_places(spark, sf):
+    return N.distinct_places(X.features(spark, sf)).select("chrom", "begin", "end", "strand", "line_no")
+
+
+# --- open reading frames (O1, O2, W5, T1-T5)
+def _transcripts(spark, sf) -> DataFrame:
+    rows = X.dna(spark, sf).select(F.lit("f").alias("file"), F.col("doc_id").alias("tx_no"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chrom"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.col("dna").alias("seq"))
+    return rows
+
+
+_ORF = f"""{_D}, q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN doc_id % 2 = 0 THEN dna ELSE reverse(translate(dna, 'ACGT', 'TGCA')) END AS s FROM d),
+i AS (SELECT doc_id, strand, length(s) AS n, i AS p0, s[CAST(i AS INT):CAST(i + 2 AS INT)] AS c FROM q, LATERAL (SELECT unnest(range(1, greatest(length(s) - 1, 1))) AS i)),
+o AS (SELECT a.doc_id, a.strand, a.n, a.p0, min(b.p0) AS stop FROM i a JOIN i b ON a.doc_id = b.doc_id AND b.p0 > a.p0 AND (b.p0 - a.p0) % 3 = 0 WHERE a.c = 'ATG' AND b.c IN ('TAA', 'TAG', 'TGA') GROUP BY 1, 2, 3, 4),
+r AS (SELECT doc_id AS tx_no, strand, CASE WHEN strand = '+' THEN p0 - 1 ELSE n - (stop + 2) END AS orf_begin, CASE WHEN strand = '+' THEN stop + 2 ELSE n - p0 + 1 END AS orf_end FROM o WHERE stop + 3 - p0 >= 3 * 10)"""
+
+
+@query(f"WITH {_ORF} SELECT tx_no, strand, orf_begin, orf_end FROM r")
+def reading_frames(spark, sf):
+    return O.find_orfs(_transcripts(spark, sf), 10).select("tx_no", "strand", "orf_begin", "orf_end")
+
+
+@query(f"WITH {_ORF}, k AS (SELECT *, row_number() OVER (PARTITION BY tx_no ORDER BY orf_end - orf_begin DESC, orf_begin) AS n FROM r) SELECT tx_no, orf_begin, orf_end FROM k WHERE n = 1")
+def longest_reading_frames(spark, sf):
+    rows = O.find_orfs(_transcripts(spark, sf), 10).withColumn("orf_score", F.lit(1.0))
+    return O.choose(rows, "LONGEST").select("tx_no", "orf_begin", "orf_end")
+
+
+@query(f"WITH {X.FEATURE_SQL}, w AS (SELECT line_no, tx_no, strand, \"begin\", \"end\", coalesce(sum(\"end\" - \"begin\" + 1) OVER (PARTITION BY tx_no ORDER BY CASE WHEN strand = '-' THEN -\"begin\" ELSE \"begin\" END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f) SELECT line_no, CAST((3 - b % 3) % 3 AS INT) AS phase FROM w")
+def coding_phases(spark, sf):
+    return O.with_phases(X.features(spark, sf).drop("phase"), ["file", "tx_no"]).select("line_no", "phase")
+
+
+def _gene_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exons, a genome made of documents, and the ORFs' parts of transcripts of one or more exons."""
+    t = X.dna(spark, sf).where("length(dna) >= 200").select((F.col("doc_id") % 3).alias("c"), "doc_id", "dna")
+    genome = t.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("dna", 1, 200).alias("s")))), lambda x: x["s"]), "").alias("seq"))
+    genome = genome.select(F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("c").cast("int") + 1).alias("chrom"), "seq")
+    exons = X.features(spark, sf).join(genome.select("chrom", F.length("seq").alias("most")), "chrom").where("end <= most").drop("most")
+    orfs = O.find_orfs(O.spliced(exons, genome), 10)
+    return exons, genome, O.orf_exons(orfs, exons)
+
+
+@query()
+def find_coding_sequences(spark, sf):
+    """Best-scoring reading frame of each transcript with its exons, phases and scores."""
+    parts = O.score_orfs(_gene_parts(spark, sf)[2], X.tracks(spark, sf), X.sizes(spark))
+    best = O.choose(parts, "BEST_SCORE", -1000.0)
+    return best.select("tx_no", "chrom", "strand", "begin", "end", "phase", F.round("score_mean", 4).alias("score_mean"), F.round("orf_score", 4).alias("orf_score"), F.round("orf_power", 5).alias("orf_power"))
+
+
+@query()
+def evaluate_coding_sequences(spark, sf):
+    exons, _, parts = _gene_parts(spark, sf)
+    parts = O.score_orfs(parts, X.tracks(spark, sf), X.sizes(spark))
+    tx = exons.groupBy("file", "tx_no").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).withColumn("feature", F.lit("transcript"))
+    return O.evaluation(O.choose(parts, "LONGEST", 0.0), O.choose(parts, "ALL", 0.0), exons.select("file", "tx_no", "begin", "end", "feature").unionByName(tx))
+
+
+@query(f"WITH {_D}, q AS (SELECT doc_id, dna FROM d WHERE length(dna) >= 100), x AS (SELECT doc_id, dna, CAST(doc_id % 20 + 1 AS INT) AS b, CAST(doc_id % 20 + 60 AS INT) AS e, CAST(doc_id % 3 AS INT) AS phase, doc_id % 2 = 0 AS ahead FROM q) SELECT doc_id, CASE WHEN ahead THEN dna[b:e] ELSE reverse(translate(dna[b:e], 'ACGT', 'TGCA')) END[phase + 1:] AS seq FROM x")
+def coding_exon_sequences(spark, sf):
+    d = X.dna(spark, sf).where("length(dna) >= 100")
+    g = d.select(F.col("doc_id").cast("string").alias("chrom"), F.col("dna").alias("seq"))
+    cds = d.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), (F.col("doc_id") % 20 + 1).alias("begin"), (F.col("doc_id") % 20 + 60).alias("end"), (F.col("doc_id") % 3).cast("int").alias("phase"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return N.cds_sequences(cds, g).select("doc_id", "seq")
+
+
+@query()
+def search_sequences(spark, sf):
+    """Ungapped hits, by shared 12-mers, of pieces of documents in other documents' sequences."""
+    d = X.dna(spark, sf).where("length(dna) >= 100")
+    q = d.select(F.col("doc_id").alias("query"), F.substring("dna", 11, 60).alias("seq")).where("query % 5 = 0")
+    g = d.select((F.col("doc_id") % 2).alias("genome"), F.col("doc_id").cast("string").alias("chrom"), F.col("dna").alias("seq"))
+    return N.seed_search(q, g).select("query", "genome", "target", "place", "score", "seq")
+
+
+@query()
+def model_species(spark, sf):
+    from .model.species import model_info
+
+    return model_info(spark, MODEL, {"a": ["ape"]}).withColumn("aliases", F.array_join("aliases", ","))
