@@ -37,28 +37,25 @@ def parts(spark: SparkSession) -> int:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links(a, b)`` reaches.
 
-    Alternating large-star and small-star rounds: each is one aggregation with
-    partial minima and one join, so that a hub with a third of all links is
-    split like any skewed join.  Isolated nodes have no row.
+    Contraction: every node goes to the smallest of itself and its neighbours, links are
+    drawn between those, and so on until none is left; then the steps are joined from
+    the last to the first.  A step takes partial minima and joins, so that a hub
+    with a third of all links is split like any skewed join, and a star takes two.
+    Isolated nodes have no row.
     """
-    spark = links.sparkSession
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
-        # every node's smallest neighbour, itself included
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
-        # all stars: every u has one v and no v is a u; the sums tell whether anything moved
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
-        if state == last and state[0] == state[2]:
-            break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    del spark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    edges = cut(links.where("a <> b").select("a", "b").distinct())
+    steps = []
+    while not edges.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError("components did not settle")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        steps.append(step)
+        edges = edges.join(step.withColumnRenamed("m", "x"), "a").join(step.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
+        edges = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    if not steps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    roots = steps[0].select(F.col("a").alias("node"), F.col("m").alias("root"))
+    for step in steps[1:]:
+        roots = roots.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
+    return cut(roots)
