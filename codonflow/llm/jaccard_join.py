@@ -38,9 +38,9 @@ from .shared import components, cut, parts
 #: a shingle counts as frequent from so many documents on; only the most frequent are told apart
 FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
 #: occurrences among so many shingles from which a task reports one
-LOCAL_FROM, COUNTED_AT_ONCE = 3, 1 << 20
+LOCAL_FROM, COUNTED_AT_ONCE = 3, 1 << 22
 #: open pairs of a block from which it is joined as part of a region, on whole sets
-HOT_PAIRS = 50_000
+HOT_PAIRS = 20_000
 #: documents of a region that meet in one task: not connected ones, and all
 REGION_LEFT, REGION_RIGHT = 512, 2048
 #: participants of a verification up to which their ids are broadcast (16 bytes each); a join by shuffle beyond
@@ -62,8 +62,9 @@ def _need(n: int, percent: int) -> int:
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, held = [], 0
         for b in batches:
-            ids, n, fp, local, held = b.column(0), [], [], [], 0
+            n, fp = [], []
             for _, own in words.shingle_sets(b.column(1), size):
                 n.append(len(own))
                 fp.append(content_id(own) if len(own) else 0)
@@ -72,9 +73,9 @@ def _fingerprints(size: int):
                 if held >= COUNTED_AT_ONCE:
                     yield _often(local)
                     local, held = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(ids), pa.int64())], ["doc_id", "n", "sid", "often"])
-            if held:
-                yield _often(local)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n", "sid", "often"])
+        if held:
+            yield _often(local)
 
     return run
 
@@ -209,7 +210,7 @@ class _Measure:
 
     def __init__(self, docs: DataFrame, ids: DataFrame, size: int):
         self.docs, self.size = docs, size
-        self.of = ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        self.of = cut(ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
 
     def sets(self, sids: DataFrame) -> DataFrame:
         """(sid, own) for each of sids(sid)."""
@@ -229,12 +230,22 @@ class _Measure:
 
 def _labelled(live: DataFrame, comps: DataFrame) -> DataFrame:
     """live with the component of each sid, without the blocks that are of one component."""
-    comps = comps.select(F.col("node").alias("sid"), "root")
+    comps = comps.select(F.col("node").alias("sid"), "root")  # a pivot without a link of its own is its root
     rows = live.select("shingle", "sid", "n", "w").join(comps, "sid", "left").select("shingle", "sid", "n", "w", F.coalesce("root", "sid").alias("comp"))
     open_ = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
     return cut(rows.join(open_, "shingle"))
 
 
+def _nearest(links: DataFrame) -> DataFrame:
+    """(node, root): for each document linked with pivots the smallest of them, or of those that this one is linked with.
+
+    Documents of one root are connected; connected ones need not have one root yet.
+    """
+    to = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")))
+    on = to.select(F.col("node").alias("m"), F.col("m").alias("next"))
+    return to.join(on, "m", "left").select("node", F.coalesce("next", "m").alias("root"))
+
+
 def _blocks(state: DataFrame) -> DataFrame:
     """(shingle, major, pairs): the largest component of each block, and pairs with a document outside it."""
     each = state.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle")
@@ -253,34 +264,41 @@ def _cold_pairs(state: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
         F.max(F.when(swap, F.col("ny")).otherwise(F.col("nx"))).cast("long").alias("na"), F.max(F.when(swap, F.col("nx")).otherwise(F.col("ny"))).cast("long").alias("nb"), F.count("*").alias("c"))
 
 
-def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, percent: int) -> DataFrame | None:
+def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, distances: DataFrame | None, percent: int) -> DataFrame | None:
     """Links of the blocks with many open pairs.
 
-    All these blocks with one pivot are its region, and its documents are compared on
-    whole sets.  A band holds the distances to the pivot of the width of the
-    threshold; a document meets those of its own band and of the two beside it, as
-    the triangle inequality allows no others.  A pair that shares such a block is
-    settled here, whatever other blocks it shares.
+    All these blocks with one largest component are the region of its root, the pivot, and
+    its documents are compared on whole sets.  A band holds the distances to the pivot of
+    the width of the threshold; a document meets those of its own band and of the two
+    beside it, as the triangle inequality allows no others, or of all bands if its
+    distance was not measured.  A pair that shares such a block is settled here,
+    whatever other blocks it shares.
     """
     hot = blocks.where(F.col("pairs") >= HOT_PAIRS)
     if hot.isEmpty():
         return None
-    own = cut(state.join(hot, "shingle"))
-    within = own.groupBy("sid").agg(F.count("*").alias("k"))
-    pivots = own.join(within, "sid").groupBy("shingle").agg(F.max(F.struct("k", "sid", "n")).alias("p")).select("shingle", F.col("p.sid").alias("p"), F.col("p.n").cast("long").alias("np"))
-    members = own.join(pivots, "shingle").groupBy("p", "sid").agg(F.max("n").cast("long").alias("n"), F.max("np").alias("np"), F.max("comp").alias("comp"), F.max(F.col("comp") != F.col("major")).alias("outside"))
+    members = state.join(hot, "shingle").groupBy(F.col("major").alias("p"), "sid").agg(F.max("comp").alias("comp"))
+    members = members.withColumn("outside", F.col("comp") != F.col("p"))
+    width, last = 1 - percent / 100, int(1 / (1 - percent / 100) - 1e-9)
+    if distances is not None:
+        d = distances.select(F.col("a").alias("sid"), F.col("b").alias("p"), F.least(F.floor((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))) / (width + 1e-9)), F.lit(last)).cast("int").alias("band")).dropDuplicates(["sid", "p"])
+        members = members.join(d, ["sid", "p"], "left").withColumn("band", F.when(F.col("sid") == F.col("p"), 0).otherwise(F.col("band")))
+    else:
+        members = members.withColumn("band", F.lit(None).cast("int"))
     members = cut(members)
-    found = measure(members.where("sid <> p").select(F.col("sid").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb")))
-    width = 1 - percent / 100
-    d = found.select(F.col("a").alias("sid"), F.col("b").alias("p"), F.floor((1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))) / (width + 1e-9)).cast("int").alias("band"))
-    placed = members.join(d, ["sid", "p"], "left").withColumn("band", F.coalesce("band", F.lit(0)))
-    sizes = placed.groupBy("p").agg(F.ceil(F.count_if("outside") / REGION_LEFT).alias("lefts"), F.ceil(F.count("*") / REGION_RIGHT).alias("rights"))
-    placed = placed.join(sizes, "p").join(measure.sets(members.select("sid")), "sid")
+    sizes = members.groupBy("p").agg(F.ceil(F.count_if("outside") / REGION_LEFT).alias("lefts"), F.ceil(F.count("*") / REGION_RIGHT).alias("rights"))
+    placed = cut(members.join(sizes, "p").where("lefts > 0"))
+    sets = measure.sets(placed.select("sid"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     one_of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    left = placed.where("outside").select("p", "band", one_of("lefts").alias("i"), F.explode(all_of("rights")).alias("j"), "sid", "comp", "own")
-    right = placed.where("lefts > 0").select("p", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "lefts", one_of("rights").alias("j"), "sid", "comp", "own")
-    right = right.withColumn("i", F.explode(all_of("lefts")))
+    bands = F.array(*[F.lit(k) for k in range(last + 1)])
+    left = placed.where("outside").withColumn("band", F.explode(F.when(F.col("band").isNull(), bands).otherwise(F.array("band"))))
+    left = left.select("p", "band", one_of("lefts").alias("i"), F.explode(all_of("rights")).alias("j"), "sid", "comp")
+    met = left.select("p", "band").distinct()
+    beside = F.explode(F.when(F.col("band").isNull(), bands).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    right = placed.withColumn("band", beside).join(met, ["p", "band"], "left_semi")
+    right = right.select("p", "band", F.explode(all_of("lefts")).alias("i"), one_of("rights").alias("j"), "sid", "comp")
+    left, right = left.join(sets, "sid"), right.join(sets, "sid")
     right = right.select(*[F.col(c).alias(c) for c in ("p", "band", "i", "j", "sid", "comp", "own")])  # a side of its own
     key = ["p", "band", "i", "j"]
     return cut(left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_region(percent), "a long, b long").distinct())
@@ -354,10 +372,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         distances = found if distances is None else distances.unionByName(found)
         new = _linked(found, percent)
         links = new if links is None else links.unionByName(new)
-        state = _labelled(state, components(links))
+        state = _labelled(state, _nearest(links))
     if not state.isEmpty():
         blocks = cut(_blocks(state))
-        hot = _hot_links(state, blocks, measure, percent)
+        hot = _hot_links(state, blocks, measure, distances, percent)
         if hot is not None:
             links = hot if links is None else links.unionByName(hot)
         pairs = cut(_plausible(_cold_pairs(state, blocks, percent), percent))
@@ -367,7 +385,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = new if links is None else links.unionByName(new)
     roots = nothing if links is None else components(links)
 
-    least = ids.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    least = measure.of.select("sid", F.col("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     tops = classes.groupBy("root").agg(F.min("least").alias("top"))
     classes = classes.join(tops, "root").select("sid", "top")
