@@ -16,7 +16,7 @@ from codonflow.model.tree import Tree, parse_newick
 
 def whole_text(spark: SparkSession, path: str) -> str:
     """A small file as one string, by Spark's own reader."""
-    rows = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(rows) != 1:
         raise ValueError(f"one file is needed: {path}")
     return rows[0][0]
@@ -44,7 +44,8 @@ def maf_rows(spark: SparkSession, path) -> DataFrame:
     them and a block is never cut.  Other lines are left out; block_id ascends in a file.
     """
     blocks = spark.read.option("lineSep", "\na").text(path)
-    blocks = blocks.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block_id"), F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
+    blocks = blocks.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block_id"), "value")
+    blocks = blocks.select("file", "block_id", F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
     token = F.split(F.trim("line"), r"[ \t]+")
     rows = blocks.where(F.col("line").rlike(r"^s[ \t]")).select("file", "block_id", "row_no", token.alias("t"))
     return rows.select("file", "block_id", "row_no", F.substring_index(F.col("t")[1], ".", 1).alias("species"),
