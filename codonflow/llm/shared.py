@@ -34,28 +34,40 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, unless the session says otherwise: texts can be long, and a worker holds a whole batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "2000")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links(a, b)`` reaches.
 
-    Contraction: every node goes to the smallest of itself and its neighbours, links are
-    drawn between those, and so on until none is left; then the steps are joined from
-    the last to the first.  A step takes partial minima and joins, so that a hub
-    with a third of all links is split like any skewed join, and a star takes two.
+    Contraction: every node goes to that of itself and its neighbours which a hash of the
+    round puts first, links are drawn between those, and so on until none is left; as
+    the order is random, chains shrink by a constant part a round.  Then the steps
+    are joined from the first to the last.  A step takes partial minima and joins, so
+    that a hub with a third of all links is split like any skewed join.
     Isolated nodes have no row.
     """
     edges = cut(links.where("a <> b").select("a", "b").distinct())
-    steps = []
-    while not edges.isEmpty():
-        if len(steps) == rounds:
-            raise RuntimeError("components did not settle")
+    roots = None
+    for k in range(rounds):
+        if edges.isEmpty():
+            break
+        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        steps.append(step)
+        step = both.groupBy("a").agg(F.min(place("b")).alias("m"))
+        step = cut(step.select("a", F.least(place("a"), F.col("m"))["n"].alias("m")))
+        to = step.withColumnRenamed("m", "next")
+        roots = step.select(F.col("a").alias("node"), F.col("m").alias("root")) if roots is None else cut(
+            roots.join(to.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         edges = edges.join(step.withColumnRenamed("m", "x"), "a").join(step.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
         edges = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    if not steps:
+    else:
+        raise RuntimeError("components did not settle")
+    if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    roots = steps[0].select(F.col("a").alias("node"), F.col("m").alias("root"))
-    for step in steps[1:]:
-        roots = roots.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-    return cut(roots)
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return cut(roots.join(least, "root").select("node", F.col("least").alias("root")))
