@@ -1,120 +1,179 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line's tokens are its distinct runs of five words (of fewer words, the one whole
-sequence).  Equal lines are one key with its first place.  Tokens are put in one
-order, rare before frequent by a sketch of counts over all lines; two keys of
-similar lines share a token of their prefixes, which opens a block.  Pairs of a block pass
-the length and the positional filter and are verified on all their tokens.
-A line goes if any earlier line is like it.
+sequence).  Lines of one token set are one key with its first place.  Tokens are put in
+one order, rare before frequent by counts over all lines; two keys of similar
+lines share a token of their prefixes, which opens a block.  A line goes if any earlier
+line is like it, so a key is settled once one earlier key is found: first the
+earliest key of each of its blocks is tried, and only keys that it does not settle
+meet the others, by the size filter and the number of prefix tokens shared, which
+bounds what can follow.  Blocks with many such pairs are compared on whole sets.
+All pairs are verified on all their tokens.
+
+A form in DataFrame functions alone took three times the CPU seconds that were to be
+met (README), so tokens are made by numpy on Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from . import words
+from .jaccard_join import BROADCAST_ROWS, COUNTED_AT_ONCE, FREQUENT_FROM, FREQUENT_MOST, REGION_LEFT, REGION_RIGHT, _alive, _often, _plausible, _prefixes, _sets, _shared, content_id
+from .shared import cut, parts, small_batches
 
-SIZE, PERCENT = 5, 75
-#: counters of the sketch, and how far above their mean a frequent one is; the largest are told apart
-COUNTERS, ABOVE, MOST = 1 << 16, (4, 16, 64), 4096
-#: documents with a line to verify up to which their ids are broadcast; a join by shuffle beyond
-BROADCAST_ROWS = 1_000_000
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r"
-_LOWER = "abcdefghijklmnopqrstuvwxyz    "
+PERCENT = 75
+#: open pairs of a block from which it is compared on whole sets
+HOT_PAIRS = 20_000
+_U = np.uint64
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, w): the words of each line, A-Z lower-cased, of lines that have any."""
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return rows.select("doc_id", "line", F.array_remove(F.split(F.translate("t", _UPPER, _LOWER), " "), "").alias("w")).where(F.size("w") > 0)
-
-
-def _tokens(w: str = "w") -> Column:
-    """Hashes of the runs of SIZE words, not yet distinct."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - SIZE), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(SIZE)]))
-    return F.when(F.size(w) >= SIZE, runs).otherwise(F.array(F.xxhash64(w)))
-
-
-def _frequent(lines: DataFrame) -> list[list[int]]:
-    """For each step of ABOVE, the counters that are above it; MOST of them at most, the largest first."""
-    counts = lines.select(F.explode(_tokens()).alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / COUNTERS
-    top = counts.where(F.col("n") > max(16, ABOVE[0] * mean)).orderBy(F.desc("n"), "c").limit(MOST).collect()
-    return [[r.c for r in top if r.n > max(16, a * mean)] for a in ABOVE]
-
-
-def _ordered(tokens: Column, frequent: list[list[int]]) -> Column:
-    """Distinct tokens in order: the top two bits hold the step of frequency, the others a part of the hash."""
-
-    def placed(x: Column) -> Column:
-        step = F.lit(0)
-        for own in frequent:
-            if own:
-                step = step + F.when(F.pmod(x, F.lit(COUNTERS)).isin(own), 1).otherwise(0)
-        return F.shiftleft(step.cast("long"), 61).bitwiseOR(F.shiftrightunsigned(x, 3))
-
-    return F.array_sort(F.array_distinct(F.transform(tokens, placed)))
-
-
-def _need(n: Column) -> Column:
-    return F.ceil(n * PERCENT / 100).cast("int")
-
-
-def _matches(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different keys whose token sets are alike."""
-    frequent = _frequent(lines)
-    sets = lines.select(F.xxhash64("w").alias("key"), _ordered(_tokens(), frequent).alias("x"))
-    head = F.slice("x", 1, F.size("x") - _need(F.size("x")) + 1)
-    entries = sets.select("key", F.size("x").alias("n"), F.posexplode(head).alias("pos", "token"))
-    # copies of a line meet here before they are sent
-    entries = entries.groupBy("token", "key").agg(F.max(F.col("n") * F.lit(1 << 31) + F.col("pos")).alias("np"))
-    both = Window.partitionBy("token")
-    live = entries.select("token", "key", "np", F.min("key").over(both).alias("lo"), F.max("key").over(both).alias("hi")).where("lo < hi")
-    live = cut(live.select("token", "key", F.shiftright("np", 31).alias("n"), F.col("np").bitwiseAND((1 << 31) - 1).alias("pos")))
-    x = live.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = live.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    alpha = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
-    pairs = x.join(y, "token").where("a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    # of the first token that two lines share, what can follow is bounded by both places; another one only bounds less
-    pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"), F.min(F.struct("pa", "pb")).alias("first"))
-    follow = 1 + F.least(F.col("na") - F.col("first.pa") - 1, F.col("nb") - F.col("first.pb") - 1)
-    share = F.col("c") + F.greatest(_need(F.col("na")), _need(F.col("nb"))) - 1
-    pairs = cut(pairs.where(F.least(follow, share) >= alpha).select("a", "b", "na", "nb"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(keys, "key").select("key", "first.doc_id"))
-    ids = wanted.select("doc_id").distinct()
-    n = wanted.count()
-    ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
-    again = _lines(docs.join(ids, "doc_id")).select(F.xxhash64("w").alias("key"), F.array_distinct(_tokens()).alias("x"))
-    chosen = wanted.select("key")
-    again = again.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "key").dropDuplicates(["key"])
-    one = again.select(F.col("key").alias("a"), F.col("x").alias("xa"))
-    two = again.select(F.col("key").alias("b"), F.col("x").alias("xb"))
-    common = F.size(F.array_intersect("xa", "xb"))
-    union = F.size("xa") + F.size("xb") - common
-    return cut(pairs.join(one, "a").join(two, "b").where(common * 100 >= union * PERCENT).select("a", "b"))
+    """(doc_id, line, t) of all lines."""
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, key, often): the content of every line with words, and counts of tokens that come often."""
+    local, held = [], 0
+    for b in batches:
+        rows, keys = [], []
+        for k, own in words.shingle_sets(b.column(2)):
+            if len(own):
+                rows.append(k)
+                keys.append(content_id(own))
+                local.append(own)
+                held += len(own)
+                if held >= COUNTED_AT_ONCE:
+                    yield _counted(local)
+                    local, held = [], 0
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], ["doc_id", "line", "key", "often"])
+    if held:
+        yield _counted(local)
+
+
+def _counted(local: list[np.ndarray]) -> pa.RecordBatch:
+    found = _often(local)
+    return pa.RecordBatch.from_arrays([found.column(1), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int64()), found.column(3)], ["doc_id", "line", "key", "often"])
+
+
+class _Sets:
+    """Token sets of keys, made again from the documents of their first lines."""
+
+    def __init__(self, docs: DataFrame, keys: DataFrame):
+        self.docs, self.keys = docs, keys
+
+    def __call__(self, wanted: DataFrame) -> DataFrame:
+        wanted = cut(wanted.select("sid").distinct().join(self.keys, "sid").select("sid", "first.doc_id"))
+        ids, sids, few = wanted.select("doc_id").distinct(), wanted.select("sid"), wanted.count() <= BROADCAST_ROWS
+        lines = _lines(self.docs.join(F.broadcast(ids) if few else ids, "doc_id")).select("t")
+        sets = lines.mapInArrow(_sets(words.SHINGLE), "sid long, own binary").join(F.broadcast(sids) if few else sids, "sid")
+        return sets.groupBy("sid").agg(F.first("own").alias("own"))
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, na, nb) with the size of their intersection."""
+        sets = self(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+        x, y = sets.select(F.col("sid").alias("a"), F.col("own").alias("own_a")), sets.select(F.col("sid").alias("b"), F.col("own").alias("own_b"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b", "na", "nb")
+        return both.mapInArrow(_shared, "a long, b long, common long, na long, nb long")
+
+
+def _alike(measured: DataFrame) -> DataFrame:
+    return measured.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select(F.col("a").alias("sid"))
+
+
+def _settled(docs: DataFrame, keys: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(sid): keys for which an earlier key is alike."""
+    spark, sets = docs.sparkSession, _Sets(docs, keys)
+    rows = _lines(docs).select("t").mapInArrow(_prefixes(frequent, PERCENT, words.SHINGLE), "shingle long, sid long, n int, salt byte")
+    rows = rows.repartition(parts(spark), "shingle", "salt").sortWithinPartitions("shingle", "sid")
+    live = rows.mapInArrow(_alive, "shingle long, sid long, n int").join(keys, "sid")
+    live = cut(live.select("shingle", "sid", F.col("n").cast("long").alias("n"), "first"))
+    earliest = live.groupBy("shingle").agg(F.min(F.struct("first", "sid", "n")).alias("p")).where(F.col("p").isNotNull())
+    pairs = live.join(earliest, "shingle").where(F.col("sid") != F.col("p.sid"))
+    pairs = pairs.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b")).agg(F.max("n").alias("na"), F.max("p.n").alias("nb"), F.count("*").alias("c"))
+    # a block has one earliest key, so c may miss shared tokens of blocks with an earlier one: those keys are tried below
+    settled = cut(_alike(sets.measured(cut(_plausible(pairs, PERCENT)))).distinct())
+    open_ = cut(live.join(settled, "sid", "left_anti"))
+    blocks = open_.groupBy("shingle").agg(F.count("*").alias("left")).join(live.groupBy("shingle").agg(F.count("*").alias("all"), F.min(F.struct("first", "sid")).alias("p")), "shingle")
+    blocks = cut(blocks.select("shingle", (F.col("left") * F.col("all")).alias("pairs"), F.col("p.sid").alias("p")))
+    cold, hot = blocks.where(F.col("pairs") < HOT_PAIRS).select("shingle"), blocks.where(F.col("pairs") >= HOT_PAIRS).select("shingle", "p")
+    x = open_.join(cold, "shingle").select("shingle", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
+    y = live.select("shingle", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
+    pairs = x.join(y, "shingle").where((F.col("fb") < F.col("fa")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
+    pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"))
+    out = settled.unionByName(_alike(sets.measured(cut(_plausible(pairs, PERCENT)))))
+    if not hot.isEmpty():
+        out = out.unionByName(_hot(open_, live, hot, sets))
+    return cut(out.distinct())
+
+
+def _hot(open_: DataFrame, live: DataFrame, hot: DataFrame, sets: _Sets) -> DataFrame:
+    """Keys of blocks with many open pairs for which an earlier key of such a block is alike.
+
+    Blocks of one earliest key are its region.  Not settled keys of a region meet all its
+    keys in groups of bounded size.
+    """
+    left = open_.join(hot, "shingle").select("p", "sid", "first").distinct()
+    right = live.join(hot, "shingle").select("p", "sid", "first").distinct()
+    sizes = left.groupBy("p").agg(F.ceil(F.count("*") / REGION_LEFT).alias("lefts")).join(right.groupBy("p").agg(F.ceil(F.count("*") / REGION_RIGHT).alias("rights")), "p")
+    sizes, right = cut(sizes), cut(right)
+    own = sets(right.select("sid"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    left = left.join(sizes, "p").select("p", one_of("lefts").alias("i"), all_of("rights").alias("j"), "sid", "first").join(own, "sid")
+    right = right.join(sizes, "p").select("p", all_of("lefts").alias("i"), one_of("rights").alias("j"), "sid", "first").join(own, "sid")
+    place = lambda df: df.select(*[F.col(c).alias(c) for c in ("p", "i", "j", "sid", "own")], F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
+    key = ["p", "i", "j"]
+    return place(left).groupBy(key).cogroup(place(right).groupBy(key)).applyInPandas(_region, "sid long")
+
+
+def _region(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    found: list[int] = []
+    if len(left) and len(right):
+        sets = [np.frombuffer(x, _U) for x in right["own"]]
+        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        holder, flat = np.repeat(np.arange(len(sets)), sizes)[order], flat[order]
+        doc, line = right["doc_id"].to_numpy(), right["line"].to_numpy()
+        for sid, d, n, x in zip(left["sid"], left["doc_id"], left["line"], left["own"], strict=True):
+            x = np.frombuffer(x, _U)
+            low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            runs = high - low
+            place = np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            common = np.bincount(holder[place], minlength=len(sets))
+            before = (doc < d) | ((doc == d) & (line < n))
+            if (before & (100 * common >= PERCENT * (len(x) + sizes - common))).any():
+                found.append(sid)
+    return pd.DataFrame({"sid": found}).astype("int64")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line): all lines, counted from 0, that are like an earlier one.
 
-    Earlier: of a smaller doc_id, or further up in the same document.  Alike: equal
-    words after A-Z were lower-cased, or a Jaccard of 0.75 at least between the sets of
-    five-word runs.  A line that goes still makes later ones go.  Lines
-    without words stay.  Rows of one doc_id count as one document: their lines of
-    one number aren't later than each other.  Rows with a null doc_id or text
-    take no part.
+    Earlier: of a smaller doc_id, or further up in the same document.  Alike: a Jaccard of
+    0.75 at least between the sets of five-word runs, A-Z lower-cased; equal lines
+    have 1.  A line that goes still makes later ones go.  Lines without words stay.
+    Rows of one doc_id count as one document: their lines of one number aren't later
+    than each other.  Rows with a null doc_id or text take no part.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = _lines(docs)
-    at = cut(lines.select("doc_id", "line", F.xxhash64("w").alias("key")))
-    keys = cut(at.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    pairs = _matches(docs, keys, lines)
-    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = sides.join(keys.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("first").alias("near"))
-    least = keys.join(near, "key", "left").select("key", F.least("first", F.coalesce("near", "first")).alias("least"))
-    return at.join(least, "key").where(F.col("least") < F.struct("doc_id", "line")).select("doc_id", "line").distinct()
+    seen = cut(_lines(docs).mapInArrow(_keys, "doc_id long, line int, key long, often long"))
+    at = seen.where("often is null").select("doc_id", "line", F.col("key").alias("sid"))
+    counted = seen.where("often is not null").groupBy("often").agg(F.sum("doc_id").alias("c")).where(F.col("c") >= FREQUENT_FROM)
+    frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).collect()], np.int64).view(_U))
+    keys = cut(at.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    settled = _settled(docs, keys, frequent).withColumn("gone", F.lit(True))
+    status = keys.join(settled, "sid", "left")
+    return at.join(status, "sid").where(F.coalesce("gone", F.lit(False)) | (F.col("first") < F.struct("doc_id", "line"))).select("doc_id", "line").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
