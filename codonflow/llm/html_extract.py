@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 from .url_filter import host_path
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -36,6 +36,8 @@ DEAD_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs"
     " footer header masthead cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription share sharing social related"
     " recommended recommendations comment comments reply replies respond disqus login signup search pagination pager widget toolbar skip hidden copyright".split())
+#: levels of a tree; what is nested deeper counts as on the last
+DEEPEST = 150
 MAIN = frozenset(("article", "main"))
 #: an opened element closes open ones of its group up to the next container
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,11 +59,12 @@ class Params:
 class Page:
     """A parsed page: ``nodes`` of (parent, signature, dead, main), ``blocks`` of (node, text, link characters)."""
 
-    __slots__ = ("blocks", "children", "nodes")
+    __slots__ = ("blocks", "children", "depth", "nodes")
 
     def __init__(self, html: str):
         self.nodes: list[tuple[int, str, bool, bool]] = [(-1, "", False, False)]
         self.children: list[dict[str, int]] = [{}]
+        self.depth = [0]
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int, bool]] = [("", 0, True)]  # tag, node, block
         held: list[str] = []
@@ -160,11 +163,14 @@ class Page:
             dead = True
         dead, main = dead or above[2], main or above[3]
         key += "!" * dead
+        while self.depth[parent] >= DEEPEST:
+            parent = self.nodes[parent][0]
         found = self.children[parent].get(key)
         if found is None:
             found = self.children[parent][key] = len(self.nodes)
             self.nodes.append((parent, key, dead, main))
             self.children.append({})
+            self.depth.append(self.depth[parent] + 1)
         return found
 
     def shape(self) -> tuple:
@@ -400,6 +406,7 @@ def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     than ``least_pages`` pages has no constant texts.  Repeated rows are returned
     each; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", host_path()[0].alias("host"), F.col("html").cast("string").alias("html"))
     templates = induce(rows, params)
