@@ -25,9 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder; a lost executor costs nothing that is there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes df once into the shared folder; a lost executor costs nothing that is there.
+
+    The result also forgets the size that Spark estimated for df: the estimate of a join is
+    the product of those of its sides, so over rounds of joins it would grow to numbers of
+    millions of digits on the driver.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False)
+    return DataFrame(fresh, spark)
 
 
 def parts(spark: SparkSession) -> int:
