@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import components, cut, parts
+from .shared import components, cut, parts, small_batches
 
 #: a shingle counts as frequent from so many documents on; only the most frequent are told apart
 FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
@@ -41,21 +41,16 @@ FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
 LOCAL_FROM, COUNTED_AT_ONCE = 3, 1 << 22
 #: open pairs of a block from which it is joined as part of a region, on whole sets
 HOT_PAIRS = 20_000
-#: documents of a region that meet in one task: not connected ones, and all
+#: documents of a region that meet in one task: not connected ones, and all; and their shingles
 REGION_LEFT, REGION_RIGHT = 512, 2048
+REGION_SHINGLES = 1 << 20
 #: participants of a verification up to which their ids are broadcast (16 bytes each); a join by shuffle beyond
 BROADCAST_ROWS = 1_000_000
 SALTS = 16
 _U = np.uint64
 
 
-def content_id(own: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        s = words.mix(own, 21).sum(dtype=_U) + _U(len(own))
-    return int(words.mix(np.array([s], _U), 22).view(np.int64)[0])
-
-
-def _need(n: int, percent: int) -> int:
+def _need(n, percent: int):
     """Shingles that a set of n must share with any set that it links with."""
     return -(-n * percent // 100)
 
@@ -64,16 +59,17 @@ def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, held = [], 0
         for b in batches:
-            n, fp = [], []
-            for _, own in words.shingle_sets(b.column(1), size):
-                n.append(len(own))
-                fp.append(content_id(own) if len(own) else 0)
-                local.append(own)
-                held += len(own)
+            n, sid = [], []
+            for _, sh, row, count in words.flat_sets(b.column(1), size):
+                n.append(count)
+                sid.append(words.content_ids(sh, row, count))
+                local.append(sh)
+                held += len(sh)
                 if held >= COUNTED_AT_ONCE:
                     yield _often(local)
                     local, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n", "sid", "often"])
+            if n:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(sid)), pa.nulls(len(b), pa.int64())], ["doc_id", "n", "sid", "often"])
         if held:
             yield _often(local)
 
@@ -94,67 +90,49 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(frequent: np.ndarray, percent: int, size: int):
+    """(shingle, sid, n, salt) of the prefix of every set; salt is 0 for rare shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            out, held = [], 0
-            for _, own in words.shingle_sets(b.column(0), size):
-                if not len(own):
-                    continue
-                sid = content_id(own)
-                if sid in done:
-                    continue  # a copy met in this task has the same prefix
+            for _, sh, row, count in words.flat_sets(b.column(0), size):
+                sid = words.content_ids(sh, row, count)
+                own, first = np.unique(sid, return_index=True)
                 if len(done) > 200_000:
                     done.clear()
-                done.add(sid)
-                n = len(own)
-                often = np.zeros(n, bool)
-                if len(frequent):
-                    at = np.searchsorted(frequent, own)
-                    at[at == len(frequent)] = 0
-                    often = frequent[at] == own
-                m = n - _need(n, percent) + 1
-                rare = own[~often]
-                head = rare[:m] if len(rare) >= m else np.concatenate((rare, own[often][: m - len(rare)]))
-                hot = np.arange(m) >= len(rare)
-                out.append((head, np.full(m, sid, np.int64), np.full(m, n, np.int32), hot))
-                held += m
-                if held > 200_000:
-                    yield _entries(out)
-                    out, held = [], 0
-            if out:
-                yield _entries(out)
+                # a copy met in this task has the same prefix
+                new = [k for x, k in zip(own.tolist(), first.tolist(), strict=True) if count[k] and x not in done]
+                done.update(sid[new].tolist())
+                chosen = np.zeros(len(count), bool)
+                chosen[new] = True
+                keep = chosen[row]
+                sh, row, n = sh[keep], row[keep], np.where(chosen, count, 0)
+                at = np.searchsorted(frequent, sh)
+                at[at == len(frequent)] = 0
+                often = frequent[at] == sh if len(frequent) else np.zeros(len(sh), bool)
+                order = words.by_row(sh, row, len(count), often)
+                sh, row, often = sh[order], row[order], often[order]
+                place = np.arange(len(sh)) - (np.cumsum(n) - n)[row]
+                head = place < (n - _need(n, percent) + 1)[row]
+                sh, row, often = sh[head], row[head], often[head]
+                salt = np.where(often, words.mix(sid[row].view(_U), 5) % _U(SALTS) + _U(1), _U(0)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(sid[row]), pa.array(n[row].astype(np.int32)), pa.array(salt)], ["shingle", "sid", "n", "salt"])
 
     return run
 
 
-def _entries(out: list) -> pa.RecordBatch:
-    head, sid, n, hot = (np.concatenate(x) for x in zip(*out, strict=True))
-    salt = np.where(hot, words.mix(sid.view(_U), 5) % _U(SALTS) + _U(1), _U(0)).astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(sid), pa.array(n), pa.array(salt)], ["shingle", "sid", "n", "salt"])
-
-
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, held = [], 0
-            for _, own in words.shingle_sets(b.column(0), size):
-                if len(own):
-                    out.append((content_id(own), own.tobytes()))
-                    held += own.nbytes
-                if held > words.SLICE_BYTES:
-                    yield _packed(out)
-                    out, held = [], 0
-            if out:
-                yield _packed(out)
+            for _, sh, row, count in words.flat_sets(b.column(0), size):
+                has = count > 0
+                ends = np.concatenate(([0], np.cumsum(count[has]) * 8)).astype(np.int32)
+                own = pa.Array.from_buffers(pa.binary(), int(has.sum()), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sh))])
+                yield pa.RecordBatch.from_arrays([pa.array(words.content_ids(sh, row, count)[has]), own], ["sid", "own"])
 
     return run
 
 
-def _packed(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "own"])
-
-
 def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by shingle and sid: those whose shingle another sid has too, and all salted ones.  Holds back one row."""
     last = None  # the row held back, and whether the one before it had its shingle
@@ -277,7 +255,7 @@ def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, distances
     hot = blocks.where(F.col("pairs") >= HOT_PAIRS)
     if hot.isEmpty():
         return None
-    members = state.join(hot, "shingle").groupBy(F.col("major").alias("p"), "sid").agg(F.max("comp").alias("comp"))
+    members = state.join(hot, "shingle").groupBy(F.col("major").alias("p"), "sid").agg(F.max("comp").alias("comp"), F.max("n").cast("long").alias("n"))
     members = members.withColumn("outside", F.col("comp") != F.col("p"))
     width, last = 1 - percent / 100, int(1 / (1 - percent / 100) - 1e-9)
     if distances is not None:
@@ -286,7 +264,9 @@ def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, distances
     else:
         members = members.withColumn("band", F.lit(None).cast("int"))
     members = cut(members)
-    sizes = members.groupBy("p").agg(F.ceil(F.count_if("outside") / REGION_LEFT).alias("lefts"), F.ceil(F.count("*") / REGION_RIGHT).alias("rights"))
+    parts_of = lambda rows, limit, shingles: F.ceil(F.greatest(rows / limit, shingles / REGION_SHINGLES))
+    outside = F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0))
+    sizes = members.groupBy("p").agg(parts_of(F.count_if("outside"), REGION_LEFT, outside).alias("lefts"), parts_of(F.count("*"), REGION_RIGHT, F.sum("n")).alias("rights"))
     placed = cut(members.join(sizes, "p").where("lefts > 0"))
     sets = measure.sets(placed.select("sid"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
@@ -345,6 +325,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     than the two named are ignored.  Shingles are compared as 64-bit hashes: only two
     different ones of one pair of documents with the same hash could change a result.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = cut(docs.mapInArrow(_fingerprints(size), "doc_id long, n long, sid long, often long"))

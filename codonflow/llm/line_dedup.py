@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .jaccard_join import BROADCAST_ROWS, COUNTED_AT_ONCE, FREQUENT_FROM, FREQUENT_MOST, REGION_LEFT, REGION_RIGHT, _alive, _often, _plausible, _prefixes, _sets, _shared, content_id
+from .jaccard_join import BROADCAST_ROWS, COUNTED_AT_ONCE, FREQUENT_FROM, FREQUENT_MOST, REGION_LEFT, REGION_RIGHT, _alive, _often, _plausible, _prefixes, _sets, _shared
 from .shared import cut, parts, small_batches
 
 PERCENT = 75
@@ -43,18 +43,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, line, key, often): the content of every line with words, and counts of tokens that come often."""
     local, held = [], 0
     for b in batches:
-        rows, keys = [], []
-        for k, own in words.shingle_sets(b.column(2)):
-            if len(own):
-                rows.append(k)
-                keys.append(content_id(own))
-                local.append(own)
-                held += len(own)
-                if held >= COUNTED_AT_ONCE:
-                    yield _counted(local)
-                    local, held = [], 0
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], ["doc_id", "line", "key", "often"])
+        for at, sh, row, count in words.flat_sets(b.column(2)):
+            has = np.flatnonzero(count)
+            take = pa.array(has + at)
+            keys = words.content_ids(sh, row, count)[has]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys), pa.nulls(len(keys), pa.int64())], ["doc_id", "line", "key", "often"])
+            local.append(sh)
+            held += len(sh)
+            if held >= COUNTED_AT_ONCE:
+                yield _counted(local)
+                local, held = [], 0
     if held:
         yield _counted(local)
 

@@ -155,14 +155,54 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.
     return mix(out, 3), begin
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every row, words by white space, A-Z lower-cased."""
-    for at, _, data, offsets in slices(texts):
+def by_row(x: np.ndarray, row: np.ndarray, rows: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Order of x by row, then unmarked before ``last``, then value.
+
+    One sort of a key of the row and the leading bits of the value; in the rare case that
+    these do not tell all values apart, a sort of all keys.
+    """
+    bits = max(1, rows.bit_length())
+    key = (row.astype(_U) << _U(64 - bits)) | (x >> _U(bits + 1))
+    if last is not None:
+        key |= last.astype(_U) << _U(63 - bits)
+    order = np.argsort(key)
+    y = x[order]
+    tied = key[order[1:]] == key[order[:-1]]
+    if (tied & (y[1:] < y[:-1])).any():
+        return np.lexsort((x, row) if last is None else (x, last, row))
+    return order
+
+
+def flat_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, distinct shingle hashes by row and value, row of each from 0, how many each row has) of slices of rows.
+
+    Words are divided by white space, A-Z lower-cased.
+    """
+    for at, to, data, offsets in slices(texts):
         low = lowered(data)
         starts, ends, first = spans(low, offsets, SPACED)
         sh, begin = shingles(hashes(low, starts, ends), first, size)
-        for k in range(len(begin) - 1):
-            own = np.sort(sh[begin[k] : begin[k + 1]])
-            if len(own) > 1:
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            yield at + k, own
+        row = np.repeat(np.arange(to - at), np.diff(begin))
+        order = by_row(sh, row, to - at)
+        sh, row = sh[order], row[order]
+        if len(sh):
+            keep = np.concatenate(([True], (sh[1:] != sh[:-1]) | (row[1:] != row[:-1])))
+            sh, row = sh[keep], row[keep]
+        yield at, sh, row, np.bincount(row, minlength=to - at)
+
+
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of every row."""
+    for at, sh, _, count in flat_sets(texts, size):
+        ends = np.cumsum(count)
+        for k, (a, z) in enumerate(zip((ends - count).tolist(), ends.tolist(), strict=True)):
+            yield at + k, sh[a:z]
+
+
+def content_ids(sh: np.ndarray, row: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number of each row's set, 0 for an empty one."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(sh, 21), dtype=_U)))
+        ends = np.cumsum(count)
+        total = sums[ends] - sums[ends - count] + count.astype(_U)
+    return np.where(count > 0, mix(total, 22), _U(0)).view(np.int64)
