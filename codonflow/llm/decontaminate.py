@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -242,6 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: Params = Params(),
     items of one id and text count once.  Repeated rows and null ids have their rows
     each; empty tables give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, overlap double, score double"
     out = None
@@ -265,6 +267,7 @@ def _clean(index, column: int):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that leak no item; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     for index in indexes(benchmark, params):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)), docs.schema)
     return docs

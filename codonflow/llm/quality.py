@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import cut
+from .shared import cut, small_batches
 
 #: classes of bytes whose shares are statistics
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".", ",;:", "!?", "|", "#$%&*@^~=+<>", "()[]{}", "\"'`", "-_/\\")
@@ -87,7 +87,7 @@ class Fit:
     depth: int = 4
     rate: float = 0.12
     bins: int = 64
-    least_weight: float = 4.0
+    least_weight: float = 1.0
     ridge: float = 2.0
 
 
@@ -193,6 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     one class the share of ones.  Repeated rows and null ids are returned each; an
     empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     stats = cut(docs.mapInArrow(_statistics, f"doc_id {kind}, x array<double>"))
@@ -213,6 +214,7 @@ def _keep(trees: Trees, column: int, threshold: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, how: Fit = Fit()) -> DataFrame:
     """The rows of docs, with all their columns, that ``classify`` predicts 1 for; texts are not shuffled."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     stats = cut(rows.mapInArrow(_statistics, f"doc_id {kind}, x array<double>"))

@@ -43,10 +43,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, unless the session says otherwise: texts can be long, and a worker holds a whole batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "2000")
+    """Arrow batches of few rows and bytes, unless the session says otherwise: texts can be long, and a worker holds a whole batch."""
+    for name, usual, own in (("maxRecordsPerBatch", 10_000, 2_000), ("maxBytesPerBatch", 64 << 20, 8 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if int(spark.conf.get(name, str(usual)).removesuffix("b") or usual) >= usual:
+            spark.conf.set(name, str(own))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

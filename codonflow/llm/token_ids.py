@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, parts, shared_dir
+from .shared import cut, parts, shared_dir, small_batches
 from .words import hashes, slices
 
 MAGIC = b"DAC1"
@@ -35,8 +35,8 @@ RANK_BITS = 512
 END_ID = 0
 #: ids after which a segment is closed
 SEGMENT_IDS = 1 << 19
-#: pieces of texts whose ids a worker remembers, about 50 bytes each
-CACHE_PIECES = 2_000_000
+#: pieces of texts whose ids a worker remembers, about 30 bytes each
+CACHE_PIECES = 1_500_000
 #: text that is encoded at once
 TEXT_BYTES = 1 << 20
 
@@ -175,7 +175,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.ids = np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -185,11 +185,11 @@ class Encoder:
         own = self._library(texts)
         count = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(count.sum()))
-        begin = np.cumsum(count) - count + len(self.ids)
+        begin = (np.cumsum(count) - count + len(self.ids)).astype(np.uint32)
         order = np.argsort(np.concatenate((self.known, h)), kind="stable")
         self.known = np.concatenate((self.known, h))[order]
         self.begin = np.concatenate((self.begin, begin))[order]
-        self.count = np.concatenate((self.count, count))[order]
+        self.count = np.concatenate((self.count, count.astype(np.uint32)))[order]
         self.ids = np.concatenate((self.ids, flat))
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ class Encoder:
             new = where[~there]
             self._learn(distinct[~there], [raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at, _ = self._find(distinct)
-        begin, count = self.begin[at][back], self.count[at][back]
+        begin, count = self.begin[at][back].astype(np.int64), self.count[at][back].astype(np.int64)
         done = np.cumsum(count)
         ids = self.ids[np.repeat(begin - (done - count), count) + np.arange(done[-1] if len(done) else 0)]
         sizes = np.bincount(text, weights=count, minlength=len(told)).astype(np.int64)
@@ -289,6 +289,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     A row's ids are those of its whole text (null: of the empty text) and END_ID.
     Rows of equal id follow each other by text.  An empty table writes no segment.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_encode(tokenizer), SEGMENTS).write.option("compression", "zstd").parquet(path)
