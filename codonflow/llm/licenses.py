@@ -1,10 +1,10 @@
-"""License scan by a positional index of rare licence words.
+"""License scan by a positional index of licence words.
 
-Every template is a short notice.  The document frequencies of all template words
-are counted over the whole corpus; a file is looked up by those of its words that
-are licence words of the highest IDF, their template postings are intersected by
-relative position, and a template counts only if its mandatory phrase stands
-in the file.
+Every template is a short notice, and counts only if its mandatory phrase stands in
+the file.  The document frequencies of all template words are counted over the whole
+corpus; a template is looked up by the word of its phrase that has the highest IDF, so
+that common words bring up few templates and none is missed.  Then the
+postings of all its words are intersected by relative position.
 """
 
 from __future__ import annotations
@@ -43,12 +43,11 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Params:
-    rare_words: int = 16  # distinct licence words, those of the highest IDF, by which a file is looked up
     least_share: float = 0.5  # of a template's words that must stand at their relative positions
 
 
 class Index:
-    """Licence words by hash: postings (template, position) and IDF."""
+    """Licence words by hash: positions in each template, IDF, and the templates that each word brings up."""
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         h = lambda text: [words.word_hash(w.encode()) for w in text.split()]
@@ -56,16 +55,17 @@ class Index:
         self.bodies = [h(t[1]) for t in templates]
         self.keys = [np.array(h(t[2]), np.uint64) for t in templates]
         self.phrases = [(label, np.array(h(p), np.uint64)) for p, label in phrases]
-        self.vocabulary = np.array(sorted({x for b in self.bodies for x in b}), np.uint64)
-        place = {x: k for k, x in enumerate(self.vocabulary.tolist())}
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in place]
-        for t, body in enumerate(self.bodies):
-            for q, x in enumerate(body):
-                self.postings[place[x]].append((t, q))
-        self.idf = np.zeros(len(place))
+        self.vocabulary = np.array(sorted({x for b in (*self.bodies, *(k.tolist() for k in self.keys)) for x in b}), np.uint64)
+        self.place = {x: k for k, x in enumerate(self.vocabulary.tolist())}
+        self.postings: list[list[tuple[int, int]]] = [[(self.place[x], q) for q, x in enumerate(body)] for body in self.bodies]
+        self.weigh({}, 0)
 
     def weigh(self, counts: dict[int, int], n: int) -> None:
         self.idf = np.array([math.log((n + 1) / (counts.get(k, 0) + 0.5)) for k in range(len(self.vocabulary))])
+        self.brings: list[list[int]] = [[] for _ in self.vocabulary]
+        for t, key in enumerate(self.keys):
+            if len(key) and self.bodies[t]:
+                self.brings[max((self.place[x] for x in key.tolist()), key=lambda k: (self.idf[k], -k))].append(t)
 
 
 def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -94,14 +94,10 @@ def _known(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pos, at[pos]
 
 
-def _standing(h: np.ndarray, body: list[int], begins: np.ndarray) -> float:
-    """The largest share of a template's words that stand in place, if it begins at one of begins."""
-    hits = np.zeros(len(begins), np.int64)
-    for q, x in enumerate(body):
-        at = begins + q
-        inside = (at >= 0) & (at < len(h))
-        hits[inside] += h[at[inside]] == np.uint64(x)
-    return float(hits.max() / len(body))
+def _standing(pos: np.ndarray, which: np.ndarray, postings: list[tuple[int, int]]) -> float:
+    """The largest share of a template's words that stand in place, wherever it begins."""
+    begins = np.concatenate([pos[which == k] - q for k, q in postings])
+    return float(np.unique(begins, return_counts=True)[1].max() / len(postings)) if len(begins) else 0.0
 
 
 def _count(index: Index):
@@ -128,18 +124,13 @@ def scan_words(h: np.ndarray, index: Index, params: Params) -> tuple[int, int |
             first = int(at[0]) if first is None else min(first, int(at[0]))
             last = int(at[-1]) if last is None else max(last, int(at[-1]))
     labels, score = set(base), float(bool(base))
-    if len(pos):
-        rare = sorted(set(which.tolist()), key=lambda k: (-index.idf[k], k))[: params.rare_words]
-        hit = {t for k in rare for t, _ in index.postings[k]}
-        for t in sorted(hit):
-            if not len(_places(h, index.keys[t])):
-                continue
-            offsets = [pos[which == k] - q for k in rare for x, q in index.postings[k] if x == t]
-            begin, votes = np.unique(np.concatenate(offsets), return_counts=True)
-            share = _standing(h, index.bodies[t], begin[votes == votes.max()])
-            if share >= params.least_share:
-                labels.add(index.labels[t])
-                score = max(score, share)
+    for t in sorted(t for k in np.unique(which).tolist() for t in index.brings[k]):
+        if not len(_places(h, index.keys[t])):
+            continue
+        share = _standing(pos, which, index.postings[t])
+        if share >= params.least_share:
+            labels.add(index.labels[t])
+            score = max(score, share)
     return count, first, last, base, labels, score
 
 

@@ -454,3 +454,27 @@ def test_templates_need_their_phrase_and_place(spark):
     rows = [(1, "Some code.\nReleased under the MIT License.\nx"), (2, "released license the under"), (3, "This work is licensed under the GNU General Public License, version 3."), (4, "mit license"), (5, "Licensed under CC BY-NC 4.0.")]
     got = {r.doc_id: r.labels for r in L.scan_licenses(docs(spark, rows)).collect()}
     assert got == {1: "mit", 2: "", 3: "gpl,gpl-3.0", 4: "", 5: "cc-by,cc-by-nc"}
+
+
+def test_several_notices_in_one_file(spark):
+    rng = random.Random(4)
+    bodies = [t[1] for t in L.TEMPLATES]
+    rows = [(0, " ".join(bodies)), (1, ". ".join((bodies[2], bodies[11], bodies[0]))), (2, ". ".join((bodies[2], bodies[11], bodies[8])))]
+    for k in range(3, 120):
+        words_of = " x. ".join(rng.choice(bodies) for _ in range(rng.randint(1, 6))).split()
+        rows.append((k, " ".join(w for w in words_of if rng.random() < 0.93)))
+
+    def labels(text):
+        w, found, score = re.findall(r"[0-9a-z]+", text), {x for p, x in L.PHRASES if f" {p} " in f" {' '.join(re.findall('[0-9a-z]+', text))} "}, 0.0
+        score = float(bool(found))
+        for label, body, phrase in L.TEMPLATES:
+            b = body.split()
+            share = max(sum(0 <= a + q < len(w) and w[a + q] == x for q, x in enumerate(b)) for a in range(-len(b), len(w))) / len(b)
+            if f" {phrase} " in f" {' '.join(w)} " and share >= 0.5:
+                found.add(label)
+                score = max(score, share)
+        return ",".join(sorted(found)), score
+
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {k: labels(t) for k, t in rows}
+    assert "apache-2.0" in got[1][0] and "gpl-3.0" in got[2][0]
