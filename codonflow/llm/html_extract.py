@@ -4,7 +4,8 @@ Pages of a host are parsed into trees in which siblings of one signature (tag an
 class or id) are one repeated node, and aligned by simple tree matching into one
 template per host: first inside every task, then by merging the tasks' templates,
 which are small however many pages a host has.  Every node of a template counts its
-pages, its text and link text, and keeps a summary of its frequent texts.
+pages, its text and link text.  A slot is the path of signatures to a node; the pages
+that have a text in a slot are counted exactly, over all pages of the host.
 Constant texts become template; varying slots become content, unless their element
 says that they are a menu, an advert, a form or the like, or they are mostly links.
 """
@@ -51,7 +52,6 @@ class Params:
     least_pages: int = 4  # of a host, before a text can be constant
     constant_share: float = 0.9  # of a host's pages that have a constant text
     link_share: float = 0.6  # of a slot's text that is links, from which on it is a menu
-    texts: int = 32  # frequent texts that a slot keeps (Misra-Gries: all with more than 1/33 of its texts)
     broadcast_bytes: int = 32 << 20  # templates up to which they are broadcast; a join by host beyond
     salts: int = 16
 
@@ -176,12 +176,22 @@ class Page:
     def shape(self) -> tuple:
         return tuple((p, s) for p, s, _, _ in self.nodes)
 
+    def placed_texts(self) -> list[int]:
+        """A hash of slot and text for each block."""
+        slots = [0] * len(self.nodes)
+        for k, (parent, key, _, _) in enumerate(self.nodes[1:], 1):
+            slots[k] = xxhash.xxh3_64_intdigest(key, slots[parent])
+        return [xxhash.xxh3_64_intdigest(text, slots[node]) >> 1 for node, text, _ in self.blocks]
+
 
 class Template:
-    """Aligned tree of a host.  A node: [signature, main, children, pages, characters, link characters, {text hash: pages}]."""
+    """Aligned tree of a host.  A node: [signature, main, children, pages, characters, link characters].
+
+    ``texts`` has no effect: templates keep no texts.
+    """
 
     def __init__(self, tree: list | None = None, pages: int = 0):
-        self.tree, self.pages = tree or ["", False, [], 0, 0, 0, {}], pages
+        self.tree, self.pages = tree or ["", False, [], 0, 0, 0], pages
         self._places: dict[tuple, list[list]] = {}
 
     def align(self, page: Page, grow: bool) -> list[list | None]:
@@ -193,59 +203,37 @@ class Template:
                 self._places.clear()
             tree = _tree(page, 0)
             found = [None] * len(page.nodes)
-            _align(self.tree, tree, grow, lambda mine, theirs: found.__setitem__(theirs[7], mine))
+            _align(self.tree, tree, grow, lambda mine, theirs: found.__setitem__(theirs[6], mine))
             self._places[shape] = found
         return found
 
-    def add(self, page: Page, texts: int) -> None:
+    def add(self, page: Page, texts: int = 0) -> None:
         self.pages += 1
         places = self.align(page, True)
-        seen: dict[tuple[int, int], None] = {}
         for node, text, links in page.blocks:
             mine = places[node]
             mine[4] += len(text)
             mine[5] += links
-            seen[node, xxhash.xxh3_64_intdigest(text) >> 1] = None
-        counted = set()
-        for node, h in seen:
-            if node not in counted:
-                counted.add(node)
-                places[node][3] += 1
-            mine = places[node][6]
-            mine[h] = mine.get(h, 0) + 1
-            if len(mine) > 4 * texts:
-                _thin(mine, texts)
-
-    def merge(self, other: Template, texts: int) -> None:
+        for node in {n for n, _, _ in page.blocks}:
+            places[node][3] += 1
+
+    def merge(self, other: Template, texts: int = 0) -> None:
         self.pages += other.pages
         self._places.clear()
 
         def both(mine: list, theirs: list) -> None:
             for k in (3, 4, 5):
                 mine[k] += theirs[k]
-            for h, c in theirs[6].items():
-                mine[6][h] = mine[6].get(h, 0) + c
-            if len(mine[6]) > texts:
-                _thin(mine[6], texts)
 
         _align(self.tree, other.tree, True, both)
 
-    def dump(self, texts: int) -> str:
-        def thinned(node: list) -> list:
-            kept = dict(node[6])
-            if len(kept) > texts:
-                _thin(kept, texts)
-            return [node[0], node[1], [thinned(c) for c in node[2]], *node[3:6], sorted(kept.items())]
-
-        return json.dumps([self.pages, thinned(self.tree)], ensure_ascii=False, separators=(",", ":"))
+    def dump(self, texts: int = 0) -> str:
+        return json.dumps([self.pages, self.tree], ensure_ascii=False, separators=(",", ":"))
 
     @staticmethod
     def load(text: str) -> Template:
-        def node(x: list) -> list:
-            return [x[0], x[1], [node(c) for c in x[2]], *x[3:6], dict(map(tuple, x[6]))]
-
         pages, tree = json.loads(text)
-        return Template(node(tree), pages)
+        return Template(tree, pages)
 
 
 def _thin(counts: dict[int, int], most: int) -> None:
@@ -259,7 +247,7 @@ def _thin(counts: dict[int, int], most: int) -> None:
 
 def _tree(page: Page, node: int) -> list:
     _, key, _, main = page.nodes[node]
-    return [key, main, [_tree(page, c) for c in page.children[node].values()], 0, 0, 0, {}, node]
+    return [key, main, [_tree(page, c) for c in page.children[node].values()], 0, 0, 0, node]
 
 
 def _matching(a: list, b: list, memo: dict) -> int:
@@ -306,25 +294,25 @@ def _align(mine: list, theirs: list, grow: bool, met, memo: dict | None = None)
             # one node a signature among siblings, also where the order differs
             x = next((c for c in mine[2] if c[0] == y[0]), None)
             if x is None:
-                x = [y[0], y[1], [], 0, 0, 0, {}]
+                x = [y[0], y[1], [], 0, 0, 0]
                 mine[2].insert(last, x)
         if x is not None:
             last = next(k for k, c in enumerate(mine[2]) if c is x) + 1
             _align(x, y, grow, met, memo)
 
 
-def page_text(page: Page, template: Template, params: Params) -> str:
+def page_text(page: Page, template: Template, params: Params, constant: frozenset[int] = frozenset()) -> str:
+    """constant: the placed texts that the page's host has everywhere."""
     places = template.align(page, False)
+    placed = page.placed_texts() if constant else [0] * len(page.blocks)
     inside = any(page.nodes[n][3] for n, _, _ in page.blocks)
     kept = []
-    for node, text, links in page.blocks:
+    for (node, text, links), at in zip(page.blocks, placed, strict=True):
         _, _, dead, main = page.nodes[node]
-        if dead or inside and not main:
+        if dead or inside and not main or at in constant:
             continue
         slot = places[node]
         if slot is not None:
-            if template.pages >= params.least_pages and slot[6].get(xxhash.xxh3_64_intdigest(text) >> 1, 0) >= params.constant_share * template.pages:
-                continue
             if not main and slot[5] >= params.link_share * max(1, slot[4]):
                 continue
         elif not main and links >= params.link_share * len(text):
@@ -333,18 +321,18 @@ def page_text(page: Page, template: Template, params: Params) -> str:
     return "\n".join(kept)
 
 
-def _induce(params: Params):
+def _induce():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates: dict[str, Template] = {}
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(templates)), pa.array([t.dump(params.texts) for t in templates.values()])], ["host", "template"])
+            return pa.RecordBatch.from_arrays([pa.array(list(templates)), pa.array([t.dump() for t in templates.values()])], ["host", "template"])
 
         for b in batches:
             for k in range(len(b)):
                 html = b.column(1)[k].as_py()
                 if html:
-                    templates.setdefault(b.column(0)[k].as_py(), Template()).add(Page(html), params.texts)
+                    templates.setdefault(b.column(0)[k].as_py(), Template()).add(Page(html))
             if len(templates) > 2000:
                 yield made()
                 templates.clear()
@@ -354,35 +342,58 @@ def _induce(params: Params):
     return run
 
 
-def _merge(params: Params):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = Template()
-        for text in sorted(rows["template"]):
-            whole.merge(Template.load(text), params.texts)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [whole.dump(params.texts)]})
-
-    return run
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    whole = Template()
+    for text in sorted(rows["template"]):
+        whole.merge(Template.load(text))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "template": [whole.dump()]})
 
 
 def induce(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """(host, template) of pages(host, html): one row per host with any html."""
-    each = pages.select("host", "html").mapInArrow(_induce(params), "host string, template string")
+    each = pages.select("host", "html").mapInArrow(_induce(), "host string, template string")
     salted = each.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(params.salts)))
     schema = "host string, template string"
-    some = salted.groupBy("host", "salt").applyInPandas(_merge(params), schema)
-    return cut(some.groupBy("host").applyInPandas(_merge(params), schema))
+    some = salted.groupBy("host", "salt").applyInPandas(_merge, schema)
+    return cut(some.groupBy("host").applyInPandas(_merge, schema))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, items) of every page: its distinct placed texts, and -1 for the page itself."""
+    for b in batches:
+        hosts, items = [], []
+        for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if html := html.as_py():
+                hosts.append(host)
+                items.append([-1, *dict.fromkeys(Page(html).placed_texts())])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(items, pa.list_(pa.int64()))], ["host", "items"])
+
+
+def constants(pages: DataFrame, params: Params = Params()) -> DataFrame:
+    """(host, constant array<long>) of pages(host, html): the placed texts of each host that has any on enough of its pages.
+
+    All pages are counted; how they are dealt to tasks makes no difference.
+    """
+    each = pages.select("host", "html").mapInArrow(_placed, "host string, items array<long>")
+    counts = each.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count("*").alias("c"))
+    # a constant text has this many at least: the rest, nearly all, needs no join
+    counts = cut(counts.where((F.col("item") == -1) | (F.col("c") >= params.constant_share * params.least_pages)))
+    whole = counts.where((F.col("item") == -1) & (F.col("c") >= params.least_pages)).select("host", F.col("c").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt"))
+    often = counts.where("item <> -1").withColumn("salt", F.pmod("item", F.lit(params.salts)).cast("int"))
+    often = often.join(whole, ["host", "salt"]).where(F.col("c") >= F.col("n") * params.constant_share)
+    return often.groupBy("host").agg(F.collect_list("item").alias("constant"))
 
 
-def _extract(params: Params, given: dict[str, str] | None):
-    """given: all templates, or None where each row carries its own."""
-    loaded: dict[str, Template] = {}
+def _extract(params: Params, given: dict[str, tuple[str, list[int]]] | None):
+    """given: all templates and constant texts, or None where each row carries its own."""
+    loaded: dict[str, tuple[Template, frozenset[int]]] = {}
 
-    def template(host: str, own: str | None) -> Template:
+    def of_host(host: str, own: tuple[str | None, list[int] | None]) -> tuple[Template, frozenset[int]]:
         if host not in loaded:
             if len(loaded) > 500:
                 loaded.clear()
-            text = own if given is None else given.value.get(host)
-            loaded[host] = Template.load(text) if text else Template()
+            text, constant = own if given is None else given.value.get(host, (None, None))
+            loaded[host] = Template.load(text) if text else Template(), frozenset(constant or ())
         return loaded[host]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +401,9 @@ def _extract(params: Params, given: dict[str, str] | None):
             texts = []
             for k in range(len(b)):
                 host, html = b.column(2)[k].as_py(), b.column(3)[k].as_py()
-                own = b.column(4)[k].as_py() if given is None else None
-                texts.append(page_text(Page(html), template(host, own), params) if html else "")
+                own = (b.column(4)[k].as_py(), b.column(5)[k].as_py()) if given is None and host not in loaded else (None, None)
+                template, constant = of_host(host, own)
+                texts.append(page_text(Page(html), template, params, constant) if html else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -409,10 +421,10 @@ def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     small_batches(pages.sparkSession)
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", host_path()[0].alias("host"), F.col("html").cast("string").alias("html"))
-    templates = induce(rows, params)
+    templates = cut(induce(rows, params).join(constants(rows, params), "host", "left"))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    size = templates.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")), F.lit(0))).first()[0]
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host") + 8 * F.coalesce(F.array_size("constant"), F.lit(0))), F.lit(0))).first()[0]
     if size <= params.broadcast_bytes:
-        given = spark.sparkContext.broadcast({r.host: r.template for r in templates.collect()})
+        given = spark.sparkContext.broadcast({r.host: (r.template, r.constant) for r in templates.collect()})
         return rows.mapInArrow(_extract(params, given), schema)
-    return rows.join(templates, "host", "left").select("page_id", "url", "host", "html", "template").mapInArrow(_extract(params, None), schema)
+    return rows.join(templates, "host", "left").select("page_id", "url", "host", "html", "template", "constant").mapInArrow(_extract(params, None), schema)

@@ -136,6 +136,21 @@ def test_constant_slots_become_template(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pages,each,tasks", [(400, 15, 1), (120, 40, 3), (100, 5, 50), (6, 8, 2)])
+def test_constant_texts_are_counted_exactly(spark, pages, each, tasks):
+    """Notices on all, on 90 % and on fewer pages of a host, in one slot with many other texts."""
+    few = -(-pages * 9 // 10)
+
+    def page(k):
+        texts = [f"story {k} {j}" for j in range(each)]
+        notices = ["Everywhere"] + ["Nearly"] * (k < few) + ["Less"] * (k < few - 1)
+        return "<article>" + "".join(f"<p>{t}</p>" for t in (*texts[: each // 2], *notices, *texts[each // 2 :])) + "</article>", "\n".join((*texts[: each // 2], *["Less"] * (k < few - 1), *texts[each // 2 :]))
+
+    rows = [(k, f"http://h.example/{k}", page(k)[0]) for k in range(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(tasks)
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {k: page(k)[1] for k in range(pages)}
+
+
 def test_deep_and_broken_pages():
     deep = "<article>" + "".join(f"<div class=c{chr(97 + k % 26)}><b>" for k in range(3000)) + "text<nav>no</nav>" + "</div>" * 10
     t = H.Template()
