@@ -5,7 +5,8 @@ class or id) are one repeated node, and aligned by simple tree matching into one
 template per host: first inside every task, then by merging the tasks' templates,
 which are small however many pages a host has.  Every node of a template counts its
 pages, its text and link text.  A slot is the path of signatures to a node; the pages
-that have a text in a slot are counted exactly, over all pages of the host.
+that have a text in a slot are counted exactly, over all pages of the host, pages of
+the same texts once.
 Constant texts become template; varying slots become content, unless their element
 says that they are a menu, an advert, a form or the like, or they are mostly links.
 """
@@ -49,8 +50,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 @dataclass(frozen=True)
 class Params:
-    least_pages: int = 4  # of a host, before a text can be constant
-    constant_share: float = 0.9  # of a host's pages that have a constant text
+    least_pages: int = 4  # of a host, all of other texts, before a text can be constant
+    constant_share: float = 0.9  # of these pages that have a constant text
     link_share: float = 0.6  # of a slot's text that is links, from which on it is a menu
     broadcast_bytes: int = 32 << 20  # templates up to which they are broadcast; a join by host beyond
     salts: int = 16
@@ -359,22 +360,26 @@ def induce(pages: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, items) of every page: its distinct placed texts, and -1 for the page itself."""
+    """(host, content, items) of every page: a hash of its texts; its distinct placed texts, and -1 for the page itself."""
     for b in batches:
-        hosts, items = [], []
+        hosts, contents, items = [], [], []
         for host, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if html := html.as_py():
+                page = Page(html)
                 hosts.append(host)
-                items.append([-1, *dict.fromkeys(Page(html).placed_texts())])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(items, pa.list_(pa.int64()))], ["host", "items"])
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(text for _, text, _ in page.blocks)) >> 1)
+                items.append([-1, *dict.fromkeys(page.placed_texts())])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["host", "content", "items"])
 
 
 def constants(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """(host, constant array<long>) of pages(host, html): the placed texts of each host that has any on enough of its pages.
 
-    All pages are counted; how they are dealt to tasks makes no difference.
+    All pages are counted, and those with the same texts once, so that copies of one page
+    have no constant texts; how pages are dealt to tasks makes no difference.
     """
-    each = pages.select("host", "html").mapInArrow(_placed, "host string, items array<long>")
+    each = pages.select("host", "html").mapInArrow(_placed, "host string, content long, items array<long>")
+    each = each.groupBy("host", "content").agg(F.min("items").alias("items"))
     counts = each.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count("*").alias("c"))
     # a constant text has this many at least: the rest, nearly all, needs no join
     counts = cut(counts.where((F.col("item") == -1) | (F.col("c") >= params.constant_share * params.least_pages)))
@@ -415,7 +420,7 @@ def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     Blocks of the main text in page order, joined by a line feed; white space in a
     block is one space, character references are decoded.  Null or empty html: empty
     text.  A null url, or one without ``://``, belongs to the host ''.  A host of fewer
-    than ``least_pages`` pages has no constant texts.  Repeated rows are returned
+    than ``least_pages`` pages of different texts has no constant texts.  Repeated rows are returned
     each; an empty table gives no rows; other columns are ignored.
     """
     small_batches(pages.sparkSession)

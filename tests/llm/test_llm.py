@@ -151,6 +151,17 @@ def test_constant_texts_are_counted_exactly(spark, pages, each, tasks):
     assert {r.page_id: r.text for r in H.extract(df).collect()} == {k: page(k)[1] for k in range(pages)}
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = lambda body, ref: f"<html><body><article><h1>Head {body}</h1><p>Text of {body}</p><a href='?page=2&ref={ref}'>more</a></article></body></html>"
+    rows = [(k, f"http://mirror.example/a?ref={k}", page("a", k)) for k in range(40)]
+    rows += [(100 + k, "http://same.example/a", page("b", 0)) for k in range(5)]
+    rows += [(200 + k, f"http://mixed.example/{k}", page("c" if k < 50 else k, k)) for k in range(53)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[k] == "Head a\nText of a\nmore" for k in range(40)) and all(got[k] == "Head b\nText of b\nmore" for k in range(100, 105))
+    assert all(got[200 + k] == (f"Head {b}\nText of {b}") for k in range(53) for b in ["c" if k < 50 else k])
+
+
 def test_deep_and_broken_pages():
     deep = "<article>" + "".join(f"<div class=c{chr(97 + k % 26)}><b>" for k in range(3000)) + "text<nav>no</nav>" + "</div>" * 10
     t = H.Template()
