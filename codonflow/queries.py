@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -137,6 +137,14 @@ def stitched_blocks(spark, sf):
     return A.stitched(_pieces(spark, sf)).select("start", F.col("seqs")[0].alias("ref"), F.col("own").cast("long").alias("own"))
 
 
+def _whole_blocks(spark, sf) -> DataFrame:
+    """All alignments as blocks of their own length, a hundred on a chromosome; those of every sixteenth leave 60 bases free before them."""
+    order = Window.partitionBy("chrom").orderBy("aln_id")
+    rows = X.msa(spark, sf).withColumn("chrom", F.concat(F.lit("c"), F.floor(F.col("aln_id") / 100).cast("string"))).withColumn("size", F.length(F.col("seqs")[0]))
+    end = F.sum(F.col("size") + F.when(F.col("aln_id") % 16 == 0, 60).otherwise(0)).over(order)
+    return rows.select(F.lit("f").alias("file"), F.col("aln_id").alias("block_id"), "chrom", (end - F.col("size") + 1).alias("start"), F.lit("+").alias("strand"), F.lit(10_000_000).cast("long").alias("chrom_len"), "seqs")
+
+
 # --- likelihoods (M5-M14)
 def _alignments(spark, sf, leaves: int = 4) -> DataFrame:
     return X.msa(spark, sf).select("aln_id", F.slice("seqs", 1, leaves).alias("seqs"))
@@ -175,20 +183,16 @@ def score_codon_columns(spark, sf):
     return rows.select((ids(0) * 65 + ids(1)).cast("long").alias("pair"), "score").groupBy("pair").agg(F.count("*").alias("n"), (F.round(F.first("score"), 6) + 0.0).alias("score"))
 
 
-def _few(spark, sf) -> DataFrame:
-    return _alignments(spark, sf).select("aln_id", F.transform("seqs", lambda s: F.substring(s, 1, 60)).alias("seqs")).where("length(seqs[0]) = 60")
-
-
 @query()
 def score_msa_mle(spark, sf):
-    """Maximum-likelihood tree scales over the first 20 codons of each alignment (a fit an alignment)."""
-    return C.score_alignments(_few(spark, sf), MODEL, "MLE", True).select("aln_id", F.round("phylo", 3).alias("phylo"), F.round("anc", 3).alias("anc"))
+    """Maximum-likelihood tree scales over each alignment (a fit an alignment)."""
+    return C.score_alignments(_alignments(spark, sf), MODEL, "MLE", True).select("aln_id", F.round("phylo", 3).alias("phylo"), F.round("anc", 3).alias("anc"))
 
 
 @query()
 def score_msa_omega(spark, sf):
-    """Mechanistic fits over the first 20 codons of each alignment."""
-    return C.score_alignments(_few(spark, sf), MODEL, "OMEGA").select("aln_id", F.round("phylo", 2).alias("phylo"))
+    """Mechanistic fits over each alignment."""
+    return C.score_alignments(_alignments(spark, sf), MODEL, "OMEGA").select("aln_id", F.round("phylo", 2).alias("phylo"))
 
 
 def _bls_sql() -> str:
@@ -214,12 +218,12 @@ def codon_base_counts(spark, sf):
 @query()
 def build_raw_tracks(spark, sf):
     """Six frames of codon scores of stitched blocks, with enough power."""
-    return T.raw_tracks(A.stitched(_pieces(spark, sf)), MODEL).select("chrom", "frame", "pos", F.round("score", 4).alias("score"), F.round("power", 6).alias("power"))
+    return T.raw_tracks(A.stitched(_whole_blocks(spark, sf)), MODEL).select("chrom", "frame", "pos", F.round("score", 4).alias("score"), F.round("power", 6).alias("power"))
 
 
 @query()
 def build_power_track(spark, sf):
-    s = A.stitched(_pieces(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
+    s = A.stitched(_whole_blocks(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
     return T.power_track(C.score_bases(s, MODEL)).select("chrom", "pos", F.round("power", 6).alias("power"))
 
 

@@ -2,12 +2,17 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codonflow import fixtures as X
 from codonflow import queries as core
+from codonflow.model import fit
+from codonflow.operators.alignments import columns_of
+from codonflow.operators.scoring import branch_scores
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -45,3 +50,48 @@ def test_entry_has_all_queries(spark):
     names = entry.queries()
     assert set(core.QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).columns == ["aln_id", "phylo", "anc", "bls"]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Documents of bases, also fewer than 60 and none."""
+    rng = random.Random(5)
+    folder = str(tmp_path_factory.mktemp("small"))
+    rows = [(k, "".join(rng.choice("ACGT") for _ in range((0, 30, 61, 100, 7, 240)[k // 4 % 6]))) for k in range(40)]
+    rows = [(k, text if k % 4 == 0 else "".join(c if rng.random() < 0.9 else rng.choice("ACGT") for c in rows[k // 4 * 4][1])) for k, text in rows]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def placed(spark, sf):
+    """(chrom, start, seqs) of the blocks, one after the other."""
+    ends, out = {}, []
+    for r in sorted(X.msa(spark, sf).collect(), key=lambda r: r.aln_id):
+        chrom = f"c{r.aln_id // 100}"
+        start = ends.get(chrom, 1) + 60 * (r.aln_id % 16 == 0)
+        ends[chrom] = start + len(r.seqs[0])
+        out.append((chrom, start, r.seqs))
+    return out
+
+
+def test_power_of_all_bases(spark, small):
+    bases = {(c, a + k): v for c, a, seqs in placed(spark, small) if seqs[0] for k, v in enumerate(branch_scores(core.MODEL.tree, seqs))}
+    power = {(c, p): sum(bases[c, p + j] for j in range(3)) / 3 for c, p in bases if p % 3 == 0 and (c, p + 1) in bases and (c, p + 2) in bases}
+    got = {(r.chrom, r.pos): r.power for r in core.QUERIES["build_power_track"](spark, small).collect()}
+    assert got.keys() == power.keys() and all(abs(got[k] - power[k]) < 2e-6 for k in got)
+
+
+def test_raw_tracks_of_all_bases(spark, small):
+    bases = {(c, a + k): v for c, a, seqs in placed(spark, small) if seqs[0] for k, v in enumerate(branch_scores(core.MODEL.tree, seqs))}
+    places = {(c, p) for c, p in bases if (c, p + 1) in bases and (c, p + 2) in bases and sum(bases[c, p + j] for j in range(3)) >= 0.3}
+    rows = core.QUERIES["build_raw_tracks"](spark, small).collect()
+    for way in "+-":
+        assert sorted((r.chrom, r.pos) for r in rows if r.frame[0] == way) == sorted(places)
+
+
+def test_fits_of_whole_alignments(spark, small):
+    seqs = {r.aln_id: r.seqs for r in X.msa(spark, small).collect()}
+    got = {r.aln_id: r.phylo for r in core.QUERIES["score_msa_mle"](spark, small).collect()}
+    assert got.keys() == seqs.keys()
+    for k in (2, 5):
+        assert abs(got[k] - fit.mle(core.MODEL.tree, core.MODEL.coding, core.MODEL.noncoding, columns_of(seqs[k]), 42)[0]) < 1e-3
