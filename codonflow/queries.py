@@ -278,8 +278,13 @@ def score_msa_fixed_mean(spark, sf):
 
 
 # --- HMM parameters (W2, W3, A8-A10)
+def _all_exons(spark, sf) -> DataFrame:
+    return X.features(spark, sf).select("chrom", "strand", F.col("phase").cast("string").alias("phase"), F.col("begin").alias("start"), "end")
+
+
 def _exons(spark, sf) -> DataFrame:
-    return X.features(spark, sf).select("chrom", "strand", F.col("phase").cast("string").alias("phase"), F.col("begin").alias("start"), "end").where("start % 7 = 0")
+    """A seventh of the exons, as in the SQL."""
+    return _all_exons(spark, sf).where("start % 7 = 0")
 
 
 _EXONS = f"{X.FEATURE_SQL}, e AS (SELECT chrom, strand, CAST(phase AS VARCHAR) AS phase, \"begin\" AS start, \"end\" FROM f WHERE \"begin\" % 7 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY chrom, strand, phase ORDER BY start, \"end\") AS k FROM e)"
@@ -307,7 +312,7 @@ def exon_total_lengths(spark, sf):
 
 @query()
 def hmm_parameters(spark, sf):
-    p = T.estimate_hmm(_exons(spark, sf), 90_000)
+    p = T.estimate_hmm(_all_exons(spark, sf), 90_000)
     rows = [("coding_prior", p.coding_prior), ("coding_length", p.coding_length), *((f"weight_{k}", w) for k, w in enumerate(p.weights)), *((f"length_{k}", x) for k, x in enumerate(p.lengths))]
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in rows], "name string, value double")
 

@@ -95,3 +95,21 @@ def test_fits_of_whole_alignments(spark, small):
     assert got.keys() == seqs.keys()
     for k in (2, 5):
         assert abs(got[k] - fit.mle(core.MODEL.tree, core.MODEL.coding, core.MODEL.noncoding, columns_of(seqs[k]), 42)[0]) < 1e-3
+
+
+def test_hmm_parameters_of_all_exons(spark, sf):
+    groups = {}
+    for r in X.features(spark, sf).collect():
+        groups.setdefault((r.chrom, r.strand, r.phase), []).append((r.begin, r.end))
+    kept = []
+    for exons in groups.values():
+        own = []
+        for a, z in sorted(exons):
+            if own and own[-1][1] >= a:
+                own[-1] = (a, z) if z - a > own[-1][1] - own[-1][0] else own[-1]
+            else:
+                own.append((a, z))
+        kept += own
+    bases = sum(z - a + 1 for a, z in kept)
+    got = {r.name: r.value for r in core.QUERIES["hmm_parameters"](spark, sf).collect()}
+    assert math.isclose(got["coding_prior"], bases / 90_000 / 6, abs_tol=1e-6) and math.isclose(got["coding_length"], bases / len(kept) / 3, abs_tol=1e-6)
