@@ -45,6 +45,25 @@ def spliced(exons: DataFrame, genome: DataFrame) -> DataFrame:
     return groups.select("file", "tx_no", "chrom", "strand", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("seq"))
 
 
+def spliced_pieces(exons: DataFrame, pieces: DataFrame, chunk: int = 1000) -> DataFrame:
+    """The same as ``spliced`` for a genome in pieces(chrom, start, seq), 1-based, that do not overlap, in any number and length.
+
+    Exons meet the pieces in chunks of a chromosome, so that no row holds more of it than a
+    piece or an exon.  Of an exon that reaches beyond the genome the bases inside it count.
+    """
+    chunks = lambda a, z: F.explode(F.sequence(F.floor((F.col(a) - 1) / chunk), F.floor((F.col(z) - 1) / chunk)))
+    known = exons.where(F.col("strand").isin("+", "-")).join(pieces.select("chrom").distinct(), "chrom", "left_semi").select("file", "tx_no", "chrom", "strand", "begin", "end")
+    parts = pieces.where(F.length("seq") > 0).withColumn("stop", F.col("start") + F.length("seq") - 1).withColumn("chunk", chunks("start", "stop"))
+    low, high = F.greatest("start", F.col("chunk") * chunk + 1), F.least("stop", (F.col("chunk") + 1) * chunk)
+    parts = parts.select("chrom", "chunk", low.alias("at"), F.upper(F.substring(F.col("seq"), (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int"))).alias("part"))
+    rows = known.withColumn("chunk", chunks("begin", "end")).join(parts, ["chrom", "chunk"], "left")
+    skip = F.greatest(F.col("begin") - F.col("at"), F.lit(0))
+    own = F.when(F.col("at") <= F.col("end"), F.substring(F.col("part"), (skip + 1).cast("int"), (F.col("end") - F.col("at") - skip + 1).cast("int")))
+    rows = rows.select("file", "tx_no", "chrom", "strand", "begin", "at", F.coalesce(own, F.lit("")).alias("part"))
+    groups = rows.groupBy("file", "tx_no", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("begin", "at", "part"))).alias("all"))
+    return groups.select("file", "tx_no", "chrom", "strand", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("seq"))
+
+
 def find_orfs(transcripts: DataFrame, min_codons: int = 25) -> DataFrame:
     """(file, tx_no, strand, orf_begin, orf_end) of transcripts(file, tx_no, strand, seq), half-open from 0 on seq."""
 

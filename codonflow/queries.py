@@ -391,13 +391,19 @@ def coding_phases(spark, sf):
     return O.with_phases(X.features(spark, sf).drop("phase"), ["file", "tx_no"]).select("line_no", "phase")
 
 
+def _genome(spark, sf) -> DataFrame:
+    """(chrom, start, seq): every document whole, one after the other on three chromosomes; starts by running sums in and over groups of documents."""
+    t = X.dna(spark, sf).select(F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("doc_id") % 3).cast("int") + 1).alias("chrom"), "doc_id", F.floor(F.col("doc_id") / 3000).alias("part"), F.col("dna").alias("seq"))
+    sums = t.groupBy("chrom", "part").agg(F.sum(F.length("seq")).alias("size"))
+    sums = sums.select("chrom", "part", (F.sum("size").over(Window.partitionBy("chrom").orderBy("part")) - F.col("size")).alias("before"))
+    inside = F.sum(F.length("seq")).over(Window.partitionBy("chrom", "part").orderBy("doc_id")) - F.length("seq")
+    return t.withColumn("inside", inside).join(sums, ["chrom", "part"]).select("chrom", (F.col("before") + F.col("inside") + 1).alias("start"), "seq")
+
+
 def _gene_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exons, a genome made of documents, and the ORFs' parts of transcripts of one or more exons."""
-    t = X.dna(spark, sf).where("length(dna) >= 200").select((F.col("doc_id") % 3).alias("c"), "doc_id", "dna")
-    genome = t.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("dna", 1, 200).alias("s")))), lambda x: x["s"]), "").alias("seq"))
-    genome = genome.select(F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("c").cast("int") + 1).alias("chrom"), "seq")
-    exons = X.features(spark, sf).join(genome.select("chrom", F.length("seq").alias("most")), "chrom").where("end <= most").drop("most")
-    orfs = O.find_orfs(O.spliced(exons, genome), 10)
+    genome, exons = _genome(spark, sf), X.features(spark, sf)
+    orfs = O.find_orfs(O.spliced_pieces(exons, genome), 10)
     return exons, genome, O.orf_exons(orfs, exons)
 
 

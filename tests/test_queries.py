@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from codonflow import fixtures as X
 from codonflow import queries as core
 from codonflow.model import fit
+from codonflow.operators import orfs as O
 from codonflow.operators.alignments import columns_of
 from codonflow.operators.scoring import branch_scores
 
@@ -113,3 +114,30 @@ def test_hmm_parameters_of_all_exons(spark, sf):
     bases = sum(z - a + 1 for a, z in kept)
     got = {r.name: r.value for r in core.QUERIES["hmm_parameters"](spark, sf).collect()}
     assert math.isclose(got["coding_prior"], bases / 90_000 / 6, abs_tol=1e-6) and math.isclose(got["coding_length"], bases / len(kept) / 3, abs_tol=1e-6)
+
+
+def test_genes_over_the_whole_genome(spark, sf):
+    genome = dict.fromkeys("ANR", "")
+    for r in sorted(X.dna(spark, sf).collect(), key=lambda r: r.doc_id):
+        genome["ANR"[r.doc_id % 3]] += r.dna
+    exons, pieces, _ = core._gene_parts(spark, sf)
+    assert exons.count() == X.features(spark, sf).count()
+    rows = pieces.collect()
+    assert sum(len(r.seq) for r in rows) == sum(map(len, genome.values()))
+    assert all(genome[r.chrom][r.start - 1 : r.start - 1 + len(r.seq)] == r.seq for r in rows)
+    expected = {}
+    for r in sorted(exons.collect(), key=lambda r: r.begin):
+        expected[r.tx_no] = expected.get(r.tx_no, "") + genome[r.chrom][r.begin - 1 : r.end]
+    assert {r.tx_no: r.seq for r in O.spliced_pieces(exons, pieces).collect()} == expected
+
+
+def test_splicing_of_pieces(spark):
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(500))
+    cuts = [0, 0, 1, 37, 120, 120, 333, 500]
+    pieces = spark.createDataFrame([("c", a + 1, genome[a:z]) for a, z in zip(cuts, cuts[1:])], "chrom string, start long, seq string")
+    exons = [("f", t, chrom, strand, a, a + rng.randint(0, 90)) for t in range(60) for chrom, strand in [(rng.choice(("c", "c", "c", "x")), rng.choice("+-."))] for a in sorted(rng.sample(range(1, 600, 100), rng.randint(1, 4)))]
+    df = spark.createDataFrame(exons, "file string, tx_no long, chrom string, strand string, begin long, end long")
+    whole = {(r.tx_no, r.strand): r.seq for r in O.spliced(df, spark.createDataFrame([("c", genome)], "chrom string, seq string")).collect()}
+    for chunk in (1, 10, 64, 1000):
+        assert {(r.tx_no, r.strand): r.seq for r in O.spliced_pieces(df, pieces, chunk).collect()} == whole
