@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -141,3 +142,23 @@ def test_splicing_of_pieces(spark):
     whole = {(r.tx_no, r.strand): r.seq for r in O.spliced(df, spark.createDataFrame([("c", genome)], "chrom string, seq string")).collect()}
     for chunk in (1, 10, 64, 1000):
         assert {(r.tx_no, r.strand): r.seq for r in O.spliced_pieces(df, pieces, chunk).collect()} == whole
+
+
+def test_search_of_whole_sequences(spark, tmp_path):
+    rng = random.Random(7)
+    base = "".join(rng.choice("ACGT") for _ in range(400))
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 150))) for _ in range(30)]
+    for k in range(30):
+        a = rng.randint(0, 300)
+        texts[k] += base[a : a + rng.randint(0, 100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = set()
+    for query in range(0, 30, 5):
+        q = texts[query]
+        for genome in (0, 1):
+            votes = Counter((str(t), b - a) for t in range(genome, 30, 2) for a in range(len(q) - 11) for b in range(len(texts[t]) - 11) if q[a : a + 12] == texts[t][b : b + 12])
+            votes = [(-n, t, p) for (t, p), n in votes.items() if n >= 2 and p >= 0]
+            if votes:
+                n, t, p = min(votes)
+                expected.add((query, genome, t, p, -n, texts[int(t)][p : p + len(q)].ljust(len(q), "-")))
+    assert {tuple(r) for r in core.QUERIES["search_sequences"](spark, str(tmp_path)).collect()} == expected
