@@ -32,7 +32,6 @@ class Mining:
     least_count: int = 5
     least_share: float = 0.002
     confidence: float = 0.6
-    most_tokens: int = 2
 
 
 def host_path(url="url"):
@@ -61,6 +60,7 @@ def base_rule(host, path, rules=BASE_RULES):
 def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """rules(ante array<string>, seen, bad): combinations of URL tokens that go with documents of quality 0.
 
+    Combinations have any length; those that hold another rule are left out, as they block nothing more.
     The document of a page is the number that is the last segment of its path, less
     an extension.  Labels that are null teach nothing; of several labels of a
     document one of quality 0 decides.
@@ -76,20 +76,27 @@ def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> Data
     if not n:
         return rows.sparkSession.createDataFrame([], schema)
     least = max(mining.least_count, -(-int(n * mining.least_share * 1000) // 1000))
-    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets
-    sets = cut(sets.where(F.size("items") <= mining.most_tokens + 1))
+    sets = cut(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets)
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("ante"), F.col("freq").alias("bad"))
     seen = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("ante"), F.col("freq").alias("seen"))
-    return cut(bad.join(seen, "ante").where(F.col("bad") >= F.col("seen") * mining.confidence).select("ante", "bad", "seen"))
+    rules = cut(bad.join(seen, "ante").where(F.col("bad") >= F.col("seen") * mining.confidence).select("ante", "bad", "seen"))
+    longer = rules.select("ante", F.explode("ante").alias("token")).join(_by_rarest(rules).withColumnRenamed("ante", "less"), "token")
+    longer = longer.where((F.size("less") < F.size("ante")) & (F.size(F.array_except("less", "ante")) == 0)).select("ante").distinct()
+    return cut(rules.join(longer, "ante", "left_anti"))
+
+
+def _by_rarest(rules: DataFrame) -> DataFrame:
+    """(ante, token): each rule by that of its tokens that the fewest rules have."""
+    each = rules.select("ante", F.explode("ante").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("c"))
+    return each.join(often, "token").groupBy("ante").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
 
 
 def matching(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(url): distinct URLs that hold all tokens of a rule, by an inverted index of each rule's rarest token."""
     if rules.isEmpty():
         return pages.sparkSession.createDataFrame([], "url string")
-    each = rules.select("ante", F.explode("ante").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("c"))
-    index = each.join(often, "token").groupBy("ante").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+    index = _by_rarest(rules)
     urls = pages.where("url is not null").select("url").distinct().select("url", tokens().alias("t"))
     hits = urls.select("url", "t", F.explode("t").alias("token")).join(index, "token")
     return hits.where(F.size(F.array_except("ante", "t")) == 0).select("url").distinct()

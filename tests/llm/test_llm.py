@@ -1,5 +1,6 @@
 """Operators over corpora: against SQL, brute force or round trips, and on odd rows."""
 
+import itertools
 import math
 import os
 import random
@@ -455,6 +456,23 @@ def test_mined_rules(spark):
     assert all(got[k] == (("block", True) if k < 60 and k % 2 else ("allow", False)) for k in range(120))
 
 
+def test_rules_of_any_length(spark):
+    rng = random.Random(8)
+    sets = [[t for t in ("aa", "bb", "cc", "dd", "ee") if rng.random() < 0.5] for _ in range(600)]
+    bad = [{"aa", "bb", "cc"} <= set(s) and rng.random() < 0.9 for s in sets]
+    pages = spark.createDataFrame([(k, f"http://org/{'/'.join([*s, str(k)])}") for k, s in enumerate(sets)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0 if b else 1) for k, b in enumerate(bad)], "doc_id long, quality int")
+    each = [{*s, "org"} for s in sets]
+    every = [set(c) for n in range(1, 7) for c in itertools.combinations(["aa", "bb", "cc", "dd", "ee", "org"], n)]
+    counts = [(c, sum(b for s, b in zip(each, bad, strict=True) if c <= s), sum(c <= s for s in each)) for c in every]
+    passed = [(c, b, n) for c, b, n in counts if b >= 5 and b >= 0.6 * n]
+    assert min(len(c) for c, _, _ in passed) == 3
+    got = {(tuple(r.ante), r.bad, r.seen) for r in U.mine(pages, labels).collect()}
+    assert got == {(tuple(sorted(c)), b, n) for c, b, n in passed if not any(d < c for d, _, _ in passed)}
+    verdicts = {r.page_id: r.learned for r in U.judge(pages, labels).collect()}
+    assert verdicts == {k: any(c <= s for c, _, _ in passed) for k, s in enumerate(each)}
+
+
 # --- op10
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
