@@ -1,156 +1,219 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame functions alone.
 
 A line's tokens are its distinct runs of five words (of fewer words, the one whole
-sequence).  Lines of one token set are one key with its first place.  Tokens are put in
-one order, rare before frequent by counts over all lines; two keys of similar
-lines share a token of their prefixes, which opens a block.  A line goes if any earlier
-line is like it, so a key is settled once one earlier key is found: first the
-earliest key of each of its blocks is tried, and only keys that it does not settle
-meet the others, by the size filter and the number of prefix tokens shared, which
-bounds what can follow.  Blocks with many such pairs are compared on whole sets.
-All pairs are verified on all their tokens.
-
-A form in DataFrame functions alone took three times the CPU seconds that were to be
-met (README), so tokens are made by numpy on Arrow batches.
+sequence).  Lines of equal text are one line with its first place; the others go at once.
+
+Order of tokens: those in the prefixes of few lines before frequent ones, these by their
+count; among the others by the hash of the first word, then by their own.  So the prefix of
+a line follows from the hashes of its words, and only runs inside the prefix are
+made.  Lines of which a prefix token is frequent get their prefix anew, with the counts.
+Two alike lines share a token of their prefixes, which opens a block.
+
+A line goes if any earlier line is like it, so it is settled once one such line is
+found: first the earliest line of each of its blocks is tried, and only lines that
+none of these settles meet all earlier ones of their blocks.  Before sets are compared
+whole, pairs pass the length filter and the positional filter (what can follow the shared
+prefix token).  Blocks with many lines are dealt over tasks by salt.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
-from .jaccard_join import BROADCAST_ROWS, COUNTED_AT_ONCE, FREQUENT_FROM, FREQUENT_MOST, REGION_LEFT, REGION_RIGHT, _alive, _often, _plausible, _prefixes, _sets, _shared
-from .shared import cut, parts, small_batches
+from .shared import Scratch, if_small
 
 PERCENT = 75
-#: open pairs of a block from which it is compared on whole sets
-HOT_PAIRS = 20_000
-_U = np.uint64
+SIZE = 5
+#: a token is frequent from so many lines on that have it in their prefix
+FREQUENT_FROM = 16
+#: lines of a block that meet in one task
+BLOCK = 4096
+#: copies of one text that a task may meet; beyond it, and beyond 1/100,000 of all lines, a text is joined by broadcast
+COPIES = 50_000
+_UPPER = 2**63 - 1
+ID = ("doc_id", "line", "v")
+
+
+def _need(n: Column) -> Column:
+    """Tokens that a set of n must share with any set alike."""
+    return F.ceil(n * PERCENT / 100).cast("int")
+
+
+def _low(t: Column) -> Column:
+    """A-Z lower-cased, no two different texts becoming equal otherwise.
+
+    Outside ASCII the bytes are taken as characters of ISO 8859-1.  Among these, lower()
+    moves the capitals U+00C0 to U+00DE, here the leading bytes of two-byte
+    characters, to those of three and four bytes, and as the number of bytes that
+    follow a leading byte is kept, nothing falls together.
+    """
+    return F.lower(F.when(F.length(t) == F.octet_length(t), t).otherwise(F.decode(t.cast("binary"), "ISO-8859-1")))
+
+
+def _words(low: Column) -> Column:
+    """What stands between the white spaces; a line has five kinds of them."""
+    odd = reduce(Column.__or__, [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"])
+    return F.array_remove(F.when(odd, F.split(low, "[ \t\x0b\x0c\r]")).otherwise(F.split(low, " ")), "")
+
+
+def _blank(t: Column) -> Column:
+    return F.btrim(t, F.lit(" \t\x0b\x0c\r")) == ""
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, t) of all lines."""
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, key, often): the content of every line with words, and counts of tokens that come often."""
-    local, held = [], 0
-    for b in batches:
-        for at, sh, row, count in words.flat_sets(b.column(2)):
-            has = np.flatnonzero(count)
-            take = pa.array(has + at)
-            keys = words.content_ids(sh, row, count)[has]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(keys), pa.nulls(len(keys), pa.int64())], ["doc_id", "line", "key", "often"])
-            local.append(sh)
-            held += len(sh)
-            if held >= COUNTED_AT_ONCE:
-                yield _counted(local)
-                local, held = [], 0
-    if held:
-        yield _counted(local)
-
-
-def _counted(local: list[np.ndarray]) -> pa.RecordBatch:
-    found = _often(local)
-    return pa.RecordBatch.from_arrays([found.column(1), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int64()), found.column(3)], ["doc_id", "line", "key", "often"])
-
-
-class _Sets:
-    """Token sets of keys, made again from the documents of their first lines."""
-
-    def __init__(self, docs: DataFrame, keys: DataFrame):
-        self.docs, self.keys = docs, keys
-
-    def __call__(self, wanted: DataFrame) -> DataFrame:
-        wanted = cut(wanted.select("sid").distinct().join(self.keys, "sid").select("sid", "first.doc_id"))
-        ids, sids, few = wanted.select("doc_id").distinct(), wanted.select("sid"), wanted.count() <= BROADCAST_ROWS
-        lines = _lines(self.docs.join(F.broadcast(ids) if few else ids, "doc_id")).select("t")
-        sets = lines.mapInArrow(_sets(words.SHINGLE), "sid long, own binary").join(F.broadcast(sids) if few else sids, "sid")
-        return sets.groupBy("sid").agg(F.first("own").alias("own"))
-
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) with the size of their intersection."""
-        sets = self(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
-        x, y = sets.select(F.col("sid").alias("a"), F.col("own").alias("own_a")), sets.select(F.col("sid").alias("b"), F.col("own").alias("own_b"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b", "na", "nb")
-        return both.mapInArrow(_shared, "a long, b long, common long, na long, nb long")
-
-
-def _alike(measured: DataFrame) -> DataFrame:
-    return measured.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select(F.col("a").alias("sid"))
-
-
-def _settled(docs: DataFrame, keys: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sid): keys for which an earlier key is alike."""
-    spark, sets = docs.sparkSession, _Sets(docs, keys)
-    rows = _lines(docs).select("t").mapInArrow(_prefixes(frequent, PERCENT, words.SHINGLE), "shingle long, sid long, n int, salt byte")
-    rows = rows.repartition(parts(spark), "shingle", "salt").sortWithinPartitions("shingle", "sid")
-    live = rows.mapInArrow(_alive, "shingle long, sid long, n int").join(keys, "sid")
-    live = cut(live.select("shingle", "sid", F.col("n").cast("long").alias("n"), "first"))
-    earliest = live.groupBy("shingle").agg(F.min(F.struct("first", "sid", "n")).alias("p")).where(F.col("p").isNotNull())
-    pairs = live.join(earliest, "shingle").where(F.col("sid") != F.col("p.sid"))
-    pairs = pairs.groupBy(F.col("sid").alias("a"), F.col("p.sid").alias("b")).agg(F.max("n").alias("na"), F.max("p.n").alias("nb"), F.count("*").alias("c"))
-    # a block has one earliest key, so c may miss shared tokens of blocks with an earlier one: those keys are tried below
-    settled = cut(_alike(sets.measured(cut(_plausible(pairs, PERCENT)))).distinct())
-    open_ = cut(live.join(settled, "sid", "left_anti"))
-    blocks = open_.groupBy("shingle").agg(F.count("*").alias("left")).join(live.groupBy("shingle").agg(F.count("*").alias("all"), F.min(F.struct("first", "sid")).alias("p")), "shingle")
-    blocks = cut(blocks.select("shingle", (F.col("left") * F.col("all")).alias("pairs"), F.col("p.sid").alias("p")))
-    cold, hot = blocks.where(F.col("pairs") < HOT_PAIRS).select("shingle"), blocks.where(F.col("pairs") >= HOT_PAIRS).select("shingle", "p")
-    x = open_.join(cold, "shingle").select("shingle", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"))
-    y = live.select("shingle", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"))
-    pairs = x.join(y, "shingle").where((F.col("fb") < F.col("fa")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
-    pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("c"))
-    out = settled.unionByName(_alike(sets.measured(cut(_plausible(pairs, PERCENT)))))
-    if not hot.isEmpty():
-        out = out.unionByName(_hot(open_, live, hot, sets))
-    return cut(out.distinct())
-
-
-def _hot(open_: DataFrame, live: DataFrame, hot: DataFrame, sets: _Sets) -> DataFrame:
-    """Keys of blocks with many open pairs for which an earlier key of such a block is alike.
-
-    Blocks of one earliest key are its region.  Not settled keys of a region meet all its
-    keys in groups of bounded size.
+    """(doc_id, line, t) of all lines with words."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(~_blank(F.col("t")))
+
+
+def _repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, line) of lines of which an earlier one has the same text."""
+    at = scratch.keep(_lines(docs).select("doc_id", "line", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")))
+    of_text = at.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("first")).where("c > 1")
+    of_text = scratch.keep(of_text.select("h", "g", "c", F.col("first.doc_id").alias("fd"), F.col("first.line").alias("fl")))
+    limit = max(COPIES, at.count() // 100_000)  # so at most 100,000 texts are broadcast
+    hot, cold = of_text.where(F.col("c") > limit), of_text.where(F.col("c") <= limit)
+    later = F.struct("doc_id", "line") > F.struct(F.col("fd").alias("doc_id"), F.col("fl").alias("line"))
+    rest = at.join(F.broadcast(hot), ["h", "g"], "left_anti").join(cold, ["h", "g"])
+    found = rest.select("doc_id", "line", "fd", "fl").unionByName(at.join(F.broadcast(hot), ["h", "g"]).select("doc_id", "line", "fd", "fl"))
+    out = scratch.keep(found.where(later).select("doc_id", "line").distinct())
+    scratch.drop(at)
+    return out
+
+
+def _chosen(docs: DataFrame, lines: DataFrame, keep: bool) -> DataFrame:
+    """(doc_id, line, t): of docs(doc_id, text) the lines(doc_id, lines array), or all others that have words."""
+    rows = docs.join(if_small(lines), "doc_id", "inner" if keep else "left").withColumn("all", F.split("text", "\n"))
+    every = F.sequence(F.lit(0), F.size("all") - 1)
+    wanted = F.array_intersect(every, "lines") if keep else F.coalesce(F.array_except(every, "lines"), every)
+    rows = rows.select("doc_id", "all", F.explode(wanted).alias("line")).select("doc_id", "line", F.get("all", "line").alias("t"))
+    return rows if keep else rows.where(~_blank(F.col("t")))
+
+
+def _worded(lines: DataFrame) -> DataFrame:
+    """(doc_id, line, v, h, n) of lines(doc_id, line, v, t): h a hash of each word, n runs."""
+    rows = lines.select(*ID, _low(F.col("t")).alias("low"))
+    rows = rows.select(*ID, F.transform(_words(F.col("low")), lambda x: F.xxhash64(x)).alias("h"))
+    return rows.select(*ID, "h", F.greatest(F.size("h") - (SIZE - 1), F.lit(1)).alias("n"))
+
+
+def _run(i: Column) -> Column:
+    """The token of the run that begins at word i; only of short lines a run ends at the last word."""
+    return F.xxhash64(*[F.get("h", i + k) for k in range(SIZE)], F.least(F.size("h"), F.lit(SIZE)))
+
+
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """(doc_id, line, v, hi, lo, x): runs of the prefix, all that begin with one of the first words in the order of hashes.
+
+    Each of these words begins one token at least, so as many words as the prefix needs
+    tokens are enough.  hi and lo bound the number of tokens: runs, and words that begin them.
+    """
+    rows = _worded(lines.withColumn("v", F.xxhash64("t"))).withColumn("first", F.sort_array(F.array_distinct(F.slice("h", F.lit(1), F.col("n")))))
+    rows = rows.select(*ID, "h", F.coalesce(F.get("first", F.col("n") - _need(F.col("n"))), F.lit(_UPPER)).alias("to"), F.col("n").alias("hi"), F.size("first").alias("lo"))
+    rows = rows.select(*ID, "h", "to", "hi", "lo", F.explode(F.sequence(F.lit(0), F.col("hi") - 1)).alias("i"))
+    # never null; but told so, the planner does not ask whether h is, which would make h twice
+    return rows.where(F.coalesce(F.get("h", F.col("i")) <= F.col("to"), F.lit(True))).select(*ID, "hi", "lo", _run(F.col("i")).alias("x"))
+
+
+def _again(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, line, v, h, n) of ids(doc_id, line, v), made again from their documents."""
+    by_doc = ids.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    lines = _chosen(docs, by_doc, True).withColumn("v", F.xxhash64("t"))
+    return _worded(lines.join(if_small(ids), [*ID], "left_semi"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own) for ids(doc_id, line, v): all tokens of each."""
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), _run)
+    sets = _again(docs, ids).select(F.struct(*ID).alias("id"), F.array_distinct(each).alias("own"))
+    return sets.groupBy("id").agg(F.first("own").alias("own"))  # repeated rows
+
+
+def _salts(c: str) -> Column:
+    return F.ceil(F.col(c) / BLOCK).cast("int")
+
+
+def _salt(c: str) -> Column:
+    return F.pmod(F.xxhash64("id"), _salts(c)).cast("int")
+
+
+def _blocks(docs: DataFrame, dups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, c, id, hi, lo, pos): prefix tokens that more than one line has, with the number of such lines.
+
+    pos: place of the token in the prefix, 0 where that is not known.
     """
-    left = open_.join(hot, "shingle").select("p", "sid", "first").distinct()
-    right = live.join(hot, "shingle").select("p", "sid", "first").distinct()
-    sizes = left.groupBy("p").agg(F.ceil(F.count("*") / REGION_LEFT).alias("lefts")).join(right.groupBy("p").agg(F.ceil(F.count("*") / REGION_RIGHT).alias("rights")), "p")
-    sizes, right = cut(sizes), cut(right)
-    own = sets(right.select("sid"))
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    one_of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
-    left = left.join(sizes, "p").select("p", one_of("lefts").alias("i"), all_of("rights").alias("j"), "sid", "first").join(own, "sid")
-    right = right.join(sizes, "p").select("p", all_of("lefts").alias("i"), one_of("rights").alias("j"), "sid", "first").join(own, "sid")
-    place = lambda df: df.select(*[F.col(c).alias(c) for c in ("p", "i", "j", "sid", "own")], F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-    key = ["p", "i", "j"]
-    return place(left).groupBy(key).cogroup(place(right).groupBy(key)).applyInPandas(_region, "sid long")
-
-
-def _region(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    found: list[int] = []
-    if len(left) and len(right):
-        sets = [np.frombuffer(x, _U) for x in right["own"]]
-        sizes, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        holder, flat = np.repeat(np.arange(len(sets)), sizes)[order], flat[order]
-        doc, line = right["doc_id"].to_numpy(), right["line"].to_numpy()
-        for sid, d, n, x in zip(left["sid"], left["doc_id"], left["line"], left["own"], strict=True):
-            x = np.frombuffer(x, _U)
-            low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            runs = high - low
-            place = np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
-            common = np.bincount(holder[place], minlength=len(sets))
-            before = (doc < d) | ((doc == d) & (line < n))
-            if (before & (100 * common >= PERCENT * (len(x) + sizes - common))).any():
-                found.append(sid)
-    return pd.DataFrame({"sid": found}).astype("int64")
+    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    known = dups.join(if_small(again), "doc_id", "left_anti")  # in rows of one id, a place has more than one text
+    by_doc = scratch.keep(known.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
+    rows = scratch.keep(_prefixes(_chosen(docs, by_doc, False)))
+    counts = scratch.keep(rows.groupBy("x").agg(F.count("*").alias("c")).where("c > 1"))
+    frequent = counts.where(F.col("c") >= FREQUENT_FROM)
+    redone = scratch.keep(rows.join(if_small(frequent), "x", "left_semi").select(*ID).distinct())
+    # lines are dealt out before their tokens are made, which then stay in the task that chooses among them
+    full = _again(docs, redone).repartition(*ID).select(*ID, "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    full = full.select(*ID, F.get("h", "i").alias("f"), _run(F.col("i")).alias("x")).join(if_small(frequent), "x", "left")
+    full = full.groupBy(*ID).agg(F.sort_array(F.collect_set(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "f", "x"))).alias("t")).withColumn("n", F.size("t"))
+    prefix = F.posexplode(F.slice("t", F.lit(1), F.col("n") - _need(F.col("n")) + 1)["x"]).alias("pos", "x")
+    anew = scratch.keep(full.select(*ID, F.col("n").alias("hi"), F.col("n").alias("lo"), prefix))
+    # what the changed prefixes have may meet tokens that one other line has
+    fresh = scratch.keep(counts.select("x").unionByName(anew.select("x")).distinct())
+    same = rows.join(if_small(redone), [*ID], "left_anti").join(if_small(fresh), "x", "left_semi").withColumn("pos", F.lit(0)).distinct()
+    every = scratch.keep(same.unionByName(anew).select("x", F.struct(*ID).alias("id"), "hi", "lo", "pos"))
+    for df in (rows, anew, redone, fresh):
+        scratch.drop(df)
+    counts = scratch.keep(every.groupBy("x").agg(F.count("*").alias("c")).where("c > 1"))
+    hot, cold = if_small(counts.where(F.col("c") > BLOCK)), if_small(counts.where(F.col("c") <= BLOCK))
+    joined = every.join(hot, "x").unionByName(every.join(cold, "x"))
+    out = scratch.keep(joined.select("x", "c", "id", "hi", "lo", "pos"))
+    scratch.drop(every)
+    return out
+
+
+def _before(a: str, b: str) -> Column:
+    """Whether the line a is earlier than b."""
+    return F.struct(f"{a}.doc_id", f"{a}.line") < F.struct(f"{b}.doc_id", f"{b}.line")
+
+
+def _fits(a: str, b: str) -> Column:
+    """Length and positional filter of two lines and a token that both have, columns of structs (id, hi, lo, pos).
+
+    If it is the first that they share, they share at most what follows it, and each two
+    alike lines pass by their first.
+    """
+    x, y = F.col(a), F.col(b)
+    size = (x["hi"] * 100 >= y["lo"] * PERCENT) & (y["hi"] * 100 >= x["lo"] * PERCENT)
+    return size & (F.least(x["hi"] - x["pos"], y["hi"] - y["pos"]) * (100 + PERCENT) >= (x["lo"] + y["lo"]) * PERCENT)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of met(a, b): b earlier than a, filters passed."""
+    return met.where(_before("b.id", "a.id")).where(_fits("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id) of those a of pairs(a, b) that are alike their b, on whole sets."""
+    pairs = scratch.keep(pairs)
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.*"))
+    sets = scratch.keep(_sets(docs, ids))
+    small = sets.select("id", F.size("own").alias("n"))
+    sized = pairs.join(small.toDF("a", "na"), "a").join(small.toDF("b", "nb"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
+    both = sized.join(sets.toDF("a", "own_a"), "a").join(sets.toDF("b", "own_b"), "b")
+    both = both.select("a", "na", "nb", F.size(F.array_intersect("own_a", "own_b")).alias("shared"))
+    out = scratch.keep(both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * PERCENT).select(F.col("a").alias("id")).distinct())
+    scratch.drop(sets)
+    return out
+
+
+def _settled(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id) of lines that an earlier one is like."""
+    line = F.struct("id", "hi", "lo", "pos")
+    salts = F.explode(F.sequence(F.lit(0), _salts("c") - 1)).alias("s")
+    earliest = rows.groupBy("x").agg(F.min(line).alias("b"), F.max("c").alias("c")).select("x", salts, "b")
+    found = _alike(docs, _pairs(rows.select("x", _salt("c").alias("s"), line.alias("a")).join(earliest, ["x", "s"])), scratch)
+    open_ = rows.join(if_small(found), "id", "left_anti").select("x", salts, line.alias("a"))
+    return found.unionByName(_alike(docs, _pairs(open_.join(rows.select("x", _salt("c").alias("s"), line.alias("b")), ["x", "s"])), scratch)).distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,18 +223,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     0.75 at least between the sets of five-word runs, A-Z lower-cased; equal lines
     have 1.  A line that goes still makes later ones go.  Lines without words stay.
     Rows of one doc_id count as one document: their lines of one number aren't later
-    than each other.  Rows with a null doc_id or text take no part.
+    than each other.  Rows with a null doc_id or text take no part.  Tokens are compared
+    as 64-bit hashes, equal texts by 128 bits.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(_lines(docs).mapInArrow(_keys, "doc_id long, line int, key long, often long"))
-    at = seen.where("often is null").select("doc_id", "line", F.col("key").alias("sid"))
-    counted = seen.where("often is not null").groupBy("often").agg(F.sum("doc_id").alias("c")).where(F.col("c") >= FREQUENT_FROM)
-    frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).collect()], np.int64).view(_U))
-    keys = cut(at.groupBy("sid").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    settled = _settled(docs, keys, frequent).withColumn("gone", F.lit(True))
-    status = keys.join(settled, "sid", "left")
-    return at.join(status, "sid").where(F.coalesce("gone", F.lit(False)) | (F.col("first") < F.struct("doc_id", "line"))).select("doc_id", "line").distinct()
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    with Scratch(docs.sparkSession) as scratch:
+        dups = _repeated(docs, scratch)
+        settled = _settled(docs, _blocks(docs, dups, scratch), scratch).select("id.doc_id", "id.line")
+        return scratch.result(dups.unionByName(settled).distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +240,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null text stays null, with no lines; an empty table gives no rows.  Columns of
     docs that are called n_lines or n_removed are replaced.
     """
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    split = F.split(text_col, "\n")
-    rows = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
-    kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("k")), lambda x: ~F.array_contains("__gone", x["k"])).getField("t"), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_removed", F.greatest("n_removed", F.lit(0)).cast("long"))
-    return rows.withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col))).drop("__id", "__gone")
+    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
+    rows = docs.join(if_small(gone), F.col(id_col).cast("long") == F.col("__id"), "left")
+    n = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    rows = rows.withColumn("n_lines", F.coalesce(n, F.lit(0)).cast("long"))
+    found = F.size(F.filter("__gone", lambda k: k < F.col("n_lines")))  # rows of one id share their places
+    rows = rows.withColumn("n_removed", F.coalesce(F.when(F.col("n_lines") > 0, found), F.lit(0)).cast("long"))
+    kept = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), "__gone")
+    rows = rows.withColumn("__all", F.when(F.col("n_removed") > 0, F.split(text_col, "\n")))
+    left = F.array_join(F.transform(kept, lambda k: F.get("__all", k)), "\n")
+    return rows.withColumn(text_col, F.when(F.col("n_removed") > 0, left).otherwise(F.col(text_col))).drop("__id", "__gone", "__all")
 
 
 LINE_SQL = r"""

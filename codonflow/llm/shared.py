@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: bytes up to which a table whose size was measured is broadcast
+BROADCAST_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -24,6 +31,68 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables written to the shared folder while an operator runs, gone when it ends, but for its result.
+
+    As each table is written by a job of its own, the shuffle files of a job go with its end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self._n, self._at = 0, {}
+
+    def __enter__(self) -> Scratch:
+        self._before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(_CLEAN, self._before)
+        remove(self.spark, self.path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, computed once and read again: a lost executor costs nothing that is there."""
+        self._n += 1
+        path = f"{self.path}/{self._n}"
+        out = self._stored(df, path)
+        self._at[id(out)] = out, path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a kept table that no later step reads."""
+        remove(self.spark, self._at.pop(id(df))[1])
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return self._stored(df, f"{shared_dir(self.spark)}/result-{uuid.uuid4().hex}")
+
+    def _stored(self, df: DataFrame, path: str) -> DataFrame:
+        schema = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if what it holds, measured, is at most ``limit`` bytes; else as it is."""
+
+    def width(name: str, kind: str):
+        if kind.startswith("array"):
+            return 24 + 8 * F.coalesce(F.array_size(name), F.lit(0))
+        if kind in ("string", "binary"):
+            return 16 + F.coalesce(F.octet_length(name), F.lit(0))
+        return F.lit(8 * max(1, kind.count(":")))
+
+    size = sum((width(n, k) for n, k in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder; a lost executor costs nothing that is there.
 

@@ -300,7 +300,7 @@ def brute_lines(rows):
     flat = sorted((i, k, line) for i, text in rows if i is not None and text is not None for k, line in enumerate(text.split("\n")))
     sets = []
     for i, k, line in flat:
-        w = WORD.findall(line.lower())
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), line))
         sets.append((i, k, frozenset({tuple(w)} if 0 < len(w) < 5 else {tuple(w[j : j + 5]) for j in range(len(w) - 4)})))
     for i, k, s in sets:
         if s and any((a, b) < (i, k) and 100 * len(s & t) >= 75 * len(s | t) for a, b, t in sets):
@@ -308,13 +308,14 @@ def brute_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(9, 20_000), (10, 0)])
-def test_lines_against_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(E, "HOT_PAIRS", hot)
-    monkeypatch.setattr(E, "REGION_LEFT", 5)
-    monkeypatch.setattr(E, "REGION_RIGHT", 9)
+@pytest.mark.parametrize(("seed", "block", "copies", "frequent", "small"), [(9, 4096, 50_000, 16, True), (10, 3, 2, 2, False)])
+def test_lines_against_brute_force(spark, monkeypatch, seed, block, copies, frequent, small):
+    for name, value in (("BLOCK", block), ("COPIES", copies), ("FREQUENT_FROM", frequent)):
+        monkeypatch.setattr(E, name, value)
+    if not small:
+        monkeypatch.setattr(E, "if_small", lambda df: df)
     rng = random.Random(seed)
-    pool = [t for _, t in near_copies(rng, 6, 15)] + ["short", "A b", "a B"]
+    pool = [t for _, t in near_copies(rng, 6, 15)] + ["short", "A b", "a B", "a\tB\r", "\u00c9t\u00e9 \u00e9T\u00c9 a b c", "\u00e9t\u00e9 \u00e9t\u00e9 a b c", "\u00c9t\u00e9 \u00e9t\u00c9 A B C", "so " * 40 + "it is", "so " * 39 + "it is"]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {k} {rng.random()}" for _ in range(rng.randint(1, 6)))) for k in range(80)]
     got = {(r.doc_id, r.line) for r in E.repeated_lines(docs(spark, rows)).collect()}
     assert got == set(brute_lines(rows))
