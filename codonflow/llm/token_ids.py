@@ -17,7 +17,6 @@ import itertools
 import os
 import struct
 import unicodedata
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, parts, shared_dir, small_batches
-from .words import hashes, slices
+from .shared import Scratch, parts, small_batches
+from .words import eights, hashes, slices
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -160,9 +159,9 @@ class Encoder:
     """Ids of texts by the tokenizers library, each piece encoded once while it is remembered.
 
     A byte-level tokenizer encodes the matches of its word pattern one by one, so the
-    ids of a text are those of its pieces in turn.  Pieces are remembered by a 64-bit
-    hash.  Texts that ``pieces`` does not tell, and those with a special token, go to
-    the library whole.
+    ids of a text are those of its pieces in turn.  Pieces are found by a 64-bit hash
+    and compared byte by byte.  Texts that ``pieces`` does not tell, those with a special
+    token, and those with a piece whose hash another piece has, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -176,12 +175,14 @@ class Encoder:
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.heads = np.zeros((0, 3), np.uint64)
+        self.long: dict[int, bytes] = {}  # pieces of more than 16 bytes by their hash
         self.ids = np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, h: np.ndarray, heads: np.ndarray, texts: list[str]) -> None:
         own = self._library(texts)
         count = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(count.sum()))
@@ -190,6 +191,9 @@ class Encoder:
         self.known = np.concatenate((self.known, h))[order]
         self.begin = np.concatenate((self.begin, begin))[order]
         self.count = np.concatenate((self.count, count.astype(np.uint32)))[order]
+        self.heads = np.concatenate((self.heads, heads))[order]
+        for k in np.flatnonzero(heads[:, 2] > 16).tolist():
+            self.long[int(h[k])] = texts[k].encode()
         self.ids = np.concatenate((self.ids, flat))
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +201,19 @@ class Encoder:
         at[at == len(self.known)] = 0
         return at, self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
 
+    def _clashes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Pieces that are not the remembered one, or else the first one here, of their hash."""
+        _, where, back = np.unique(h, return_index=True, return_inverse=True)
+        at, there = self._find(h[where])
+        model = heads[where]
+        model[there] = self.heads[at[there]]
+        out = (heads != model[back]).any(1)
+        for k in np.flatnonzero((heads[:, 2] > 16) & ~out).tolist():
+            first = where[back[k]]
+            own = self.long.get(int(h[k])) if there[back[k]] else raw[starts[first] : ends[first]]
+            out[k] = raw[starts[k] : ends[k]] != own
+        return out
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and how many each has."""
         starts, first, told = pieces(data, offsets)
@@ -207,14 +224,21 @@ class Encoder:
         keep = np.repeat(told, np.diff(first))
         starts, ends = starts[keep], ends[keep]
         text = np.repeat(np.arange(len(told)), np.diff(first))[keep]
-        h = hashes(data, starts, ends)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._forget()
+        h = hashes(data, starts, ends)
+        # the first 16 bytes and the length
+        heads = np.stack((eights(data, starts, ends, 0), eights(data, starts, ends, 1), (ends - starts).astype(np.uint64)), 1)
+        clash = self._clashes(raw, starts, ends, h, heads)
+        if clash.any():
+            told[text[clash]] = False
+            keep = told[text]
+            starts, ends, text, h, heads = starts[keep], ends[keep], text[keep], h[keep], heads[keep]
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         at, there = self._find(distinct)
         if not there.all():
             new = where[~there]
-            self._learn(distinct[~there], [raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._learn(distinct[~there], heads[new], [raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at, _ = self._find(distinct)
         begin, count = self.begin[at][back].astype(np.int64), self.count[at][back].astype(np.int64)
         done = np.cumsum(count)
@@ -287,21 +311,25 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "d
     """Writes the ids of every row of docs, in ascending order of id (null first), to segment files at path.
 
     A row's ids are those of its whole text (null: of the empty text) and END_ID.
-    Rows of equal id follow each other by text.  An empty table writes no segment.
+    Rows of equal id follow each other by a hash of their text, so that many of them, or
+    of null ids, or equal rows, are dealt to several tasks.  An empty table writes no
+    segment.  Codes are stored as they are, so an id is read without unpacking others.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encode(tokenizer), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    order = ["doc_id", "h", "k"]  # k divides equal rows, whose order says nothing
+    rows = rows.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("k"))
+    rows = rows.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows.select("doc_id", "text").mapInArrow(_encode(tokenizer), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def segment_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, seg, first): ids before each segment, by prefix sums inside each part and over the parts."""
+    """(part, seg, first, n_ids): ids before each segment, by prefix sums inside each part and over the parts."""
     segs = spark.read.schema(SEGMENTS).parquet(path).select("part", "seg", "n_ids")
     of_part = segs.groupBy("part").agg(F.sum("n_ids").alias("all"))
     before = of_part.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
     inside = segs.withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids"))
-    return inside.join(before, "part").select("part", "seg", (F.col("inside") + F.col("before")).alias("first"))
+    return inside.join(before, "part").select("part", "seg", (F.col("inside") + F.col("before")).alias("first"), "n_ids")
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -312,22 +340,23 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, position: int) -> int:
-    """The id at a position of the whole output: its segment by the starts, then one path of ranks."""
-    segs = spark.read.schema(SEGMENTS).parquet(path)
-    rows = segs.join(segment_starts(spark, path), ["part", "seg"]).where((F.col("first") <= position) & (F.col("first") + F.col("n_ids") > position))
-    row = rows.select("first", "codes").first()
-    if row is None:
+    """The id at a position of the whole output: its segment by the counts alone, then that row, then one path of ranks."""
+    starts = segment_starts(spark, path).where((F.col("first") <= position) & (F.col("first") + F.col("n_ids") > position))
+    at = starts.first()
+    if at is None:
         raise IndexError(position)
-    return Segment(bytes(row.codes)).at(position - row["first"])
+    row = spark.read.schema(SEGMENTS).parquet(path).where((F.col("part") == at.part) & (F.col("seg") == at.seg)).select("codes").first()
+    return Segment(bytes(row.codes)).at(position - at["first"])
 
 
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes docs to files of their own in the shared folder, reads them back and removes them."""
+    """Writes docs to files of their own in the shared folder, reads them back and removes them.
+
+    (doc_id, start, n_tokens, ids_crc32) of every row; nulls, equal ids, repeated rows and
+    empty tables as in ``write_token_ids``; other columns are ignored.
+    """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token_ids-{uuid.uuid4().hex}"
-    write_token_ids(docs, path, tokenizer)
-    out = cut(read_token_ids(spark, path))
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return out
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/token_ids"
+        write_token_ids(docs, path, tokenizer)
+        return scratch.result(read_token_ids(spark, path))

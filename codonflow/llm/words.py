@@ -11,13 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 SHINGLE = 5
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: bytes of ``[^\x20\x09-\x0D]``: all but the six ASCII white spaces
 SPACED = np.ones(256, bool)
@@ -92,34 +91,33 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_powers: list[np.ndarray] = []
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+#: bytes of a word from which on it is hashed by itself
+LONG_WORD = 512
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (_BASE, _BASE_INVERSE):
-                p = np.full(size, base, _U)
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-        if size > 2 * (SLICE_BYTES + 4096):
-            return made[0], made[1]  # of one very long text: not kept
-        _powers[:] = made
-    return _powers[0], _powers[1]
+def eights(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """The k-th eight bytes of each span as a number, zeros where the span ends before."""
+    at = starts + 8 * k
+    left = np.clip(ends - at, 0, 8)
+    room = np.concatenate((data, np.zeros(8, np.uint8)))
+    every = np.ndarray((len(data) + 1,), "<u8", room, strides=(1,))
+    return every[np.minimum(at, len(data))] & _MASKS[left]
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span: a polynomial by prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    power, inverse = _grown(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[starts]
-        return mix(h ^ mix((ends - starts).astype(_U), 7), 1)
+    """64-bit hash of the bytes of each span: eight at a time, each followed by a bijection that is not linear."""
+    sizes = ends - starts
+    h = mix(sizes.astype(_U), 7)
+    open_ = np.flatnonzero((sizes > 0) & (sizes <= LONG_WORD))
+    k = 0
+    while len(open_):
+        h[open_] = mix(h[open_] ^ eights(data, starts[open_], ends[open_], k), 1)
+        k += 1
+        open_ = open_[sizes[open_] > 8 * k]
+    for w in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[w] = xxhash.xxh3_64_intdigest(data[starts[w] : ends[w]].tobytes())
+    return h
 
 
 def word_hash(word: bytes) -> int:

@@ -357,6 +357,29 @@ def test_pieces_are_those_of_the_library():
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n, x, y):
+    return "".join((x, y)[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_pieces_of_one_hash_keep_their_ids(monkeypatch, few):
+    if few:
+        monkeypatch.setattr(T, "hashes", lambda data, starts, ends: words.hashes(data, starts, ends) % np.uint64(7))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = T.Encoder(path), Tokenizer.from_file(path)
+    long = [thue_morse(n, *p) for n in (64, 1024, 2048) for p in ("ab", "ba")]
+    assert len(set(words.hashes(*(lambda d, n: (d, np.arange(0, 2 * n, n), np.arange(n, 3 * n, n)))(np.frombuffer((long[4] + long[5]).encode(), np.uint8), 2048)).tolist())) == 2
+    rng = random.Random(3)
+    common = ["the", "of", "transformations", "internationalisierungen", "x", "yy"]
+    for _ in range(3):
+        texts = long + [" ".join(rng.choice(common + long[:2]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+        got = []
+        for _, _, data, offsets in words.slices(pa.array(texts)):
+            ids, sizes = encoder(data, offsets)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -364,7 +387,8 @@ def test_token_files(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "ids")
     T.write_token_ids(d, out, path)
     got = sorted(T.read_token_ids(spark, out).collect(), key=lambda r: r.start)
-    order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rank = {r.t: r.h for r in d.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, rank[r[1] or ""]))
     ids, at = [], 0
     for (i, text), r in zip(order, got, strict=True):
         own = library.encode(text or "", add_special_tokens=False).ids + [0]
