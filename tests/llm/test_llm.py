@@ -403,7 +403,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
 # --- op7
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(K, "SHARD", 60)
-    monkeypatch.setattr(K, "BLOCK", 3)
+    monkeypatch.setattr(K, "BLOCK_BYTES", 300)
     rng = np.random.default_rng(4)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, 8)]) for k in range(300)] + [(400, [0.0] * 8), (450, None), (500, [float("nan")] * 8), (550, [None] + [0.1] * 7), (600, [float("inf")] * 8), (None, [1.0] * 8), (7, [0.5] * 8), (650, [])]
     rows += [(700 + k, rows[0][1]) for k in range(10)]
@@ -418,11 +418,29 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert K.top_k(df.limit(0)).count() == 0 and K.top_k(df.where("vec_id = 50")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e30, -3.0]), (1, [1e30, 5.0]), (2, [-1e30, 1.0]), (3, [2e30, 0.0]), (50, [0.0, 2.0**40]), (100, [1.0, 2.0**40 + 1]), (4, [3.0, -(2.0**40)]), (5, [1e300, 1e300]), (150, [1e300, -1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in K.top_k(df, scale=256).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in best]
+        assert [s for _, s in got[q]] == [max(-(2**63), min(2**63 - 1, -s)) for s, _ in best]
+
+
 def test_the_threshold_stops_early():
     rng = np.random.default_rng(0)
     vectors = np.concatenate([rng.integers(-5, 5, (5000, 4)), [[90, 0, 0, 0], [80, 0, 0, 0]]]).astype(float)
     lists = K.Lists(np.arange(len(vectors)), vectors)
-    assert lists.top(np.array([1.0, 0, 0, 0]), None, 2) == [(5000, 90), (5001, 80)]
+    assert lists.top(np.array([1.0, 0, 0, 0]), None, 2) == [(-90, 5000), (-80, 5001)] and lists.read == K.STRETCH
+    lists.read = 0
+    assert lists.top(np.array([2.0, 1, 1, 0]), None, 2) == [(-180, 5000), (-160, 5001)] and lists.read == 3 * K.STRETCH
+    # what another shard gave stops the search too
+    lists.read = 0
+    assert lists.top(np.array([1.0, 0, 0, 0]), None, 2, [(-900, 9), (-700, 8)]) == [(-900, 9), (-700, 8)] and lists.read == K.STRETCH
 
 
 # --- op8
