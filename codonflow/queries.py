@@ -126,17 +126,6 @@ def species_reports(spark, sf):
     return A.unresolved(rows, MODEL.leaves).select(F.col("species").alias("name"), F.lit("unresolved").alias("kind")).unionByName(A.never_seen(rows, MODEL.leaves).select(F.col("leaf").alias("name"), F.lit("never seen").alias("kind")))
 
 
-def _pieces(spark, sf) -> DataFrame:
-    """Blocks of 60 bases, some of which follow each other."""
-    rows = X.msa(spark, sf).where("length(seqs[0]) >= 60").select("aln_id", F.transform("seqs", lambda s: F.substring(s, 1, 60)).alias("seqs"))
-    return rows.select(F.lit("f").alias("file"), F.col("aln_id").alias("block_id"), F.lit("c").alias("chrom"), (F.col("aln_id") * 60 + 1).alias("start"), F.lit("+").alias("strand"), F.lit(10_000_000).cast("long").alias("chrom_len"), "seqs")
-
-
-@query(f"WITH {X.MSA_SQL}, p AS (SELECT aln_id * 60 + 1 AS start, s0[1:60] AS s FROM m WHERE length(s0) >= 60), n AS (SELECT *, CASE WHEN lag(start) OVER (ORDER BY start) = start - 60 THEN 0 ELSE 1 END AS new FROM p), i AS (SELECT *, sum(new) OVER (ORDER BY start) AS island FROM n) SELECT CAST(min(start) AS BIGINT) AS start, string_agg(s, '' ORDER BY start) AS ref, CAST(sum(60) AS BIGINT) AS own FROM i GROUP BY island")
-def stitched_blocks(spark, sf):
-    return A.stitched(_pieces(spark, sf)).select("start", F.col("seqs")[0].alias("ref"), F.col("own").cast("long").alias("own"))
-
-
 def _whole_blocks(spark, sf) -> DataFrame:
     """All alignments as blocks of their own length, a hundred on a chromosome; those of every sixteenth leave 60 bases free before them."""
     order = Window.partitionBy("chrom").orderBy("aln_id")
@@ -145,6 +134,17 @@ def _whole_blocks(spark, sf) -> DataFrame:
     return rows.select(F.lit("f").alias("file"), F.col("aln_id").alias("block_id"), "chrom", (end - F.col("size") + 1).alias("start"), F.lit("+").alias("strand"), F.lit(10_000_000).cast("long").alias("chrom_len"), "seqs")
 
 
+_BLOCKS = """p AS (SELECT aln_id, 'c' || CAST(aln_id // 100 AS VARCHAR) AS chrom, s0 AS s, length(s0) AS size FROM m),
+b AS (SELECT *, sum(size + CASE WHEN aln_id % 16 = 0 THEN 60 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY aln_id) - size + 1 AS start FROM p),
+n AS (SELECT *, CASE WHEN lag(start + size) OVER w = start THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY chrom ORDER BY start, aln_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY start, aln_id) AS island FROM n)"""
+
+
+@query(f"WITH {X.MSA_SQL}, {_BLOCKS} SELECT chrom, CAST(min(start) AS BIGINT) AS start, string_agg(s, '' ORDER BY start, aln_id) AS ref, CAST(sum(size) AS BIGINT) AS own FROM i GROUP BY chrom, island")
+def stitched_blocks(spark, sf):
+    return A.stitched(_whole_blocks(spark, sf)).select("chrom", "start", F.col("seqs")[0].alias("ref"), F.col("own").cast("long").alias("own"))
+
+
 # --- likelihoods (M5-M14)
 def _alignments(spark, sf, leaves: int = 4) -> DataFrame:
     return X.msa(spark, sf).select("aln_id", F.slice("seqs", 1, leaves).alias("seqs"))
@@ -278,16 +278,11 @@ def score_msa_fixed_mean(spark, sf):
 
 
 # --- HMM parameters (W2, W3, A8-A10)
-def _all_exons(spark, sf) -> DataFrame:
-    return X.features(spark, sf).select("chrom", "strand", F.col("phase").cast("string").alias("phase"), F.col("begin").alias("start"), "end")
-
-
 def _exons(spark, sf) -> DataFrame:
-    """A seventh of the exons, as in the SQL."""
-    return _all_exons(spark, sf).where("start % 7 = 0")
+    return X.features(spark, sf).select("chrom", "strand", F.col("phase").cast("string").alias("phase"), F.col("begin").alias("start"), "end")
 
 
-_EXONS = f"{X.FEATURE_SQL}, e AS (SELECT chrom, strand, CAST(phase AS VARCHAR) AS phase, \"begin\" AS start, \"end\" FROM f WHERE \"begin\" % 7 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY chrom, strand, phase ORDER BY start, \"end\") AS k FROM e)"
+_EXONS = f"{X.FEATURE_SQL}, e AS (SELECT chrom, strand, CAST(phase AS VARCHAR) AS phase, \"begin\" AS start, \"end\" FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY chrom, strand, phase ORDER BY start, \"end\") AS k FROM e)"
 _KEPT = f"""WITH RECURSIVE {_EXONS}, w AS (SELECT chrom, strand, phase, k, start, "end", CAST(NULL AS BIGINT) AS out_start, CAST(NULL AS BIGINT) AS out_end FROM o WHERE k = 1
   UNION ALL SELECT o.chrom, o.strand, o.phase, o.k, CASE WHEN w."end" >= o.start AND o."end" - o.start <= w."end" - w.start THEN w.start ELSE o.start END, CASE WHEN w."end" >= o.start AND o."end" - o.start <= w."end" - w.start THEN w."end" ELSE o."end" END,
     CASE WHEN w."end" < o.start THEN w.start END, CASE WHEN w."end" < o.start THEN w."end" END FROM w JOIN o ON o.chrom = w.chrom AND o.strand = w.strand AND o.phase = w.phase AND o.k = w.k + 1),
@@ -312,7 +307,7 @@ def exon_total_lengths(spark, sf):
 
 @query()
 def hmm_parameters(spark, sf):
-    p = T.estimate_hmm(_all_exons(spark, sf), 90_000)
+    p = T.estimate_hmm(_exons(spark, sf), 90_000)
     rows = [("coding_prior", p.coding_prior), ("coding_length", p.coding_length), *((f"weight_{k}", w) for k, w in enumerate(p.weights)), *((f"length_{k}", x) for k, x in enumerate(p.lengths))]
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in rows], "name string, value double")
 
