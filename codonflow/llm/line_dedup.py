@@ -126,8 +126,15 @@ def _again(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, own) for ids(doc_id, line, v): all tokens of each."""
-    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), _run)
-    sets = _again(docs, ids).select(F.struct(*ID).alias("id"), F.array_distinct(each).alias("own"))
+    both = lambda x, y: F.zip_with(x, y, lambda p, q: F.xxhash64(p, q))
+    tail = lambda c, k: F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0)))
+    head = lambda c, n: F.slice(c, F.lit(1), n)
+    # hashes of two words, of four, of five; only those of one kind are compared
+    rows = _again(docs, ids).withColumn("two", both(head("h", F.greatest(F.size("h") - 1, F.lit(0))), tail("h", 1)))
+    rows = rows.withColumn("four", both(head("two", F.greatest(F.size("two") - 2, F.lit(0))), tail("two", 2)))
+    five = both(head("four", F.greatest(F.size("four") - 1, F.lit(0))), tail("h", SIZE - 1))
+    each = F.when(F.size("h") < SIZE, F.array(F.xxhash64("h", F.size("h")))).otherwise(five)
+    sets = rows.select(F.struct(*ID).alias("id"), F.array_distinct(each).alias("own"))
     return sets.groupBy("id").agg(F.first("own").alias("own"))  # repeated rows
 
 
