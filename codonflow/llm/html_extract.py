@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host are parsed into trees in which siblings of one signature (tag and
-class or id) are one repeated node, and aligned by simple tree matching into one
+class) are one repeated node, and aligned by simple tree matching into one
 template per host: first inside every task, then by merging the tasks' templates,
 which are small however many pages a host has.  Every node of a template counts its
 pages, its text and link text.  A slot is the path of signatures to a node; the pages
@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -30,7 +31,7 @@ from .url_filter import host_path
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math xmp noembed noframes object canvas".split())
+RAW = frozenset("script style noscript template textarea iframe svg xmp noembed noframes object canvas".split())
 #: elements that are never content
 DEAD = frozenset("head title nav footer aside form menu dialog button select option datalist optgroup fieldset legend".split()) | RAW
 DEAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
@@ -38,6 +39,8 @@ DEAD_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs"
     " footer header masthead cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription share sharing social related"
     " recommended recommendations comment comments reply replies respond disqus login signup search pagination pager widget toolbar skip hidden copyright".split())
+#: words that say nothing of their own beside a dead one: a name of both kinds alone is dead, entry-header is not
+PLAIN_WORDS = frozenset("site page global main left right top bottom box boxes list item items block area wrapper wrap container content section inner outer bar slot unit links link button buttons form icons posts post thread text tray row col column group nav".split())
 #: levels of a tree; what is nested deeper counts as on the last
 DEEPEST = 150
 MAIN = frozenset(("article", "main"))
@@ -57,6 +60,13 @@ class Params:
     salts: int = 16
 
 
+@lru_cache(maxsize=65_536)
+def _says_dead(name: str) -> bool:
+    """Whether a class or id names a menu, an advert or the like: of dead and plain words alone, one dead at least."""
+    own = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+    return any(w in DEAD_WORDS for w in own) and all(w in DEAD_WORDS or w in PLAIN_WORDS for w in own)
+
+
 class Page:
     """A parsed page: ``nodes`` of (parent, signature, dead, main), ``blocks`` of (node, text, link characters)."""
 
@@ -156,9 +166,9 @@ class Page:
                 elif name == "role":
                     dead, main = dead or value.lower() in DEAD_ROLES, main or value.lower() == "main"
                 else:
-                    key += ("." if name == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split()))
-                    if tag not in ("html", "body", "article", "main") and not DEAD_WORDS.isdisjoint(w.lower() for w in _WORD.findall(value)):
-                        dead = True
+                    if name == "class":  # ids are mostly of one page
+                        key += "." + re.sub(r"\d+", "0", " ".join(value.split()))
+                    dead = dead or tag not in ("html", "body", "main") and any(map(_says_dead, value.split()))
         above = self.nodes[parent]
         if tag == "header" and not above[3]:
             dead = True
@@ -351,7 +361,10 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def induce(pages: DataFrame, params: Params = Params()) -> DataFrame:
-    """(host, template) of pages(host, html): one row per host with any html."""
+    """(host, template) of pages(host, html): one row per host with any html.
+
+    Rows of null or empty html add nothing, repeated rows count each, an empty table gives none.
+    """
     each = pages.select("host", "html").mapInArrow(_induce(), "host string, template string")
     salted = each.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(params.salts)))
     schema = "host string, template string"
@@ -419,7 +432,7 @@ def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
 
     Blocks of the main text in page order, joined by a line feed; white space in a
     block is one space, character references are decoded.  Null or empty html: empty
-    text.  A null url, or one without ``://``, belongs to the host ''.  A host of fewer
+    text.  What is nested more than ``DEEPEST`` levels deep counts as on the last of them.  A null url, or one without ``://``, belongs to the host ''.  A host of fewer
     than ``least_pages`` pages of different texts has no constant texts.  Repeated rows are returned
     each; an empty table gives no rows; other columns are ignored.
     """

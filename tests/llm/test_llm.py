@@ -121,6 +121,23 @@ def test_extraction_of_one_page():
     assert H.page_text(H.Page("<p>a</div><p>b <span hidden>no</span>c"), H.Template(), H.Params()) == "a\nb c"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><div class="entry-header"><h1>Headline</h1></div><p class="search-method">By search</p><div class="banner-image"><p>A caption</p></div></article>', "Headline\nBy search\nA caption"),
+    ('<main><article><p>Body</p></article><article class="comment"><p>Reply</p></article><div id="comment-list"><p>More</p></div></main>', "Body"),
+    ("<article><p>Let <math><mi>x</mi>=2</math> be so</p><svg><text>no</text></svg></article>", "Let x=2 be so"),
+    ('<div class="site-footer"><p>no</p></div><div class="ad slot-3">no</div><div class="newsletterSignup">no</div><div class="downloads"><p>Files</p></div><div class="has-sidebar"><p>Yes</p></div>', "Files\nYes"),
+])
+def test_names_of_elements(html, text):
+    assert H.page_text(H.Page(html), H.Template(), H.Params()) == text
+
+
+def test_ids_of_single_pages_add_no_nodes():
+    t = H.Template()
+    for k in range(50):
+        t.add(H.Page(f"<div id='story-{'abcdefghij'[k % 10]}{'klmno'[k // 10]}' class='story n{k}'><p>Text {k}</p></div>"))
+    assert [c[0] for c in t.tree[2]] == ["div.story n0"] and t.pages == 50
+
+
 def test_constant_slots_become_template(spark):
     page = lambda k: f"<html><body><div class=x><p>Welcome to our site</p></div><div class=y><p>Story {k} of the day</p><p>More of {k}</p></div><div class=links><a href=1>L{k}</a> <a href=2>M{k}</a></div></body></html>"
     rows = [(k, "http://h.example/x", page(k)) for k in range(30)] + [(100, None, page(1)), (101, "http://other.example", None), (102, "nothing", ""), (0, "http://H.example/x", page(0))]
