@@ -55,21 +55,23 @@ def _need(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _fingerprints(size: int):
+def _fingerprints(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, held = [], 0
         for b in batches:
-            n, sid = [], []
+            n, sid, tag = [], [], []
             for _, sh, row, count in words.flat_sets(b.column(1), size):
                 n.append(count)
-                sid.append(words.content_ids(sh, row, count))
+                one, other = words.content_ids(sh, row, count, None, bits)
+                sid.append(one)
+                tag.append(other)
                 local.append(sh)
                 held += len(sh)
                 if held >= COUNTED_AT_ONCE:
                     yield _often(local)
                     local, held = [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(sid)), pa.nulls(len(b), pa.int64())], ["doc_id", "n", "sid", "often"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(sid)), pa.array(np.concatenate(tag)), pa.nulls(len(b), pa.int64())], ["doc_id", "n", "sid", "tag", "often"])
         if held:
             yield _often(local)
 
@@ -80,7 +82,7 @@ def _often(local: list[np.ndarray]) -> pa.RecordBatch:
     seen, counts = _runs(np.concatenate(local))
     keep = counts >= LOCAL_FROM
     m = int(keep.sum())
-    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(counts[keep], pa.int64()), pa.nulls(m, pa.int64()), pa.array(seen[keep].view(np.int64))], ["doc_id", "n", "sid", "often"])
+    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(counts[keep], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(seen[keep].view(np.int64))], ["doc_id", "n", "sid", "tag", "often"])
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +91,14 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at[:-1]], np.diff(at)
 
 
-def _prefixes(frequent: np.ndarray, percent: int, size: int):
+def _prefixes(frequent: np.ndarray, percent: int, size: int, clash: np.ndarray, bits: int):
     """(shingle, sid, n, salt) of the prefix of every set; salt is 0 for rare shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             for _, sh, row, count in words.flat_sets(b.column(0), size):
-                sid = words.content_ids(sh, row, count)
+                sid, _ = words.content_ids(sh, row, count, clash, bits)
                 own, first = np.unique(sid, return_index=True)
                 if len(done) > 200_000:
                     done.clear()
@@ -121,14 +123,14 @@ def _prefixes(frequent: np.ndarray, percent: int, size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, clash: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, sh, row, count in words.flat_sets(b.column(0), size):
                 has = count > 0
                 ends = np.concatenate(([0], np.cumsum(count[has]) * 8)).astype(np.int32)
                 own = pa.Array.from_buffers(pa.binary(), int(has.sum()), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sh))])
-                yield pa.RecordBatch.from_arrays([pa.array(words.content_ids(sh, row, count)[has]), own], ["sid", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(words.content_ids(sh, row, count, clash, bits)[0][has]), own], ["sid", "own"])
 
     return run
 
@@ -186,8 +188,8 @@ def _sizes_fit(x: str, y: str, percent: int):
 class _Measure:
     """Exact intersections of pairs of sets, which are made again from the texts of the pairs' documents."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, size: int):
-        self.docs, self.size = docs, size
+    def __init__(self, docs: DataFrame, ids: DataFrame, size: int, clash: np.ndarray, bits: int):
+        self.docs, self.sets_of = docs, _sets(size, clash, bits)
         self.of = cut(ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
 
     def sets(self, sids: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ class _Measure:
         wanted = cut(sids.distinct().join(self.of, "sid").select("doc_id").distinct())
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = self.docs.join(wanted, "doc_id").select("text").mapInArrow(_sets(self.size), "sid long, own binary")
+        sets = self.docs.join(wanted, "doc_id").select("text").mapInArrow(self.sets_of, "sid long, own binary")
         return sets.groupBy("sid").agg(F.first("own").alias("own"))
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -311,7 +313,7 @@ def _region(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = words.SHINGLE, pivot_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = words.SHINGLE, pivot_rounds: int = 2, id_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
     A-Z are lower-cased, words are runs of other than the six ASCII white spaces; a
@@ -324,20 +326,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row returned.  Copies, ties and empty tables need nothing special; columns other
     than the two named are ignored.  Shingles are compared as 64-bit hashes: only two
     different ones of one pair of documents with the same hash could change a result.
+    Equal sets are known by 64 bits; sets that meet in them but not in 64 others are
+    told apart by those.  With fewer ``id_bits`` more do.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(docs.mapInArrow(_fingerprints(size), "doc_id long, n long, sid long, often long"))
-    ids = seen.where("often is null").select("doc_id", "n", "sid")
+    seen = cut(docs.mapInArrow(_fingerprints(size, id_bits), "doc_id long, n long, sid long, tag long, often long"))
+    ids = seen.where("often is null").select("doc_id", "n", "sid", "tag")
+    met = ids.where("n > 0").groupBy("sid").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi")
+    clash = np.sort(np.array([r.sid for r in met.select("sid").collect()], np.int64))  # of 10^10 sets some three
+    if len(clash):
+        known = F.broadcast(spark.createDataFrame([(int(x),) for x in clash], "__sid long"))
+        ids = ids.join(known, F.col("sid") == F.col("__sid"), "left").withColumn("sid", F.when(F.col("__sid").isNull(), F.col("sid")).otherwise(F.col("tag")))
+    ids = ids.select("doc_id", "n", "sid")
     counted = seen.where("often is not null").groupBy("often").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_FROM)
     frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).collect()], np.int64).view(_U))
 
-    rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent, percent, size), "shingle long, sid long, n int, salt byte")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent, percent, size, clash, id_bits), "shingle long, sid long, n int, salt byte")
     rows = rows.repartition(parts(spark), "shingle", "salt").sortWithinPartitions("shingle", "sid")
     live = cut(rows.mapInArrow(_alive, "shingle long, sid long, n int"))
 
-    measure = _Measure(docs, ids, size)
+    measure = _Measure(docs, ids, size, clash, id_bits)
     links, distances = None, None
     nothing = spark.createDataFrame([], "node long, root long")
     # w: the part of a set's shingles that is in blocks; it is largest amid a group of near copies

@@ -197,10 +197,21 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np
             yield at + k, sh[a:z]
 
 
-def content_ids(sh: np.ndarray, row: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A number of each row's set, 0 for an empty one."""
+def content_ids(sh: np.ndarray, row: np.ndarray, count: np.ndarray, clash: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of each row's set, 0 for an empty one.
+
+    The first tells sets apart, but for those that meet in it; where it is in the sorted
+    ``clash``, it is the second, another hash.  ``bits`` of the first are used.
+    """
+    ends = np.cumsum(count)
+    both = []
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(sh, 21), dtype=_U)))
-        ends = np.cumsum(count)
-        total = sums[ends] - sums[ends - count] + count.astype(_U)
-    return np.where(count > 0, mix(total, 22), _U(0)).view(np.int64)
+        for seed in (21, 23):
+            sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(sh, seed), dtype=_U)))
+            total = sums[ends] - sums[ends - count] + count.astype(_U)
+            both.append(np.where(count > 0, mix(total, seed + 1), _U(0)))
+    first = (both[0] >> _U(64 - bits)).view(np.int64)
+    second = both[1].view(np.int64)
+    if clash is not None and len(clash):
+        first = np.where(np.isin(first, clash), second, first)
+    return first, second

@@ -282,13 +282,13 @@ def near_copies(rng, groups=12, most=25):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot", "rounds"), [(5, 20_000, 2), (6, 0, 1), (8, 10**9, 0)])
-def test_components_against_brute_force(spark, monkeypatch, seed, hot, rounds):
+@pytest.mark.parametrize(("seed", "hot", "rounds", "bits"), [(5, 20_000, 2, 64), (6, 0, 1, 5), (8, 10**9, 0, 64)])
+def test_components_against_brute_force(spark, monkeypatch, seed, hot, rounds, bits):
     monkeypatch.setattr(J, "HOT_PAIRS", hot)
     monkeypatch.setattr(J, "REGION_LEFT", 7)
     monkeypatch.setattr(J, "REGION_RIGHT", 11)
     rows = near_copies(random.Random(seed))
-    got = J.jaccard_components(docs(spark, rows), pivot_rounds=rounds).collect()
+    got = J.jaccard_components(docs(spark, rows), pivot_rounds=rounds, id_bits=bits).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
