@@ -136,14 +136,16 @@ def score_orfs(parts: DataFrame, tracks: DataFrame, sizes: DataFrame) -> DataFra
 def choose(parts: DataFrame, mode: str = "LONGEST", min_score: float = 0.0) -> DataFrame:
     """The parts of the chosen ORFs: all with the least score, the longest of them, or that of the best score.
 
-    Ties go to the smaller begin.
+    Ties go to the smaller begin.  Scores are compared to nine decimals, as sums in another
+    order differ in the last digits; ORFs without a score are never chosen.
     """
     if mode not in MODES:
         raise ValueError(f"no mode: {mode}")
-    rows = parts.where(F.col("orf_score") >= min_score)
+    score = F.round("orf_score", 9)
+    rows = parts.where(score >= min_score)
     if mode == "ALL":
         return rows
-    first = F.desc(F.col("orf_end") - F.col("orf_begin")) if mode == "LONGEST" else F.desc("orf_score")
+    first = F.desc(F.col("orf_end") - F.col("orf_begin")) if mode == "LONGEST" else F.desc(score)
     order = Window.partitionBy("file", "tx_no").orderBy(first, "orf_begin", "orf_end")
     return rows.withColumn("__n", F.dense_rank().over(order)).where("__n = 1").drop("__n")
 

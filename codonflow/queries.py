@@ -195,16 +195,17 @@ def score_msa_omega(spark, sf):
     return C.score_alignments(_alignments(spark, sf), MODEL, "OMEGA").select("aln_id", F.round("phylo", 2).alias("phylo"))
 
 
-def _bls_sql() -> str:
+def _base_sql() -> str:
+    """(aln_id, i, bls) as e: the branch-length score of each base of each alignment."""
     t = MODEL.tree
     under = [" OR ".join(f"p{j}" for j in range(4) if t.below[b, j]) for b in range(t.nodes - 1)]
     beyond = [" OR ".join(f"p{j}" for j in range(4) if not t.below[b, j]) for b in range(t.nodes - 1)]
     total = " + ".join(f"CASE WHEN ({u}) AND ({v}) THEN {t.length[b]!r} ELSE 0 END" for b, (u, v) in enumerate(zip(under, beyond, strict=True)))
     seen = ", ".join(f"s{k}[CAST(i AS INT):CAST(i AS INT)] <> 'N' AS p{k}" for k in range(4))
-    return f"WITH {X.MSA_SQL}, b AS (SELECT aln_id, unnest(range(1, length(s0) + 1)) AS i, s0, s1, s2, s3 FROM m), p AS (SELECT aln_id, {seen} FROM b), e AS (SELECT aln_id, avg(({total}) / {t.total!r}) AS bls FROM p GROUP BY 1) SELECT m.aln_id, round(coalesce(bls, 0), 6) AS bls FROM m LEFT JOIN e ON e.aln_id = m.aln_id"
+    return f"WITH {X.MSA_SQL}, b AS (SELECT aln_id, unnest(range(1, length(s0) + 1)) AS i, s0, s1, s2, s3 FROM m), p AS (SELECT aln_id, i, {seen} FROM b), e AS (SELECT aln_id, i, ({total}) / {t.total!r} AS bls FROM p)"
 
 
-@query(_bls_sql())
+@query(_base_sql() + ", w AS (SELECT aln_id, avg(bls) AS bls FROM e GROUP BY 1) SELECT m.aln_id, round(coalesce(bls, 0), 6) AS bls FROM m LEFT JOIN w ON w.aln_id = m.aln_id")
 def branch_length_scores(spark, sf):
     return C.score_alignments(_alignments(spark, sf), MODEL, "FIXED").select("aln_id", F.round("bls", 6).alias("bls"))
 
@@ -221,7 +222,12 @@ def build_raw_tracks(spark, sf):
     return T.raw_tracks(A.stitched(_whole_blocks(spark, sf)), MODEL).select("chrom", "frame", "pos", F.round("score", 4).alias("score"), F.round("power", 6).alias("power"))
 
 
-@query()
+_SPANS = "SELECT aln_id, 'c' || CAST(aln_id // 100 AS VARCHAR) AS chrom, sum(length(s0) + CASE WHEN aln_id % 16 = 0 THEN 60 ELSE 0 END) OVER (PARTITION BY aln_id // 100 ORDER BY aln_id) - length(s0) + 1 AS start FROM m"
+_POWER = f"""{_base_sql()}, l AS ({_SPANS}), y AS (SELECT chrom, CAST(start + i - 1 AS BIGINT) AS base, bls FROM e JOIN l USING (aln_id))
+SELECT chrom, base // 3 * 3 AS pos, round(avg(bls), 6) AS power FROM y GROUP BY 1, 2 HAVING count(*) = 3"""
+
+
+@query(_POWER)
 def build_power_track(spark, sf):
     s = A.stitched(_whole_blocks(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
     return T.power_track(C.score_bases(s, MODEL)).select("chrom", "pos", F.round("power", 6).alias("power"))
@@ -237,11 +243,11 @@ def fixed_step_lines(spark, sf):
     return K.fixed_step_lines(X.tracks(spark, sf).where("frame = '+1'"))
 
 
-def _hmm_sql() -> str:
-    """Forward and backward passes over the first six codons of every segment, written out."""
+def _hmm_sql(frames: str) -> str:
+    """(chrom, frame, segment, k, n, pos, log_odds) as o: forward and backward passes, a step a codon; nn has the emissions."""
     start, move = HMM.start.tolist(), HMM.move.tolist()
     step = lambda f, e: ", ".join("(" + " + ".join(f"{f}[{i + 1}] * {move[i][j]!r}" for i in range(4)) + f") * {e if j == 0 else '1.0'} AS v{j}" for j in range(4))
-    return f"""WITH RECURSIVE {X.TRACK_SQL}, r AS (SELECT chrom, frame, pos, round(score, 3) AS score FROM t WHERE frame IN ('+1', '-2')),
+    return f"""WITH RECURSIVE {X.TRACK_SQL}, r AS (SELECT chrom, frame, pos, round(score, 3) AS score FROM t WHERE {frames}),
 g AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) = pos - 3 THEN 0 ELSE 1 END AS new FROM r),
 s AS (SELECT *, max(CASE WHEN new = 1 THEN pos END) OVER (PARTITION BY chrom, frame ORDER BY pos) AS segment FROM g),
 nn AS (SELECT chrom, frame, segment, pos, pow(10.0, score / 10) AS e, row_number() OVER (PARTITION BY chrom, frame, segment ORDER BY pos) AS k, count(*) OVER (PARTITION BY chrom, frame, segment) AS n FROM s),
@@ -250,23 +256,41 @@ f AS (SELECT chrom, frame, segment, k, [{start[0]!r} * e, {start[1]!r}, {start[2
 b AS (SELECT chrom, frame, segment, k, [1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS v FROM nn n WHERE k = n
   UNION ALL SELECT chrom, frame, segment, k, [v0 / greatest(v0, v1, v2, v3), v1 / greatest(v0, v1, v2, v3), v2 / greatest(v0, v1, v2, v3), v3 / greatest(v0, v1, v2, v3)] FROM (SELECT b.chrom, b.frame, b.segment, b.k - 1 AS k, {", ".join("(" + " + ".join(f"{move[i][j]!r} * b.v[{j + 1}]" + (" * n.e" if j == 0 else "") for j in range(4)) + f") AS v{i}" for i in range(4))} FROM b JOIN nn n ON n.chrom = b.chrom AND n.frame = b.frame AND n.segment = b.segment AND n.k = b.k)
   WHERE k > 0),
-p AS (SELECT n.chrom, n.frame, n.segment, n.pos, f.v[1] * b.v[1] AS c, f.v[1] * b.v[1] + f.v[2] * b.v[2] + f.v[3] * b.v[3] + f.v[4] * b.v[4] AS a FROM nn n JOIN f USING (chrom, frame, segment, k) JOIN b USING (chrom, frame, segment, k))
-SELECT chrom, frame, segment, pos, round(CASE WHEN c / a < 1e-15 THEN -15.0 WHEN c / a > 1 - 1e-15 THEN 15.0 ELSE log10((c / a) / (1 - c / a)) END, 4) AS log_odds FROM p"""
+p AS (SELECT n.chrom, n.frame, n.segment, n.k, n.n, n.pos, f.v[1] * b.v[1] AS c, f.v[1] * b.v[1] + f.v[2] * b.v[2] + f.v[3] * b.v[3] + f.v[4] * b.v[4] AS a FROM nn n JOIN f USING (chrom, frame, segment, k) JOIN b USING (chrom, frame, segment, k)),
+o AS (SELECT chrom, frame, segment, k, n, pos, round(CASE WHEN c / a < 1e-15 THEN -15.0 WHEN c / a > 1 - 1e-15 THEN 15.0 ELSE log10((c / a) / (1 - c / a)) END, 4) AS log_odds FROM p)"""
 
 
-@query(_hmm_sql())
+def _region_sql() -> str:
+    """(chrom, frame, begin, end, log_odds) as z: runs of coding codons on the best path, found with pointers back."""
+    start, move = HMM.start.tolist(), HMM.move.tolist()
+    ways = [[f"x.v[{i + 1}] * {move[i][j]!r}" for i in range(4)] for j in range(4)]
+    best = ", ".join(f"greatest({', '.join(w)}){' * n.e' if j == 0 else ''} AS v{j}" for j, w in enumerate(ways))
+    came = ", ".join(f"list_position([{', '.join(w)}], greatest({', '.join(w)}))" for w in ways)
+    most = "greatest(v0, v1, v2, v3)"
+    key = "n.chrom = x.chrom AND n.frame = x.frame AND n.segment = x.segment"
+    return f"""{_hmm_sql("frame <> 'power'")},
+q AS (SELECT chrom, frame, segment, k, [{start[0]!r} * e, {start[1]!r}, {start[2]!r}, {start[3]!r}] AS v, CAST([1, 1, 1, 1] AS INT[]) AS came FROM nn WHERE k = 1
+  UNION ALL SELECT chrom, frame, segment, k, [v0 / {most}, v1 / {most}, v2 / {most}, v3 / {most}], came FROM (SELECT n.chrom, n.frame, n.segment, n.k, {best}, CAST([{came}] AS INT[]) AS came FROM q x JOIN nn n ON {key} AND n.k = x.k + 1)),
+u AS (SELECT q.chrom, q.frame, q.segment, q.k, CAST(list_position(q.v, list_max(q.v)) AS INT) AS state, q.came FROM q JOIN nn n ON n.chrom = q.chrom AND n.frame = q.frame AND n.segment = q.segment AND n.k = q.k WHERE q.k = n.n
+  UNION ALL SELECT n.chrom, n.frame, n.segment, n.k, x.came[x.state], n.came FROM u x JOIN q n ON {key} AND n.k = x.k - 1),
+st AS (SELECT o.*, u.state, count(CASE WHEN u.state = 1 THEN 1 END) OVER (PARTITION BY o.chrom, o.frame, o.segment) AS coding FROM o JOIN u USING (chrom, frame, segment, k)),
+co AS (SELECT *, row_number() OVER (PARTITION BY chrom, frame, segment ORDER BY pos) AS nth FROM st WHERE state = 1 AND n > 1 AND NOT (n = 2 AND coding = 2)),
+z AS (SELECT chrom, frame, min(pos) - 1 AS "begin", max(pos) + 2 AS "end", max(log_odds) AS log_odds FROM co GROUP BY chrom, frame, segment, k - nth)"""
+
+
+@query(_hmm_sql("frame IN ('+1', '-2')") + " SELECT chrom, frame, segment, pos, log_odds FROM o")
 def smooth_tracks(spark, sf):
     s = T.smooth(X.tracks(spark, sf).where("frame in ('+1', '-2')"), HMM)
     return s.select("chrom", "frame", "segment", "pos", F.round("log_odds", 4).alias("log_odds"))
 
 
-@query()
+@query(_region_sql() + ' SELECT chrom, frame, "begin", "end", log_odds FROM z')
 def coding_regions(spark, sf):
     r = T.regions(T.smooth(X.tracks(spark, sf).where("frame <> 'power'"), HMM))
     return r.select("chrom", "frame", "begin", "end", F.round("log_odds", 4).alias("log_odds"))
 
 
-@query()
+@query(_region_sql() + """ SELECT chrom, "begin", concat_ws(chr(9), chrom, "begin", "end", chrom || ':' || ("begin" + 1) || '-' || "end", '0', frame[1:1], "begin", "end", '0,0,0') AS line FROM z""")
 def coding_region_lines(spark, sf):
     return K.bed_lines(T.regions(T.smooth(X.tracks(spark, sf).where("frame <> 'power'"), HMM)))
 
@@ -402,15 +426,42 @@ def _gene_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return exons, genome, O.orf_exons(orfs, exons)
 
 
-@query()
+_GENES = f"""WITH {X.FEATURE_SQL}, {X.TRACK_SQL}, {X.SIZE_SQL}, {_D},
+gn AS (SELECT ['A', 'N', 'R'][CAST(doc_id % 3 + 1 AS INT)] AS chrom, left(string_agg(dna, '' ORDER BY doc_id), (SELECT max("end") FROM f)) AS g FROM d GROUP BY 1),
+ts AS (SELECT tx_no, any_value(f.chrom) AS chrom, any_value(strand) AS strand, string_agg(substr(g, "begin", "end" - "begin" + 1), '' ORDER BY "begin") AS seq FROM f JOIN gn ON gn.chrom = f.chrom GROUP BY 1),
+tw AS (SELECT tx_no, strand, CASE WHEN strand = '+' THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS s FROM ts),
+co AS (SELECT tx_no, strand, length(s) AS n, i AS p0, s[CAST(i AS INT):CAST(i + 2 AS INT)] AS c FROM tw, LATERAL (SELECT unnest(range(1, greatest(length(s) - 1, 1))) AS i)),
+fr AS (SELECT a.tx_no, a.strand, a.n, a.p0, min(b.p0) AS stop FROM co a JOIN co b ON a.tx_no = b.tx_no AND b.p0 > a.p0 AND (b.p0 - a.p0) % 3 = 0 WHERE a.c = 'ATG' AND b.c IN ('TAA', 'TAG', 'TGA') GROUP BY 1, 2, 3, 4),
+orf AS (SELECT tx_no, CASE WHEN strand = '+' THEN p0 - 1 ELSE n - (stop + 2) END AS ob, CASE WHEN strand = '+' THEN stop + 2 ELSE n - p0 + 1 END AS oe FROM fr WHERE stop + 3 - p0 >= 30),
+ex AS (SELECT tx_no, chrom, strand, "begin" AS eb, "end" AS ee, sum("end" - "begin" + 1) OVER (PARTITION BY tx_no ORDER BY "begin") - ("end" - "begin" + 1) AS off FROM f),
+pt AS (SELECT ex.*, ob, oe, greatest(eb, eb + ob - off) AS b, least(ee, eb + oe - off - 1) AS e FROM ex JOIN orf USING (tx_no)),
+ph AS (SELECT tx_no, chrom, strand, ob, oe, b, e, (3 - coalesce(sum(e - b + 1) OVER (PARTITION BY tx_no, ob, oe ORDER BY CASE WHEN strand = '-' THEN -b ELSE b END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3) % 3 AS phase FROM pt WHERE b <= e),
+pf AS (SELECT ph.*, CASE WHEN strand = '-' THEN ['-1', '-2', '-3'][CAST((((len - e + phase) % 3) + 3) % 3 + 1 AS INT)] ELSE ['+1', '+2', '+3'][CAST((phase + b - 1) % 3 + 1 AS INT)] END AS frame FROM ph JOIN z USING (chrom)),
+tb AS (SELECT chrom, frame, pos + j AS base, score FROM t, range(0, 3) r(j)),
+bs AS (SELECT s.chrom, s.frame, s.base, s.score * p.score AS sp FROM tb s JOIN tb p ON p.chrom = s.chrom AND p.base = s.base AND p.frame = 'power' WHERE s.frame <> 'power'),
+wp AS (SELECT DISTINCT chrom, frame, b, e FROM pf),
+m1 AS (SELECT w.chrom, w.frame, w.b, w.e, sum(sp) AS sp, count(*) AS n FROM wp w JOIN bs ON bs.chrom = w.chrom AND bs.frame = w.frame AND bs.base BETWEEN w.b AND w.e GROUP BY 1, 2, 3, 4),
+m2 AS (SELECT w.chrom, w.frame, w.b, w.e, sum(tb.score) AS pp FROM wp w JOIN tb ON tb.chrom = w.chrom AND tb.frame = 'power' AND tb.base BETWEEN w.b AND w.e GROUP BY 1, 2, 3, 4),
+sc AS (SELECT pf.*, coalesce(m1.sp, 0) AS sp, coalesce(m1.n, 0) AS n, coalesce(m2.pp, 0) AS pp FROM pf LEFT JOIN m1 USING (chrom, frame, b, e) LEFT JOIN m2 USING (chrom, frame, b, e)),
+oo AS (SELECT *, round(CASE WHEN sum(n) OVER w > 0 THEN sum(sp) OVER w / nullif(sum(pp) OVER w, 0) END, 9) AS orf_score, sum(pp) OVER w / sum(e - b + 1) OVER w AS orf_power FROM sc WINDOW w AS (PARTITION BY tx_no, ob, oe))"""
+
+
+@query(_GENES + """, k AS (SELECT *, dense_rank() OVER (PARTITION BY tx_no ORDER BY orf_score DESC, ob, oe) AS r FROM oo WHERE orf_score >= -1000)
+SELECT tx_no, chrom, strand, CAST(b AS BIGINT) AS "begin", CAST(e AS BIGINT) AS "end", CAST(phase AS INT) AS phase, floor(CASE WHEN n > 0 THEN sp / nullif(pp, 0) END * 1e4 + 0.3719) / 1e4 AS score_mean, floor(orf_score * 1e4 + 0.3719) / 1e4 AS orf_score, floor(orf_power * 1e5 + 0.3719) / 1e5 AS orf_power FROM k WHERE r = 1""")
 def find_coding_sequences(spark, sf):
     """Best-scoring reading frame of each transcript with its exons, phases and scores."""
     parts = O.score_orfs(_gene_parts(spark, sf)[2], X.tracks(spark, sf), X.sizes(spark))
     best = O.choose(parts, "BEST_SCORE", -1000.0)
-    return best.select("tx_no", "chrom", "strand", "begin", "end", "phase", F.round("score_mean", 4).alias("score_mean"), F.round("orf_score", 4).alias("orf_score"), F.round("orf_power", 5).alias("orf_power"))
+    off_ties = lambda c, unit: (F.floor(F.col(c) * unit + 0.3719) / unit).alias(c)  # noqa: E731, rounded, but not at ties
+    return best.select("tx_no", "chrom", "strand", "begin", "end", "phase", off_ties("score_mean", 1e4), off_ties("orf_score", 1e4), off_ties("orf_power", 1e5))
 
 
-@query()
+@query(_GENES + """, ok AS (SELECT * FROM oo WHERE orf_score >= 0),
+lo AS (SELECT *, dense_rank() OVER (PARTITION BY tx_no ORDER BY oe - ob DESC, ob, oe) AS r FROM ok),
+kn AS (SELECT tx_no, string_agg("begin" || '-' || "end", ',' ORDER BY "begin", "end") AS parts FROM f GROUP BY 1),
+ev AS (SELECT tx_no, ob, oe, any_value(r) AS r, string_agg(b || '-' || e, ',' ORDER BY b, e) AS parts FROM lo GROUP BY 1, 2, 3),
+pe AS (SELECT ev.tx_no, bool_or(ev.parts = kn.parts) AS hit, bool_or(r = 1 AND ev.parts = kn.parts) AS same FROM ev JOIN kn USING (tx_no) GROUP BY 1)
+SELECT count(*) AS transcripts, count(kn.parts) AS annotated, count(pe.tx_no) AS with_orf, count(pe.tx_no) AS with_choice, count(CASE WHEN same THEN 1 END) AS same, count(CASE WHEN hit THEN 1 END) AS hit, count(CASE WHEN NOT coalesce(hit, false) THEN 1 END) AS missed FROM kn LEFT JOIN pe USING (tx_no)""")
 def evaluate_coding_sequences(spark, sf):
     exons, _, parts = _gene_parts(spark, sf)
     parts = O.score_orfs(parts, X.tracks(spark, sf), X.sizes(spark))
@@ -418,15 +469,18 @@ def evaluate_coding_sequences(spark, sf):
     return O.evaluation(O.choose(parts, "LONGEST", 0.0), O.choose(parts, "ALL", 0.0), exons.select("file", "tx_no", "begin", "end", "feature").unionByName(tx))
 
 
-@query(f"WITH {_D}, q AS (SELECT doc_id, dna FROM d WHERE length(dna) >= 100), x AS (SELECT doc_id, dna, CAST(doc_id % 20 + 1 AS INT) AS b, CAST(doc_id % 20 + 60 AS INT) AS e, CAST(doc_id % 3 AS INT) AS phase, doc_id % 2 = 0 AS ahead FROM q) SELECT doc_id, CASE WHEN ahead THEN dna[b:e] ELSE reverse(translate(dna[b:e], 'ACGT', 'TGCA')) END[phase + 1:] AS seq FROM x")
+@query(f"WITH {_D}, x AS (SELECT doc_id, dna, CAST(doc_id % 20 + 1 AS INT) AS b, CAST(doc_id % 20 + 60 AS INT) AS e, CAST(doc_id % 3 AS INT) AS phase, doc_id % 2 = 0 AS ahead FROM d) SELECT doc_id, CASE WHEN ahead THEN dna[b:e] ELSE reverse(translate(dna[b:e], 'ACGT', 'TGCA')) END[phase + 1:] AS seq FROM x")
 def coding_exon_sequences(spark, sf):
-    d = X.dna(spark, sf).where("length(dna) >= 100")
+    d = X.dna(spark, sf)
     g = d.select(F.col("doc_id").cast("string").alias("chrom"), F.col("dna").alias("seq"))
     cds = d.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), (F.col("doc_id") % 20 + 1).alias("begin"), (F.col("doc_id") % 20 + 60).alias("end"), (F.col("doc_id") % 3).cast("int").alias("phase"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
     return N.cds_sequences(cds, g).select("doc_id", "seq")
 
 
-@query()
+@query(f"""WITH {_D}, w AS (SELECT doc_id, i AS at, dna[CAST(i AS INT):CAST(i + 11 AS INT)] AS word FROM d, LATERAL (SELECT unnest(range(1, greatest(length(dna) - 10, 1))) AS i)),
+v AS (SELECT q.doc_id AS query, g.doc_id % 2 AS genome, g.doc_id AS doc, g.at - q.at AS place, count(*) AS score FROM w q JOIN w g ON g.word = q.word WHERE q.doc_id % 5 = 0 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2 AND g.at - q.at >= 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query, genome ORDER BY score DESC, CAST(doc AS VARCHAR), place) AS n FROM v)
+SELECT query, genome, CAST(doc AS VARCHAR) AS target, CAST(place AS INT) AS place, score, rpad(substr(g.dna, place + 1, length(q.dna)), CAST(length(q.dna) AS INT), '-') AS seq FROM k JOIN d g ON g.doc_id = doc JOIN d q ON q.doc_id = query WHERE n = 1""")
 def search_sequences(spark, sf):
     """Ungapped hits, by shared 12-mers, of every fifth document's whole sequence in all documents' sequences."""
     d = X.dna(spark, sf)
@@ -435,7 +489,7 @@ def search_sequences(spark, sf):
     return N.seed_search(q, g).select("query", "genome", "target", "place", "score", "seq")
 
 
-@query()
+@query("SELECT s AS species, CASE WHEN s = 'a' THEN 'ape' ELSE '' END AS aliases FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(s)")
 def model_species(spark, sf):
     from .model.species import model_info
 
