@@ -5,6 +5,9 @@ Numbers from kernels are rounded in both, as sums in another order differ in the
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -22,6 +25,7 @@ from .operators import orfs as O
 from .operators import scoring as C
 from .operators import tracks as T
 from .sources import sinks as K
+from .sources import text as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,3 +498,153 @@ def model_species(spark, sf):
     from .model.species import model_info
 
     return model_info(spark, MODEL, {"a": ["ape"]}).withColumn("aliases", F.array_join("aliases", ","))
+
+
+# --- text formats: tables are written as text and come back through the readers
+def _folder(spark) -> str:
+    """A new folder in that of spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, in one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    return f"{found}/text-{uuid.uuid4().hex}"
+
+
+def _text(lines: DataFrame, *order: str) -> str:
+    path = _folder(lines.sparkSession)
+    K.write_lines(lines, path, *order)
+    return path
+
+
+@query(f"WITH {X.MSA_SQL}, r AS (SELECT aln_id, unnest([0, 1, 2, 3]) AS k, unnest([s0, s1, s2, s3]) AS s FROM m WHERE s0 <> '') SELECT ['A', 'b', 'C', 'other'][CAST(k + 1 AS INT)] AS species, 'chr' || aln_id % 3 AS chrom, aln_id // 3 * 700 AS start0, length(s) AS size, CAST(1000000 AS BIGINT) AS src_size, '+' AS strand, CASE WHEN k = 0 AND length(s) > 9 THEN s[1:3] || '--' || s[6:] ELSE s END AS text FROM r")
+def read_maf(spark, sf):
+    """Alignments as a MAF file; those without a base have no block in it."""
+    line = F.concat_ws("\t", F.lit("s"), F.concat_ws(".", "species", "chrom"), "start0", "size", "strand", "src_size", "text")
+    blocks = _maf(spark, sf).where("text <> ''").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("row_no", line.alias("line")))).alias("all"))
+    lines = blocks.select("block_id", F.concat(F.lit("a score=0\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n")).alias("line"))
+    return R.maf_rows(spark, _text(lines, "block_id")).drop("file", "block_id", "row_no")
+
+
+@query(f"WITH {X.TRACK_SQL} SELECT chrom, frame, pos, CAST(CASE WHEN frame = 'power' THEN printf('%.4f', CAST(CAST(score AS FLOAT) AS DOUBLE)) ELSE printf('%.3f', CAST(CAST(score AS FLOAT) AS DOUBLE)) END AS DOUBLE) AS score FROM t")
+def read_track_set(spark, sf):
+    """All seven tracks as fixedStep files, power with four decimals, found again by the path of one."""
+    folder = _folder(spark)
+    for frame in R.FRAMES:
+        track = T.segments(X.tracks(spark, sf).where(F.col("frame") == frame))
+        lines = K.fixed_step_lines(track, 4 if frame == "power" else 3).join(track.select("chrom", "pos", "segment"), ["chrom", "pos"])
+        # a run of steps is never cut, so that every file begins with a header
+        lines.repartitionByRange("chrom", "segment").sortWithinPartitions("chrom", "pos", "nth").select("line").write.text(f"{folder}/raw{frame}.wig")
+    return R.track_set(spark, f"{folder}/raw+1.wig")
+
+
+def _gene_lines(spark, sf) -> DataFrame:
+    """Transcripts, those of odd numbers in GTF style, and their exons as (tx_no, begin0, line); a comment before each."""
+    f = X.features(spark, sf)
+    attrs = F.when(F.col("tx_no") % 2 == 1, F.format_string('gene_id "g"; transcript_id "T%d";', "tx_no")).otherwise(F.format_string("ID=g;transcript_id=T%d;", "tx_no"))
+    line = lambda kind, phase: F.concat_ws("\t", "chrom", F.lit("x"), F.lit(kind), "begin", "end", F.lit("."), "strand", phase, attrs)
+    tx = f.groupBy("tx_no").agg(F.min("chrom").alias("chrom"), F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("strand").alias("strand"))
+    head = tx.select("tx_no", F.lit(0).cast("long").alias("at"), F.array(F.format_string("# %d", "tx_no"), line("transcript", F.lit("."))).alias("lines"))
+    every = head.unionByName(f.select("tx_no", F.col("begin").alias("at"), F.array(line("CDS", F.col("phase").cast("string"))).alias("lines")))
+    whole = every.groupBy("tx_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "lines"))), lambda x: x["lines"])).alias("lines"))
+    return whole.select("tx_no", F.array_join("lines", "\n").alias("line"))
+
+
+def _genes(spark, sf) -> DataFrame:
+    return R.gene_models(spark, _text(_gene_lines(spark, sf), "tx_no"))
+
+
+_ATTRS = "CASE WHEN tx_no % 2 = 1 THEN 'gene_id \"g\"; transcript_id \"T' || tx_no || '\";' ELSE 'ID=g;transcript_id=T' || tx_no || ';' END"
+_LINES = f"""{X.FEATURE_SQL}, tr AS (SELECT tx_no, any_value(chrom) AS chrom, 'transcript' AS feature, min("begin") AS "begin", max("end") AS "end", any_value(strand) AS strand, CAST(NULL AS INT) AS phase FROM f GROUP BY 1),
+al AS (SELECT *, {_ATTRS} AS attrs FROM (FROM tr UNION ALL SELECT tx_no, chrom, 'CDS', "begin", "end", strand, phase FROM f)),
+li AS (SELECT *, concat_ws(chr(9), chrom, 'x', feature, "begin", "end", '.', strand, coalesce(CAST(phase AS VARCHAR), '.'), attrs) AS line FROM al)"""
+
+
+@query(f"WITH {_LINES} SELECT chrom, feature, \"begin\", \"end\", strand, phase, attrs, line FROM li UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, '# ' || tx_no FROM tr")
+def read_gene_models(spark, sf):
+    return _genes(spark, sf).select("chrom", "feature", "begin", "end", "strand", "phase", "attrs", "line")
+
+
+@query(f"WITH {_LINES} SELECT 'T' || tx_no AS id, count(CASE WHEN feature = 'CDS' THEN 1 END) AS exons, sum(\"end\" - \"begin\" + 1)::BIGINT AS bases FROM li GROUP BY 1")
+def transcript_numbers(spark, sf):
+    """What has one number in a file: a transcript and its exons."""
+    rows = _genes(spark, sf).where("chrom is not null")
+    name = F.regexp_extract(F.max(F.when(F.col("feature") == "transcript", F.col("attrs"))), "(T[0-9]+)", 1)
+    return rows.groupBy("file", "tx_no").agg(name.alias("id"), F.count_if(F.col("feature") == "CDS").alias("exons"), F.sum(F.col("end") - F.col("begin") + 1).alias("bases")).drop("file", "tx_no")
+
+
+# sevenths and elevenths, so that no number is at a tie of decimals
+_SEVENTHS = "printf('%.3f', \"begin\" / 7.0 + 1 / 11.0)"
+
+
+@query(f"""WITH {_LINES} SELECT CASE WHEN tx_no % 2 = 1 THEN line ELSE rtrim(line, ';') END || CASE WHEN tx_no % 2 = 1 THEN ' coding_score_weighted_mean "' || {_SEVENTHS} || '"; coding_power_mean "nan";' ELSE ';coding_score_weighted_mean=' || {_SEVENTHS} || ';coding_power_mean=nan' END AS line FROM li UNION ALL SELECT '# ' || tx_no FROM tr""")
+def annotated_gene_lines(spark, sf):
+    rows = _genes(spark, sf).withColumn("score_mean", F.col("begin") / F.lit(7.0) + F.lit(1 / 11.0)).withColumn("power_mean", F.lit(None).cast("double"))
+    return K.annotated_lines(rows).select("line")
+
+
+@query(f"""WITH {_LINES}, ch AS (SELECT * FROM li WHERE tx_no % 4 < 2), id AS (SELECT tx_no, CASE WHEN tx_no % 2 = 1 THEN 'transcript_id "T' || tx_no || '";' ELSE 'transcript_id=T' || tx_no || ';' END AS id FROM tr)
+SELECT line FROM ch WHERE feature <> 'CDS' UNION ALL SELECT concat_ws(chr(9), chrom, 'codonflow', 'CDS', "begin" + 1, "end", '.', strand, phase, id || ';coding_score_weighted_mean=' || {_SEVENTHS} || ';coding_power_mean=nan') FROM ch JOIN id USING (tx_no) WHERE feature = 'CDS'""")
+def predicted_gene_lines(spark, sf):
+    """Of transcripts with a choice, here two of four, all lines but comments, exons replaced by the chosen ones."""
+    rows = _genes(spark, sf).where("chrom is not null")
+    number = F.regexp_extract("attrs", "T([0-9]+)", 1).cast("long")
+    parts = rows.where((F.col("feature") == "CDS") & (number % 4 < 2)).select("file", "tx_no", "chrom", "strand", (F.col("begin") + 1).alias("begin"), "end", "phase", (F.col("begin") / F.lit(7.0) + F.lit(1 / 11.0)).alias("score_mean"), F.lit(None).cast("double").alias("power_mean"), F.lit(0).alias("orf_begin"), F.lit(0).alias("orf_end"))
+    return K.predicted_lines(rows, parts).select("line")
+
+
+@query(f"WITH {_D} SELECT CAST(doc_id AS VARCHAR) AS chrom, dna AS seq FROM d")
+def read_genome(spark, sf):
+    """Sequences as a FASTA file, 60 bases a line."""
+    lines = X.dna(spark, sf).select("doc_id", F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" more\n"), F.regexp_replace("dna", "(.{60})", "$1\n")).alias("line"))
+    return R.genome(spark, _text(lines, "doc_id"))
+
+
+@query(f"WITH {X.FEATURE_SQL} SELECT chrom, strand, CAST(phase AS VARCHAR) AS phase, \"begin\" AS start, \"end\" FROM f")
+def read_coding_exons(spark, sf):
+    lines = _exons(spark, sf).withColumn("line", F.concat_ws(" ", "chrom", "strand", "phase", "start", "end"))
+    return R.coding_exons(spark, _text(lines, "chrom", "start"))
+
+
+@query(f"WITH {X.FEATURE_SQL} SELECT chrom AS seq, \"begin\" AS start, \"end\", strand, CASE WHEN tx_no % 5 > 0 THEN CAST(printf('%.6f', \"begin\" / 7.0 + 1 / 11.0) AS DOUBLE) END AS score FROM f")
+def read_score_file(spark, sf):
+    """A score file, header and failed fits included, written and read."""
+    f = X.features(spark, sf)
+    scores = f.select(F.col("chrom").alias("seq"), F.col("begin").alias("start"), "end", "strand", F.when(F.col("tx_no") % 5 > 0, F.col("begin") / F.lit(7.0) + F.lit(1 / 11.0)).alias("phylo"), F.lit(None).cast("double").alias("anc"), F.lit(0.5).alias("bls"))
+    return R.score_file(spark, _text(K.score_lines(scores, True), "line_no"))
+
+
+@query("SELECT lower(n_name) AS alias, 'leaf' || n_nationkey AS name FROM nation")
+def read_name_mapping(spark, sf):
+    lines = X.table(spark, sf, "nation").select("n_name", F.concat(F.col("n_name"), F.lit("\tLeaf"), F.col("n_nationkey").cast("string")).alias("line"))
+    return R.name_mapping(spark, _text(lines, "n_name"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY r_name) - 1 AS INT) AS n, r_name AS name, lower(r_name) || '.fa' AS path FROM region")
+def read_genome_list(spark, sf):
+    """The list is one small file, a line a genome."""
+    lines = X.table(spark, sf, "region").orderBy("r_name").select(F.concat("r_name", F.lit("\t"), F.lower("r_name"), F.lit(".fa")).alias("value"))
+    path = _folder(spark)
+    lines.coalesce(1).write.text(path)
+    return R.genome_list(spark, path)
+
+
+@query(f"WITH {X.MSA_SQL} SELECT aln_id AS query, 'c' || aln_id % 3 AS chrom, aln_id * 10 + 1 AS start, aln_id * 10 + length(s0) AS \"end\", CASE WHEN aln_id % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(aln_id % 3 AS INT) AS phase, s0 || '/' || s1 || '/' || s2 || '/' || s3 AS seqs FROM m WHERE aln_id % 7 > 0")
+def search_alignments(spark, sf):
+    """Multiple alignments of a search's result; queries without a hit, here each seventh, have none."""
+    m = X.msa(spark, sf).select("aln_id", F.posexplode("seqs").alias("hit_no", "seq")).where("hit_no = 0 or aln_id % 7 > 0")
+    size = F.length("seq")
+    header = F.concat(F.when(F.col("aln_id") % 4 == 0, F.lit("\x00")).otherwise(F.lit("")), F.lit("c"), (F.col("aln_id") % 3).cast("string"), F.lit(":"), (F.col("aln_id") * 10 + 1).cast("string"), F.lit("-"), (F.col("aln_id") * 10 + size).cast("string"), F.lit("#"), F.when(F.col("aln_id") % 2 == 0, "+").otherwise("-"), F.lit("#"), (F.col("aln_id") % 3).cast("string"))
+    out = R.hits_to_alignments(m.select(F.col("aln_id").alias("query"), "hit_no", header.alias("header"), "seq"))
+    return out.withColumn("seqs", F.array_join(F.transform("seqs", lambda x: x["seq"]), "/"))
+
+
+@query(f"WITH {_D}, b AS (SELECT unnest(string_split(dna, '')) AS b FROM d) SELECT b AS base, CAST(instr('ACGT', b) - 1 AS INT) AS id, count(*) AS n FROM b WHERE b <> '' GROUP BY 1")
+def fn_base_id(spark, sf):
+    rows = X.dna(spark, sf).select(F.explode(F.split("dna", "")).alias("base")).where("base <> ''").groupBy("base").agg(F.count("*").alias("n"))
+    return rows.select("base", S.base_id("base").cast("int").alias("id"), "n")
+
+
+@query("SELECT event_id, round((value - user_id / 7.0) * 10 / ln(10.0), 6) AS score FROM events")
+def fn_decibans(spark, sf):
+    return X.table(spark, sf, "events").select("event_id", F.round(S.decibans("value", F.col("user_id") / F.lit(7.0)), 6).alias("score"))
