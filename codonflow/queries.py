@@ -560,9 +560,10 @@ al AS (SELECT *, {_ATTRS} AS attrs FROM (FROM tr UNION ALL SELECT tx_no, chrom,
 li AS (SELECT *, concat_ws(chr(9), chrom, 'x', feature, "begin", "end", '.', strand, coalesce(CAST(phase AS VARCHAR), '.'), attrs) AS line FROM al)"""
 
 
-@query(f"WITH {_LINES} SELECT chrom, feature, \"begin\", \"end\", strand, phase, attrs, line FROM li UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, '# ' || tx_no FROM tr")
+@query(f"WITH {_LINES} SELECT chrom, feature, \"begin\", \"end\", strand, coalesce(phase, -1) AS phase, attrs, line FROM li UNION ALL SELECT NULL, NULL, -1, -1, NULL, -1, NULL, '# ' || tx_no FROM tr")
 def read_gene_models(spark, sf):
-    return _genes(spark, sf).select("chrom", "feature", "begin", "end", "strand", "phase", "attrs", "line")
+    number = lambda c: F.coalesce(c, F.lit(-1)).alias(c)  # noqa: E731, -1 for what comments and transcripts do not have
+    return _genes(spark, sf).select("chrom", "feature", number("begin"), number("end"), "strand", number("phase"), "attrs", "line")
 
 
 @query(f"WITH {_LINES} SELECT 'T' || tx_no AS id, count(CASE WHEN feature = 'CDS' THEN 1 END) AS exons, sum(\"end\" - \"begin\" + 1)::BIGINT AS bases FROM li GROUP BY 1")
