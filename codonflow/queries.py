@@ -130,6 +130,13 @@ def species_reports(spark, sf):
     return A.unresolved(rows, MODEL.leaves).select(F.col("species").alias("name"), F.lit("unresolved").alias("kind")).unionByName(A.never_seen(rows, MODEL.leaves).select(F.col("leaf").alias("name"), F.lit("never seen").alias("kind")))
 
 
+@query(f"WITH {X.MSA_SQL}, r AS (SELECT aln_id, unnest([0, 1, 2, 3]) AS k, unnest([s0, s1, s2, s3]) AS s FROM m) SELECT aln_id AS block_id, CAST(k AS INT) AS leaf, length(CASE WHEN k = 0 AND length(s) > 9 THEN s[1:3] || '--' || s[6:] ELSE s END) AS size FROM r")
+def species_aliases(spark, sf):
+    """Rows by leaf, the fourth species under another name, the first under its own in capitals."""
+    aliases = spark.createDataFrame([("other", "d"), ("another", "a")], "alias string, name string")
+    return A.resolve_species(_maf(spark, sf), MODEL.leaves, aliases).select("block_id", "leaf", F.length("text").cast("long").alias("size"))
+
+
 def _whole_blocks(spark, sf) -> DataFrame:
     """All alignments as blocks of their own length, a hundred on a chromosome; those of every sixteenth leave 60 bases free before them."""
     order = Window.partitionBy("chrom").orderBy("aln_id")
@@ -237,6 +244,23 @@ def build_power_track(spark, sf):
     return T.power_track(C.score_bases(s, MODEL)).select("chrom", "pos", F.round("power", 6).alias("power"))
 
 
+@query(_POWER[: _POWER.index("SELECT chrom, base // 3")] + "SELECT a.chrom, a.base AS pos, round(a.bls + b.bls + c.bls, 6) AS total FROM y a JOIN y b ON b.chrom = a.chrom AND b.base = a.base + 1 JOIN y c ON c.chrom = a.chrom AND c.base = a.base + 2 WHERE a.bls + b.bls + c.bls >= 0.3")
+def codon_power(spark, sf):
+    """Places of codons with the power that tracks ask for."""
+    s = A.stitched(_whole_blocks(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
+    return T.codon_power(C.score_bases(s, MODEL)).where("total >= 0.3").select("chrom", "pos", F.round("total", 6).alias("total"))
+
+
+@query(f"""WITH {X.MSA_SQL}, l AS ({_SPANS}), a AS (SELECT aln_id, chrom, start, s0, length(s0) AS n FROM m JOIN l USING (aln_id)),
+w AS (SELECT *, least(((k - start) % 3 + 3) % 3, n) AS ahead, least(((k - (10000000 - (start + n) + 2)) % 3 + 3) % 3, n) AS back FROM a, (VALUES (1), (2), (3)) k(k))
+SELECT chrom, aln_id, '+' || k AS frame, CAST(start + ahead AS BIGINT) AS first, substr(s0, CAST(ahead + 1 AS BIGINT)) AS seq FROM w
+UNION ALL SELECT chrom, aln_id, '-' || k, CAST(start + n - 3 - back AS BIGINT), substr(reverse(translate(s0, 'ACGT', 'TGCA')), CAST(back + 1 AS BIGINT)) FROM w""")
+def alignment_frames(spark, sf):
+    """The reference of every alignment in six frames, with the place of the first codon on the forward strand."""
+    rows = A.in_frames(_whole_blocks(spark, sf).withColumn("own", F.length(F.col("seqs")[0])))
+    return rows.select("chrom", F.col("block_id").alias("aln_id"), "frame", F.col("first").cast("long").alias("first"), F.col("seqs")[0].alias("seq"))
+
+
 @query(f"WITH {X.TRACK_SQL}, g AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) = pos - 3 THEN 0 ELSE 1 END AS new FROM t), h AS (SELECT *, max(CASE WHEN new = 1 THEN pos END) OVER (PARTITION BY chrom, frame ORDER BY pos) AS segment FROM g) SELECT chrom, frame, segment, count(*) AS n, round(avg(score), 6) AS mean FROM h GROUP BY 1, 2, 3")
 def track_segments(spark, sf):
     return T.segments(X.tracks(spark, sf)).groupBy("chrom", "frame", "segment").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
