@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_extract, url_filter
 from .decontaminate import find_leaks
+from .fill_middle import MIDDLE_SQL, fill_in_middle, restored
+from .importance import resample
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .line_dedup import LINE_SQL, dedup_lines
 from .mixing import MIX_SQL, mixed
+from .neighbors import nearest
 from .quality import classify
 from .shared import table
 from .token_ids import token_table
@@ -57,6 +61,19 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -68,6 +85,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_license_scans": op10_license_scans,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 OP4_SQL = r"""
@@ -90,4 +110,5 @@ ORACLE_SQL = {
     "op5_line_dedup": LINE_SQL,
     "op7_exact_topk": TOP_SQL,
     "op9_url_filters": url_filter.judge_sql(),
+    "op13_fill_in_middle": MIDDLE_SQL,
 }
