@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import shutil
 
 from pyspark.sql import SparkSession
 
@@ -58,12 +57,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("model")
     p.add_argument("alignments", nargs="*")
     p = tool("annotate-with-tracks", "gene models with scores of tracks")
-    p.add_argument("--sizes", required=True, help="Parquet of chrom and len")
+    p.add_argument("--sizes", help="Parquet of chrom and len; bigWig tracks have their own")
     p.add_argument("tracks")
     p.add_argument("genes", nargs="+")
-    p = tool("annotate-with-search", "gene models with scores of alignments to other genomes", True)
-    p.add_argument("--strategy", choices=("MLE", "FIXED", "OMEGA"), default="FIXED")
-    p.add_argument("--search-bin", help="external search program that has to be there")
+    p = tool("annotate-with-search", "gene models with scores of alignments to other genomes", True, True)
+    p.add_argument("--strategy", choices=("MLE", "FIXED", "OMEGA", "FIXED_MEAN"), default="FIXED")
     p.add_argument("genomes")
     p.add_argument("model")
     p.add_argument("genes", nargs="*")
@@ -83,8 +81,6 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = top.parse_args(arguments)
     if a.tool == "score-msa" and a.strategy == "OMEGA" and a.comp_anc:
         top.error("OMEGA has no ancestral score")
-    if a.tool == "annotate-with-search" and a.search_bin and not shutil.which(a.search_bin):
-        top.error(f"not found: {a.search_bin}")
     if spark is None:
         builder = SparkSession.builder.appName("codonflow")
         spark = (builder.master(f"local[{a.threads}]") if a.threads else builder).getOrCreate()
@@ -100,9 +96,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif a.tool == "score-msa":
         P.score_msa(spark, model, inputs, a.output or output_path(inputs[0], ".scores"), a.strategy, a.comp_score, a.comp_anc, a.mapping, a.coding_exons, a.genome_length)
     elif a.tool == "annotate-with-tracks":
-        P.annotate_with_tracks(spark, a.tracks, spark.read.parquet(a.sizes), inputs, a.output or output_path(inputs[0]))
+        P.annotate_with_tracks(spark, a.tracks, spark.read.parquet(a.sizes) if a.sizes else None, inputs, a.output or output_path(inputs[0]))
     elif a.tool == "annotate-with-search":
-        P.annotate_with_search(spark, a.genomes, model, inputs, a.output or output_path(inputs[0]), a.strategy, mapping=a.mapping)
+        P.annotate_with_search(spark, a.genomes, model, inputs, a.output or output_path(inputs[0]), a.strategy, mapping=a.mapping, exons=a.coding_exons, genome_length=a.genome_length)
     else:
         _, counts = P.find_cds(spark, a.genome, a.tracks, inputs, a.output or output_path(inputs[0]), a.mode, a.min_score, a.min_codons, a.evaluate)
         if counts is not None:

@@ -42,40 +42,187 @@ def _emissions(scores: np.ndarray) -> np.ndarray:
 
 
 def coding_posterior(hmm: Hmm, scores: np.ndarray) -> np.ndarray:
-    """Posterior probability of coding at each codon, forward and backward with scaling by the largest."""
-    e, n = _emissions(scores), len(scores)
-    forward, backward = np.empty((n, 4)), np.empty((n, 4))
-    f = hmm.start * e[0]
-    forward[0] = f
-    for k in range(1, n):
-        f = f @ hmm.move * e[k]
-        f = f / f.max()
-        forward[k] = f
-    b = np.ones(4)
-    backward[n - 1] = b
-    for k in range(n - 2, -1, -1):
-        b = hmm.move @ (e[k + 1] * b)
-        b = b / b.max()
-        backward[k] = b
-    both = forward * backward
-    return both[:, 0] / both.sum(1)
+    """Posterior probability of coding at each codon of one segment, forward and backward with scaling by the largest."""
+    pieces = Pieces(hmm, [np.asarray(scores, float)])
+    return pieces.rows(pieces.posteriors())[0]
 
 
 def best_path(hmm: Hmm, scores: np.ndarray) -> np.ndarray:
-    """Viterbi path; of equal predecessors the first state wins."""
-    e, n = _emissions(scores), len(scores)
-    best = hmm.start * e[0]
-    came = np.zeros((n, 4), np.int8)
-    for k in range(1, n):
-        ways = best[:, None] * hmm.move
-        came[k] = ways.argmax(0)
-        best = ways.max(0) * e[k]
-        best = best / best.max()
-    path = np.empty(n, np.int8)
-    path[-1] = best.argmax()
-    for k in range(n - 1, 0, -1):
-        path[k - 1] = came[k, path[k]]
-    return path
+    """Viterbi path of one segment; of equal predecessors the first state wins."""
+    pieces = Pieces(hmm, [np.asarray(scores, float)])
+    return pieces.rows(pieces.paths(pieces.best()))[0]
+
+
+#: logarithms of path probabilities are whole numbers of this part of a unit, so that sums are exact in any order
+UNIT = 1 << 40
+_NEVER = -(1 << 61)
+
+
+def _whole_log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(x > 0, np.rint(np.log(np.where(x > 0, x, 1.0)) * UNIT), _NEVER).astype(np.int64)
+
+
+def _turned(x: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """x @ move for many x, added up from the first state to the last."""
+    out = x[..., 0, None] * move[0]
+    for i in range(1, 4):
+        out = out + x[..., i, None] * move[i]
+    return out
+
+
+class Pieces:
+    """Stretches of codons worked on side by side: a step does the k-th codon of all of them.
+
+    A piece is the whole segment or a part of it.  For parts, ``products`` and ``best_products`` say
+    what a piece makes of any state before it, so that the states between pieces are found by a scan over
+    one small matrix a piece; with them each piece gives what the whole segment would.
+    """
+
+    def __init__(self, hmm: Hmm, scores: list[np.ndarray], first: np.ndarray | None = None):
+        self.hmm = hmm
+        self.order = np.argsort([-len(s) for s in scores], kind="stable")
+        self.sizes = np.array([len(scores[k]) for k in self.order], np.int64)
+        self.first = np.ones(len(scores), bool) if first is None else np.asarray(first, bool)[self.order]
+        most = int(self.sizes.max(initial=0))
+        grid = np.zeros((most, len(scores)))
+        for c, k in enumerate(self.order):
+            grid[: len(scores[k]), c] = scores[k]
+        self.ratio = 10 ** (grid / 10)
+        self.live = [int((self.sizes > k).sum()) for k in range(most)]
+
+    def rows(self, grid: np.ndarray) -> list[np.ndarray]:
+        """A grid (codon, piece) as one array a piece, in the order that the pieces were given in."""
+        out: list = [None] * len(self.order)
+        for c, k in enumerate(self.order.tolist()):
+            out[k] = grid[: self.sizes[c], c]
+        return out
+
+    def given(self, x: np.ndarray) -> np.ndarray:
+        return x[self.order]
+
+    def _back(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[self.order] = x
+        return out
+
+    def products(self) -> np.ndarray:
+        """(piece, 4, 4): the product of moves and emissions of all codons, scaled; a first piece has no move before its first codon."""
+        m = np.tile(np.eye(4), (len(self.sizes), 1, 1))
+        for k, n in enumerate(self.live):
+            x = m[:n] if k == 0 else _turned(m[:n], self.hmm.move)
+            if k == 0:
+                x = np.where(self.first[:n, None, None], x, _turned(x, self.hmm.move))
+            x = x.copy()
+            x[:, :, 0] *= self.ratio[k, :n, None]
+            m[:n] = x / x.max((1, 2), keepdims=True)
+        return self._back(m)
+
+    def posteriors(self, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """(codon, piece): probability of coding; ``before`` are forward values at the codon before a piece, ``after`` backward ones at its last."""
+        move, many = self.hmm.move, len(self.sizes)
+        forward = np.zeros((len(self.live), many, 4))
+        f = np.tile(self.hmm.start, (many, 1))
+        if before is not None:
+            f = np.where(self.first[:, None], f, _turned(self.given(before), move))
+        for k, n in enumerate(self.live):
+            f = f[:n] if k == 0 else _turned(f[:n], move)
+            f = f.copy()
+            f[:, 0] *= self.ratio[k, :n]
+            if k:
+                f = f / f.max(1, keepdims=True)
+            elif before is not None:
+                f = np.where(self.first[:n, None], f, f / f.max(1, keepdims=True))
+            forward[k, :n] = f
+        out = np.zeros((len(self.live), many))
+        b = np.ones((many, 4)) if after is None else self.given(after).copy()
+        for k in range(len(self.live) - 1, -1, -1):
+            n = self.live[k]
+            m = self.live[k + 1] if k + 1 < len(self.live) else 0
+            if m:
+                x = b[:m].copy()
+                x[:, 0] *= self.ratio[k + 1, :m]
+                x = _turned(x, move.T)
+                b[:m] = x / x.max(1, keepdims=True)
+            both = forward[k, :n] * b[:n]
+            out[k, :n] = both[:, 0] / (both[:, 0] + both[:, 1] + both[:, 2] + both[:, 3])
+        return out
+
+    # --- best paths, in whole numbers
+    def best_products(self) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, 4, 4) twice: the value of the best way from each state before a piece to each at its end, and its place among the ways to that end.
+
+        Of equal ways the one counts whose states are smaller, compared from the end back, as that is
+        what taking the first of equal predecessors at every step comes to.
+        """
+        move, gain = _whole_log(self.hmm.move), _whole_log(self.ratio)
+        v = np.where(np.eye(4, dtype=bool), 0, _NEVER)[None].repeat(len(self.sizes), 0)
+        place = np.tile(np.arange(4)[:, None], (len(self.sizes), 1, 4))
+        for k, n in enumerate(self.live):
+            ways = v[:n, :, :, None] + move
+            came, x = ways.argmax(2), ways.max(2)
+            if k == 0:
+                x = np.where(self.first[:n, None, None], v[:n], x)
+                came = np.broadcast_to(np.arange(4)[:, None], came.shape)
+            key = came * 4 + np.take_along_axis(place[:n], came, 2)
+            if k:
+                place[:n] = (key[:, :, None, :] > key[:, None, :, :]).sum(2)
+            x[:, :, 0] += gain[k, :n, None]
+            v[:n] = np.maximum(x, _NEVER)
+        return self._back(v), self._back(place)
+
+    def best(self, before: np.ndarray | None = None) -> np.ndarray:
+        """(codon, piece, 4): the state that each state was best reached from; keeps the values at the ends of pieces in ``ends``."""
+        move, gain, many = _whole_log(self.hmm.move), _whole_log(self.ratio), len(self.sizes)
+        came = np.zeros((len(self.live), many, 4), np.int8)
+        v = np.tile(_whole_log(self.hmm.start), (many, 1))
+        given = None if before is None else self.given(before)
+        for k, n in enumerate(self.live):
+            if k or given is not None:
+                ways = (v if k else np.where(self.first[:, None], v, given))[:n, :, None] + move
+                came[k, :n] = ways.argmax(1)
+                x = ways.max(1)
+                if not k:
+                    x = np.where(self.first[:n, None], v[:n], x)
+            else:
+                x = v[:n].copy()
+            x[:, 0] += gain[k, :n]
+            v[:n] = np.maximum(x - x.max(1, keepdims=True), _NEVER)
+        self.ends = self._back(v)
+        return came
+
+    def paths(self, came: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+        """(codon, piece): the states of the best path that ends in ``last``, or in the best state."""
+        at = self.given(self.ends).argmax(1) if last is None else self.given(np.asarray(last))
+        out = np.zeros((len(self.live), len(self.sizes)), np.int8)
+        for k in range(len(self.live) - 1, -1, -1):
+            n = self.live[k]
+            out[k, :n] = at[:n]
+            at[:n] = np.take_along_axis(came[k, :n], at[:n, None], 1)[:, 0]
+        return out
+
+
+def scan(hmm: Hmm, products: np.ndarray, best: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each piece of one segment, in order, needs of the others: forward values before it, backward values at its end, values of best paths before it, and the state that the best path is in at its end."""
+    n = len(products)
+    before, after, ways, last = np.zeros((n, 4)), np.ones((n, 4)), np.zeros((n, 4), np.int64), np.zeros(n, np.int64)
+    entry = np.zeros((n, 4), np.int64)
+    f, v = hmm.start, _whole_log(hmm.start)
+    for k in range(n):
+        before[k], ways[k] = f, v
+        f = _turned(f, products[k])
+        f = f / f.max()
+        to = v[:, None] + best[k]
+        v = to.max(0)
+        entry[k] = np.where(to == v, place[k], 4).argmin(0)
+        v = np.maximum(v - v.max(), _NEVER)
+    at = int(v.argmax())
+    for k in range(n - 1, -1, -1):
+        last[k], at = at, int(entry[k, at])
+        if k:
+            b = _turned(after[k], products[k].T)
+            after[k - 1] = b / b.max()
+    return before, after, ways, last
 
 
 def coding_runs(path: np.ndarray, compat: bool = True) -> list[tuple[int, int]]:

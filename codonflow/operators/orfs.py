@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codonflow.functions import sequences as S
 
-from .annotate import TRACKS, _on_bases
+from .annotate import TRACKS, interval_sums, place_sequences
 
 MODES = ("ALL", "LONGEST", "BEST_SCORE")
 _TURN = str.maketrans("ACGT", "TGCA")
@@ -37,30 +37,20 @@ def reading_frames(seq: str, strand: str, min_codons: int = 25) -> list[tuple[in
 def spliced(exons: DataFrame, genome: DataFrame) -> DataFrame:
     """(file, tx_no, chrom, strand, seq) of exons(file, tx_no, chrom, strand, begin, end), 1-based: exons in order of place.
 
-    Transcripts without a strand or with an unknown chromosome are left out.
+    genome(chrom, seq).  Transcripts without a strand or with an unknown chromosome are left out.
     """
-    rows = exons.where(F.col("strand").isin("+", "-")).join(genome.withColumnRenamed("seq", "__g"), "chrom")
-    rows = rows.select("file", "tx_no", "chrom", "strand", "begin", F.upper(F.substring(F.col("__g"), F.col("begin").cast("int"), (F.col("end") - F.col("begin") + 1).cast("int"))).alias("part"))
-    groups = rows.groupBy("file", "tx_no", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("all"))
-    return groups.select("file", "tx_no", "chrom", "strand", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("seq"))
+    return spliced_pieces(exons, genome.withColumn("start", F.lit(1).cast("long")))
 
 
 def spliced_pieces(exons: DataFrame, pieces: DataFrame, chunk: int = 1000) -> DataFrame:
     """The same as ``spliced`` for a genome in pieces(chrom, start, seq), 1-based, that do not overlap, in any number and length.
 
-    Exons meet the pieces in chunks of a chromosome, so that no row holds more of it than a
-    piece or an exon.  Of an exon that reaches beyond the genome the bases inside it count.
+    Exons that transcripts share are cut out once.
     """
-    chunks = lambda a, z: F.explode(F.sequence(F.floor((F.col(a) - 1) / chunk), F.floor((F.col(z) - 1) / chunk)))
     known = exons.where(F.col("strand").isin("+", "-")).join(pieces.select("chrom").distinct(), "chrom", "left_semi").select("file", "tx_no", "chrom", "strand", "begin", "end")
-    parts = pieces.where(F.length("seq") > 0).withColumn("stop", F.col("start") + F.length("seq") - 1).withColumn("chunk", chunks("start", "stop"))
-    low, high = F.greatest("start", F.col("chunk") * chunk + 1), F.least("stop", (F.col("chunk") + 1) * chunk)
-    parts = parts.select("chrom", "chunk", low.alias("at"), F.upper(F.substring(F.col("seq"), (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int"))).alias("part"))
-    rows = known.withColumn("chunk", chunks("begin", "end")).join(parts, ["chrom", "chunk"], "left")
-    skip = F.greatest(F.col("begin") - F.col("at"), F.lit(0))
-    own = F.when(F.col("at") <= F.col("end"), F.substring(F.col("part"), (skip + 1).cast("int"), (F.col("end") - F.col("at") - skip + 1).cast("int")))
-    rows = rows.select("file", "tx_no", "chrom", "strand", "begin", "at", F.coalesce(own, F.lit("")).alias("part"))
-    groups = rows.groupBy("file", "tx_no", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("begin", "at", "part"))).alias("all"))
+    rows = known.join(place_sequences(known, pieces, chunk), ["chrom", "begin", "end"], "left")
+    rows = rows.select("file", "tx_no", "chrom", "strand", "begin", F.upper(F.coalesce("seq", F.lit(""))).alias("part"))
+    groups = rows.groupBy("file", "tx_no", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("all"))
     return groups.select("file", "tx_no", "chrom", "strand", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("seq"))
 
 
@@ -108,24 +98,14 @@ def score_orfs(parts: DataFrame, tracks: DataFrame, sizes: DataFrame) -> DataFra
     """parts with score_mean and power_mean of themselves, and ``orf_score``, ``orf_power`` of their ORF.
 
     score_mean: sum of score times power where both are known, by the sum of all power.
-    Every base of an exon is looked up once in the three frames of its strand, and
-    parts take differences of running sums, however many ORFs share it.
+    Sums are differences of running sums at the ends of parts, whatever their length and however many ORFs share them.
     """
     keys = ["file", "tx_no", "orf_begin", "orf_end"]
     parts = parts.join(sizes.select("chrom", F.col("len").alias("chrom_len")), "chrom")
     number = S.track_frame("strand", "phase", "begin", "end", "chrom_len")
     parts = parts.withColumn("frame", F.element_at(F.array(*[F.lit(t) for t in TRACKS]), number + 1))
-    exon = ["chrom", "exon_begin", "exon_end", "frame"]
-    bases = parts.select(*exon).distinct().withColumn("base", F.explode(F.sequence("exon_begin", "exon_end")))
-    bases = _on_bases(_on_bases(bases, tracks, F.col("frame"), "s"), tracks, F.lit("power"), "p")
-    run = Window.partitionBy(*exon).orderBy("base")
-    known = F.col("s").isNotNull() & F.col("p").isNotNull()
-    bases = bases.select(*exon, "base", F.sum(F.when(known, F.col("s") * F.col("p")).otherwise(0.0)).over(run).alias("sp"), F.sum(known.cast("long")).over(run).alias("n"), F.sum(F.coalesce("p", F.lit(0.0))).over(run).alias("pp"))
-    low = bases.select(*exon, (F.col("base") + 1).alias("begin"), F.col("sp").alias("sp0"), F.col("n").alias("n0"), F.col("pp").alias("pp0"))
-    high = bases.select(*exon, F.col("base").alias("end"), "sp", "n", "pp")
-    rows = parts.join(high, [*exon, "end"]).join(low, [*exon, "begin"], "left")
-    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
-    rows = rows.withColumn("__sp", less("sp", "sp0")).withColumn("__n", less("n", "n0")).withColumn("__pp", less("pp", "pp0")).withColumn("__b", F.col("end") - F.col("begin") + 1)
+    rows = parts.join(interval_sums(parts, tracks), ["chrom", "frame", "begin", "end"]).select(*parts.columns, F.col("weighted").alias("__sp"), F.col("n_both").alias("__n"), F.col("power").alias("__pp"))
+    rows = rows.withColumn("__b", F.col("end") - F.col("begin") + 1)
     of = Window.partitionBy(*keys)
     mean = lambda sp, n, pp: F.when(n > 0, F.try_divide(sp, pp))
     rows = rows.withColumn("score_mean", mean(F.col("__sp"), F.col("__n"), F.col("__pp"))).withColumn("power_mean", F.col("__pp") / F.col("__b"))

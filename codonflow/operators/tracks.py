@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codonflow.model.hmm import Hmm, HmmParameters, best_path, coding_posterior, fit_gaps
+from codonflow.model.hmm import Hmm, HmmParameters, Pieces, fit_gaps, scan
 from codonflow.model.species import Model
 
 from .alignments import in_frames
 from .scoring import score_bases, score_codons
 
-#: codons of a segment that one task smooths; longer ones are cut, each piece with codons around it
-PIECE, AROUND = 200_000, 10_000
+#: codons of a piece of a segment, and cells of the grid (codons of the longest times pieces) that are worked on at once
+PIECE, CELLS = 512, 1 << 18
 #: positions of a bucket in which runs are looked for
 BUCKET = 1_000_000
 
@@ -50,11 +53,12 @@ def raw_tracks(alignments: DataFrame, model: Model, threshold: float = 0.1) -> D
     return rows.join(power, ["chrom", "pos"]).select("chrom", "frame", "pos", "score", (F.col("total") / 3).alias("power"))
 
 
-def segments(track: DataFrame, keys: tuple[str, ...] = ("chrom", "frame"), step: int = 3) -> DataFrame:
+def segments(track: DataFrame, keys: tuple[str, ...] = ("chrom", "frame"), step: int = 3, name: str = "segment") -> DataFrame:
     """track with ``segment``: the first pos of the contiguous run, a step apart, that a row is in.
 
     Runs are found inside buckets of positions; a window over one row a bucket carries
     them from one to the next, so that a chromosome is as many tasks as it has buckets.
+    Rows with a null in a key or pos are left out; a place that occurs twice begins a run anew.
     """
     rows = track.withColumn("__b", F.floor(F.col("pos") / BUCKET))
     order = Window.partitionBy(*keys, "__b").orderBy("pos")
@@ -66,52 +70,110 @@ def segments(track: DataFrame, keys: tuple[str, ...] = ("chrom", "frame"), step:
     each = each.withColumn("fresh", F.when(F.coalesce(F.col("lo") - F.lag("hi").over(along) != step, F.lit(True)), F.col("lo")))
     carried = F.last(F.coalesce("inner", "fresh"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
     each = each.select(*keys, "__b", F.coalesce("fresh", carried).alias("__in"))
-    return rows.join(each, [*keys, "__b"]).select(*track.columns, F.coalesce("__own", "__in").alias("segment"))
+    return rows.join(each, [*keys, "__b"]).select(*track.columns, F.coalesce("__own", "__in").alias(name))
+
+
+def _scores(codons: pa.ListArray, compat: bool) -> list[np.ndarray]:
+    x = codons.flatten().field("score").to_numpy(zero_copy_only=False).astype(float)
+    x = np.round(x, 3) if compat else x
+    return np.split(x, np.cumsum(np.diff(codons.offsets.to_numpy()))[:-1]) if len(codons) else []
+
+
+def _grids(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces, numbered, in lots of like length whose grid has at most CELLS cells."""
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, CELLS // max(1, int(sizes[order[at]])))
+        yield order[at : at + n]
+        at += n
+
+
+def _summaries(hmm: Hmm, compat: bool, width: int):
+    """Products of pieces: rows (keys, segment, piece, codons) without codons, with the three arrays of 16."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = _scores(b.column(width + 2), compat)
+            first = b.column(width + 1).to_numpy() == 0
+            for lot in _grids(np.array([len(x) for x in scores])):
+                pieces = Pieces(hmm, [scores[k] for k in lot], first[lot])
+                lists = [pa.array(x.reshape(len(lot), 16).tolist()) for x in (pieces.products(), *pieces.best_products())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(lot)) for c in range(width + 2)), *lists], names=[*b.schema.names[: width + 2], "products", "best", "place"])
+
+    return run
+
+
+def _smoothed(hmm: Hmm, compat: bool, width: int):
+    """Rows of codons of pieces (keys, segment, piece, codons, before, after, ways, last); without the latter a piece is a segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = _scores(b.column(width + 2), compat)
+            pos = np.split(b.column(width + 2).flatten().field("pos").to_numpy(), np.cumsum([len(x) for x in scores])[:-1]) if scores else []
+            piece = b.column(width + 1).to_numpy()
+            known = b.column(width + 3).is_valid().to_numpy(zero_copy_only=False)
+            state = [np.tile(np.array(x), (len(b), 1)) for x in ([1.0] * 4, [1.0] * 4, [0] * 4)]
+            for c in range(3):
+                if known.any():
+                    state[c][known] = np.array([x for x in b.column(width + 3 + c).to_pylist() if x is not None])
+            last = b.column(width + 6).fill_null(-1).to_numpy()
+            for lot in _grids(np.array([len(x) for x in scores])):
+                pieces = Pieces(hmm, [scores[k] for k in lot], ~known[lot] | (piece[lot] == 0))
+                cut = known[lot].any()
+                p = pieces.posteriors(state[0][lot], state[1][lot]) if cut else pieces.posteriors()
+                came = pieces.best(state[2][lot]) if cut else pieces.best()
+                path = pieces.rows(pieces.paths(came, np.where(last[lot] < 0, pieces.ends.argmax(1), last[lot])))
+                with np.errstate(divide="ignore"):
+                    odds = [np.clip(np.log10(x / (1 - x)), -15, 15) for x in pieces.rows(p)]
+                take = pa.array(np.repeat(lot, [len(x) for x in path]))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(width + 1)), pa.array(np.concatenate([pos[k] for k in lot])), pa.array(np.concatenate(odds)), pa.array(np.concatenate(path).astype(np.int32))], names=[*b.schema.names[: width + 1], "pos", "log_odds", "state"])
+
+    return run
 
 
 def smooth(track: DataFrame, hmm: Hmm, compat: bool = True, keys: tuple[str, ...] = ("chrom", "frame")) -> DataFrame:
     """(keys, segment, pos, log_odds, state) of track(keys, pos, score).
 
-    compat: scores are rounded to three decimals first.  A segment longer than PIECE is
-    smoothed in pieces with AROUND more codons on either side, where the chain
-    has forgotten what lies beyond; shorter ones, nearly all, whole.
+    compat: scores are rounded to three decimals first.  Segments are cut into pieces of PIECE
+    codons, and many pieces are worked on side by side.  What a piece of a longer segment needs
+    of the others comes from a scan over three small matrices a piece: forward and backward
+    values, and the best path's value and state where pieces meet.  So the result is that of
+    whole segments, of any length, and paths are the same, ties included.
+
+    Rows with a null in a key, pos or score are left out, which ends a segment there.
     """
-    rows = segments(track, keys)
-    nth = ((F.col("pos") - F.col("segment")) / 3).cast("long")
-    rows = rows.withColumn("nth", nth).withColumn("piece", F.floor(F.col("nth") / PIECE))
-    after = rows.where(F.col("nth") % PIECE < AROUND).where("piece > 0").withColumn("piece", F.col("piece") - 1)
-    before = rows.where(F.col("nth") % PIECE >= PIECE - AROUND).withColumn("piece", F.col("piece") + 1)
-    every = rows.unionByName(after).unionByName(before).select(*keys, "segment", "piece", "pos", "score")
+    rows = segments(track.where(F.col("score").isNotNull()), keys)
+    rows = rows.withColumn("nth", ((F.col("pos") - F.col("segment")) / 3).cast("long")).withColumn("piece", F.floor(F.col("nth") / PIECE))
+    own = [*keys, "segment"]
+    pieces = rows.groupBy(*own, "piece").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("score").cast("double").alias("score")))).alias("codons"))
     kinds = dict(track.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", segment long, pos long, log_odds double, state int"
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", segment long, "
+    cut = rows.where(F.col("nth") == PIECE).select(*own).distinct()
+    sums = pieces.join(cut, own, "left_semi").mapInArrow(_summaries(hmm, compat, len(keys)), f"{head} piece long, products array<double>, best array<long>, place array<long>")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos", ignore_index=True)
-        scores = part["score"].round(3).to_numpy() if compat else part["score"].to_numpy()
-        p = coding_posterior(hmm, scores)
-        with np.errstate(divide="ignore"):
-            odds = np.clip(np.log10(p / (1 - p)), -15, 15)
-        part["log_odds"], part["state"] = odds, best_path(hmm, scores).astype("int32")
-        own = (part["pos"] - part["segment"]) // 3 // PIECE == part["piece"]
-        return part.loc[own, [*keys, "segment", "pos", "log_odds", "state"]]
+    def along(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("piece", ignore_index=True)
+        products, best, place = (np.stack(part[c].to_list()).reshape(-1, 4, 4) for c in ("products", "best", "place"))
+        before, after, ways, last = scan(hmm, products, best, place)
+        return part[[*own, "piece"]].assign(before=list(before), after=list(after), ways=list(ways), last=last.astype("int32"))
 
-    return every.groupBy(*keys, "segment", "piece").applyInPandas(run, schema)
+    ends = sums.groupBy(*own).applyInPandas(along, f"{head} piece long, before array<double>, after array<double>, ways array<long>, last int")
+    return pieces.join(ends, [*own, "piece"], "left").mapInArrow(_smoothed(hmm, compat, len(keys)), f"{head} pos long, log_odds double, state int")
 
 
 def regions(smoothed: DataFrame, compat: bool = True, keys: tuple[str, ...] = ("chrom", "frame")) -> DataFrame:
     """(keys, begin, end, log_odds): coding runs of the best path, half-open from 0, with the largest odds in them.
 
     compat: segments of one codon have none, and neither have those of two, both coding.
+    Runs are found like segments, bucket by bucket.
     """
-    size = Window.partitionBy(*keys, "segment")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    rows = smoothed.withColumn("n", F.count("*").over(size)).withColumn("coding", F.count_if(F.col("state") == 0).over(size))
+    own = [*keys, "segment"]
+    rows = smoothed.where("state = 0")
     if compat:
-        rows = rows.where("n > 1 and not (n = 2 and coding = 2)")
-    rows = rows.where("state = 0")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(order) != 3) | (F.lag("segment").over(order) != F.col("segment")), F.lit(True))
-    rows = rows.withColumn("run", F.sum(new.cast("int")).over(order))
-    runs = rows.groupBy(*keys, "run").agg((F.min("pos") - 1).alias("begin"), (F.max("pos") + 2).alias("end"), F.max("log_odds").alias("log_odds"))
+        short = smoothed.groupBy(*own).agg(F.count("*").alias("n"), F.count_if(F.col("state") == 0).alias("coding")).where("n = 1 or (n = 2 and coding = 2)")
+        rows = rows.join(short.select(*own), own, "left_anti")
+    runs = segments(rows, tuple(own), name="run").groupBy(*own, "run").agg((F.min("pos") - 1).alias("begin"), (F.max("pos") + 2).alias("end"), F.max("log_odds").alias("log_odds"))
     return runs.select(*keys, "begin", "end", "log_odds")
 
 
@@ -124,42 +186,71 @@ def mean_smoothed(alignments: DataFrame, model: Model, hmm: Hmm) -> DataFrame:
     return rows.join(means, "__k", "left").select(*key, "phylo")
 
 
+_EXON = ["chrom", "strand", "phase"]
+
+
+def _clusters(exons: DataFrame) -> DataFrame:
+    """exons with ``cluster``, the start of the first of those that reach into each other, directly or by others.
+
+    Bucket by bucket of starts; how far earlier exons reach, and the cluster that is open, are carried by one row a bucket.
+    """
+    rows = exons.withColumn("__b", F.floor(F.col("start") / BUCKET))
+    order = Window.partitionBy(*_EXON, "__b").orderBy("start", "end")
+    along = Window.partitionBy(*_EXON).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*_EXON, "__b").agg(F.max("end").alias("__r")).select(*_EXON, "__b", F.max("__r").over(along).alias("__r"))
+    before = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__r"))
+    rows = rows.join(reach, [*_EXON, "__b"]).withColumn("__new", F.when(before.isNull() | (F.col("start") > before), F.col("start")))
+    rows = rows.withColumn("__own", F.last("__new", ignorenulls=True).over(order))
+    opened = rows.groupBy(*_EXON, "__b").agg(F.max("__new").alias("__o")).select(*_EXON, "__b", F.last("__o", ignorenulls=True).over(along).alias("__o"))
+    return rows.join(opened, [*_EXON, "__b"]).select(*exons.columns, F.coalesce("__own", "__o").alias("cluster"))
+
+
 def without_overlaps(exons: DataFrame) -> DataFrame:
     """exons(chrom, strand, phase, start, end) without overlaps by chromosome, strand and phase.
 
     In order of place, of two that overlap the longer stays, of equal ones the earlier.
-    Only exons that reach into each other, directly or by others, meet in a task.
+    Only exons of one cluster meet in a task, which passes over them in order and holds one.
+    Rows with a null are left out.
     """
-    keys = ["chrom", "strand", "phase"]
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = exons.withColumn("cluster", F.sum(F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).over(order))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start", "end"], ignore_index=True)
-        kept: list[int] = []
-        for k, (a, z) in enumerate(zip(part["start"], part["end"], strict=True)):
-            if kept and part["end"][kept[-1]] >= a:
-                last = kept[-1]
-                if z - a > part["end"][last] - part["start"][last]:
-                    kept[-1] = k
-            else:
-                kept.append(k)
-        return part.iloc[kept][[*keys, "start", "end"]]
+    rows = _clusters(exons.select(*_EXON, "start", "end").dropna())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = last = None
+        for b in batches:
+            kept = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key, (a, z) = (*row[:3], row[5]), row[3:5]
+                if last is not None and key == own and last[4] >= a:
+                    last = row if z - a > last[4] - last[3] else last
+                else:
+                    kept += [last] if last is not None else []
+                    own, last = key, row
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(x, c.type) for x, c in zip(list(zip(*kept, strict=True))[:5], b.columns, strict=False)], names=b.schema.names[:5])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], c.type) for x, c in zip(last[:5], b.columns, strict=False)], names=b.schema.names[:5])
 
     kinds = dict(exons.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "start", "end"])
-    return rows.groupBy(*keys, "cluster").applyInPandas(run, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*_EXON, "start", "end"])
+    return rows.repartition(*_EXON, "cluster").sortWithinPartitions(*_EXON, "cluster", "start", "end").mapInArrow(run, schema)
 
 
 def exon_gaps(exons: DataFrame, compat: bool = True) -> DataFrame:
-    """(gap): bases between neighbours of one chromosome, strand and phase; compat: of every other pair."""
-    order = Window.partitionBy("chrom", "strand", "phase").orderBy("start", "end")
-    rows = exons.withColumn("next", F.lead("start").over(order)).withColumn("nth", F.row_number().over(order))
-    rows = rows.where(F.col("next") - F.col("end") - 1 > 0)
+    """(gap): bases between neighbours of one chromosome, strand and phase; compat: of every other pair.
+
+    Neighbours meet in buckets of starts; what comes next and how many came before is carried by one row a bucket.
+    """
+    rows = exons.withColumn("__b", F.floor(F.col("start") / BUCKET))
+    order = Window.partitionBy(*_EXON, "__b").orderBy("start", "end")
+    along = Window.partitionBy(*_EXON).orderBy("__b")
+    each = rows.groupBy(*_EXON, "__b").agg(F.min("start").alias("first"), F.count("*").alias("n"))
+    each = each.select(*_EXON, "__b", F.lead("first").over(along).alias("after"), (F.sum("n").over(along) - F.col("n")).alias("before"))
+    rows = rows.withColumn("next", F.lead("start").over(order)).withColumn("nth", F.row_number().over(order)).join(each, [*_EXON, "__b"])
+    gap = F.coalesce("next", "after") - F.col("end") - 1
+    rows = rows.where(gap > 0)
     if compat:
-        rows = rows.where("nth % 2 = 1")
-    return rows.select((F.col("next") - F.col("end") - 1).alias("gap"))
+        rows = rows.where("(nth + before) % 2 = 1")
+    return rows.select(gap.alias("gap"))
 
 
 def exon_totals(exons: DataFrame, genome_length: int) -> DataFrame:

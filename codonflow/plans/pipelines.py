@@ -15,8 +15,10 @@ from codonflow.operators import annotate as N
 from codonflow.operators import orfs as O
 from codonflow.operators import scoring as C
 from codonflow.operators import tracks as T
+from codonflow.operators.search import gapped_search
 from codonflow.sources import sinks as K
 from codonflow.sources import text as R
+from codonflow.sources.bigwig import big_wig_sizes
 
 
 def _blocks(spark: SparkSession, paths: list[str], model: Model, mapping: str | None, tracks: bool) -> DataFrame:
@@ -65,6 +67,7 @@ def build_tracks(spark: SparkSession, model: Model, paths: list[str], output: st
     power = T.power_track(C.score_bases(blocks.select("file", "block_id", "chrom", "start", "seqs"), model)).withColumnRenamed("power", "score")
     codons = T.raw_tracks(blocks, model, threshold)
     power.write.parquet(f"{output}/power.parquet")
+    power = spark.read.parquet(f"{output}/power.parquet")
     codons.write.partitionBy("frame").parquet(f"{output}/raw.parquet")
     codons = spark.read.parquet(f"{output}/raw.parquet").withColumn("frame", F.col("frame").cast("string"))
     K.write_lines(K.fixed_step_lines(power, 4), f"{output}/power.wig", "chrom", "pos", "nth")
@@ -84,8 +87,15 @@ def build_tracks(spark: SparkSession, model: Model, paths: list[str], output: st
     return Tracks(power, codons, smoothed, found)
 
 
-def annotate_with_tracks(spark: SparkSession, tracks: str, sizes: DataFrame, paths: list[str], output: str) -> DataFrame:
-    """Gene models with the score and power of tracks on transcripts and coding exons."""
+def annotate_with_tracks(spark: SparkSession, tracks: str, sizes: DataFrame | None, paths: list[str], output: str) -> DataFrame:
+    """Gene models with the score and power of tracks on transcripts and coding exons.
+
+    bigWig tracks know the lengths of their chromosomes; others need sizes(chrom, len).
+    """
+    if sizes is None:
+        if not R.is_big_wig(tracks):
+            raise ValueError("tracks other than bigWig need the lengths of chromosomes")
+        sizes = spark.createDataFrame(sorted(big_wig_sizes(tracks).items()), "chrom string, len long")
     out = N.annotate(R.gene_models(spark, paths), R.track_set(spark, tracks), sizes)
     K.write_lines(K.annotated_lines(out), output, "file", "line_no")
     return out
@@ -93,10 +103,10 @@ def annotate_with_tracks(spark: SparkSession, tracks: str, sizes: DataFrame, pat
 
 def find_cds(spark: SparkSession, genome: str, tracks: str, paths: list[str], output: str, mode: str = "LONGEST", min_score: float = 0.0, min_codons: int = 25, evaluate: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Coding sequences of transcripts by reading frames and tracks; with their evaluation against annotated ones."""
-    features, seqs = R.gene_models(spark, paths), R.genome(spark, genome)
+    features, pieces = R.gene_models(spark, paths), R.genome_pieces(spark, genome)
     exons = features.where("feature = 'exon'")
-    parts = O.orf_exons(O.find_orfs(O.spliced(exons, seqs), min_codons), exons)
-    parts = O.score_orfs(parts, R.track_set(spark, tracks), seqs.select("chrom", F.length("seq").cast("long").alias("len")))
+    parts = O.orf_exons(O.find_orfs(O.spliced_pieces(exons, pieces), min_codons), exons)
+    parts = O.score_orfs(parts, R.track_set(spark, tracks), R.genome_sizes(pieces))
     chosen = O.choose(parts, mode, min_score)
     K.write_lines(K.predicted_lines(features, chosen), output, "file", "tx_no", "line_no", "nth")
     return chosen, O.evaluation(chosen, O.choose(parts, "ALL", min_score), features) if evaluate else None
@@ -105,16 +115,20 @@ def find_cds(spark: SparkSession, genome: str, tracks: str, paths: list[str], ou
 Search = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def annotate_with_search(spark: SparkSession, genomes: str, model: Model, paths: list[str], output: str, strategy: str = "FIXED", search: Search = N.seed_search, mapping: str | None = None) -> DataFrame:
+def annotate_with_search(spark: SparkSession, genomes: str, model: Model, paths: list[str], output: str, strategy: str = "FIXED", search: Search = gapped_search, mapping: str | None = None, exons: str | None = None, genome_length: int | None = None) -> DataFrame:
     """Gene models with the scores of alignments that a search of other genomes makes.
 
-    search(queries(query, seq), genomes(genome, chrom, seq)) gives hits as ``seed_search`` does.
+    search(queries(query, seq), genomes(genome, chrom, start, seq)) gives hits as ``gapped_search`` does.
+    FIXED_MEAN smooths the codons of each alignment, for which it needs coding exons and a genome length.
     """
+    hmm = _hmm(spark, exons, genome_length)
+    if strategy == "FIXED_MEAN" and hmm is None:
+        raise ValueError("FIXED_MEAN needs coding exons and a genome length")
     listed = R.genome_list(spark, genomes).orderBy("n").collect()
-    reference = R.genome(spark, listed[0].path)
+    reference = R.genome_pieces(spark, listed[0].path)
     others = None
     for row in listed[1:]:
-        one = R.genome(spark, row.path).select(F.lit(row.name).alias("genome"), "chrom", "seq")
+        one = R.genome_pieces(spark, row.path).select(F.lit(row.name).alias("genome"), "chrom", "start", "seq")
         others = one if others is None else others.unionByName(one)
     features = R.gene_models(spark, paths)
     cds = features.where("feature = 'CDS'").withColumn("phase", F.coalesce("phase", F.lit(0)))
@@ -126,7 +140,11 @@ def annotate_with_search(spark: SparkSession, genomes: str, model: Model, paths:
     rows = A.resolve_species(rows.withColumnRenamed("genome", "species"), model.leaves, aliases)
     groups = rows.groupBy("query").agg(F.min("line_no").alias("line_no"), F.map_from_entries(F.collect_list(F.struct("leaf", "seq"))).alias("m"), F.max(F.length("seq")).alias("n")).where(F.size("m") > 1)
     seqs = F.transform(F.sequence(F.lit(0), F.lit(len(model.leaves) - 1)), lambda k: F.coalesce(F.element_at("m", k), F.repeat(F.lit("N"), F.col("n").cast("int"))))
-    scores = C.score_alignments(groups.select("query", "line_no", seqs.alias("seqs")), model, strategy)
+    aligned = groups.select("query", "line_no", seqs.alias("seqs"))
+    if strategy == "FIXED_MEAN":
+        scores = C.score_alignments(aligned, model, "FIXED").drop("phylo").join(T.mean_smoothed(aligned, model, hmm).select("query", "phylo"), "query")
+    else:
+        scores = C.score_alignments(aligned, model, strategy)
     scored = N.score_by_place(cds, scores.select(F.col("query").alias("key"), F.col("phylo").alias("score"), "line_no"))
     power = N.score_by_place(cds, scores.select(F.col("query").alias("key"), F.col("bls").alias("score"), "line_no"))
     lines = scored.select("file", "line_no", F.col("score").alias("score_mean")).join(power.select("file", "line_no", F.col("score").alias("power_mean")), ["file", "line_no"])

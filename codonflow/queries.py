@@ -24,8 +24,10 @@ from .operators import annotate as N
 from .operators import orfs as O
 from .operators import scoring as C
 from .operators import tracks as T
+from .operators.search import gapped_search
 from .sources import sinks as K
 from .sources import text as R
+from .sources.bigwig import write_big_wig
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -375,10 +377,14 @@ _MEANS = "round(sum(CASE WHEN s IS NOT NULL AND p IS NOT NULL THEN s * p END) /
 
 def _rounded(df: DataFrame, *keys: str) -> DataFrame:
     power = F.floor(F.col("power_mean") * 1e8 + 0.37) / 1e8  # rounded, but not at ties
-    return df.select(*keys, F.round("score_mean", 5).alias("score_mean"), power.alias("power_mean"))
+    score = F.round(F.col("score_mean") + 1e-11 * F.signum("score_mean"), 5)  # ties go away from zero, whatever digits sums have lost
+    return df.select(*keys, score.alias("score_mean"), power.alias("power_mean"))
 
 
-@query(f"WITH {_BASES} SELECT line_no, {_MEANS} FROM v GROUP BY 1")
+_ANNOTATED = f"WITH {_BASES} SELECT line_no, {_MEANS} FROM v GROUP BY 1"
+
+
+@query(_ANNOTATED)
 def annotate_exons(spark, sf):
     return _rounded(N.annotate(X.features(spark, sf).withColumn("line", F.lit("")), X.tracks(spark, sf), X.sizes(spark)), "line_no")
 
@@ -517,6 +523,15 @@ def search_sequences(spark, sf):
     return N.seed_search(q, g).select("query", "genome", "target", "place", "score", "seq")
 
 
+@query()
+def search_sequences_gapped(spark, sf):
+    """Gapped hits of the whole sequences of documents whose id is divisible by 50 in all documents, a chromosome each, in two genomes."""
+    d = X.dna(spark, sf)
+    q = d.select(F.col("doc_id").alias("query"), F.col("dna").alias("seq")).where("query % 50 = 0")
+    g = d.select((F.col("doc_id") % 2).alias("genome"), F.col("doc_id").cast("string").alias("chrom"), F.lit(1).cast("long").alias("start"), F.col("dna").alias("seq"))
+    return gapped_search(q, g)
+
+
 @query("SELECT s AS species, CASE WHEN s = 'a' THEN 'ape' ELSE '' END AS aliases FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(s)")
 def model_species(spark, sf):
     from .model.species import model_info
@@ -559,7 +574,45 @@ def read_track_set(spark, sf):
         lines = K.fixed_step_lines(track, 4 if frame == "power" else 3).join(track.select("chrom", "pos", "segment"), ["chrom", "pos"])
         # a run of steps is never cut, so that every file begins with a header
         lines.repartitionByRange("chrom", "segment").sortWithinPartitions("chrom", "pos", "nth").select("line").write.text(f"{folder}/raw{frame}.wig")
-    return R.track_set(spark, f"{folder}/raw+1.wig")
+    return R.track_set(spark, f"{folder}/raw+1.wig").drop("span")
+
+
+def _intervals(spark, sf, frame: str) -> DataFrame:
+    """The codons of a track as intervals, half-open from 0, on the chromosome's own axis."""
+    rows = X.tracks(spark, sf).where((F.col("frame") == frame) & (F.col("pos") > 0))
+    return rows.select("chrom", (F.col("pos") - 1).alias("start"), (F.col("pos") + 2).alias("end"), F.col("score").alias("value"))
+
+
+def _big_wigs(spark, sf) -> str:
+    """All seven tracks as bigWig, a folder each; the path of the first."""
+    folder = _folder(spark)
+    longest = X.tracks(spark, sf).groupBy("chrom").agg(F.max("pos").alias("n")).collect()
+    sizes = {r["chrom"]: r["n"] + 3 for r in longest}
+    for frame in R.FRAMES:
+        write_big_wig(_intervals(spark, sf, frame), sizes, f"{folder}/track{frame}.bw")
+    return f"{folder}/track+1.bw"
+
+
+@query(f"WITH {X.TRACK_SQL} SELECT chrom, frame, pos, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, 3 AS span FROM t WHERE pos > 0")
+def read_big_wig_tracks(spark, sf):
+    """All seven tracks written as bigWig files, a file a range of places, and read back."""
+    return R.track_set(spark, _big_wigs(spark, sf))
+
+
+@query(f"WITH {X.TRACK_SQL} SELECT frame, count(*) AS n, round(sum(CAST(CAST(score AS FLOAT) AS DOUBLE)), 4) AS total FROM t WHERE chrom = 'N' AND pos BETWEEN 1001 AND 2500 GROUP BY 1")
+def big_wig_ranges(spark, sf):
+    """What begins in a range of one chromosome, looked up through the trees of the files."""
+    first, out = _big_wigs(spark, sf), None
+    for frame in R.FRAMES:
+        one = R.big_wig_track(spark, first.replace("+1", frame), frame, chroms=["N"], begin=1000, end=2500).where("pos between 1001 and 2500")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(_ANNOTATED.replace("score FROM t, range", "CAST(CAST(score AS FLOAT) AS DOUBLE) AS score FROM t, range"))
+def annotate_exons_from_big_wig(spark, sf):
+    """Exons with scores and power of tracks that are bigWig files."""
+    return _rounded(N.annotate(X.features(spark, sf).withColumn("line", F.lit("")), R.track_set(spark, _big_wigs(spark, sf)), X.sizes(spark)), "line_no")
 
 
 def _gene_lines(spark, sf) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codonflow.functions import sequences as S
+from codonflow.operators.tracks import segments
 
 #: what annotations are called in attributes, and who made them
 PREFIX, MAKER = "coding", "codonflow"
@@ -35,11 +36,10 @@ def score_lines(scores: DataFrame, ancestral: bool = False, phylo: bool = True)
 
 def fixed_step_lines(track: DataFrame, digits: int = 3) -> DataFrame:
     """(chrom, pos, nth, line) of track(chrom, pos, score): a header where a run of steps begins, before its first value."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    new = F.coalesce(F.col("pos") - F.lag("pos").over(order) != 3, F.lit(True))
     head = F.format_string("fixedStep chrom=%s start=%d step=3 span=3", "chrom", "pos")
-    rows = track.withColumn("new", new)
-    return rows.select("chrom", "pos", F.posexplode(F.when(F.col("new"), F.array(head, S.trimmed("score", digits))).otherwise(F.array(S.trimmed("score", digits)))).alias("nth", "line"))
+    value = S.trimmed("score", digits)
+    rows = segments(track.select("chrom", "pos", "score"), ("chrom",))
+    return rows.select("chrom", "pos", F.posexplode(F.when(F.col("pos") == F.col("segment"), F.array(head, value)).otherwise(F.array(value))).alias("nth", "line"))
 
 
 def bed_lines(regions: DataFrame) -> DataFrame:

@@ -1,18 +1,23 @@
 """Readers of text formats as DataFrames: alignments, tracks, gene models, genomes and small tables.
 
 Every reader takes a path that Spark can open and splits its input as Spark's text
-source does; records that span lines are put together by windows over line numbers
-inside one file, or by a record separator.
+source does; what lines owe to lines before them, in other splits too, comes from ``splits``.
+Rows are told by the byte at which they begin, whatever the splits.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codonflow.model.rates import Rates, parse_exchange
 from codonflow.model.tree import Tree, parse_newick
 
+from .bigwig import read_big_wig
+from .splits import marked_lines, sequence_pieces
+
 
 def whole_text(spark: SparkSession, path: str) -> str:
     """A small file as one string, by Spark's own reader."""
@@ -31,20 +36,17 @@ def exchange_model(spark: SparkSession, path: str) -> Rates:
 
 
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, line_no, line); line numbers ascend with the place in a file, with gaps between splits."""
-    rows = spark.read.text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 1024).alias("at"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line")).select(
-        "file", (F.col("at") * 1_000_000 + F.col("k").bitwiseAND((1 << 33) - 1)).alias("line_no"), "line")
+    """(file, line_no, line); line_no is the byte at which a line begins."""
+    return marked_lines(spark, path).select("file", F.col("at").alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def maf_rows(spark: SparkSession, path) -> DataFrame:
     """(file, block_id, row_no, species, chrom, start0, size, strand, src_size, text): the s lines of every block.
 
     Blocks are the records between lines that begin with ``a``, so a file splits between
-    them and a block is never cut.  Other lines are left out; block_id ascends in a file.
+    them and a block is never cut.  Other lines are left out; block_id is the byte at which a block begins.
     """
-    blocks = spark.read.option("lineSep", "\na").text(path)
-    blocks = blocks.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block_id"), "value")
+    blocks = marked_lines(spark, path, sep="\na").select("file", F.col("at").alias("block_id"), F.col("line").alias("value"))
     blocks = blocks.select("file", "block_id", F.posexplode(F.split("value", r"\r?\n")).alias("row_no", "line"))
     token = F.split(F.trim("line"), r"[ \t]+")
     rows = blocks.where(F.col("line").rlike(r"^s[ \t]")).select("file", "block_id", "row_no", token.alias("t"))
@@ -53,55 +55,81 @@ def maf_rows(spark: SparkSession, path) -> DataFrame:
         F.col("t")[2].cast("long").alias("start0"), F.col("t")[3].cast("long").alias("size"), F.col("t")[4].alias("strand"), F.col("t")[5].cast("long").alias("src_size"), F.col("t")[6].alias("text"))
 
 
+def _is_value(lines) -> np.ndarray:
+    return pc.match_substring_regex(lines, r"^\s*[-+0-9.naNife]").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def track(spark: SparkSession, path, frame: str) -> DataFrame:
-    """(chrom, frame, pos, score) of a fixedStep file: pos is the first base of a step, counted from 1."""
-    lines = numbered_lines(spark, path).where(F.trim("line") != "")
-    head = F.col("line").startswith("fixedStep")
-    lines = lines.where(head | F.col("line").rlike(r"^[-+0-9.naNife]"))
-    order = Window.partitionBy("file").orderBy("line_no")
-    lines = lines.withColumn("head", F.last(F.when(head, F.struct("line", "line_no")), ignorenulls=True).over(order))
-    inside = Window.partitionBy("file", "head.line_no").orderBy("line_no")
-    rows = lines.where(~head).withColumn("k", F.row_number().over(inside) - 1)
-    field = lambda name: F.regexp_extract("head.line", rf"{name}=(\S+)", 1)
-    return rows.select(field("chrom").alias("chrom"), F.lit(frame).alias("frame"), (field("start").cast("long") + F.col("k") * field("step").cast("long")).alias("pos"), F.trim("line").cast("double").alias("score"))
+    """(chrom, frame, pos, score, span) of a fixedStep file: pos is the first base of a step, counted from 1; a step covers span bases.
+
+    A header holds for the values behind it in its file, in whatever split they are.  Lines
+    before the first header, empty lines and others that are no number are left out.
+    """
+    lines = marked_lines(spark, path, lambda x: pc.starts_with(x, "fixedStep"), _is_value)
+    rows = lines.where(F.col("mark").isNotNull() & ~F.col("line").startswith("fixedStep") & F.col("line").rlike(r"^\s*[-+0-9.naNife]"))
+    field = lambda name, usual: F.coalesce(F.nullif(F.regexp_extract("mark", rf"\b{name}=(\S+)", 1), F.lit("")), F.lit(usual))
+    return rows.select(field("chrom", "").alias("chrom"), F.lit(frame).alias("frame"), (field("start", "1").cast("long") + F.col("since") * field("step", "1").cast("long")).alias("pos"), F.trim(F.regexp_replace("line", "\r$", "")).cast("double").alias("score"), field("span", "1").cast("int").alias("span"))
 
 
 FRAMES = ("+1", "+2", "+3", "-1", "-2", "-3", "power")
 
 
+def big_wig_track(spark: SparkSession, path: str, frame: str, **asked) -> DataFrame:
+    """(chrom, frame, pos, score, span) of a bigWig file or a folder of them."""
+    rows = read_big_wig(spark, path, **asked)
+    return rows.select("chrom", F.lit(frame).alias("frame"), (F.col("start") + 1).alias("pos"), F.col("value").cast("double").alias("score"), (F.col("end") - F.col("start")).cast("int").alias("span"))
+
+
 def track_set(spark: SparkSession, path: str) -> DataFrame:
-    """The seven tracks of a set, from the path of the one with ``+1`` in its name; Parquet, or fixedStep text."""
+    """The seven tracks of a set, from the path of the one with ``+1`` in its name: bigWig, Parquet, or fixedStep text."""
     if "+1" not in path:
         raise ValueError("the path of a track set has +1 in it")
     head, _, tail = path.rpartition("+1")
     out = None
     for frame in FRAMES:
         own = f"{head}{frame}{tail}"
-        one = spark.read.parquet(own).select("chrom", F.lit(frame).alias("frame"), "pos", "score") if tail.endswith(".parquet") else track(spark, own, frame)
+        if is_big_wig(path):
+            one = big_wig_track(spark, own, frame)
+        elif tail.endswith(".parquet"):
+            one = spark.read.parquet(own).select("chrom", F.lit(frame).alias("frame"), "pos", "score", F.lit(3).alias("span"))
+        else:
+            one = track(spark, own, frame)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def is_big_wig(path: str) -> bool:
+    return path.lower().endswith((".bw", ".bigwig"))
+
+
 def gene_models(spark: SparkSession, path) -> DataFrame:
     """(file, line_no, tx_no, chrom, feature, begin, end, strand, phase, attrs, line), every line of a file.
 
     tx_no numbers the transcripts of a file; lines before the first belong to it, others
-    to the transcript above them.  Comments have no columns.
+    to the transcript above them.  Comments have no columns.  line_no is the byte at which a line begins.
     """
-    lines = numbered_lines(spark, path)
+    lines = marked_lines(spark, path, lambda x: pc.match_substring_regex(x, r"^[^#\t][^\t]*\t[^\t]*\ttranscript\t([^\t]*\t){5}"))
+    lines = lines.select("file", F.col("at").alias("line_no"), F.greatest(F.lit(1).cast("long"), "marks").alias("tx_no"), F.regexp_replace("line", "\r$", "").alias("line"))
     t = F.split("line", "\t")
-    rows = lines.select("file", "line_no", "line", F.when(~F.col("line").startswith("#") & (F.size(t) >= 9), t).alias("t"))
-    feature = F.col("t")[2]
-    order = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("tx_no", F.greatest(F.lit(1), F.sum(F.when(feature == "transcript", 1).otherwise(0)).over(order)))
-    return rows.select("file", "line_no", "tx_no", F.col("t")[0].alias("chrom"), feature.alias("feature"), F.col("t")[3].cast("long").alias("begin"), F.col("t")[4].cast("long").alias("end"),
+    rows = lines.select("file", "line_no", "tx_no", "line", F.when(~F.col("line").startswith("#") & (F.size(t) >= 9), t).alias("t"))
+    return rows.select("file", "line_no", "tx_no", F.col("t")[0].alias("chrom"), F.col("t")[2].alias("feature"), F.col("t")[3].cast("long").alias("begin"), F.col("t")[4].cast("long").alias("end"),
         F.col("t")[6].alias("strand"), F.when(F.col("t")[7].rlike("^[0-9]"), F.col("t")[7].substr(1, 1).cast("int")).alias("phase"), F.col("t")[8].alias("attrs"), "line")
 
 
+def genome_pieces(spark: SparkSession, path, most: int = 1 << 16) -> DataFrame:
+    """(chrom, start, seq), 1-based: sequences in pieces of at most ``most`` bases."""
+    return sequence_pieces(spark, path, most)
+
+
 def genome(spark: SparkSession, path) -> DataFrame:
-    """(chrom, seq): the id is the first token behind ``>``."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    return rows.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+    """(chrom, seq): whole sequences, for those that are short; long ones are worked on in pieces."""
+    groups = genome_pieces(spark, path).groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("all"))
+    return groups.select("chrom", F.array_join(F.transform("all", lambda x: x["seq"]), "").alias("seq"))
+
+
+def genome_sizes(pieces: DataFrame) -> DataFrame:
+    """(chrom, len) of pieces(chrom, start, seq)."""
+    return pieces.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq") - 1).alias("len"))
 
 
 def coding_exons(spark: SparkSession, path) -> DataFrame:
