@@ -10,6 +10,7 @@ from codonflow.model.species import load_model, model_info
 from codonflow.plans import pipelines as P
 from codonflow.ship import ship
 from codonflow.sources.sinks import output_path
+from codonflow.sources.text import name_mapping
 
 
 def switch(text: str) -> bool:
@@ -87,7 +88,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     ship(spark)
     model = load_model(spark, a.model, a.species) if hasattr(a, "model") else None
     if getattr(a, "model_info", False):
-        return model_info(spark, model).show(1000, False)
+        return model_info(spark, model, name_mapping(spark, a.mapping) if a.mapping else None).show(1000, False)
     inputs = getattr(a, "alignments", None) or getattr(a, "genes", None)
     if not inputs:
         top.error("an input is missing")

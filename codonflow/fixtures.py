@@ -49,20 +49,20 @@ f AS (SELECT l_orderkey * 100 + n AS line_no, l_orderkey AS tx_no, chrom, CAST((
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom, frame, pos, score) of all seven frames, with gaps; chromosomes are A, N and R."""
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value", F.row_number().over(order).alias("rn")).where("user_id % 10 <> 0")
+    """(chrom, frame, pos, score) of all seven frames, with gaps, from all events in order of time; chromosomes are A, N and R, by event type."""
+    order = Window.partitionBy("chrom").orderBy("ts", "event_id")
+    chrom = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.length("event_type") % 3 + 1)
+    rows = table(spark, sf_dir, "events").select(chrom.alias("chrom"), "ts", "event_id", "user_id", "value").withColumn("rn", F.row_number().over(order)).where("user_id % 10 <> 0")
     frames = F.array(*[F.struct(F.lit(f).alias("frame"), F.lit(o).alias("off")) for f, o in (("+1", -2), ("+2", -1), ("+3", 0), ("-1", -2), ("-2", -1), ("-3", 0), ("power", 0))])
-    rows = rows.withColumn("f", F.explode(frames)).withColumn("chrom", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R"))))
+    rows = rows.withColumn("f", F.explode(frames))
     score = F.when(F.col("f.frame") == "power", F.least(F.col("value") / 500.0, F.lit(1.0))).otherwise((F.col("value") - 40.0) / 10)
-    first = F.col("event_type") == F.lit("click")
-    return rows.where(first).select("chrom", F.col("f.frame").alias("frame"), (F.col("rn") * 3 + F.col("f.off")).cast("long").alias("pos"), score.alias("score"))
+    return rows.select("chrom", F.col("f.frame").alias("frame"), (F.col("rn") * 3 + F.col("f.off")).cast("long").alias("pos"), score.alias("score"))
 
 
-TRACK_SQL = """n AS (SELECT event_type, user_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+TRACK_SQL = """n AS (SELECT ['A', 'N', 'R'][CAST(length(event_type) % 3 + 1 AS INT)] AS chrom, user_id, value, row_number() OVER (PARTITION BY length(event_type) % 3 ORDER BY ts, event_id) AS rn FROM events),
 t AS (SELECT chrom, frame, CAST(rn * 3 + off AS BIGINT) AS pos, CASE WHEN frame = 'power' THEN CASE WHEN value / 500.0 > 1 THEN 1.0 ELSE value / 500.0 END ELSE (value - 40.0) / 10 END AS score
-  FROM n, (VALUES ('+1', -2), ('+2', -1), ('+3', 0), ('-1', -2), ('-2', -1), ('-3', 0), ('power', 0)) o(frame, off), (VALUES ('A'), ('N'), ('R')) c(chrom)
-  WHERE user_id % 10 <> 0 AND event_type = 'click')"""
+  FROM n, (VALUES ('+1', -2), ('+2', -1), ('+3', 0), ('-1', -2), ('-2', -1), ('-3', 0), ('power', 0)) o(frame, off)
+  WHERE user_id % 10 <> 0)"""
 
 
 def sizes(spark: SparkSession) -> DataFrame:

@@ -18,7 +18,7 @@ from . import fixtures as X
 from .functions import sequences as S
 from .model.hmm import HmmParameters, coding_hmm
 from .model.likelihood import DECIBANS, branch_matrices
-from .model.species import example_model
+from .model.species import example_model, model_info
 from .operators import alignments as A
 from .operators import annotate as N
 from .operators import orfs as O
@@ -71,9 +71,11 @@ def fn_translate(spark, sf):
     return X.dna(spark, sf).select("doc_id", S.peptide("dna").alias("peptide"))
 
 
-@query("SELECT CAST(i AS INT) AS id, substr('ACGT', CAST(i // 16 AS INT) + 1, 1) || substr('ACGT', CAST(i // 4 % 4 AS INT) + 1, 1) || substr('ACGT', CAST(i % 4 AS INT) + 1, 1) AS codon FROM range(0, 64) t(i)")
+@query(f"WITH {_D}, c AS (SELECT doc_id, {_CODONS} AS c FROM d) SELECT doc_id, array_to_string([c FOR c IN c], '') AS codons, CAST(len(c) AS INT) AS n FROM c")
 def fn_codon_decode(spark, sf):
-    return spark.range(64).select(F.col("id").cast("int").alias("id"), S.codon_text(F.col("id")).alias("codon"))
+    """Codons of documents as numbers and back."""
+    rows = X.dna(spark, sf).select("doc_id", F.transform(S.codons("dna"), lambda c: S.codon_id(c)).alias("ids"))
+    return rows.select("doc_id", F.array_join(F.transform("ids", lambda i: S.codon_text(i)), "").alias("codons"), F.size("ids").alias("n"))
 
 
 @query(f"WITH {_D} SELECT k AS frame, w AS strand, doc_id, CAST(least(CASE WHEN w = '-' THEN (((k - (50000 - (doc_id + 1 + length(dna)) + 2)) % 3) + 3) % 3 ELSE (((k - doc_id - 1) % 3) + 3) % 3 END, length(dna)) AS INT) AS skip FROM d, (VALUES (1), (2), (3)) k(k), (VALUES ('+'), ('-')) w(w)")
@@ -159,8 +161,14 @@ def stitched_blocks(spark, sf):
 
 
 # --- likelihoods (M5-M14)
-def _alignments(spark, sf, leaves: int = 4) -> DataFrame:
-    return X.msa(spark, sf).select("aln_id", F.slice("seqs", 1, leaves).alias("seqs"))
+def _alignments(spark, sf) -> DataFrame:
+    return X.msa(spark, sf).select("aln_id", "seqs")
+
+
+def _pairs(spark, sf) -> DataFrame:
+    """The first two and the last two rows of each alignment, over a tree of two leaves."""
+    two = F.array(*[F.struct(F.lit(k).alias("pair"), F.slice("seqs", 2 * k + 1, 2).alias("seqs")) for k in (0, 1)])
+    return X.msa(spark, sf).select("aln_id", F.explode(two).alias("p")).select("aln_id", "p.pair", "p.seqs")
 
 
 @query()
@@ -180,18 +188,18 @@ def _pair_sql() -> str:
     table = DECIBANS * (logs[0] - logs[1])
     values = ", ".join(repr(float(v)) for v in table.ravel())
     ids = lambda s: f"[CASE WHEN regexp_matches(c, '^[ACGT]{{3}}$') THEN {_ID} ELSE 64 END FOR c IN [{s}[CAST(i * 3 + 1 AS INT):CAST(i * 3 + 3 AS INT)] FOR i IN range(0, length({s}) // 3)]]"
-    return f"WITH {X.MSA_SQL}, v AS (SELECT [{values}] AS t), k AS (SELECT aln_id, unnest({ids('s0')}) AS a, unnest({ids('s1')}) AS b FROM m)"
+    return f"WITH {X.MSA_SQL}, v AS (SELECT [{values}] AS t), mm AS (SELECT aln_id, 0 AS pair, s0 AS s0, s1 AS s1 FROM m UNION ALL SELECT aln_id, 1, s2, s3 FROM m), k AS (SELECT aln_id, pair, unnest({ids('s0')}) AS a, unnest({ids('s1')}) AS b FROM mm)"
 
 
-@query(_pair_sql() + ", s AS (SELECT aln_id, sum(t[CAST(a * 65 + b + 1 AS INT)]) AS phylo FROM k, v GROUP BY 1) SELECT m.aln_id, round(coalesce(s.phylo, 0), 4) + 0.0 AS phylo FROM m LEFT JOIN s ON s.aln_id = m.aln_id")
+@query(_pair_sql() + ", s AS (SELECT aln_id, pair, sum(t[CAST(a * 65 + b + 1 AS INT)]) AS phylo FROM k, v GROUP BY 1, 2) SELECT mm.aln_id, mm.pair, round(coalesce(s.phylo, 0), 4) + 0.0 AS phylo FROM mm LEFT JOIN s ON s.aln_id = mm.aln_id AND s.pair = mm.pair")
 def score_msa_pair(spark, sf):
-    s = C.score_alignments(_alignments(spark, sf, 2), PAIR, "FIXED")
-    return s.select("aln_id", (F.round("phylo", 4) + 0.0).alias("phylo"))
+    s = C.score_alignments(_pairs(spark, sf), PAIR, "FIXED")
+    return s.select("aln_id", "pair", (F.round("phylo", 4) + 0.0).alias("phylo"))
 
 
 @query(_pair_sql() + " SELECT a * 65 + b AS pair, count(*) AS n, round(any_value(t[CAST(a * 65 + b + 1 AS INT)]), 6) + 0.0 AS score FROM k, v GROUP BY 1")
 def score_codon_columns(spark, sf):
-    rows = C.score_codons(_alignments(spark, sf, 2).withColumn("keep", F.col("seqs")), PAIR)
+    rows = C.score_codons(_pairs(spark, sf).select("seqs", F.col("seqs").alias("keep")), PAIR)
     ids = lambda k: S.codon_id(F.substring(F.col("keep")[k], (F.col("nth") * 3 + 1).cast("int"), F.lit(3)))
     return rows.select((ids(0) * 65 + ids(1)).cast("long").alias("pair"), "score").groupBy("pair").agg(F.count("*").alias("n"), (F.round(F.first("score"), 6) + 0.0).alias("score"))
 
@@ -246,7 +254,8 @@ def build_power_track(spark, sf):
     return T.power_track(C.score_bases(s, MODEL)).select("chrom", "pos", F.round("power", 6).alias("power"))
 
 
-@query(_POWER[: _POWER.index("SELECT chrom, base // 3")] + "SELECT a.chrom, a.base AS pos, round(a.bls + b.bls + c.bls, 6) AS total FROM y a JOIN y b ON b.chrom = a.chrom AND b.base = a.base + 1 JOIN y c ON c.chrom = a.chrom AND c.base = a.base + 2 WHERE a.bls + b.bls + c.bls >= 0.3")
+@query(_POWER[: _POWER.index("SELECT chrom, base // 3")].rstrip() + """, k AS (SELECT chrom, base, bls, lead(base, 2) OVER w AS last, lead(bls) OVER w AS b1, lead(bls, 2) OVER w AS b2 FROM y WINDOW w AS (PARTITION BY chrom ORDER BY base))
+SELECT chrom, base AS pos, round(bls + b1 + b2, 6) AS total FROM k WHERE last = base + 2 AND bls + b1 + b2 >= 0.3""")
 def codon_power(spark, sf):
     """Places of codons with the power that tracks ask for."""
     s = A.stitched(_whole_blocks(spark, sf)).select("file", "block_id", "chrom", "start", "seqs")
@@ -268,9 +277,13 @@ def track_segments(spark, sf):
     return T.segments(X.tracks(spark, sf)).groupBy("chrom", "frame", "segment").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"WITH {X.TRACK_SQL}, g AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY chrom ORDER BY pos) <> pos - 3, true) AS new FROM t WHERE frame = '+1') SELECT chrom, pos, CAST(nth AS INT) AS nth, line FROM (SELECT chrom, pos, unnest(CASE WHEN new THEN [0, 1] ELSE [0] END) AS nth, unnest(CASE WHEN new THEN ['fixedStep chrom=' || chrom || ' start=' || pos || ' step=3 span=3', v] ELSE [v] END) AS line FROM (SELECT *, regexp_replace(printf('%.3f', CAST(CAST(score AS FLOAT) AS DOUBLE)), '(\\.[0-9]+?)0+$', '\\1') AS v FROM g))")
+@query(f"WITH {X.TRACK_SQL}, g AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) <> pos - 3, true) AS new FROM t) SELECT frame, chrom, pos, CAST(nth AS INT) AS nth, line FROM (SELECT frame, chrom, pos, unnest(CASE WHEN new THEN [0, 1] ELSE [0] END) AS nth, unnest(CASE WHEN new THEN ['fixedStep chrom=' || chrom || ' start=' || pos || ' step=3 span=3', v] ELSE [v] END) AS line FROM (SELECT *, regexp_replace(printf('%.3f', CAST(CAST(score AS FLOAT) AS DOUBLE)), '(\\.[0-9]+?)0+$', '\\1') AS v FROM g))")
 def fixed_step_lines(spark, sf):
-    return K.fixed_step_lines(X.tracks(spark, sf).where("frame = '+1'"))
+    out = None
+    for frame in R.FRAMES:
+        one = K.fixed_step_lines(X.tracks(spark, sf).where(F.col("frame") == frame)).withColumn("frame", F.lit(frame))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _hmm_sql(frames: str) -> str:
@@ -308,9 +321,9 @@ co AS (SELECT *, row_number() OVER (PARTITION BY chrom, frame, segment ORDER BY
 z AS (SELECT chrom, frame, min(pos) - 1 AS "begin", max(pos) + 2 AS "end", max(log_odds) AS log_odds FROM co GROUP BY chrom, frame, segment, k - nth)"""
 
 
-@query(_hmm_sql("frame IN ('+1', '-2')") + " SELECT chrom, frame, segment, pos, log_odds FROM o")
+@query(_hmm_sql("frame <> 'power'") + " SELECT chrom, frame, segment, pos, log_odds FROM o")
 def smooth_tracks(spark, sf):
-    s = T.smooth(X.tracks(spark, sf).where("frame in ('+1', '-2')"), HMM)
+    s = T.smooth(X.tracks(spark, sf).where("frame <> 'power'"), HMM)
     return s.select("chrom", "frame", "segment", "pos", F.round("log_odds", 4).alias("log_odds"))
 
 
@@ -532,11 +545,12 @@ def search_sequences_gapped(spark, sf):
     return gapped_search(q, g)
 
 
-@query("SELECT s AS species, CASE WHEN s = 'a' THEN 'ape' ELSE '' END AS aliases FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(s)")
+@query("WITH a AS (SELECT ['a', 'b', 'c', 'd'][CAST(n_regionkey % 4 + 1 AS INT)] AS s, lower(n_name) AS alias FROM nation) SELECT s AS species, string_agg(alias, ',' ORDER BY alias) AS aliases FROM a GROUP BY 1")
 def model_species(spark, sf):
-    from .model.species import model_info
-
-    return model_info(spark, MODEL, {"a": ["ape"]}).withColumn("aliases", F.array_join("aliases", ","))
+    """The species of a model with the names that a mapping of nations to them gives."""
+    leaf = F.element_at(F.array(*map(F.lit, MODEL.leaves)), (F.col("n_regionkey") % 4 + 1).cast("int"))
+    mapping = X.table(spark, sf, "nation").select(F.lower("n_name").alias("alias"), leaf.alias("name"))
+    return model_info(spark, MODEL, mapping).withColumn("aliases", F.array_join("aliases", ","))
 
 
 # --- text formats: tables are written as text and come back through the readers

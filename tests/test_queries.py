@@ -43,7 +43,7 @@ def test_against_sql(spark, sf, con, name):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9)) for p, q in zip(x, y, strict=True)), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL) - {"score_msa_omega", "score_msa_mle"}))
+@pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL) ))
 def test_runs(spark, sf, name):
     assert core.QUERIES[name](spark, sf).count() >= 0
 
@@ -95,6 +95,9 @@ def test_fits_of_whole_alignments(spark, small):
     seqs = {r.aln_id: r.seqs for r in X.msa(spark, small).collect()}
     got = {r.aln_id: r.phylo for r in core.QUERIES["score_msa_mle"](spark, small).collect()}
     assert got.keys() == seqs.keys()
+    omega = {r.aln_id: r.phylo for r in core.QUERIES["score_msa_omega"](spark, small).collect()}
+    assert omega.keys() == seqs.keys()
+    assert abs(omega[5] - fit.omega_score(core.MODEL.tree, columns_of(seqs[5]), 42)) < 1e-2
     for k in (2, 5):
         assert abs(got[k] - fit.mle(core.MODEL.tree, core.MODEL.coding, core.MODEL.noncoding, columns_of(seqs[k]), 42)[0]) < 1e-3
 
@@ -140,6 +143,11 @@ def test_splicing_of_pieces(spark):
     exons = [("f", t, chrom, strand, a, a + rng.randint(0, 90)) for t in range(60) for chrom, strand in [(rng.choice(("c", "c", "c", "x")), rng.choice("+-."))] for a in sorted(rng.sample(range(1, 600, 100), rng.randint(1, 4)))]
     df = spark.createDataFrame(exons, "file string, tx_no long, chrom string, strand string, begin long, end long")
     whole = {(r.tx_no, r.strand): r.seq for r in O.spliced(df, spark.createDataFrame([("c", genome)], "chrom string, seq string")).collect()}
+    expected = {}
+    for _, t, chrom, strand, a, z in exons:
+        if chrom == "c" and strand != ".":
+            expected[t, strand] = expected.get((t, strand), "") + genome[a - 1 : z]
+    assert whole == expected
     for chunk in (1, 10, 64, 1000):
         assert {(r.tx_no, r.strand): r.seq for r in O.spliced_pieces(df, pieces, chunk).collect()} == whole
 
