@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -183,24 +184,79 @@ def test_copies_of_a_page_count_once(spark):
 def test_deep_and_broken_pages():
     deep = "<article>" + "".join(f"<div class=c{chr(97 + k % 26)}><b>" for k in range(3000)) + "text<nav>no</nav>" + "</div>" * 10
     t = H.Template()
-    t.add(H.Page(deep), 8)
-    t.merge(H.Template.load(t.dump(8)), 8)
+    t.add(H.Page(deep))
+    t.merge(H.Template.load(t.dump()))
     assert H.page_text(H.Page(deep), t, H.Params(least_pages=10)) == "text"
     for html in ("<", "<a", "<p", "</p></p>", "<!--", "<script>", "<p class=", "&#0;&bogus;<b", "<td><li><p></table>x", "<![CDATA[x]]>y"):
         H.page_text(H.Page(html), t, H.Params())
 
 
+@pytest.mark.parametrize("body", ["<article><h1>Head</h1><p>{a}</p><p>{b}</p><p>Mirror {k}</p></article>", "<div class=x><p>{a}</p><p>{b}</p><p>Mirror {k}</p></div>", "<article><p>{a}</p><p>Mirror {k}</p></article>"])
+def test_copies_of_an_article_lose_nothing(spark, body):
+    """Pages of a host that hold one article, each with a line of its own."""
+    a, b = "A first paragraph, long enough to be one.", "The second one says something else again."
+    rows = [(k, f"http://h.example/{k}", "<body><nav><a href=1>Home</a> <a href=2>News</a></nav>" + body.format(a=a, b=b, k=k) + "<footer>c</footer></body>") for k in range(9)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Mirror {k}" in got[k] and a in got[k] and "Home" not in got[k] for k in range(9))
+
+
+def test_templates_find_the_content(spark):
+    """Pages without article, main or telling names: what the host's other pages have says what is content."""
+    def page(k):
+        story = [f"Story {k}, part {j}: " + f"word{k * j} " * (3 if k % 5 == 0 else 20) for j in range(3)]
+        side = f"<div class=b1><p>We at the paper have written for you since 1880 and always will, come what may, in every town of the land.</p><p>Weather of day {k}</p></div>"
+        return f"<body><div class=t0><p>The Paper</p><a href=/>Start</a></div><div class=c1><div class=c2>{''.join(f'<p>{x}</p>' for x in story)}</div>{side if k % 2 else ''}</div><div class=z9>{side}</div></body>", "\n".join(" ".join(x.split()) for x in story)
+
+    rows = [(k, f"http://h.example/{k}", page(k)[0]) for k in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    expected = {k: page(k)[1] for k in range(20)}
+    assert got == expected
+    alone = {k: H.page_text(H.Page(html), H.Template(), H.Params()) for k, _, html in rows}
+    assert sum(alone[k] != expected[k] for k in range(20)) >= 4  # those with little text of their own
+
+
+@pytest.mark.parametrize("name", "comment-body reader-comments user-comments story-comments commentlist discussion related-articles share-tools alert-banner article-footer ad_unit_300x250".split())
+def test_what_is_no_part_of_an_article(name):
+    assert H.page_text(H.Page(f'<article><p>Text of it</p><div class="{name}"><p>no</p></div></article>'), H.Template(), H.Params()) == "Text of it"
+
+
+def test_what_text_elements_may_be_called():
+    html = "<article>" + "".join(f'<p class="{c}">{c}</p>' for c in ("notice", "search", "social", "overlay")) + '<label>no</label><div style="display: none">no</div><span aria-hidden="true">no</span></article>'
+    assert H.page_text(H.Page(html), H.Template(), H.Params()) == "notice\nsearch\nsocial\noverlay"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><p title=it's>One</p><p>It's two</p></article>", "One\nIt's two"),
+    ("<p title=\"a > b\" x='>' y=/>One</p>", "One"),
+    ("<p class=\"open>One</p><p>Two</p>", "One\nTwo"),
+    ("a < b <3 </ > <p/>x<!-->y--><?z?>w", "a < b <3\nxw"),
+])
+def test_tags_as_browsers_read_them(html, text):
+    assert H.page_text(H.Page(html), H.Template(), H.Params()) == text
+
+
+@pytest.mark.parametrize("html", ['<a "' * 250_000, "<" * 10**6, "<!--" * 250_000, '<p title="x ' * 90_000, "<i>" * 150_000 + "</b>" * 150_000, "<div>" + "<i>" * 150_000 + "<p></p>" * 80_000, "<a><div>" + "<i>" * 100_000 + "</a>" * 100_000, "<svg/>" * 160_000, "<script " * 120_000])
+def test_broken_pages_take_time_by_their_length(html):
+    began = time.process_time()
+    H.page_text(H.Page(html), H.Template(), H.Params())
+    assert time.process_time() - began < 8
+
+
+def test_templates_are_bounded():
+    t = H.Template()
+    for k in range(400):
+        t.add(H.Page(f"<div class='n{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwx'[k // 100]}'><p>Text {k}</p></div>"))
+    assert len(t.tree[2]) == H.FANOUT + 1 and t.pages == 400 and sum(c[2][0][3] for c in t.tree[2]) == 400
+
+
 def test_matching_of_trees():
     t = H.Template()
     for html in ("<div class=a><p>x</p></div><div class=b>y</div>", "<div class=b>z</div><div class=c>w</div>", "<div class=a>q</div>"):
-        t.add(H.Page(html), 8)
+        t.add(H.Page(html))
     assert [c[0] for c in t.tree[2]] == ["div.a", "div.b", "div.c"] and t.pages == 3
-    back = H.Template.load(t.dump(8))
-    back.merge(H.Template.load(t.dump(8)), 8)
+    back = H.Template.load(t.dump())
+    back.merge(H.Template.load(t.dump()))
     assert back.pages == 6 and [c[3] for c in back.tree[2]] == [2 * c[3] for c in t.tree[2]]
-    counts = {k: 1 for k in range(40)} | {99: 50}
-    H._thin(counts, 8)
-    assert list(counts) == [99]
 
 
 # --- op3
