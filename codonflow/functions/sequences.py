@@ -109,7 +109,17 @@ def place_key(chrom, begin, end, strand) -> Column:
     return F.concat(col(chrom), F.lit(":"), col(begin).cast("string"), F.lit("-"), col(end).cast("string"), F.lit("#"), col(strand))
 
 
+def fixed(value, digits: int) -> Column:
+    """The number with digits decimals, rounded as exact binary values are: of two equally near ones to the even one.
+
+    Ties are the odd multiples of 2 ** -(digits + 1) alone.
+    """
+    x = col(value).cast("double")
+    tie = (F.abs(x) * 2.0 ** (digits + 1)) % 2 == 1
+    below = tie & (F.floor(F.abs(x) * 10.0**digits) % 2 == 0)
+    return F.format_string(f"%.{digits}f", F.when(below, x * (1 - 1e-9)).otherwise(x))
+
+
 def trimmed(value, digits: int = 3) -> Column:
     """The number with digits decimals, from single precision, without trailing zeros but one decimal at least."""
-    text = F.format_string(f"%.{digits}f", col(value).cast("float").cast("double"))
-    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+    return F.regexp_replace(fixed(col(value).cast("float"), digits), r"(\.\d+?)0+$", "$1")

@@ -14,7 +14,7 @@ PREFIX, MAKER = "coding", "codonflow"
 
 def number(x, digits: int = 6):
     c = S.col(x)
-    return F.when(c.isNull() | F.isnan(c), "nan").otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
+    return F.when(c.isNull() | F.isnan(c), "nan").otherwise(S.fixed(c, digits))
 
 
 def output_path(path: str, suffix: str | None = None) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from codonflow.cli import main, parser, switch
+from codonflow.functions import sequences as S
 from codonflow.model.hmm import HmmParameters, Pieces, best_path, coding_hmm, coding_posterior, scan
 from codonflow.model.species import example_model
 from codonflow.operators import alignments as A
@@ -564,3 +565,10 @@ def test_annotating_by_search(spark, tmp_path):
         main(["annotate-with-search", "--strategy", strategy, *more, "--output", str(tmp_path / strategy), str(tmp_path / "genomes"), m, str(tmp_path / "x.gff")], spark)
         lines = "".join(p.read_text() for p in sorted((tmp_path / strategy).glob("part*"))).splitlines()
         assert len(lines) == 2 and all(";coding_mean=" in x and "nan" not in x for x in lines)
+
+
+def test_numbers_are_rounded_as_exact_values(spark):
+    rng = np.random.default_rng(3)
+    values = [k / 16 for k in range(-40, 40)] + [k / 32 for k in range(-9, 9)] + rng.normal(0, 3, 200).tolist() + [0.0005, 0.0015, 1e-9, 12345.0625]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[S.fixed("v", d).alias(f"d{d}") for d in (3, 4, 6)]).collect()
+    assert all((r.d3, r.d4, r.d6) == tuple(f"{r.v:.{d}f}" for d in (3, 4, 6)) for r in rows)
