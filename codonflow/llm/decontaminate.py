@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import small_batches
+from .shared import cut, small_batches
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Params:
     block: int = 8  # items of a block
     k1: float = 1.2
     b: float = 0.75
-    index_bytes: int = 16 << 20  # text of the items of one index; more items are searched in turns
+    index_bytes: int = 16 << 20  # text of the items of one index; more items are searched in turns, with the same result
 
 
 def _grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -57,11 +57,24 @@ def _slice_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield at, words.hashes(low, starts, ends), first
 
 
+@dataclass(frozen=True)
+class Among:
+    """Of all items: their number, their words in all, the most of one, and in how many each term is."""
+
+    items: int
+    words: int
+    longest: int
+    held: dict[int, int]
+
+
 class BlockMaxIndex:
     """Postings by term, ascending by item, with the largest impact of each block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], params: Params = Params()):
-        """The question of an item is its first line, the answer the others; an item of one line is both."""
+    def __init__(self, items: list[tuple[int, str]], params: Params = Params(), among: Among | None = None):
+        """The question of an item is its first line, the answer the others; an item of one line is both.
+
+        among: the statistics of all items, if these are a part of them.
+        """
         self.params = params
         self.ids, self.parts, self.wholes = [], [], []
         bodies = []
@@ -74,18 +87,20 @@ class BlockMaxIndex:
                 bodies.append(h[0])
                 self.wholes.append(self._ngrams(h[0]))
                 self.parts.append([self._ngrams(x) for x in h[1:] if len(x) >= params.size])
-        n = len(bodies)
         self.lengths = np.array([len(x) for x in bodies], np.int64)
-        self.stride = -(-int(max(self.lengths, default=2)) // 2)
-        mean = float(self.lengths.mean()) if n else 1.0
-        held: dict[int, int] = Counter()
-        for x in bodies:
-            held.update(set(x.tolist()))
-        self.vocabulary = np.array(sorted(held), np.uint64)
+        if among is None:
+            own: Counter[int] = Counter()
+            for x in bodies:
+                own.update(set(x.tolist()))
+            among = Among(len(bodies), int(self.lengths.sum()), int(max(self.lengths, default=2)), own)
+        n, held = among.items, among.held
+        self.stride = -(-among.longest // 2)
+        mean = among.words / n if n else 1.0
+        self.vocabulary = np.array(sorted(set().union(*(x.tolist() for x in bodies))), np.uint64)
         place = {t: k for k, t in enumerate(self.vocabulary.tolist())}
         postings: list[list[tuple[int, float]]] = [[] for _ in place]
         essential: list[list[tuple[int, float]]] = [[] for _ in place]
-        self.rest = np.zeros(n)  # the most that other terms give to each item
+        self.rest = np.zeros(len(bodies))  # the most that other terms give to each item
         for i, x in enumerate(bodies):
             impact = {}
             for t, f in Counter(x.tolist()).items():
@@ -210,14 +225,38 @@ class BlockMaxIndex:
         return float(np.isin(grams, _grams(h, size)).mean()) if len(grams) else 1.0
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text, n, terms) of items: their words and distinct terms."""
+    for b in batches:
+        n, terms = np.zeros(len(b), np.int64), [[]] * len(b)
+        for at, h, first in _slice_hashes(b.column(1)):
+            for k in range(len(first) - 1):
+                own = h[first[k] : first[k + 1]]
+                n[at + k], terms[at + k] = len(own), np.unique(own).view(np.int64).tolist()
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(terms, pa.list_(pa.int64()))], names=["item_id", "text", "n", "terms"])
+
+
 def indexes(benchmark: DataFrame, params: Params = Params()) -> Iterator[BlockMaxIndex]:
-    """One index, or several in turn where the items' text is beyond ``index_bytes``; each has statistics of its own items."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """One index, or several in turn where the items' text is beyond ``index_bytes``; scores are those of one index of all items.
+
+    For several, lengths and terms are counted over all items first, and each turn gets the counts of its own terms.
+    Items without an id or a word are in no index; of equal ones one is.
+    """
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     turns = max(1, -(-int(size) // params.index_bytes))
+    if turns == 1:
+        yield BlockMaxIndex(sorted((r.item_id, r.text) for r in items.collect()), params)
+        return
+    each = items.mapInArrow(_terms, "item_id long, text string, n long, terms array<long>").where("n > 0")
+    all_ = each.agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    counts = cut(each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c")))
+    turn = F.pmod(F.xxhash64("item_id"), F.lit(turns))
     for k in range(turns):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == k) if turns > 1 else items
-        yield BlockMaxIndex(sorted({(r.item_id, r.text or "") for r in rows.collect()}), params)
+        own = each.where(turn == k)
+        held = own.select(F.explode("terms").alias("term")).distinct().join(counts, "term").toArrow()
+        among = Among(all_["items"] or 0, all_["words"] or 0, all_["longest"] or 2, dict(zip(held["term"].to_numpy().view(np.uint64).tolist(), held["c"].to_pylist(), strict=True)))
+        yield BlockMaxIndex(sorted((r.item_id, r.text) for r in own.select("item_id", "text").collect()), params, among)
 
 
 def _found(index):
@@ -266,7 +305,10 @@ def _clean(index, column: int):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that leak no item; nothing is shuffled."""
+    """The rows of docs, with all their columns, that leak no item; nothing is shuffled.
+
+    Rows with null or empty text, null ids and repeated rows stay; empty tables give no rows, and without items all rows stay.
+    """
     small_batches(docs.sparkSession)
     for index in indexes(benchmark, params):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)), docs.schema)

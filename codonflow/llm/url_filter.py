@@ -21,7 +21,6 @@ BASE_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-BAD = "="  # the item of the class; no token of a URL has this character
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,31 +57,54 @@ def base_rule(host, path, rules=BASE_RULES):
 
 
 def mine(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """rules(ante array<string>, seen, bad): combinations of URL tokens that go with documents of quality 0.
+    """rules(ante array<string>, seen, bad, alike array<array<string>>): combinations of URL tokens that go with documents of quality 0.
 
     Combinations have any length; those that hold another rule are left out, as they block nothing more.
+    Three things keep what is mined small and lose no rule.  Tokens that are rules alone are in no longer one.
+    Tokens that stand in the same labelled URLs are one item, the smallest of them, as one adds nothing
+    to another; ``alike`` has all of them for each token of ante.  Only URLs of bad documents are mined, and what is
+    frequent there is counted over all.  So many equal URLs, however long, are a few items.
+
     The document of a page is the number that is the last segment of its path, less
     an extension.  Labels that are null teach nothing; of several labels of a
-    document one of quality 0 decides.
+    document one of quality 0 decides.  Null URLs teach nothing, repeated rows count each; empty tables give no rules.
     """
+    spark = pages.sparkSession
     _, path = host_path()
     doc = F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = pages.where("url is not null").select(tokens().alias("t"), F.when(doc != "", doc.cast("long")).alias("doc_id")).where("doc_id is not null")
-    rows = rows.join(known, "doc_id").select(F.when(F.col("quality") == 0, F.array_append("t", BAD)).otherwise(F.col("t")).alias("items"))
-    rows = cut(rows)
-    n = rows.count()
-    schema = "ante array<string>, bad long, seen long"
+    rows = pages.where("url is not null").select(F.array_sort(tokens()).alias("t"), F.when(doc != "", doc.cast("long")).alias("doc_id")).where("doc_id is not null")
+    sets = cut(rows.join(known, "doc_id").groupBy("t").agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count("*").alias("seen")))
+    n = sets.agg(F.sum("seen")).first()[0] or 0
+    schema = "ante array<string>, bad long, seen long, alike array<array<string>>"
     if not n:
-        return rows.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     least = max(mining.least_count, -(-int(n * mining.least_share * 1000) // 1000))
-    sets = cut(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(rows).freqItemsets)
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("ante"), F.col("freq").alias("bad"))
-    seen = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("ante"), F.col("freq").alias("seen"))
-    rules = cut(bad.join(seen, "ante").where(F.col("bad") >= F.col("seen") * mining.confidence).select("ante", "bad", "seen"))
+    each = sets.select("*", F.explode("t").alias("token"))
+    where = [F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("t", F.lit(k))).alias(f"x{k}") for k in (0, 1)]]
+    often = cut(each.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"), *where).where(F.col("bad") >= least))
+    passes = F.col("bad") >= F.col("seen") * mining.confidence
+    alone = often.where(passes).select(F.array("token").alias("ante"), "bad", "seen", F.array(F.array("token")).alias("alike"))
+    kinds = often.where(~passes).groupBy("c", "x0", "x1").agg(F.array_sort(F.collect_list("token")).alias("alike"), F.max("seen").alias("often"))
+    kinds = cut(kinds.select(F.col("alike")[0].alias("item"), "alike", "often"))
+    items = each.join(kinds.select("item", F.explode("alike").alias("token")), "token").groupBy("t", "bad", "seen").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = cut(items.where(F.size("items") > 1))
+    bad = items.where("bad > 0").select("items", F.explode(F.sequence(F.lit(1).cast("long"), "bad")).alias("k")).select("items")
+    m = bad.count()
+    if m < least:
+        return cut(alone)
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m).fit(bad).freqItemsets
+    found = cut(found.where(F.size("items") > 1).select(F.array_sort("items").alias("ante"), F.col("freq").alias("bad")))
+    # over all labelled URLs, by each combination's rarest item
+    rarest = found.select("ante", F.explode("ante").alias("item")).join(kinds.select("item", "often"), "item").groupBy("ante").agg(F.min_by("item", F.struct("often", "item")).alias("item"))
+    met = items.select("items", "seen", F.explode("items").alias("item")).join(rarest, "item").where(F.size(F.array_except("ante", "items")) == 0)
+    seen = met.groupBy("ante").agg(F.sum("seen").alias("seen"))
+    rules = cut(found.join(seen, "ante").where(passes).select("ante", "bad", "seen"))
     longer = rules.select("ante", F.explode("ante").alias("token")).join(_by_rarest(rules).withColumnRenamed("ante", "less"), "token")
     longer = longer.where((F.size("less") < F.size("ante")) & (F.size(F.array_except("less", "ante")) == 0)).select("ante").distinct()
-    return cut(rules.join(longer, "ante", "left_anti"))
+    rules = rules.join(longer, "ante", "left_anti").select("ante", "bad", "seen", F.posexplode("ante").alias("k", "item")).join(kinds.select("item", "alike"), "item")
+    rules = rules.groupBy("ante", "bad", "seen").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "alike"))), lambda x: x["alike"]).alias("alike"))
+    return cut(alone.unionByName(rules))
 
 
 def _by_rarest(rules: DataFrame) -> DataFrame:
@@ -93,13 +115,16 @@ def _by_rarest(rules: DataFrame) -> DataFrame:
 
 
 def matching(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url): distinct URLs that hold all tokens of a rule, by an inverted index of each rule's rarest token."""
+    """(url): distinct URLs that hold all tokens of a rule, or ones alike, by an inverted index of each rule's rarest token.
+
+    Null URLs match nothing; without rules, or pages, there are no rows.
+    """
     if rules.isEmpty():
         return pages.sparkSession.createDataFrame([], "url string")
-    index = _by_rarest(rules)
+    index = rules.join(_by_rarest(rules), "ante").select("alike", F.explode(F.element_at("alike", F.array_position("ante", F.col("token")).cast("int"))).alias("token"))
     urls = pages.where("url is not null").select("url").distinct().select("url", tokens().alias("t"))
     hits = urls.select("url", "t", F.explode("t").alias("token")).join(index, "token")
-    return hits.where(F.size(F.array_except("ante", "t")) == 0).select("url").distinct()
+    return hits.where(F.forall("alike", lambda a: F.arrays_overlap(a, F.col("t")))).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=BASE_RULES, mining: Mining = Mining()) -> DataFrame:

@@ -295,14 +295,37 @@ def test_leaks_against_brute_force(spark):
     planted |= {(None, 0), (302, 1), (303, 2)}
     b = spark.createDataFrame([*bench, (None, "x"), (77, None), (78, " ")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     d = docs(spark, rows)
+    found = []
     for params in (D.Params(), D.Params(index_bytes=2000)):
         got = D.find_leaks(d, b, params).collect()
         assert {(r.doc_id, r.item_id) for r in got} == planted and sum(r.doc_id == 302 for r in got) == 2
+        found.append(sorted((str(r.doc_id), r.item_id, round(r.overlap, 9), round(r.score, 9)) for r in got))
+    assert found[0] == found[1]  # of one index or of many, each score is that among all items
     clean = D.without_leaks(d, b)
     assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {p[0] for p in planted}
     assert D.find_leaks(d.limit(0), b).count() == 0 and D.find_leaks(d, b.limit(0)).count() == 0 and D.without_leaks(d, b.limit(0)).count() == len(rows)
 
 
+def test_leaks_against_all_runs(spark, sf):
+    """All documents and items of the tables: an item is leaked where a document has enough of its runs of five words, and of its question's and its answer's."""
+    capitals = re.compile("[A-ZÀ-ÖØ-Þ]")
+
+    def runs(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", capitals.sub(lambda m: m[0].lower(), text or ""))
+        size = min(5, len(w))
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set(), len(w)
+
+    d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    have = {r.doc_id: runs(r.text)[0] for r in d.collect()}
+    expected = set()
+    for r in b.collect():
+        lines = [x for x in r.text.split("\n") if x.strip()]
+        whole, _ = runs(" ".join(lines))
+        parts = [g for g, n in (runs(lines[0]), runs(" ".join(lines[1:]))) if n >= 5] if len(lines) > 1 else []
+        expected |= {(i, r.item_id) for i, own in have.items() if whole and len(whole & own) >= 0.75 * len(whole) and all(len(g & own) >= 0.5 * len(g) for g in parts)}
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(d, b).collect()} == expected and expected
+
+
 # --- op4
 def brute_components(rows, percent=75):
     sets = {}
@@ -589,6 +612,49 @@ def test_rules_of_any_length(spark):
     assert verdicts == {k: any(c <= s for c, _, _ in passed) for k, s in enumerate(each)}
 
 
+def test_rules_of_many_equal_long_urls(spark):
+    """Six equal rows of 40 tokens: all bad, as many good, and in part; and two near-equal ones."""
+    long = "/".join(f"tok{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    names = ("bad.example.org", "half.example.org", "good.example.org")
+    rows, labels = [], []
+    for h, host in enumerate(names):
+        for k in range(12):
+            rows.append((100 * h + k, f"http://{host}/{host[:4]}{long}/{100 * h + k}"))
+            labels.append((100 * h + k, int(h == 2 or h == 1 and k % 2)))
+    # a pair that is bad together only, its tokens alike others in the labelled URLs
+    for k in range(40):
+        rows.append((1000 + k, f"http://pair.example.org/{'xx/xalike' if k % 2 else 'ww'}/{'yy/yalike' if k % 4 > 1 else 'zz'}/{1000 + k}"))
+        labels.append((1000 + k, int(k % 4 != 3)))
+    rows += [(2000, "http://pair.example.org/xalike/yy"), (2001, "http://pair.example.org/xx/zz"), (2002, "http://pair.example.org/yalike")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    rules = U.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert time.time() - began < 60
+    assert {tuple(r.ante) for r in rules if len(r.ante) > 1} == {("xalike", "yalike")} and ("bad",) in {tuple(r.ante) for r in rules}
+    got = {r.page_id: r.learned for r in U.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[k] for k in range(12)) and not any(got[100 + k] or got[200 + k] for k in range(12))
+    assert {k for k in got if k >= 1000 and got[k]} == {1000 + k for k in range(40) if k % 4 == 3} | {2000}
+
+
+def test_planted_rules_against_sql(spark, sf, con):
+    """The query's SQL over pages and labels that have rules of one and of two tokens."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for k in range(900):
+        own = [t for t in ("cheap", "pills", "news", "blog", "win") if rng.random() < 0.4]
+        rows.append((k, f"http://{rng.choice(['a', 'b'])}.example.org/{'/'.join([*own, str(k)])}"))
+        bad = "cheap" in own and "pills" in own or "win" in own
+        labels.append((k, int(rng.random() < (0.15 if bad else 0.97))))
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")).toPandas()
+    c = duckdb.connect()
+    pages, known = pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows]}), pa.table({"doc_id": [r[0] for r in labels], "quality": [r[1] for r in labels]})
+    c.register("pages", pages)
+    c.register("labels", known)
+    expected = c.execute(U.judge_sql()).df()
+    plain = lambda f: sorted((tuple(r) for r in f.astype(object).where(f.notna(), None)[sorted(f.columns)].itertuples(index=False)), key=repr)
+    assert plain(got) == plain(expected) and 100 < got.learned.sum() < 800
+
+
 # --- op10
 def brute_licenses(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
