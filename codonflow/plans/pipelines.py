@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,10 +22,32 @@ from codonflow.sources import text as R
 from codonflow.sources.bigwig import big_wig_sizes
 
 
+#: names that one line of a report has
+NAMED = 50
+
+
+def report(what: str, names: DataFrame) -> None:
+    """A line on standard error, if there are any names: how many, and the first of them."""
+    column = names.columns[0]
+    found = [r[0] for r in names.orderBy(column).limit(NAMED).collect()]
+    if found:
+        print(f"{what} ({names.count()}): {', '.join(map(str, found))}", file=sys.stderr)
+
+
 def _blocks(spark: SparkSession, paths: list[str], model: Model, mapping: str | None, tracks: bool) -> DataFrame:
+    """Blocks of alignments; says which species are not known to the model, and which of the model are in no alignment.
+
+    The reference of all blocks of a file has to be of one species.
+    """
     rows = R.maf_rows(spark, paths)
     aliases = R.name_mapping(spark, mapping) if mapping else None
-    return A.blocks(A.resolve_species(rows, model.leaves, aliases), len(model.leaves), tracks)
+    report("species that the model does not have, left out", A.unresolved(rows, model.leaves, aliases))
+    report("species of the model in no alignment", A.never_seen(rows, model.leaves, aliases))
+    known = A.resolve_species(rows, model.leaves, aliases)
+    mixed = A.references(known).groupBy("file").agg(F.array_sort(F.collect_list("species")).alias("s")).where(F.size("s") > 1).first()
+    if mixed is not None:
+        raise ValueError(f"blocks of {mixed['file']} have references of several species: {', '.join(mixed['s'])}")
+    return A.blocks(known, len(model.leaves), tracks)
 
 
 def _hmm(spark: SparkSession, exons: str | None, genome_length: int | None) -> Hmm | None:
@@ -36,7 +59,7 @@ def _hmm(spark: SparkSession, exons: str | None, genome_length: int | None) -> H
 def score_msa(spark: SparkSession, model: Model, paths: list[str], output: str, strategy: str = "MLE", phylo: bool = True, ancestral: bool = False, mapping: str | None = None, exons: str | None = None, genome_length: int | None = None) -> DataFrame:
     """A score file of every block of the alignments; also returned as (seq, start, end, strand, phylo, anc, bls)."""
     blocks = _blocks(spark, paths, model, mapping, False)
-    keyed = blocks.select("file", "block_id", F.concat_ws(".", "species", "chrom").alias("seq"), "start", (F.col("start") + F.length(F.col("seqs")[0]) - 1).alias("end"), "strand", "seqs")
+    keyed = blocks.select("file", "block_id", F.col("chrom").alias("seq"), "start", (F.col("start") + F.length(F.col("seqs")[0]) - 1).alias("end"), "strand", "seqs")
     if strategy == "FIXED_MEAN":
         hmm = _hmm(spark, exons, genome_length)
         if hmm is None:
@@ -69,7 +92,7 @@ def build_tracks(spark: SparkSession, model: Model, paths: list[str], output: st
     power.write.parquet(f"{output}/power.parquet")
     power = spark.read.parquet(f"{output}/power.parquet")
     codons.write.partitionBy("frame").parquet(f"{output}/raw.parquet")
-    codons = spark.read.parquet(f"{output}/raw.parquet").withColumn("frame", F.col("frame").cast("string"))
+    codons = spark.read.schema(codons.schema).parquet(f"{output}/raw.parquet")  # else the frame +1 is read as the number 1
     K.write_lines(K.fixed_step_lines(power, 4), f"{output}/power.wig", "chrom", "pos", "nth")
     smoothed = found = None
     if smooth or regions:
@@ -96,7 +119,9 @@ def annotate_with_tracks(spark: SparkSession, tracks: str, sizes: DataFrame | No
         if not R.is_big_wig(tracks):
             raise ValueError("tracks other than bigWig need the lengths of chromosomes")
         sizes = spark.createDataFrame(sorted(big_wig_sizes(tracks).items()), "chrom string, len long")
-    out = N.annotate(R.gene_models(spark, paths), R.track_set(spark, tracks), sizes)
+    features = R.gene_models(spark, paths)
+    report("chromosomes without a length, not annotated", N.missing_chromosomes(features, sizes))
+    out = N.annotate(features, R.track_set(spark, tracks), sizes)
     K.write_lines(K.annotated_lines(out), output, "file", "line_no")
     return out
 
@@ -104,6 +129,7 @@ def annotate_with_tracks(spark: SparkSession, tracks: str, sizes: DataFrame | No
 def find_cds(spark: SparkSession, genome: str, tracks: str, paths: list[str], output: str, mode: str = "LONGEST", min_score: float = 0.0, min_codons: int = 25, evaluate: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Coding sequences of transcripts by reading frames and tracks; with their evaluation against annotated ones."""
     features, pieces = R.gene_models(spark, paths), R.genome_pieces(spark, genome)
+    report("chromosomes that the genome does not have, left out", N.missing_chromosomes(features, pieces))
     exons = features.where("feature = 'exon'")
     parts = O.orf_exons(O.find_orfs(O.spliced_pieces(exons, pieces), min_codons), exons)
     parts = O.score_orfs(parts, R.track_set(spark, tracks), R.genome_sizes(pieces))

@@ -128,10 +128,15 @@ def maf_blocks(spark, sf):
     return groups.select("block_id", "chrom", "start", F.col("seqs")[0].alias("ref"), F.col("seqs")[1].alias("second"), F.col("seqs")[3].alias("fourth"))
 
 
-@query("SELECT 'other' AS name, 'unresolved' AS kind UNION ALL SELECT 'd', 'never seen'")
+@query("""WITH n AS (SELECT lower(n_name) AS name, n_regionkey % 3 = 0 AS mapped FROM nation), l AS (SELECT unnest(['a', 'b', 'c', 'd']) AS leaf, unnest([0, 1, 2, 3]) AS k)
+SELECT name, 'unresolved' AS kind FROM n WHERE NOT mapped UNION ALL SELECT leaf, 'never seen' FROM l WHERE k NOT IN (SELECT DISTINCT n_nationkey % 2 FROM nation WHERE n_regionkey % 3 = 0)""")
 def species_reports(spark, sf):
-    rows = _maf(spark, sf)
-    return A.unresolved(rows, MODEL.leaves).select(F.col("species").alias("name"), F.lit("unresolved").alias("kind")).unionByName(A.never_seen(rows, MODEL.leaves).select(F.col("leaf").alias("name"), F.lit("never seen").alias("kind")))
+    """Rows named after nations, of which a mapping of names knows some: what it does not know, and what no row is."""
+    nation = X.table(spark, sf, "nation")
+    aliases = nation.where("n_regionkey % 3 = 0").select(F.lower("n_name").alias("alias"), F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("n_nationkey") % 2 + 1).cast("int")).alias("name"))
+    rows = nation.select(F.col("n_name").alias("species"))
+    unknown = A.unresolved(rows, MODEL.leaves, aliases).select(F.col("species").alias("name"), F.lit("unresolved").alias("kind"))
+    return unknown.unionByName(A.never_seen(rows, MODEL.leaves, aliases).select(F.col("leaf").alias("name"), F.lit("never seen").alias("kind")))
 
 
 @query(f"WITH {X.MSA_SQL}, r AS (SELECT aln_id, unnest([0, 1, 2, 3]) AS k, unnest([s0, s1, s2, s3]) AS s FROM m) SELECT aln_id AS block_id, CAST(k AS INT) AS leaf, length(CASE WHEN k = 0 AND length(s) > 9 THEN s[1:3] || '--' || s[6:] ELSE s END) AS size FROM r")

@@ -49,6 +49,8 @@ def test_maf_blocks_species_and_gaps(spark, maf):
     assert rows.count() == 6
     assert [r.species for r in A.unresolved(rows, MODEL.leaves).collect()] == ["x"]
     assert [r.leaf for r in A.never_seen(rows, MODEL.leaves).collect()] == ["d"]
+    aliases = spark.createDataFrame([("x", "d")], "alias string, name string")
+    assert A.never_seen(rows, MODEL.leaves, aliases).count() == 0 and A.unresolved(rows, MODEL.leaves, aliases).count() == 0
     got = A.blocks(A.resolve_species(rows, MODEL.leaves), 4).orderBy("start").collect()
     assert [(r.chrom, r.start, r.seqs) for r in got] == [
         ("chr1", 1, ["ATGAAATA", "ATGAAA-A", "N" * 8, "N" * 8]), ("chr1", 9, ["GGGTAA", "N" * 6, "GGATAA", "N" * 6]), ("chr1", 41, ["ATG", "NNN", "NNN", "NNN"])]
@@ -572,3 +574,36 @@ def test_numbers_are_rounded_as_exact_values(spark):
     values = [k / 16 for k in range(-40, 40)] + [k / 32 for k in range(-9, 9)] + rng.normal(0, 3, 200).tolist() + [0.0005, 0.0015, 1e-9, 12345.0625]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[S.fixed("v", d).alias(f"d{d}") for d in (3, 4, 6)]).collect()
     assert all((r.d3, r.d4, r.d6) == tuple(f"{r.v:.{d}f}" for d in (3, 4, 6)) for r in rows)
+
+
+def test_building_tracks_from_file_to_files(spark, tmp_path, capsys):
+    """Raw and smoothed tracks, regions and power, and what the tool says of species."""
+    rng = random.Random(12)
+    blocks, at = ["##maf version=1"], 0
+    for k in range(30):
+        n = rng.choice([9, 30, 31])
+        seq = "".join(rng.choice("ACGT") for _ in range(n))
+        blocks += ["a score=1", *(f"s {s}.chr1 {at} {n} + 5000 {''.join(c if rng.random() < 0.9 else rng.choice('ACGT') for c in seq)}" for s in ("a", "B", "human")), f"s x.chr1 0 {n} + 10 {seq}", ""]
+        at += n + (5 if k % 10 == 9 else 0)
+    (tmp_path / "x.maf").write_text("\n".join(blocks) + "\n")
+    (tmp_path / "names.tsv").write_text("Human\tC\n")
+    (tmp_path / "e.txt").write_text("".join(f"chr1 + 0 {1000 * k + 1} {1000 * k + 90 + k % 5 * 30}\n" for k in range(1, 60)))
+    m = model_files(tmp_path)
+    main(["build-tracks", "--output-smoothed", "1", "--output-regions", "1", "--power-threshold", "0", "--mapping", str(tmp_path / "names.tsv"), "--coding-exons", str(tmp_path / "e.txt"), "--genome-length", "100000", "--output", str(tmp_path / "t"), m, str(tmp_path / "x.maf")], spark)
+    said = capsys.readouterr().err
+    assert "left out (1): x" in said and "in no alignment (1): d" in said
+    read = lambda name: sorted((r.chrom, r.pos, r.score) for r in R.track(spark, f"{tmp_path}/t/{name}.wig", "f").collect())
+    stored = spark.read.parquet(f"{tmp_path}/t/smoothed.parquet").collect()
+    raw = spark.read.schema("chrom string, pos long, score double, frame string").parquet(f"{tmp_path}/t/raw.parquet").collect()
+    for f in ("+1", "-3"):
+        own = sorted((r.chrom, r.pos, r.log_odds) for r in stored if r.frame == f)
+        assert [x[:2] for x in read(f"smoothed{f}")] == [x[:2] for x in own] == sorted((r.chrom, r.pos) for r in raw if r.frame == f) == [x[:2] for x in read(f"raw{f}")] and own
+        assert all(abs(x[2] - y[2]) < 6e-4 for x, y in zip(read(f"smoothed{f}"), own, strict=True))
+    assert all(len(x.split("\t")) == 9 for p in (tmp_path / "t" / "regions.bed").glob("part*") for x in p.read_text().splitlines())
+    assert len(read("power")) > 200
+
+
+def test_references_of_one_species(spark, tmp_path):
+    (tmp_path / "x.maf").write_text(MAF + "\na score=4\ns b.chr1 60 3 + 100 ATG\ns a.chr1 60 3 + 100 ATG\n")
+    with pytest.raises(ValueError, match="references of several species: a, b"):
+        main(["score-msa", "--strategy", "FIXED", "--output", str(tmp_path / "s"), model_files(tmp_path), str(tmp_path / "x.maf")], spark)
