@@ -260,23 +260,27 @@ def fit_gaps(gaps: np.ndarray, rounds: int = 20, tolerance: float = 1e-4) -> tup
 
 
 def simplex(f, start: float, step: float, tolerance: float, most: int = 30) -> float:
-    """Smallest point of f by a Nelder-Mead simplex of two points, until they are within tolerance."""
-    a, b = start, start + step
-    fa, fb = f(a), f(b)
-    for _ in range(most):
-        if fb < fa:
-            a, fa, b, fb = b, fb, a, fa
-        if abs(a - b) / 2 < tolerance:
-            return a
-        turned = 2 * a - b
-        ft = f(turned)
-        if ft < fa:
-            far = 3 * a - 2 * b
-            ff = f(far)
-            b, fb = (far, ff) if ff < ft else (turned, ft)
-        elif ft < fb:
-            b, fb = turned, ft
+    """Smallest point of f by a Nelder-Mead simplex of two points, until they are within tolerance.
+
+    Whether they are is not asked before the first step, nor after one that went further out or
+    drew the worse point in without making it better.
+    """
+    best, worst = sorted(((start, f(start)), (start + step, f(start + step))), key=lambda p: p[1])
+    settled = False
+    for _ in range(most + 1):
+        if settled and abs(best[0] - worst[0]) < tolerance:
+            return best[0]
+        turned = 2 * best[0] - worst[0]
+        value = f(turned)
+        if value < best[1]:
+            far = 3 * best[0] - 2 * worst[0]
+            further = f(far)
+            settled = not further < value
+            worst = (turned, value) if settled else (far, further)
         else:
-            b = (a + b) / 2
-            fb = f(b)
+            middle = (best[0] + worst[0]) / 2
+            value = f(middle)
+            settled, worst = value < worst[1], (middle, value)
+        if worst[1] < best[1]:
+            best, worst = worst, best
     raise ArithmeticError("the fit of gap lengths did not settle")

@@ -35,6 +35,9 @@ ORACLE_SQL: dict[str, str] = {}
 MODEL = example_model()
 PAIR = example_model("(a:0.1,b:0.2);")
 HMM = coding_hmm(HmmParameters(0.1, 20.0, (0.4, 0.3, 0.3), (60.0, 200.0, 20.0)))
+#: the same worked out by hand, for SQL
+START = (0.1, 0.24, 0.6, 0.06)
+MOVE = ((0.95, 0.02, 0.015, 0.015), (1 / 60, 59 / 60, 0.0, 0.0), (0.005, 0.0, 0.995, 0.0), (0.05, 0.0, 0.0, 0.95))
 
 
 def query(sql: str | None = None):
@@ -222,13 +225,11 @@ def score_msa_omega(spark, sf):
 
 
 def _base_sql() -> str:
-    """(aln_id, i, bls) as e: the branch-length score of each base of each alignment."""
-    t = MODEL.tree
-    under = [" OR ".join(f"p{j}" for j in range(4) if t.below[b, j]) for b in range(t.nodes - 1)]
-    beyond = [" OR ".join(f"p{j}" for j in range(4) if not t.below[b, j]) for b in range(t.nodes - 1)]
-    total = " + ".join(f"CASE WHEN ({u}) AND ({v}) THEN {t.length[b]!r} ELSE 0 END" for b, (u, v) in enumerate(zip(under, beyond, strict=True)))
+    """(aln_id, i, bls) as e: the branch-length score of each base of each alignment, from the six branches of the tree."""
+    branches = (("p0", "p1 OR p2 OR p3", 0.1), ("p1", "p0 OR p2 OR p3", 0.2), ("p2", "p0 OR p1 OR p3", 0.15), ("p3", "p0 OR p1 OR p2", 0.1), ("p0 OR p1", "p2 OR p3", 0.05), ("p2 OR p3", "p0 OR p1", 0.08))
+    total = " + ".join(f"CASE WHEN ({u}) AND ({v}) THEN {x} ELSE 0 END" for u, v, x in branches)
     seen = ", ".join(f"s{k}[CAST(i AS INT):CAST(i AS INT)] <> 'N' AS p{k}" for k in range(4))
-    return f"WITH {X.MSA_SQL}, b AS (SELECT aln_id, unnest(range(1, length(s0) + 1)) AS i, s0, s1, s2, s3 FROM m), p AS (SELECT aln_id, i, {seen} FROM b), e AS (SELECT aln_id, i, ({total}) / {t.total!r} AS bls FROM p)"
+    return f"WITH {X.MSA_SQL}, b AS (SELECT aln_id, unnest(range(1, length(s0) + 1)) AS i, s0, s1, s2, s3 FROM m), p AS (SELECT aln_id, i, {seen} FROM b), e AS (SELECT aln_id, i, CAST({total} AS DOUBLE) / 0.68 AS bls FROM p)"
 
 
 @query(_base_sql() + ", w AS (SELECT aln_id, avg(bls) AS bls FROM e GROUP BY 1) SELECT m.aln_id, round(coalesce(bls, 0), 6) AS bls FROM m LEFT JOIN w ON w.aln_id = m.aln_id")
@@ -293,7 +294,7 @@ def fixed_step_lines(spark, sf):
 
 def _hmm_sql(frames: str) -> str:
     """(chrom, frame, segment, k, n, pos, log_odds) as o: forward and backward passes, a step a codon; nn has the emissions."""
-    start, move = HMM.start.tolist(), HMM.move.tolist()
+    start, move = START, MOVE
     step = lambda f, e: ", ".join("(" + " + ".join(f"{f}[{i + 1}] * {move[i][j]!r}" for i in range(4)) + f") * {e if j == 0 else '1.0'} AS v{j}" for j in range(4))
     return f"""WITH RECURSIVE {X.TRACK_SQL}, r AS (SELECT chrom, frame, pos, round(score, 3) AS score FROM t WHERE {frames}),
 g AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY chrom, frame ORDER BY pos) = pos - 3 THEN 0 ELSE 1 END AS new FROM r),
@@ -310,7 +311,7 @@ o AS (SELECT chrom, frame, segment, k, n, pos, round(CASE WHEN c / a < 1e-15 THE
 
 def _region_sql() -> str:
     """(chrom, frame, begin, end, log_odds) as z: runs of coding codons on the best path, found with pointers back."""
-    start, move = HMM.start.tolist(), HMM.move.tolist()
+    start, move = START, MOVE
     ways = [[f"x.v[{i + 1}] * {move[i][j]!r}" for i in range(4)] for j in range(4)]
     best = ", ".join(f"greatest({', '.join(w)}){' * n.e' if j == 0 else ''} AS v{j}" for j, w in enumerate(ways))
     came = ", ".join(f"list_position([{', '.join(w)}], greatest({', '.join(w)}))" for w in ways)
