@@ -682,23 +682,57 @@ def test_templates_need_their_phrase_and_place(spark):
     assert got == {1: "mit", 2: "", 3: "gpl,gpl-3.0", 4: "", 5: "cc-by,cc-by-nc"}
 
 
+def test_mentions_are_no_notices(spark):
+    rows = [(1, "released under the apache terms of old, but we like the mit license"), (2, "Permission is hereby gladly granted, free of any charge, to any person obtaining a copy of this software and associated documentation files"),
+            (3, "Licensed under the MIT License"), (4, "the general idea of a public license, version 3"), (5, "mit " * 50_000), (6, "x " * 3000 + "released under the mit license " * 2000)]
+    whole = next(t for t in L.TEMPLATES if t[0] == "mit" and len(t[1].split()) > 100)[1].split()
+    rows.append((7, " ".join("(c) added " + w if k % 20 == 7 else w for k, w in enumerate(whole) if k % 17)))
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(docs(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "", 2: "mit", 3: "mit", 4: "", 5: "", 6: "mit", 7: "mit"} and got[6][1] == 1 and got[7][1] > 0.85
+
+
 def test_several_notices_in_one_file(spark):
     rng = random.Random(4)
     bodies = [t[1] for t in L.TEMPLATES]
-    rows = [(0, " ".join(bodies)), (1, ". ".join((bodies[2], bodies[11], bodies[0]))), (2, ". ".join((bodies[2], bodies[11], bodies[8])))]
+    of = {t[0]: t[1] for t in reversed(L.TEMPLATES)}
+    rows = [(0, " ".join(bodies)), (1, ". ".join((of["bsd"], of["mit"], of["apache-2.0"]))), (2, ". ".join((of["bsd"], of["mit"], of["gpl-3.0"])))]
     for k in range(3, 120):
         words_of = " x. ".join(rng.choice(bodies) for _ in range(rng.randint(1, 6))).split()
         rows.append((k, " ".join(w for w in words_of if rng.random() < 0.93)))
 
+    def places(w, phrase):
+        """Where each word of the phrase is the next of its kind, at most two words further on than it might be."""
+        for start in (i for i, x in enumerate(w) if x == phrase[0]):
+            at = start
+            for x in phrase[1:]:
+                following = next((j for j in range(at + 1, min(len(w), at + 4)) if w[j] == x), None)
+                if following is None:
+                    break
+                at = following
+            else:
+                yield start
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
     def labels(text):
-        w, found, score = re.findall(r"[0-9a-z]+", text), {x for p, x in L.PHRASES if f" {p} " in f" {' '.join(re.findall('[0-9a-z]+', text))} "}, 0.0
+        w = re.findall(r"[0-9a-z]+", text)
+        found = {x for p, x in L.PHRASES if f" {p} " in f" {' '.join(w)} "}
         score = float(bool(found))
         for label, body, phrase in L.TEMPLATES:
-            b = body.split()
-            share = max(sum(0 <= a + q < len(w) and w[a + q] == x for q, x in enumerate(b)) for a in range(-len(b), len(w))) / len(b)
-            if f" {phrase} " in f" {' '.join(w)} " and share >= 0.5:
+            b, p = body.split(), phrase.split()
+            gap = min(24, len(b) // 4)
+            off = next(i for i in range(len(b)) if b[i : i + len(p)] == p)
+            most = max((common(b, w[max(0, s - off - gap) : s - off + len(b) + gap]) for s in places(w, p)), default=0)
+            if most and most >= max(0.5 * len(b), min(4, len(b))):
                 found.add(label)
-                score = max(score, share)
+                score = max(score, most / len(b))
         return ",".join(sorted(found)), score
 
     got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(docs(spark, rows)).collect()}
