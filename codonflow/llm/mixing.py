@@ -25,8 +25,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def random_key(id_: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("string"), F.lit("null"))))
+def random_key(id_: Column, text: Column, seed: str) -> Column:
+    """By the id; where it is null by the text, so that rows without an id are not all in one range of keys."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("string"), F.concat(F.lit("null"), F.coalesce(F.xxhash64(text).cast("string"), F.lit(""))))))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, total: Column | None = None, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -63,12 +64,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     whole epochs of its source, and its part of the last one.
 
     Null and blank texts have size 0 and nothing taken.  A null source is one more
-    source, the last.  Null ids share a key; rows with equal ids are ordered by size,
+    source, the last.  Rows with equal ids are ordered by size,
     so that repeated rows are interchangeable.  A source without words has target 0.
     An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    rows = rows.withColumn("key", random_key(F.col("doc_id"), seed))
+    return _placed(docs, id_col, text_col, source_col, weights, most_epochs, seed, keep).drop("key")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, most_epochs: int, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``mixed``, with the keys."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), F.col(text_col), seed).alias("key"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     rows = cut(rows)
     one, two = (F.substring("key", 1, n) for n in LEVELS)
     # a null source keeps its own range: grouping and windows treat null as a value, joins by <=>
@@ -90,7 +95,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size") - (F.col("before") + F.col("in_two"))
     taken = F.col("size") * epochs + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return out.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "key", *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def _first_words(text: Column, n: Column) -> Column:
@@ -107,15 +112,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key, at which the last one is cut; texts are not shuffled.  Repeated rows at
     that cut are all cut alike.
     """
-    plan = mixed(docs, id_col, text_col, source_col, weights, most_epochs, seed).where("size > 0")
+    plan = _placed(docs, id_col, text_col, source_col, weights, most_epochs, seed).where("size > 0")
     epochs = F.floor(F.round("target").cast("long") / F.col("source_size"))
     extra = F.col("taken") - epochs * F.col("size")
-    place = F.struct(random_key(F.col("doc_id"), seed).alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.col("size"))
+    place = F.struct(F.col("key").alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"), F.col("size"))
     cuts = plan.groupBy("source").agg(F.max(epochs).alias("__epochs"), F.max(F.when(extra > 0, F.struct(place.alias("at"), extra.alias("words")))).alias("__cut"))
     cuts = cut(cuts.withColumnRenamed("source", "__source"))
     size = word_count(F.col(text_col))
     rows = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
-    own = F.struct(random_key(F.col(id_col), seed).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), size.alias("size"))
+    own = F.struct(random_key(F.col(id_col), F.col(text_col), seed).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), size.alias("size"))
     at = F.col("__cut.at")
     rows = rows.withColumn("__size", size)
     whole = F.col("__epochs") + F.when(own < at, 1).otherwise(0)

@@ -180,7 +180,7 @@ def train(stats: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Trees:
     n = rows.count()
     if n > how.most_rows:
         rows = rows.where(place < int(how.most_rows / n * (1 << 20)))
-    got = sorted(rows.limit(how.most_rows + how.most_rows // 10).collect(), key=lambda r: (r.doc_id, list(r.x)))
+    got = sorted(rows.orderBy(place, "doc_id", "x").limit(how.most_rows + how.most_rows // 10).collect(), key=lambda r: (r.doc_id, list(r.x)))
     x = np.array([r.x for r in got]).reshape(len(got), N_FEATURES)
     return fit(x, np.array([r.y for r in got]), how)
 
@@ -213,7 +213,11 @@ def _keep(trees: Trees, column: int, threshold: float):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, how: Fit = Fit()) -> DataFrame:
-    """The rows of docs, with all their columns, that ``classify`` predicts 1 for; texts are not shuffled."""
+    """The rows of docs, with all their columns, that ``classify`` predicts 1 for; texts are not shuffled.
+
+    Null and empty texts are scored as texts of zeros; null ids teach nothing, repeated rows stay or go together;
+    an empty table gives no rows, and without labels, where all scores are 0.5, all rows stay.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

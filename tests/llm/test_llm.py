@@ -113,6 +113,23 @@ def test_mix_takes_exactly_its_targets(spark):
     assert M.mixed(d.limit(0)).count() == 0 and M.mix(d.limit(0)).count() == 0
 
 
+def test_mix_of_rows_without_ids(spark):
+    """A third of all rows has none: their keys differ with their texts, and targets are met."""
+    rng = random.Random(7)
+    rows = [(None if k % 3 == 0 else k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 9))) + f" {k}", rng.choice("xyz")) for k in range(300)]
+    d = docs(spark, rows)
+    key = M.random_key(F.col("doc_id"), F.col("text"), "mix")
+    assert d.where("doc_id is null").select(key.alias("k")).distinct().count() == 100
+    got = M.mixed(d).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(taken[s] == round(x) for s, x in target.items()) and len(got) == 300
+    per = {r.source: r.n for r in M.mix(d).groupBy("source").agg(F.sum(M.word_count(F.col("text"))).alias("n")).collect()}
+    assert per == dict(taken)
+
+
 # --- op2
 def test_extraction_of_one_page():
     html = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
@@ -568,6 +585,51 @@ def test_boosting_fits_a_rule():
     assert ((t.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
 
 
+def test_walks_and_splits_against_plain_ones():
+    """Flattened trees against a walk node by node, and the first split against all there are."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((400, Q.N_FEATURES)), 2)
+    y = (x[:, 2] + 0.3 * x[:, 5] + 0.2 * rng.normal(size=400) > 0.7).astype(float)
+    how = Q.Fit(trees=7, depth=3)
+    t = Q.fit(x, y, how)
+
+    def walk(row, f, threshold, leaf, node=0):
+        if node >= len(f):
+            return leaf[node - len(f)]
+        return walk(row, f, threshold, leaf, 2 * node + 1 + int(row[f[node]] > threshold[node]))
+
+    plain = [1 / (1 + math.exp(-(t.bias + sum(walk(r, *tree) for tree in zip(t.feature, t.threshold, t.leaf, strict=True))))) for r in x]
+    assert np.allclose(t.score(x), plain, rtol=1e-12)
+    p = y.mean()
+    g, h = p - y, np.full(400, p * (1 - p))
+
+    def gain(j, cut):
+        left = x[:, j] <= cut
+        if h[left].sum() < how.least_weight or h[~left].sum() < how.least_weight:
+            return 0.0
+        return g[left].sum() ** 2 / (h[left].sum() + how.ridge) + g[~left].sum() ** 2 / (h[~left].sum() + how.ridge) - g.sum() ** 2 / (h.sum() + how.ridge)
+
+    cuts = {j: np.unique(np.quantile(x[:, j], np.linspace(0, 1, how.bins + 1)[1:-1])) for j in range(Q.N_FEATURES)}
+    best = max(gain(j, c) for j in cuts for c in cuts[j])
+    assert math.isclose(gain(int(t.feature[0][0]), float(t.threshold[0][0])), best, rel_tol=1e-9)
+
+
+def test_classifier_on_rows_it_has_not_seen(spark):
+    """Good texts are prose, bad ones repeat and shout; all held-out rows are judged, on none of which trees were fitted."""
+    rng = random.Random(12)
+    prose = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['', 'er', 'ing'])}" for _ in range(300)]
+    rows, labels = [], []
+    for k in range(700):
+        good = k % 2
+        own = [rng.choice(prose) for _ in range(rng.randint(20, 120))] if good else [rng.choice(["BUY", "NOW", "$$$", "click"]) for _ in range(rng.randint(20, 120))]
+        rows.append((k, " ".join(own)))
+        labels.append((k, good, 0))
+    got = Q.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 80 and {r.doc_id for r in held} == {k for k in range(700) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert sum(r.predicted == r.doc_id % 2 for r in held) >= 0.97 * len(held)
+
+
 # --- op9
 def test_rules_and_hosts(spark):
     cases = [("http://WWW.example.com/en/1", "www.example.com/en/", "allow"), ("https://a.example.com/en/", "example.com/en/", "block"), ("http://notexample.com/en/", "com/", "allow"),

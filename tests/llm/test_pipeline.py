@@ -67,3 +67,33 @@ def test_tokens(stages):
 
 def test_run(spark, sf, stages):
     assert sorted(map(tuple, P.run(spark, sf).collect())) == sorted(map(tuple, stages[-1][2].collect()))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with the names that operators use; and no rows at all."""
+    good = "the quick brown fox jumps over the lazy dog and runs far away from here today "
+    rows = [(k, good + " ".join(f"w{k}x{j}" for j in range(30)), "en", "a" if k % 3 else "b", 9) for k in range(30)]
+    rows += [rows[3], rows[3], (40, None, None, None, None), (41, "", "en", "a", 0), (42, " \n ", "en", "a", 3), (None, good * 3, None, None, None), (None, None, None, None, None), (43, good + " ".join(f"l{j}" for j in range(50_000)), "en", "c", 1)]
+    item = "what is the capital of the land of the free\nit is the city on the hill by the sea"
+    rows.append((44, "see: " + item + " and more", "en", "a", 5))
+    clash = "size long, score double, key string, n long, rank int, component_id long, taken long, at long, start long, item_id long"
+    full = [(*r, 1, 0.5, "k", 2, 3, 4, 5, 6, 7, 8) for r in rows]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {clash}"
+    for name, data in (("some", full), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(None, 0, None), (41, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        df = table(spark, folder, "documents")
+        for k, (_, stage) in enumerate(P.STAGES):
+            stage(spark, df, folder).write.parquet(f"{folder}/out{k}")
+            after = spark.read.parquet(f"{folder}/out{k}")
+            if k < 4:
+                assert after.columns == df.columns
+            df = after
+            if name == "none":
+                assert df.count() == 0
+            elif k == 1:  # equal rows are one; those without words all stay
+                assert ids(df.where("doc_id is not null")) == [*range(30), 40, 41, 42, 43, 44]
+            elif k == 2:
+                assert 44 not in ids(df.where("doc_id is not null"))
