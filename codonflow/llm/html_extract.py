@@ -45,6 +45,8 @@ WEAK_WORDS = frozenset("promo promotion nav menu header notice notices alert ban
 PLAIN_WORDS = frozenset("site page global main left right top bottom box boxes list item items block area wrapper wrap container content section inner outer bar slot unit units link links button buttons form icons icon posts post thread text tray row col column group nav article articles story stories reader readers user users body tools tool has no with count new all".split())
 #: what text itself is in; other blocks are containers
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th tr ul ol dl table tbody thead tfoot hgroup address center summary figure".split())
+#: headings that belong to the content beside them
+HEADINGS = frozenset(("h1", "h2"))
 #: levels of a tree; what is nested deeper counts as on the last
 DEEPEST = 150
 #: children of one tag, told apart by their classes, that a node of a template has; more are one child
@@ -328,8 +330,12 @@ class Template:
 
         _align(self.tree, other.tree, True, both)
 
-    def content(self, params: Params) -> list:
-        """The node that holds the content: from the root down into the container with ``content_share`` of the text that is no menu's, text inside main elements counting for more."""
+    def content(self, params: Params) -> tuple[list, list[list]]:
+        """The node that holds the content, and those above it.
+
+        From the root down into the container with ``content_share`` of the text that is no menu's, text inside main
+        elements counting for more; an article or main element is taken whole, and others with it.
+        """
         mass: dict[int, int] = {}
 
         def weigh(node: list) -> int:
@@ -338,15 +344,18 @@ class Template:
             return mass[id(node)]
 
         weigh(self.tree)
-        node = self.tree
-        while (best := max((c for c in node[2] if not c[6]), key=lambda c: mass[id(c)], default=None)) is not None and mass[id(best)] >= params.content_share * max(1, mass[id(node)]):
+        node, above = self.tree, []
+        while not node[1] and (best := max((c for c in node[2] if not c[6]), key=lambda c: mass[id(c)], default=None)) is not None and mass[id(best)] >= params.content_share * max(1, mass[id(node)]):
+            above.append(node)
             node = best
-        return node
+        return node, above
 
     def inside(self, params: Params) -> set[int]:
-        """The nodes of the content."""
+        """The nodes of the content, and of the headings beside the way to it."""
         if self._inside is None:
-            self._inside = _below(self.content(params))
+            node, above = self.content(params)
+            mains = _below(self.tree, True) if node[1] else set()
+            self._inside = _below(node).union(mains, *(_below(c) for n in above for c in n[2] if _tag(c[0]) in HEADINGS))
         return self._inside
 
     def dump(self) -> str:
@@ -462,8 +471,9 @@ def page_text(page: Page, template: Template, params: Params, constant: frozense
     return "\n".join(t for _, c, t in content if not c)
 
 
-def _below(node: list) -> set[int]:
-    return {id(node)}.union(*(_below(c) for c in node[2]))
+def _below(node: list, main: bool = False) -> set[int]:
+    """A node and all below it; or those of them in article or main elements."""
+    return {id(node)}.union(*(_below(c, main) for c in node[2])) if node[1] or not main else set().union(*(_below(c, main) for c in node[2]))
 
 
 def _induce():

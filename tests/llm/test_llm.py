@@ -232,6 +232,18 @@ def test_templates_find_the_content(spark):
     assert sum(alone[k] != expected[k] for k in range(20)) >= 4  # those with little text of their own
 
 
+def test_headings_and_parts_of_articles_stay():
+    body = "<p>" + "A long paragraph of many words. " * 9 + "</p>"
+    for html in (f"<article><h1>Head</h1><div class=intro><p>In short</p></div><div class=text>{body}</div><div class=end><p>The end</p></div></article>", f"<div id=a><h1>Head</h1><div class=text><p>In short</p>{body}<p>The end</p></div></div><div class=more><p>Other things</p></div>"):
+        text = H.page_text(H.Page("<nav><a href=1>Home</a></nav>" + html), H.Template(), H.Params())
+        assert text.split("\n")[:2] == ["Head", "In short"] and text.endswith("The end") and "Home" not in text
+
+
+def test_all_articles_of_a_page_stay():
+    html = f"<nav>Menu</nav><article class=a><p>{'One of many words. ' * 20}</p></article><div class=side><p>Aside</p></div><article class=b><p>Two</p></article>"
+    assert H.page_text(H.Page(html), H.Template(), H.Params()).endswith("words.\nTwo")
+
+
 @pytest.mark.parametrize("name", "comment-body reader-comments user-comments story-comments commentlist discussion related-articles share-tools alert-banner article-footer ad_unit_300x250".split())
 def test_what_is_no_part_of_an_article(name):
     assert H.page_text(H.Page(f'<article><p>Text of it</p><div class="{name}"><p>no</p></div></article>'), H.Template(), H.Params()) == "Text of it"
