@@ -155,6 +155,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.searchsorted(starts, offsets), told
 
 
+#: texts or pieces that go to the library at once
+LIBRARY_TEXTS = 2048
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each piece encoded once while it is remembered.
 
@@ -180,7 +184,8 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Some at a time: what the library returns of a text is many times its ids."""
+        return [e.ids for k in range(0, len(texts), LIBRARY_TEXTS) for e in self.tokenizer.encode_batch_fast(texts[k : k + LIBRARY_TEXTS], add_special_tokens=False)]
 
     def _learn(self, h: np.ndarray, heads: np.ndarray, texts: list[str]) -> None:
         own = self._library(texts)
@@ -289,6 +294,7 @@ def _encode(path: str):
                     docs, sizes, ids, held, seg = [], [], [], 0, seg + 1
         if docs:
             yield closed()
+        encoder._forget()  # the worker goes on to other tasks
 
     return run
 
