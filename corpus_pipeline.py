@@ -1,7 +1,12 @@
 """Corpus pipeline: quality filter, near-duplicate groups, decontamination, mixing, token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``, and any others that docs has.
+
+Null and empty texts are scored like texts of zeros, are like no other text, leak nothing, and are not
+in the mix, which is made of words.  Rows with a null id stay in each stage like any other; equal rows are one group
+of near copies, of which one row of the smallest id stays.  A null source is a source of its own.  Empty documents give
+empty results, an empty ``labels`` keeps all documents, an empty ``benchmark`` too.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from codonflow.llm.decontaminate import without_leaks
 from codonflow.llm.jaccard_join import one_of_each
 from codonflow.llm.mixing import mix
 from codonflow.llm.quality import keep_good
-from codonflow.llm.shared import shared_dir, table
+from codonflow.llm.shared import remove, shared_dir, table
 from codonflow.llm.token_ids import token_table
 
 ORACLE_SQL = None
@@ -56,10 +61,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again; what a stage has read goes, the last result stays."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
