@@ -14,7 +14,7 @@ from codonflow.model.hmm import Hmm, HmmParameters, Pieces, fit_gaps, scan
 from codonflow.model.species import Model
 
 from .alignments import in_frames
-from .scoring import score_bases, score_codons
+from .scoring import alignment_scores, score_bases, score_codons
 
 #: codons of a piece of a segment, and cells of the grid (codons of the longest times pieces) that are worked on at once
 PIECE, CELLS = 512, 1 << 18
@@ -124,8 +124,7 @@ def _smoothed(hmm: Hmm, compat: bool, width: int):
                 p = pieces.posteriors(state[0][lot], state[1][lot]) if cut else pieces.posteriors()
                 came = pieces.best(state[2][lot]) if cut else pieces.best()
                 path = pieces.rows(pieces.paths(came, np.where(last[lot] < 0, pieces.ends.argmax(1), last[lot])))
-                with np.errstate(divide="ignore"):
-                    odds = [np.clip(np.log10(x / (1 - x)), -15, 15) for x in pieces.rows(p)]
+                odds = [_odds(x) for x in pieces.rows(p)]
                 take = pa.array(np.repeat(lot, [len(x) for x in path]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(width + 1)), pa.array(np.concatenate([pos[k] for k in lot])), pa.array(np.concatenate(odds)), pa.array(np.concatenate(path).astype(np.int32))], names=[*b.schema.names[: width + 1], "pos", "log_odds", "state"])
 
@@ -178,12 +177,33 @@ def regions(smoothed: DataFrame, compat: bool = True, keys: tuple[str, ...] = ("
 
 
 def mean_smoothed(alignments: DataFrame, model: Model, hmm: Hmm) -> DataFrame:
-    """alignments without seqs and with ``phylo``: the mean log odds of an alignment's codons after smoothing; null without a codon."""
-    key = [c for c in alignments.columns if c != "seqs"]
-    rows = alignments.withColumn("__k", F.monotonically_increasing_id())
-    codons = score_codons(rows.select("__k", "seqs"), model).select("__k", (F.col("nth") * 3 + 1).alias("pos"), "score")
-    means = smooth(codons, hmm, False, ("__k",)).groupBy("__k").agg(F.avg("log_odds").alias("phylo"))
-    return rows.join(means, "__k", "left").select(*key, "phylo")
+    """alignments without seqs and with ``phylo``: the mean log odds of an alignment's codons after smoothing; null without a codon.
+
+    An alignment is one segment, scored and smoothed in the task that reads it.
+    """
+    given = alignments.sparkSession.sparkContext.broadcast(model)
+    at = alignments.columns.index("seqs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[float | None] = [None] * len(b)
+            for first, scores in alignment_scores(given.value, b.column(at).to_pylist()):
+                sizes = np.array([len(x) for x in scores])
+                for lot in _grids(sizes):
+                    lot = lot[sizes[lot] > 0]
+                    if len(lot):
+                        pieces = Pieces(hmm, [scores[k] for k in lot])
+                        for k, p in zip(lot.tolist(), pieces.rows(pieces.posteriors()), strict=True):
+                            found[first + k] = float(_odds(p).mean())
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), pa.array(found, pa.float64())], names=[*(n for n in b.schema.names if n != "seqs"), "phylo"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in alignments.dtypes if n != "seqs")
+    return alignments.mapInArrow(run, f"{kinds}, phylo double" if kinds else "phylo double")
+
+
+def _odds(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.clip(np.log10(p / (1 - p)), -15, 15)
 
 
 _EXON = ["chrom", "strand", "phase"]
