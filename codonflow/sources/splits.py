@@ -90,10 +90,17 @@ def _stretches(batches: Iterator[pa.RecordBatch], starts: dict | None, sep: int,
             yield key, one
 
 
+def whole_text_of(file: str) -> str:
+    """The file itself, or its folder, if it is one of the parts that Spark has written there."""
+    folder, _, name = file.rpartition("/")
+    return folder if name.startswith("part-") else file
+
+
 def marked(spark: SparkSession, path, emit: Callable[[str, Iterator[Stretch]], Iterator[pa.RecordBatch]], schema: str, mark: Marks | None = None, weigh: Weights | None = None, sep: str = "\n") -> DataFrame:
     """What ``emit`` makes of the stretches of each split, of the files at path; rows are lines up to ``sep``.
 
-    The driver gets a row for each split: its last mark and three numbers.
+    ``part-*`` files of one folder, as Spark writes them, are one text in the order of their names,
+    which has the folder's name.  The driver gets a row for each split: its last mark and three numbers.
     """
     lines = spark.read.option("lineSep", sep).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
     width = len(sep.encode())
@@ -112,9 +119,9 @@ def marked(spark: SparkSession, path, emit: Callable[[str, Iterator[Stretch]], I
 
     found = lines.mapInArrow(summary, "file string, split long, at long, mark string, since long, marks long").collect()
     starts, state, file = {}, State(), None
-    for r in sorted(found, key=lambda r: (r["file"], r["split"])):
-        if r["file"] != file:
-            file, state = r["file"], State()
+    for r in sorted(found, key=lambda r: (whole_text_of(r["file"]), r["file"], r["split"])):
+        if whole_text_of(r["file"]) != file:
+            file, state = whole_text_of(r["file"]), State()
         starts[r["file"], r["split"]] = state
         state = state.then(State(r["at"], r["mark"], r["since"], r["marks"]))
     given = spark.sparkContext.broadcast(starts)
@@ -132,7 +139,7 @@ def marked(spark: SparkSession, path, emit: Callable[[str, Iterator[Stretch]], I
         while ahead is not None:
             key = ahead[0]
             part = own(key)
-            yield from emit(key[0], part)
+            yield from emit(whole_text_of(key[0]), part)
             for _ in part:
                 pass
 

@@ -607,3 +607,18 @@ def test_references_of_one_species(spark, tmp_path):
     (tmp_path / "x.maf").write_text(MAF + "\na score=4\ns b.chr1 60 3 + 100 ATG\ns a.chr1 60 3 + 100 ATG\n")
     with pytest.raises(ValueError, match="references of several species: a, b"):
         main(["score-msa", "--strategy", "FIXED", "--output", str(tmp_path / "s"), model_files(tmp_path), str(tmp_path / "x.maf")], spark)
+
+
+def test_parts_of_a_folder_are_one_text(spark, tmp_path):
+    """Runs of steps and transcripts that the ranges of a writer have cut."""
+    track = spark.createDataFrame([(c, 1 + 3 * k + (k > 120) * 30, float(k)) for c in "ab" for k in range(300)], "chrom string, pos long, score double")
+    lines = K.fixed_step_lines(track).repartitionByRange(9, "chrom", "pos", "nth").sortWithinPartitions("chrom", "pos", "nth")
+    lines.select("line").write.text(f"{tmp_path}/t.wig")
+    parts = sorted((tmp_path / "t.wig").glob("part*"))
+    assert len(parts) > 5 and sum(not p.read_text().startswith("fixedStep") for p in parts) > 3
+    assert sorted((r.chrom, r.pos, r.score) for r in R.track(spark, f"{tmp_path}/t.wig", "+1").collect()) == sorted(map(tuple, track.collect()))
+    genes = [f"c\ts\t{kind}\t{k}\t9\t.\t+\t.\tT{k}" for k in range(40) for kind in ("transcript", "CDS", "CDS")]
+    spark.createDataFrame(list(enumerate(genes)), "k long, line string").repartitionByRange(7, "k").sortWithinPartitions("k").select("line").write.text(f"{tmp_path}/g.gff")
+    found = R.gene_models(spark, f"{tmp_path}/g.gff").orderBy("line_no").collect()
+    assert [r.line for r in found] == genes and [r.tx_no for r in found] == [k + 1 for k in range(40) for _ in range(3)]
+    assert len({r.file for r in found}) == 1 and len({r.line_no for r in found}) == len(genes)
