@@ -622,3 +622,11 @@ def test_parts_of_a_folder_are_one_text(spark, tmp_path):
     found = R.gene_models(spark, f"{tmp_path}/g.gff").orderBy("line_no").collect()
     assert [r.line for r in found] == genes and [r.tx_no for r in found] == [k + 1 for k in range(40) for _ in range(3)]
     assert len({r.file for r in found}) == 1 and len({r.line_no for r in found}) == len(genes)
+
+
+def test_tracks_need_the_forward_strand(spark, tmp_path):
+    (tmp_path / "x.maf").write_text("a score=1\ns a.chr1 0 3 - 100 ATG\ns b.chr1 0 3 + 100 ATG\n")
+    rows = A.resolve_species(R.maf_rows(spark, str(tmp_path / "x.maf")), MODEL.leaves)
+    assert A.blocks(rows, 4).first().strand == "-"
+    with pytest.raises(Exception, match="forward strand"):
+        A.blocks(rows, 4, tracks=True).collect()
