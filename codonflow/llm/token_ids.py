@@ -36,6 +36,8 @@ END_ID = 0
 SEGMENT_IDS = 1 << 19
 #: pieces of texts whose ids a worker remembers, about 30 bytes each
 CACHE_PIECES = 1_500_000
+#: pieces that a worker takes on to its next task
+SETTLED = 200_000
 #: text that is encoded at once
 TEXT_BYTES = 1 << 20
 
@@ -180,9 +182,22 @@ class Encoder:
         self.known = np.zeros(0, np.uint64)
         self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.heads = np.zeros((0, 3), np.uint64)
+        self.seen = np.zeros(0, np.uint32)  # how often each was met
         self.long: dict[int, bytes] = {}  # pieces of more than 16 bytes by their hash
         self.ids = np.zeros(0, np.uint32)
 
+    def settle(self) -> None:
+        """Keeps what was met twice at least, at most SETTLED pieces: a worker goes on to other tasks, and most pieces are met once."""
+        often = np.flatnonzero(self.seen > 1)
+        if len(often) > SETTLED:
+            often = np.sort(often[np.argsort(-self.seen[often].astype(np.int64), kind="stable")[:SETTLED]])
+        count = self.count[often].astype(np.int64)
+        done = np.cumsum(count)
+        ids = self.ids[np.repeat(self.begin[often].astype(np.int64) - (done - count), count) + np.arange(done[-1] if len(done) else 0)]
+        self.known, self.count, self.heads, self.seen = (x[often] for x in (self.known, self.count, self.heads, self.seen))
+        self.begin, self.ids = (done - count).astype(np.uint32), ids
+        self.long = {int(h): self.long[int(h)] for h in self.known[self.heads[:, 2] > 16]}
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         """Some at a time: what the library returns of a text is many times its ids."""
         return [e.ids for k in range(0, len(texts), LIBRARY_TEXTS) for e in self.tokenizer.encode_batch_fast(texts[k : k + LIBRARY_TEXTS], add_special_tokens=False)]
@@ -197,6 +212,7 @@ class Encoder:
         self.begin = np.concatenate((self.begin, begin))[order]
         self.count = np.concatenate((self.count, count.astype(np.uint32)))[order]
         self.heads = np.concatenate((self.heads, heads))[order]
+        self.seen = np.concatenate((self.seen, np.zeros(len(h), np.uint32)))[order]
         for k in np.flatnonzero(heads[:, 2] > 16).tolist():
             self.long[int(h[k])] = texts[k].encode()
         self.ids = np.concatenate((self.ids, flat))
@@ -245,6 +261,7 @@ class Encoder:
             new = where[~there]
             self._learn(distinct[~there], heads[new], [raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at, _ = self._find(distinct)
+        self.seen[at] += np.bincount(back, minlength=len(distinct)).astype(np.uint32)
         begin, count = self.begin[at][back].astype(np.int64), self.count[at][back].astype(np.int64)
         done = np.cumsum(count)
         ids = self.ids[np.repeat(begin - (done - count), count) + np.arange(done[-1] if len(done) else 0)]
@@ -294,7 +311,7 @@ def _encode(path: str):
                     docs, sizes, ids, held, seg = [], [], [], 0, seg + 1
         if docs:
             yield closed()
-        encoder._forget()  # the worker goes on to other tasks
+        encoder.settle()
 
     return run
 
