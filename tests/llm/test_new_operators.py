@@ -185,7 +185,7 @@ def test_recall_over_a_table_larger_than_what_is_looked_at(spark, sf):
         d = N.distances(v[[q]].astype(float), v.astype(float))[0]
         d[q] = np.inf
         exact += [(q, int(i)) for i in np.lexsort((np.arange(6000), d))[:10]]
-    found = N.nearest(df, search=N.Search(base=500))
+    found = N.nearest(df)  # with the usual parameters
     assert N.recall(found, spark.createDataFrame(exact, "query_id long, vec_id long")) >= 0.9
     assert found.groupBy("query_id").agg(F.count("*").alias("n")).where("n <> 10").count() == 0
 
