@@ -176,3 +176,33 @@ def test_gap_mixture():
     lengths, weights = fit_gaps(gaps)
     assert np.isclose(weights.sum(), 1) and lengths[2] < lengths[0] < lengths[1]
     assert abs(simplex(lambda x: (x - 2) ** 2, 0.0, 0.1, 1e-6, 100) - 2) < 1e-3
+
+
+def test_draws_that_cannot_win_are_not_evaluated():
+    for seed in range(6):
+        for f in (math.log, lambda x: -x, lambda x: -((math.log(x) - 1.9) ** 2), lambda x: -((math.log(x) + 4.4) ** 2) + 1e-3 * x, lambda x: 0.0):
+            calls = []
+            plain = fit.Draws(seed)
+            screened = fit.Draws(seed)
+            a = fit.maximise(f, 1.0, 0.01, 10.0, plain)
+            b = fit.maximise(lambda x, f=f: calls.append(x) or f(x), 1.0, 0.01, 10.0, screened, lambda f=f: np.array([f(x) for x in fit.places(0.01, 10.0)]))
+            assert a == b and plain(1.0) == screened(1.0)
+            if f in (math.log,):
+                assert len(calls) < 40
+
+
+def test_fits_of_many_alignments_are_those_of_each():
+    rng = np.random.default_rng(5)
+    same = rng.integers(0, 64, (40, 1)).repeat(4, 1)
+    near = np.where(rng.random((40, 4)) < 0.1, rng.integers(0, 64, (40, 4)), same)
+    columns = [rng.integers(0, 65, (30, 4)), same, np.zeros((0, 4), np.int64), near, np.full((5, 4), 64)]
+    got = fit.mle_all(MODEL.tree, MODEL.coding, MODEL.noncoding, columns)
+    for own, c in zip(got, columns, strict=True):
+        assert np.allclose(own, fit.mle(MODEL.tree, MODEL.coding, MODEL.noncoding, c), atol=1e-6)
+
+
+def test_likelihoods_in_slices(monkeypatch):
+    columns = np.random.default_rng(4).integers(0, 65, (50, 4))
+    whole = column_scores(MODEL.tree, MODEL.coding, columns)
+    monkeypatch.setattr("codonflow.model.likelihood.SLICE", 7)
+    assert np.allclose(whole, column_scores(MODEL.tree, MODEL.coding, columns))
