@@ -201,6 +201,16 @@ def test_fits_of_many_alignments_are_those_of_each():
         assert np.allclose(own, fit.mle(MODEL.tree, MODEL.coding, MODEL.noncoding, c), atol=1e-6)
 
 
+def test_omega_fits_look_at_few_scales(monkeypatch):
+    calls = []
+    plain, matrices = fit.maximise, fit.branch_matrices
+    columns = np.random.default_rng(3).integers(0, 64, (30, 4))
+    monkeypatch.setattr(fit, "branch_matrices", lambda *a: calls.append(1) or matrices(*a))
+    quick, few = fit.omega_score(MODEL.tree, columns), len(calls)
+    monkeypatch.setattr(fit, "maximise", lambda f, start, low, high, draw, *_: plain(f, start, low, high, draw))
+    assert fit.omega_score(MODEL.tree, columns) == quick and few < 500 < len(calls) - few
+
+
 def test_likelihoods_in_slices(monkeypatch):
     columns = np.random.default_rng(4).integers(0, 65, (50, 4))
     whole = column_scores(MODEL.tree, MODEL.coding, columns)
