@@ -2,6 +2,7 @@
 
 import random
 
+from codonflow.model import fit
 from codonflow.operators import tracks as T
 
 
@@ -20,3 +21,10 @@ def test_exons_of_one_start_meet_the_pass_once(spark):
                 own.append((a, z))
         expected += [(way, *x) for x in own]
     assert sorted((r.strand, r.start, r.end) for r in T.without_overlaps(df).collect()) == sorted(expected)
+
+
+def test_a_search_computes_no_value_twice():
+    for peak in (-9.0, 0.3, 5.0, 60.0):  # inside the bounds and beyond both
+        asked = []
+        fit.maximise(lambda x, p=peak: asked.append(x) or -((x - p) ** 2), 1.0, 0.01, 10.0, fit.Draws())
+        assert len(asked) == len(set(asked))
