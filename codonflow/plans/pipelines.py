@@ -87,7 +87,7 @@ def build_tracks(spark: SparkSession, model: Model, paths: list[str], output: st
     if (smooth or regions) and hmm is None:
         raise ValueError("smoothed tracks and regions need coding exons and a genome length")
     blocks = A.stitched(_blocks(spark, paths, model, mapping, True))
-    power = T.power_track(C.score_bases(blocks.select("file", "block_id", "chrom", "start", "seqs"), model)).withColumnRenamed("power", "score")
+    power = T.power_track(blocks, model).withColumnRenamed("power", "score")
     codons = T.raw_tracks(blocks, model, threshold)
     power.write.parquet(f"{output}/power.parquet")
     power = spark.read.parquet(f"{output}/power.parquet")

@@ -4,6 +4,8 @@ import random
 
 from codonflow.model import fit
 from codonflow.operators import tracks as T
+from codonflow.operators.scoring import branch_scores
+from codonflow.queries import MODEL
 
 
 def test_exons_of_one_start_meet_the_pass_once(spark):
@@ -28,3 +30,32 @@ def test_a_search_computes_no_value_twice():
         asked = []
         fit.maximise(lambda x, p=peak: asked.append(x) or -((x - p) ** 2), 1.0, 0.01, 10.0, fit.Draws())
         assert len(asked) == len(set(asked))
+
+
+def test_tracks_of_alignments_that_overlap(spark, monkeypatch):
+    """A base or codon of several alignments is the first one's, in any buckets, and none is lost or there twice."""
+    rng = random.Random(12)
+    seq = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    blocks, at = [], 1
+    for k in range(40):
+        n = rng.randint(0, 40)
+        blocks.append(("f", k, "c", at, "+", 5000, [seq(n) for _ in range(4)]))
+        at += rng.choice((n, n, n + 5, max(1, n // 3)))
+    df = spark.createDataFrame(blocks, "file string, block_id long, chrom string, start long, strand string, chrom_len long, seqs array<string>")
+    bases, codons = {}, {}
+    for _, _, _, a, _, _, seqs in blocks:  # ascending starts
+        bls = branch_scores(MODEL.tree, seqs) if seqs[0] else []
+        for j, x in enumerate(bls):
+            bases.setdefault(a + j, x)
+        for j in range(len(bls) - 2):
+            codons.setdefault(a + j, sum(bls[j : j + 3]))
+    power = {p: sum(bases[p + j] for j in range(3)) / 3 for p in bases if p % 3 == 0 and p + 1 in bases and p + 2 in bases}
+    for size in (1_000_000, 50):
+        monkeypatch.setattr(T, "BUCKET", size)
+        got = [(r.pos, r.power) for r in T.power_track(df, MODEL).collect()]
+        assert len(got) == len(power) and all(abs(power[p] - x) < 1e-9 for p, x in got)
+        raw = T.raw_tracks(df, MODEL).collect()
+        for way in "+-":
+            own = sorted((r.pos, r.power) for r in raw if r.frame[0] == way)
+            expected = sorted((p, x / 3) for p, x in codons.items() if x >= 0.3)
+            assert [p for p, _ in own] == [p for p, _ in expected] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(own, expected, strict=True))
