@@ -1,11 +1,16 @@
 """Steps whose work grew faster than what they are about."""
 
 import random
+from types import SimpleNamespace
+
+import pyarrow as pa
 
 from codonflow.model import fit
+from codonflow.operators import scoring
 from codonflow.operators import tracks as T
+from codonflow.operators.alignments import columns_of
 from codonflow.operators.scoring import branch_scores
-from codonflow.queries import MODEL
+from codonflow.queries import MODEL, PAIR
 
 
 def test_exons_of_one_start_meet_the_pass_once(spark):
@@ -59,3 +64,21 @@ def test_tracks_of_alignments_that_overlap(spark, monkeypatch):
             own = sorted((r.pos, r.power) for r in raw if r.frame[0] == way)
             expected = sorted((p, x / 3) for p, x in codons.items() if x >= 0.3)
             assert [p for p, _ in own] == [p for p, _ in expected] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(own, expected, strict=True))
+
+
+def test_codons_come_in_short_batches(spark, monkeypatch):
+    """What a row carries is repeated for few codons at once, and columns are given as numbers."""
+    rng = random.Random(13)
+    rows = [[k, ["".join(rng.choice("ACGTN") for _ in range(n)) for _ in range(2)], [n, k]] for k, n in enumerate((0, 7, 300, 2, 90))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["id", "seqs", "keep"])
+    whole = None
+    for most, ahead in ((10_000, 1 << 24), (16, 1)):
+        monkeypatch.setattr(scoring, "ROWS", most)
+        monkeypatch.setattr(scoring, "BYTES", ahead)
+        out = list(scoring._codons(SimpleNamespace(value=PAIR), True)(iter([batch])))
+        assert all(len(b) <= most for b in out)
+        got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+        assert [(r[0], r[2]) for r in got] == [(k, j) for k, seqs, _ in rows for j in range(len(seqs[0]) // 3)]
+        assert [r[4] for r in got] == [c for _, seqs, _ in rows for c in columns_of(seqs).tolist()]
+        whole = whole or got
+        assert all(a[:3] == b[:3] and a[4] == b[4] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(whole, got, strict=True))
