@@ -65,14 +65,20 @@ def annotated_lines(annotated: DataFrame, weighted: bool = True, prefix: str = P
 
 def predicted_lines(features: DataFrame, parts: DataFrame, maker: str = MAKER, prefix: str = PREFIX) -> DataFrame:
     """(file, tx_no, line_no, nth, line): the lines of transcripts with a choice, coding exons replaced by the chosen ones."""
-    with_choice = parts.select("file", "tx_no").distinct()
-    kept = features.where(F.col("feature").isNull() | (F.col("feature") != "CDS")).join(with_choice, ["file", "tx_no"], "left_semi")
-    ids = features.where("feature = 'transcript'").groupBy("file", "tx_no").agg(F.min(F.coalesce(F.nullif(S.transcript_id("attrs"), F.lit("")), F.col("attrs"))).alias("id"), F.max("line_no").alias("line_no"))
-    order = Window.partitionBy("file", "tx_no").orderBy("orf_begin", "orf_end", "begin")
-    new = parts.join(ids, ["file", "tx_no"]).select("file", "tx_no", "line_no", (F.row_number().over(order) + 1_000_000).alias("nth"),
-        F.concat_ws("\t", "chrom", F.lit(maker), F.lit("CDS"), F.col("begin").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.col("phase").cast("string"),
-            F.concat("id", F.lit(f";{prefix}_score_weighted_mean="), number("score_mean", 3), F.lit(f";{prefix}_power_mean="), number("power_mean", 3))).alias("line"))
-    return kept.select("file", "tx_no", "line_no", F.lit(0).alias("nth"), "line").unionByName(new)
+    id_ = F.when(F.col("feature") == "transcript", F.coalesce(F.nullif(S.transcript_id("attrs"), F.lit("")), F.col("attrs")))
+    own = features.where(F.col("feature").isNull() | (F.col("feature") != "CDS"))
+    own = own.select("file", "tx_no", "line_no", "line", id_.alias("id"), (F.col("feature") == "transcript").alias("whole"), F.lit(1).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("orf_begin", "orf_end", "begin")), F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"))
+    head = F.concat_ws("\t", "chrom", F.lit(maker), F.lit("CDS"), F.col("begin").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.col("phase").cast("string"))
+    tail = F.concat(F.lit(f";{prefix}_score_weighted_mean="), number("score_mean", 3), F.lit(f";{prefix}_power_mean="), number("power_mean", 3))
+    new = parts.select("file", "tx_no", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("id"), F.lit(False).alias("whole"), F.lit(0).alias("kind"), *(F.col(c).cast("long").alias(c) for c in ("orf_begin", "orf_end", "begin")), head.alias("head"), tail.alias("tail"))
+    # all of a transcript meets once: its lines and its parts, the parts first
+    of = Window.partitionBy("file", "tx_no")
+    rows = own.unionByName(new).withColumn("nth", F.row_number().over(of.orderBy("kind", "orf_begin", "orf_end", "begin")) + 1_000_000)
+    rows = rows.withColumn("first", F.min("kind").over(of)).withColumn("top", F.max(F.when(F.col("whole"), F.col("line_no"))).over(of)).withColumn("id", F.min("id").over(of))
+    part = F.col("kind") == 0
+    rows = rows.where((F.col("first") == 0) & (~part | F.col("top").isNotNull()))
+    line = F.when(part, F.concat_ws("\t", "head", F.concat("id", "tail"))).otherwise(F.col("line"))
+    return rows.select("file", "tx_no", F.when(part, F.col("top")).otherwise(F.col("line_no")).alias("line_no"), F.when(part, F.col("nth")).otherwise(0).alias("nth"), line.alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str, *order: str) -> None:

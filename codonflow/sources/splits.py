@@ -146,16 +146,16 @@ def marked(spark: SparkSession, path, emit: Callable[[str, Iterator[Stretch]], I
     return lines.mapInArrow(run, schema)
 
 
-def marked_lines(spark: SparkSession, path, mark: Marks | None = None, weigh: Weights | None = None, sep: str = "\n") -> DataFrame:
+def marked_lines(spark: SparkSession, path, mark: Marks | None = None, weigh: Weights | None = None, sep: str = "\n", counted: bool = False) -> DataFrame:
     """(file, at, mark, since, marks, line) of every line: the byte it begins at, the last mark, what lines since weigh, and the number of marks so far.
 
-    Empty files give no rows; lines before the first mark have none.
+    Empty files give no rows; lines before the first mark have none.  counted: marks are numbered only, and none is given.
     """
 
     def emit(file: str, part: Iterator[Stretch]) -> Iterator[pa.RecordBatch]:
         for s in part:
             name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(s.lines), np.int32)), pa.array([file])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([name, pa.array(s.at), s.mark(), pa.array(s.since), pa.array(s.marks), s.lines], names=["file", "at", "mark", "since", "marks", "line"])
+            yield pa.RecordBatch.from_arrays([name, pa.array(s.at), pa.nulls(len(s.lines), pa.string()) if counted else s.mark(), pa.array(s.since), pa.array(s.marks), s.lines], names=["file", "at", "mark", "since", "marks", "line"])
 
     return marked(spark, path, emit, "file string, at long, mark string, since long, marks long, line string", mark, weigh, sep)
 

@@ -108,7 +108,7 @@ def gene_models(spark: SparkSession, path) -> DataFrame:
     tx_no numbers the transcripts of a file; lines before the first belong to it, others
     to the transcript above them.  Comments have no columns.  line_no is the byte at which a line begins.
     """
-    lines = marked_lines(spark, path, lambda x: pc.match_substring_regex(x, r"^[^#\t][^\t]*\t[^\t]*\ttranscript\t([^\t]*\t){5}"))
+    lines = marked_lines(spark, path, lambda x: pc.match_substring_regex(x, r"^[^#\t][^\t]*\t[^\t]*\ttranscript\t([^\t]*\t){5}"), counted=True)
     lines = lines.select("file", F.col("at").alias("line_no"), F.greatest(F.lit(1).cast("long"), "marks").alias("tx_no"), F.regexp_replace("line", "\r$", "").alias("line"))
     t = F.split("line", "\t")
     rows = lines.select("file", "line_no", "tx_no", "line", F.when(~F.col("line").startswith("#") & (F.size(t) >= 9), t).alias("t"))

@@ -11,6 +11,7 @@ from codonflow.operators import tracks as T
 from codonflow.operators.alignments import columns_of
 from codonflow.operators.scoring import branch_scores
 from codonflow.queries import MODEL, PAIR
+from codonflow.sources import sinks as K
 
 
 def test_exons_of_one_start_meet_the_pass_once(spark):
@@ -82,3 +83,18 @@ def test_codons_come_in_short_batches(spark, monkeypatch):
         assert [r[4] for r in got] == [c for _, seqs, _ in rows for c in columns_of(seqs).tolist()]
         whole = whole or got
         assert all(a[:3] == b[:3] and a[4] == b[4] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(whole, got, strict=True))
+
+
+def test_predicted_lines_read_their_inputs_once(spark):
+    """Of a transcript with a choice all lines but exons, then the parts in order; parts without a transcript go."""
+    kinds = "file string, tx_no long, line_no long, feature string, attrs string, line string"
+    features = [("f", 1, 5, "transcript", 'transcript_id "T1";', "t1"), ("f", 1, 9, "CDS", "x", "c1"), ("f", 1, 12, None, None, "# 1"), ("f", 2, 20, "transcript", 'transcript_id "T2";', "t2"), ("f", 3, 30, "exon", "x", "e3"), ("f", 4, 40, "transcript", None, "t4")]
+    parts = [("f", tx, "c", "+", a, a + 8, 0, 1.5, None, 0, z) for tx, a, z in ((1, 40, 3), (1, 10, 3), (1, 70, 2), (3, 1, 1), (4, 1, 1))]
+    df = spark.createDataFrame(parts, "file string, tx_no long, chrom string, strand string, begin long, end long, phase int, score_mean double, power_mean double, orf_begin long, orf_end long")
+    lines = K.predicted_lines(spark.createDataFrame(features, kinds).repartition(3), df.repartition(3))
+    got = [(r.tx_no, r.line_no, r.line) for r in lines.orderBy("tx_no", "line_no", "nth").collect()]
+    new = lambda a, name: "\t".join(["c", "codonflow", "CDS", str(a), str(a + 8), ".", "+", "0", *[f"{name};coding_score_weighted_mean=1.500;coding_power_mean=nan"] * bool(name)])
+    first = 'transcript_id "T1";'
+    assert got == [(1, 5, "t1"), *((1, 5, new(a, first)) for a in (70, 10, 40)), (1, 12, "# 1"), (3, 30, "e3"), (4, 40, "t4"), (4, 40, new(1, ""))]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
