@@ -34,12 +34,12 @@ def score_lines(scores: DataFrame, ancestral: bool = False, phylo: bool = True)
     return head.unionByName(body)
 
 
-def fixed_step_lines(track: DataFrame, digits: int = 3) -> DataFrame:
-    """(chrom, pos, nth, line) of track(chrom, pos, score): a header where a run of steps begins, before its first value."""
+def fixed_step_lines(track: DataFrame, digits: int = 3, runs: bool = False) -> DataFrame:
+    """(chrom, pos, nth, line) of track(chrom, pos, score): a header where a run of steps begins, before its first value; runs: and ``segment``, where its run begins."""
     head = F.format_string("fixedStep chrom=%s start=%d step=3 span=3", "chrom", "pos")
     value = S.trimmed("score", digits)
     rows = segments(track.select("chrom", "pos", "score"), ("chrom",))
-    return rows.select("chrom", "pos", F.posexplode(F.when(F.col("pos") == F.col("segment"), F.array(head, value)).otherwise(F.array(value))).alias("nth", "line"))
+    return rows.select("chrom", "pos", *["segment"] * runs, F.posexplode(F.when(F.col("pos") == F.col("segment"), F.array(head, value)).otherwise(F.array(value))).alias("nth", "line"))
 
 
 def bed_lines(regions: DataFrame) -> DataFrame:

@@ -98,3 +98,10 @@ def test_predicted_lines_read_their_inputs_once(spark):
     assert got == [(1, 5, "t1"), *((1, 5, new(a, first)) for a in (70, 10, 40)), (1, 12, "# 1"), (3, 30, "e3"), (4, 40, "t4"), (4, 40, new(1, ""))]
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def test_lines_of_a_track_know_their_runs(spark):
+    track = spark.createDataFrame([("c", p, 1.0) for p in (1, 4, 7, 20, 23)], "chrom string, pos long, score double")
+    got = [(r.pos, r.segment, r.nth, r.line) for r in K.fixed_step_lines(track, runs=True).orderBy("pos", "nth").collect()]
+    head = "fixedStep chrom=c start=%d step=3 span=3"
+    assert got == [(1, 1, 0, head % 1), (1, 1, 1, "1.0"), (4, 1, 0, "1.0"), (7, 1, 0, "1.0"), (20, 20, 0, head % 20), (20, 20, 1, "1.0"), (23, 20, 0, "1.0")]
