@@ -3,9 +3,11 @@
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 
 from codonflow.model import fit
+from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
 from codonflow.operators import scoring
 from codonflow.operators import tracks as T
 from codonflow.operators.alignments import columns_of
@@ -105,3 +107,19 @@ def test_lines_of_a_track_know_their_runs(spark):
     got = [(r.pos, r.segment, r.nth, r.line) for r in K.fixed_step_lines(track, runs=True).orderBy("pos", "nth").collect()]
     head = "fixedStep chrom=c start=%d step=3 span=3"
     assert got == [(1, 1, 0, head % 1), (1, 1, 1, "1.0"), (4, 1, 0, "1.0"), (7, 1, 0, "1.0"), (20, 20, 0, head % 20), (20, 20, 1, "1.0"), (23, 20, 0, "1.0")]
+
+
+def test_what_is_below_a_node_is_computed_once_for_all_columns():
+    columns = np.random.default_rng(8).integers(0, 65, (30_000, 4))
+    (steps,) = Patterns(MODEL.tree, columns).parts
+    assert max(len(steps[0][0]), len(steps[1][0])) <= 65 * 65 and len(steps[2][0]) == 30_000
+    plain = np.concatenate([inside(MODEL.tree, branch_matrices(MODEL.tree, MODEL.coding), MODEL.coding.prior, columns[k : k + 1])[0] for k in range(0, 30_000, 997)])
+    assert np.allclose(column_scores(MODEL.tree, MODEL.coding, columns)[0][::997], plain)
+
+
+def test_fits_of_unlike_sequences_ask_for_few_scales(monkeypatch):
+    calls, matrices = [], fit.branch_matrices
+    monkeypatch.setattr(fit, "branch_matrices", lambda *a: calls.append(1) or matrices(*a))
+    columns = [np.random.default_rng(k).integers(0, 64, (80, 4)) for k in range(20)]
+    fit.mle_all(MODEL.tree, MODEL.coding, MODEL.noncoding, columns)
+    assert len(calls) < 60  # bounds, start and places of two models
