@@ -123,3 +123,13 @@ def test_fits_of_unlike_sequences_ask_for_few_scales(monkeypatch):
     columns = [np.random.default_rng(k).integers(0, 64, (80, 4)) for k in range(20)]
     fit.mle_all(MODEL.tree, MODEL.coding, MODEL.noncoding, columns)
     assert len(calls) < 60  # bounds, start and places of two models
+
+
+def test_rounds_of_a_fit_share_decompositions_and_values(monkeypatch):
+    decomposed, matrices, eigh, made = [], [], np.linalg.eigh, fit.branch_matrices
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: decomposed.append(1) or eigh(a))
+    monkeypatch.setattr(fit, "branch_matrices", lambda *a: matrices.append(a[1:]) or made(*a))
+    fit.omega_score(MODEL.tree, np.random.default_rng(3).integers(0, 64, (30, 4)))
+    single = [(id(r), x) for r, x in matrices if np.ndim(x) == 0]
+    assert len(single) == len(set(single)) and len(matrices) < 120
+    assert len(decomposed) == len({id(r) for r, _ in matrices})
