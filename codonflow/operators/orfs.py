@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ from .annotate import TRACKS, interval_sums, place_sequences
 MODES = ("ALL", "LONGEST", "BEST_SCORE")
 _TURN = str.maketrans("ACGT", "TGCA")
 _START, _STOP = re.compile("(?=ATG)"), re.compile("(?=TAA|TAG|TGA)")
+#: bases of sequences that are searched at once; longer ones, and those with other than ASCII letters, are searched alone
+BASES = 1 << 18
+#: numbers of the bases by byte, 4 for all else, and of codons by three of them
+_BASE = np.full(256, 4, np.uint8)
+_BASE[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
+_ATG, _STOPS = 0 * 25 + 3 * 5 + 2, (3 * 25, 3 * 25 + 2, 3 * 25 + 2 * 5)
 
 
 def reading_frames(seq: str, strand: str, min_codons: int = 25) -> list[tuple[int, int]]:
@@ -34,6 +41,52 @@ def reading_frames(seq: str, strand: str, min_codons: int = 25) -> list[tuple[in
     return sorted(found)
 
 
+def _frames_of(data: np.ndarray, upto: np.ndarray, back: np.ndarray, min_codons: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the sequence, begin, end) as ``reading_frames`` has them, of ASCII sequences that end at upto, back where they are read backward."""
+    upto = np.concatenate(([0], upto))
+    first, size = upto[:-1], np.diff(upto)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(data))
+    turned = back[owner]
+    base = _BASE[data[np.where(turned, (2 * first + size - 1)[owner] - at, at)]]
+    base[turned & (base < 4)] ^= 3
+    codon = base[:-2] * np.uint8(25) + base[1:-1] * np.uint8(5) + base[2:]
+    whole = owner[:-2] == owner[2:]
+    begins, stops = np.flatnonzero((codon == _ATG) & whole), np.flatnonzero(np.isin(codon, _STOPS) & whole)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for r in range(3):
+        a, z = (x[(x - first[owner[x]]) % 3 == r] for x in (begins, stops))
+        k = np.searchsorted(z, a)
+        a, z = a[k < len(z)], z[k[k < len(z)]]
+        ok = (owner[a] == owner[z]) & (z + 3 - a >= 3 * min_codons)
+        found.append((a[ok], z[ok] + 3))
+    a, z = (np.concatenate(x) for x in zip(*found, strict=True))
+    row = owner[a]
+    a, z = a - first[row], z - first[row]
+    a, z = np.where(back[row], size[row] - z, a), np.where(back[row], size[row] - a, z)
+    order = np.lexsort((z, a, row))
+    return row[order], a[order], z[order]
+
+
+def _frames(strands: list[str | None], seqs: pa.Array, min_codons: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, begin, end) of all reading frames of rows, by lots of rows."""
+    seqs = seqs.cast(pa.large_string()).fill_null("")
+    upto = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)
+    back = np.array([s == "-" for s in strands], bool)
+    a = 0
+    while a < len(seqs):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + BASES, "right")) - 1)
+        own = data[upto[a] : upto[z]]
+        if len(own) > BASES or (len(own) and own.max() > 127):
+            every = [(k, *x) for k in range(a, z) for x in reading_frames(seqs[k].as_py(), strands[k], min_codons)]
+            yield tuple(np.array(every, np.int64).reshape(-1, 3).T)
+        elif len(own) > 2:
+            row, begin, end = _frames_of(own, upto[a + 1 : z + 1] - upto[a], back[a:z], min_codons)
+            yield row + a, begin, end
+        a = z
+
+
 def spliced(exons: DataFrame, genome: DataFrame) -> DataFrame:
     """(file, tx_no, chrom, strand, seq) of exons(file, tx_no, chrom, strand, begin, end), 1-based: exons in order of place.
 
@@ -59,14 +112,9 @@ def find_orfs(transcripts: DataFrame, min_codons: int = 25) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, begins, ends = [], [], []
-            for k, (strand, seq) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                for a, z in reading_frames(seq or "", strand, min_codons):
-                    rows.append(k)
-                    begins.append(a)
-                    ends.append(z)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(3)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["file", "tx_no", "strand", "orf_begin", "orf_end"])
+            for rows, begins, ends in _frames(b.column(2).to_pylist(), b.column(3), min_codons):
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in range(3)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["file", "tx_no", "strand", "orf_begin", "orf_end"])
 
     kinds = dict(transcripts.dtypes)
     return transcripts.select("file", "tx_no", "strand", "seq").mapInArrow(run, f"file {kinds['file']}, tx_no {kinds['tx_no']}, strand string, orf_begin long, orf_end long")
@@ -125,9 +173,26 @@ def choose(parts: DataFrame, mode: str = "LONGEST", min_score: float = 0.0) -> D
     rows = parts.where(score >= min_score)
     if mode == "ALL":
         return rows
-    first = F.desc(F.col("orf_end") - F.col("orf_begin")) if mode == "LONGEST" else F.desc(score)
-    order = Window.partitionBy("file", "tx_no").orderBy(first, "orf_begin", "orf_end")
-    return rows.withColumn("__n", F.dense_rank().over(order)).where("__n = 1").drop("__n")
+    return _ranked(rows, mode).where("__n = 1").drop("__n")
+
+
+def _ranked(rows: DataFrame, mode: str) -> DataFrame:
+    """rows with ``__n``, the number of their ORF among those of the transcript, the best first."""
+    first = F.desc(F.col("orf_end") - F.col("orf_begin")) if mode == "LONGEST" else F.desc(F.round("orf_score", 9))
+    return rows.withColumn("__n", F.dense_rank().over(Window.partitionBy("file", "tx_no").orderBy(first, "orf_begin", "orf_end")))
+
+
+def evaluation_of(parts: DataFrame, mode: str, min_score: float, features: DataFrame) -> DataFrame:
+    """As ``evaluation`` of what ``choose`` gives by mode and with the least score alone, from one pass over the parts."""
+    found = choose(parts, "ALL", min_score)
+    if mode != "ALL":
+        found = _ranked(found, mode)
+    else:
+        found = found.withColumn("__n", F.lit(1))
+    orfs = found.groupBy("file", "tx_no", "orf_begin", "orf_end").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("parts"), F.min("__n").alias("__n"))
+    own = orfs.groupBy("file", "tx_no").agg(F.collect_list("parts").alias("every"), F.collect_list(F.when(F.col("__n") == 1, F.col("parts"))).alias("picked"))
+    known = features.where("feature = 'CDS'").groupBy("file", "tx_no").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("known"))
+    return _counts(features.where("feature = 'transcript'").select("file", "tx_no").join(known, ["file", "tx_no"], "left").join(own, ["file", "tx_no"], "left"))
 
 
 def evaluation(chosen: DataFrame, found: DataFrame, features: DataFrame) -> DataFrame:
@@ -141,6 +206,10 @@ def evaluation(chosen: DataFrame, found: DataFrame, features: DataFrame) -> Data
     picked = picked.groupBy("file", "tx_no").agg(F.collect_list("parts").alias("picked"))
     every = cds(found, ["file", "tx_no", "orf_begin", "orf_end"]).groupBy("file", "tx_no").agg(F.collect_list("parts").alias("every"))
     rows = features.where("feature = 'transcript'").select("file", "tx_no").join(known, ["file", "tx_no"], "left").join(picked, ["file", "tx_no"], "left").join(every, ["file", "tx_no"], "left")
+    return _counts(rows)
+
+
+def _counts(rows: DataFrame) -> DataFrame:
     same, hit = F.array_contains("picked", F.col("known")), F.array_contains("every", F.col("known"))
     return rows.agg(F.count("*").alias("transcripts"), F.count("known").alias("annotated"), F.count("every").alias("with_orf"), F.count("picked").alias("with_choice"),
         F.count_if(same).alias("same"), F.count_if(hit).alias("hit"), F.count_if(F.col("known").isNotNull() & ~F.coalesce(hit, F.lit(False))).alias("missed"))

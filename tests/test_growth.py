@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from codonflow.model import fit
 from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
+from codonflow.operators import orfs as O
 from codonflow.operators import scoring
 from codonflow.operators import tracks as T
 from codonflow.operators.alignments import columns_of
@@ -133,3 +134,31 @@ def test_rounds_of_a_fit_share_decompositions_and_values(monkeypatch):
     single = [(id(r), x) for r, x in matrices if np.ndim(x) == 0]
     assert len(single) == len(set(single)) and len(matrices) < 120
     assert len(decomposed) == len({id(r) for r, _ in matrices})
+
+
+def test_reading_frames_of_a_lot_are_searched_at_once(spark, monkeypatch):
+    rng, alone, plain = random.Random(5), [], O.reading_frames
+    seqs = ["".join(rng.choice("ACGTacgtN") if k % 5 == 0 else rng.choice("ATG") for _ in range(rng.choice((0, 1, 2, 3, 40, 400)))) for k in range(300)] + [None, "\u00e9ATGTAA", "ATGTAA"]
+    strands = [rng.choice(("+", "-")) for _ in seqs]
+    expected = [(k, *x) for k, (s, way) in enumerate(zip(seqs, strands, strict=True)) for x in plain(s or "", way, 1)]
+    monkeypatch.setattr(O, "reading_frames", lambda *a: alone.append(1) or plain(*a))
+    for limit in (1 << 18, 500):
+        monkeypatch.setattr(O, "BASES", limit)
+        alone.clear()
+        kept = [k for k in range(len(seqs)) if seqs[k] is None or seqs[k].isascii()]
+        got = [tuple(x) for lot in O._frames([strands[k] for k in kept], pa.array([seqs[k] for k in kept]), 1) for x in zip(*(y.tolist() for y in lot), strict=True)]
+        assert [(kept[r], a, z) for r, a, z in got] == [x for x in expected if x[0] in kept] and not alone
+        mixed = [tuple(x) for lot in O._frames(strands, pa.array(seqs), 1) for x in zip(*(y.tolist() for y in lot), strict=True)]
+        assert mixed == expected
+
+
+def test_an_evaluation_is_one_pass(spark):
+    rng = random.Random(2)
+    parts = [("f", tx, "c", o, o + n, o + 1, o + n, float(score)) for tx in range(40) for o, n, score in ((rng.randint(0, 9), rng.choice((9, 12)), rng.randint(-2, 2)) for _ in range(4))]
+    scored = spark.createDataFrame(sorted(set(parts)), "file string, tx_no long, chrom string, orf_begin long, orf_end long, begin long, end long, orf_score double")
+    features = spark.createDataFrame([("f", tx, b + 1, b + 9, kind) for tx in range(45) for b in (tx % 9,) for kind in ("CDS", "transcript")], "file string, tx_no long, begin long, end long, feature string")
+    for mode in O.MODES:
+        once = O.evaluation_of(scored, mode, 0.0, features)
+        assert once.first() == O.evaluation(O.choose(scored, mode, 0.0), O.choose(scored, "ALL", 0.0), features).first()
+        plan = once._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("orf_score") and plan.count("LogicalRDD") == 3  # the parts and, twice, the features
