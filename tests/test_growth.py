@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from codonflow.model import fit
 from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
+from codonflow.operators import annotate as N
 from codonflow.operators import orfs as O
 from codonflow.operators import scoring
 from codonflow.operators import tracks as T
@@ -162,3 +163,17 @@ def test_an_evaluation_is_one_pass(spark):
         assert once.first() == O.evaluation(O.choose(scored, mode, 0.0), O.choose(scored, "ALL", 0.0), features).first()
         plan = once._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("orf_score") and plan.count("LogicalRDD") == 3  # the parts and, twice, the features
+
+
+def test_tracks_far_from_places_are_not_sorted(spark):
+    places = spark.createDataFrame([("c", "+1", 1, 30)], "chrom string, frame string, begin long, end long")
+    tracks = spark.createDataFrame([("c", f, at, 0.5) for f in ("+1", "power") for at in (1, 4, 900_000)], "chrom string, frame string, pos long, score double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = N.interval_sums(places, tracks)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and not [x for x in plan.split("\n") if "SortMergeJoin" in x and "LeftSemi" in x]
+        assert [tuple(r) for r in found.select("weighted", "n_both", "power").collect()] == [(1.5, 6, 3.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
