@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import components, cut, parts, small_batches
+from .shared import Scratch, components, parts, small_batches
 
 #: a shingle counts as frequent from so many documents on; only the most frequent are told apart
 FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
@@ -188,13 +188,13 @@ def _sizes_fit(x: str, y: str, percent: int):
 class _Measure:
     """Exact intersections of pairs of sets, which are made again from the texts of the pairs' documents."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame, size: int, clash: np.ndarray, bits: int):
-        self.docs, self.sets_of = docs, _sets(size, clash, bits)
-        self.of = cut(ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    def __init__(self, docs: DataFrame, ids: DataFrame, size: int, clash: np.ndarray, bits: int, scratch: Scratch):
+        self.docs, self.sets_of, self.scratch = docs, _sets(size, clash, bits), scratch
+        self.of = scratch.keep(ids.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
 
     def sets(self, sids: DataFrame) -> DataFrame:
         """(sid, own) for each of sids(sid)."""
-        wanted = cut(sids.distinct().join(self.of, "sid").select("doc_id").distinct())
+        wanted = self.scratch.keep(sids.distinct().join(self.of, "sid").select("doc_id").distinct())
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         sets = self.docs.join(wanted, "doc_id").select("text").mapInArrow(self.sets_of, "sid long, own binary")
@@ -205,23 +205,23 @@ class _Measure:
         x = sets.select(F.col("sid").alias("a"), F.col("own").alias("own_a"))
         y = sets.select(F.col("sid").alias("b"), F.col("own").alias("own_b"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b", "na", "nb")
-        return cut(both.mapInArrow(_shared, "a long, b long, common long, na long, nb long"))
+        return self.scratch.keep(both.mapInArrow(_shared, "a long, b long, common long, na long, nb long"))
 
 
-def _labelled(live: DataFrame, comps: DataFrame) -> DataFrame:
+def _labelled(live: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """live with the component of each sid, without the blocks that are of one component."""
     comps = comps.select(F.col("node").alias("sid"), "root")  # a pivot without a link of its own is its root
     rows = live.select("shingle", "sid", "n", "w").join(comps, "sid", "left").select("shingle", "sid", "n", "w", F.coalesce("root", "sid").alias("comp"))
     open_ = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    return cut(rows.join(open_, "shingle"))
+    return scratch.keep(rows.join(open_, "shingle"))
 
 
-def _nearest(links: DataFrame) -> DataFrame:
+def _nearest(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): for each document linked with pivots the smallest of them, or of those that this one is linked with.
 
     Documents of one root are connected; connected ones need not have one root yet.
     """
-    to = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")))
+    to = scratch.keep(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")))
     on = to.select(F.col("node").alias("m"), F.col("m").alias("next"))
     return to.join(on, "m", "left").select("node", F.coalesce("next", "m").alias("root"))
 
@@ -265,11 +265,11 @@ def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, distances
         members = members.join(d, ["sid", "p"], "left").withColumn("band", F.when(F.col("sid") == F.col("p"), 0).otherwise(F.col("band")))
     else:
         members = members.withColumn("band", F.lit(None).cast("int"))
-    members = cut(members)
+    members = measure.scratch.keep(members)
     parts_of = lambda rows, limit, shingles: F.ceil(F.greatest(rows / limit, shingles / REGION_SHINGLES))
     outside = F.coalesce(F.sum(F.when(F.col("outside"), F.col("n"))), F.lit(0))
     sizes = members.groupBy("p").agg(parts_of(F.count_if("outside"), REGION_LEFT, outside).alias("lefts"), parts_of(F.count("*"), REGION_RIGHT, F.sum("n")).alias("rights"))
-    placed = cut(members.join(sizes, "p").where("lefts > 0"))
+    placed = measure.scratch.keep(members.join(sizes, "p").where("lefts > 0"))
     sets = measure.sets(placed.select("sid"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     one_of = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
@@ -283,7 +283,7 @@ def _hot_links(state: DataFrame, blocks: DataFrame, measure: _Measure, distances
     left, right = left.join(sets, "sid"), right.join(sets, "sid")
     right = right.select(*[F.col(c).alias(c) for c in ("p", "band", "i", "j", "sid", "comp", "own")])  # a side of its own
     key = ["p", "band", "i", "j"]
-    return cut(left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_region(percent), "a long, b long").distinct())
+    return measure.scratch.keep(left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(_region(percent), "a long, b long").distinct())
 
 
 def _region(percent: int):
@@ -332,49 +332,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(docs.mapInArrow(_fingerprints(size, id_bits), "doc_id long, n long, sid long, tag long, often long"))
+    with Scratch(spark) as scratch:
+        return scratch.result(_components_of(docs, percent, size, pivot_rounds, id_bits, scratch))
+
+
+def _components_of(docs: DataFrame, percent: int, size: int, pivot_rounds: int, id_bits: int, scratch: Scratch) -> DataFrame:
+    """As ``jaccard_components`` of docs(doc_id, text), read from tables of ``scratch``; of blocks only the latest state is kept."""
+    spark = docs.sparkSession
+    seen = scratch.keep(docs.mapInArrow(_fingerprints(size, id_bits), "doc_id long, n long, sid long, tag long, often long"))
     ids = seen.where("often is null").select("doc_id", "n", "sid", "tag")
     met = ids.where("n > 0").groupBy("sid").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi")
     clash = np.sort(np.array([r.sid for r in met.select("sid").collect()], np.int64))  # of 10^10 sets some three
     if len(clash):
         known = F.broadcast(spark.createDataFrame([(int(x),) for x in clash], "__sid long"))
         ids = ids.join(known, F.col("sid") == F.col("__sid"), "left").withColumn("sid", F.when(F.col("__sid").isNull(), F.col("sid")).otherwise(F.col("tag")))
-    ids = ids.select("doc_id", "n", "sid")
+    ids = scratch.keep(ids.select("doc_id", "n", "sid"))
     counted = seen.where("often is not null").groupBy("often").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_FROM)
     frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).collect()], np.int64).view(_U))
+    scratch.drop(seen)
 
     rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent, percent, size, clash, id_bits), "shingle long, sid long, n int, salt byte")
     rows = rows.repartition(parts(spark), "shingle", "salt").sortWithinPartitions("shingle", "sid")
-    live = cut(rows.mapInArrow(_alive, "shingle long, sid long, n int"))
+    live = scratch.keep(rows.mapInArrow(_alive, "shingle long, sid long, n int"))
 
-    measure = _Measure(docs, ids, size, clash, id_bits)
+    measure = _Measure(docs, ids, size, clash, id_bits, scratch)
     links, distances = None, None
     nothing = spark.createDataFrame([], "node long, root long")
     # w: the part of a set's shingles that is in blocks; it is largest amid a group of near copies
     central = live.groupBy("sid").agg((F.count("*") / F.max("n")).alias("w"))
-    state = _labelled(live.join(central, "sid"), nothing)
+    state = _labelled(live.join(central, "sid"), nothing, scratch)
+    scratch.drop(live)
     for k in range(pivot_rounds):
         if state.isEmpty():
             break
         choice = state.join(_blocks(state), "shingle").where("comp <> major") if k else state
         pivots = choice.groupBy("shingle").agg(F.max(F.struct("w", "sid", "comp", "n")).alias("p")).select("shingle", "p.sid", "p.comp", "p.n").toDF("shingle", "b", "comp_b", "nb")
         pairs = state.join(pivots, "shingle").where("comp <> comp_b").groupBy(F.col("sid").alias("a"), "b").agg(F.max("n").cast("long").alias("na"), F.max("nb").cast("long").alias("nb"), F.count("*").alias("c"))
-        found = measure(cut(_plausible(pairs, percent)))
+        found = measure(scratch.keep(_plausible(pairs, percent)))
         distances = found if distances is None else distances.unionByName(found)
         new = _linked(found, percent)
         links = new if links is None else links.unionByName(new)
-        state = _labelled(state, _nearest(links))
+        before, state = state, _labelled(state, _nearest(links, scratch), scratch)
+        scratch.drop(before)
     if not state.isEmpty():
-        blocks = cut(_blocks(state))
+        blocks = scratch.keep(_blocks(state))
         hot = _hot_links(state, blocks, measure, distances, percent)
         if hot is not None:
             links = hot if links is None else links.unionByName(hot)
-        pairs = cut(_plausible(_cold_pairs(state, blocks, percent), percent))
+        pairs = scratch.keep(_plausible(_cold_pairs(state, blocks, percent), percent))
         if distances is not None:
-            pairs = _windowed(pairs, distances, percent)
+            pairs = _windowed(pairs, distances, percent, scratch)
         new = _linked(measure(pairs), percent)
         links = new if links is None else links.unionByName(new)
-    roots = nothing if links is None else components(links)
+    roots = nothing if links is None else components(links, scratch=scratch)
 
     least = measure.of.select("sid", F.col("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
@@ -388,7 +398,7 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def _windowed(pairs: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
+def _windowed(pairs: DataFrame, distances: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """pairs without those that the triangle inequality excludes, and without those that were measured."""
     d = distances.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     to = d.select("a", F.col("b").alias("p"), F.col("d"))
@@ -396,7 +406,7 @@ def _windowed(pairs: DataFrame, distances: DataFrame, percent: int) -> DataFrame
     both = one.join(to.select(F.col("a").alias("b"), "p", F.col("d").alias("db")), ["b", "p"])
     far = both.where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9).select("a", "b").distinct()
     known = d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return cut(pairs.join(far, ["a", "b"], "left_anti").join(known, ["a", "b"], "left_anti"))
+    return scratch.keep(pairs.join(far, ["a", "b"], "left_anti").join(known, ["a", "b"], "left_anti"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = words.SHINGLE, pivot_rounds: int = 2) -> DataFrame:
@@ -404,7 +414,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of several rows of one id, all of them the first of a component, one stays.
     """
-    comps = cut(jaccard_components(docs, id_col, text_col, percent, size, pivot_rounds))
+    comps = jaccard_components(docs, id_col, text_col, percent, size, pivot_rounds)
     out = comps.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     out = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
     kept = docs.join(out, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -29,7 +29,7 @@ from codonflow.llm import token_ids as T
 from codonflow.llm import topk as K
 from codonflow.llm import url_filter as U
 from codonflow.llm import words
-from codonflow.llm.shared import components
+from codonflow.llm.shared import components, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sid long, key string, size long, score double, `first` string"
@@ -812,3 +812,15 @@ def test_several_notices_in_one_file(spark):
     got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(docs(spark, rows)).collect()}
     assert got == {k: labels(t) for k, t in rows}
     assert "apache-2.0" in got[1][0] and "gpl-3.0" in got[2][0]
+
+
+def test_groups_of_copies_leave_their_result_alone(spark):
+    """Tables of the steps go as soon as no later step reads them; on the shared folder the result stays."""
+    at = shared_dir(spark).removeprefix("file://")
+    found = lambda: {os.path.join(d, n) for d, names, _ in os.walk(at) for n in names if n.startswith(("rdd-", "tables-", "result-"))}
+    before = found()
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words[: 40 - k])) for k in range(12)] + [(20, "other words than these stand here alone")]
+    comps = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [os.path.basename(p)[:7] for p in found() - before] == ["result-"]
+    assert {r.doc_id: r.component_id for r in comps.collect()} == {k: 20 if k == 20 else 0 for k, _ in rows}
