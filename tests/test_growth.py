@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from codonflow.model import fit
+from codonflow.model import fit, likelihood
 from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
 from codonflow.operators import annotate as N
 from codonflow.operators import orfs as O
@@ -177,3 +177,16 @@ def test_tracks_far_from_places_are_not_sorted(spark):
         assert [tuple(r) for r in found.select("weighted", "n_both", "power").collect()] == [(1.5, 6, 3.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_likelihoods_of_small_trees_are_not_scaled(monkeypatch):
+    """Scaling at each node, which only large trees need, changes no value, also at the least scale; logs of scales are not kept without it."""
+    columns = np.random.default_rng(9).integers(0, 65, (3000, 4))
+    for scale in (0.001, 1.0, 10.0):
+        matrices = branch_matrices(MODEL.tree, MODEL.coding, scale)
+        found = []
+        for most in (8, 0):
+            monkeypatch.setattr(likelihood, "UNSCALED", most)
+            assert all(np.ndim(log) == (most == 0) for _, log in likelihood._upward(MODEL.tree, matrices, Patterns(MODEL.tree, columns)))
+            found.append(likelihood.log_likelihoods(MODEL.tree, matrices, MODEL.coding.prior, columns))
+        assert np.isfinite(found[0]).all() and np.allclose(*found, rtol=1e-12, atol=1e-11)
