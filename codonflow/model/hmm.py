@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,24 +239,33 @@ def coding_runs(path: np.ndarray, compat: bool = True) -> list[tuple[int, int]]:
     return runs
 
 
+def gap_sums(gaps: np.ndarray, times: np.ndarray, tau: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(2, 3): the shares of each kind in gaps that are there so many times, and these shares times the gaps, added up."""
+    like = w * np.exp(-gaps[:, None] / tau - np.log(tau))
+    total = like.sum(1, keepdims=True)
+    share = np.where(total > 0, like / np.where(total > 0, total, 1), 1 / 3) * times[:, None]
+    return np.stack((share.sum(0), (share * gaps[:, None]).sum(0)))
+
+
 def fit_gaps(gaps: np.ndarray, rounds: int = 20, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(mean lengths in codons, weights) of a mixture of three exponentials over gaps in bases.
+    """``fit_mixture`` of gaps in bases."""
+    gaps, times = np.unique(np.asarray(gaps, float), return_counts=True)
+    return fit_mixture(lambda tau, w: gap_sums(gaps, times, tau, w), int(times.sum()), rounds, tolerance)
+
+
+def fit_mixture(sums: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, rounds: int = 20, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(mean lengths in codons, weights) of a mixture of three exponentials over n gaps in bases, of which ``sums`` gives ``gap_sums``.
 
     Expectation maximisation from 3000, 80000 and 100 bases with weights 30 : 10 : 1; a
     scale is searched as its decimal logarithm by a simplex of two points.
     """
-    gaps = np.asarray(gaps, float)
     theta, w = np.log10([3000.0, 80000.0, 100.0]), np.array([30.0, 10.0, 1.0]) / 41
     for _ in range(rounds):
-        tau = 10**theta
-        like = w * np.exp(-gaps[:, None] / tau - np.log(tau))
-        total = like.sum(1, keepdims=True)
-        share = np.where(total > 0, like / np.where(total > 0, total, 1), 1 / 3)
-        w = share.mean(0)
+        weights, moments = sums(10**theta, w)
+        w = weights / n
         for j in range(3):
             if theta[j] != 0:
-                weight, moment = share[:, j].sum(), (share[:, j] * gaps).sum()
-                theta[j] = simplex(lambda t, a=weight, m=moment: m / 10**t + a * t * np.log(10), theta[j], 0.1, tolerance)
+                theta[j] = simplex(lambda t, a=weights[j], m=moments[j]: m / 10**t + a * t * np.log(10), theta[j], 0.1, tolerance)
     return 10**theta / 3, w
 
 

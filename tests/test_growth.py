@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from codonflow.model import fit, likelihood
+from codonflow.model import fit, hmm, likelihood
 from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
 from codonflow.operators import annotate as N
 from codonflow.operators import orfs as O
@@ -190,3 +190,21 @@ def test_likelihoods_of_small_trees_are_not_scaled(monkeypatch):
             assert all(np.ndim(log) == (most == 0) for _, log in likelihood._upward(MODEL.tree, matrices, Patterns(MODEL.tree, columns)))
             found.append(likelihood.log_likelihoods(MODEL.tree, matrices, MODEL.coding.prior, columns))
         assert np.isfinite(found[0]).all() and np.allclose(*found, rtol=1e-12, atol=1e-11)
+
+
+def test_gap_mixtures_are_fitted_on_all_gaps(spark, monkeypatch):
+    """As a plain fit of every gap, on the driver and a task at a time; exons whose late gaps are long are not told from a part of them."""
+    rng = np.random.default_rng(3)
+    gaps = np.concatenate((rng.integers(1, 400, 15_000), rng.integers(1, 300_000, 8_000)))
+    theta, w = np.log10([3000.0, 80000.0, 100.0]), np.array([30.0, 10.0, 1.0]) / 41
+    for _ in range(20):
+        like = w / 10**theta * np.exp(-gaps[:, None] / 10**theta)
+        share = like / like.sum(1, keepdims=True)
+        w = share.mean(0)
+        theta = np.array([hmm.simplex(lambda t, a=a, m=m: m / 10**t + a * t * np.log(10), t, 0.1, 1e-4) for t, a, m in zip(theta, share.sum(0), (share * gaps[:, None]).sum(0), strict=True)])
+    start = 2 + np.concatenate(([0], np.cumsum(2 * np.ones(len(gaps), int) + gaps)))
+    exons = spark.createDataFrame(pa.table({"chrom": ["c"] * len(start), "strand": ["+"] * len(start), "phase": ["0"] * len(start), "start": start, "end": start + 1}).to_pandas()).repartition(5)
+    for most in (T.GAPS, 1000):
+        monkeypatch.setattr(T, "GAPS", most)
+        p = T.estimate_hmm(exons, 10**9, compat=False)
+        assert np.allclose(p.weights, w, rtol=1e-6) and np.allclose(p.lengths, 10**theta / 3, rtol=1e-6)
