@@ -4,7 +4,7 @@ Jaccard distance is a metric, but nearly all pairs of documents have distance 1,
 where a pivot tells nothing.  So pivots are taken where they do tell something:
 
 1. The set of a document is reduced to a content id; copies share it.
-2. All shingles are put in one total order, frequent ones last (``frequent``).
+2. All shingles are put in one total order, frequent ones last, the most frequent at the end (``_prefixes``).
    Two sets within the distance share a shingle of their prefixes, so every
    shingle in two prefixes opens a *block*, and only documents of one block can link.
 3. Each block takes a pivot; a pivot and the documents of its blocks are its
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from . import words
 from .shared import Scratch, components, parts, small_batches
 
-#: a shingle counts as frequent from so many documents on; only the most frequent are told apart
-FREQUENT_FROM, FREQUENT_MOST = 16, 1 << 16
-#: occurrences among so many shingles from which a task reports one
-LOCAL_FROM, COUNTED_AT_ONCE = 3, 1 << 22
+#: a shingle counts as frequent from so many reported occurrences on; only the most frequent are told apart
+FREQUENT_FROM, FREQUENT_MOST = 4, 1 << 19
+#: occurrences among so many shingles from which a task reports one; what is not reported counts as rare, and opens blocks that grow with the table
+LOCAL_FROM, COUNTED_AT_ONCE = 2, 1 << 22
 #: open pairs of a block from which it is joined as part of a region, on whole sets
 HOT_PAIRS = 20_000
 #: documents of a region that meet in one task: not connected ones, and all; and their shingles
@@ -91,8 +91,13 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at[:-1]], np.diff(at)
 
 
-def _prefixes(frequent: np.ndarray, percent: int, size: int, clash: np.ndarray, bits: int):
-    """(shingle, sid, n, salt) of the prefix of every set; salt is 0 for rare shingles."""
+def _mark(counts: np.ndarray) -> np.ndarray:
+    """What frequent shingles of so many occurrences are told apart by: a larger number for each quarter more."""
+    return np.clip(1 + np.log(counts / FREQUENT_FROM) / np.log(1.25), 1, (1 << words.MARK) - 1).astype(np.uint8)
+
+
+def _prefixes(frequent: np.ndarray, marks: np.ndarray, percent: int, size: int, clash: np.ndarray, bits: int):
+    """(shingle, sid, n, salt) of the prefix of every set, frequent shingles last and the more so the more frequent they are; salt is 0 for rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -111,13 +116,13 @@ def _prefixes(frequent: np.ndarray, percent: int, size: int, clash: np.ndarray,
                 sh, row, n = sh[keep], row[keep], np.where(chosen, count, 0)
                 at = np.searchsorted(frequent, sh)
                 at[at == len(frequent)] = 0
-                often = frequent[at] == sh if len(frequent) else np.zeros(len(sh), bool)
+                often = np.where(frequent[at] == sh, marks[at], 0) if len(frequent) else np.zeros(len(sh), np.uint8)
                 order = words.by_row(sh, row, len(count), often)
                 sh, row, often = sh[order], row[order], often[order]
                 place = np.arange(len(sh)) - (np.cumsum(n) - n)[row]
                 head = place < (n - _need(n, percent) + 1)[row]
                 sh, row, often = sh[head], row[head], often[head]
-                salt = np.where(often, words.mix(sid[row].view(_U), 5) % _U(SALTS) + _U(1), _U(0)).astype(np.int8)
+                salt = np.where(often > 0, words.mix(sid[row].view(_U), 5) % _U(SALTS) + _U(1), _U(0)).astype(np.int8)
                 yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(sid[row]), pa.array(n[row].astype(np.int32)), pa.array(salt)], ["shingle", "sid", "n", "salt"])
 
     return run
@@ -348,10 +353,13 @@ def _components_of(docs: DataFrame, percent: int, size: int, pivot_rounds: int,
         ids = ids.join(known, F.col("sid") == F.col("__sid"), "left").withColumn("sid", F.when(F.col("__sid").isNull(), F.col("sid")).otherwise(F.col("tag")))
     ids = scratch.keep(ids.select("doc_id", "n", "sid"))
     counted = seen.where("often is not null").groupBy("often").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT_FROM)
-    frequent = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).collect()], np.int64).view(_U))
+    most = counted.orderBy(F.desc("c"), "often").limit(FREQUENT_MOST).toArrow()
+    frequent, counts = most["often"].to_numpy().view(_U), most["c"].to_numpy()
+    order = np.argsort(frequent)
+    frequent, marks = frequent[order], _mark(counts[order])
     scratch.drop(seen)
 
-    rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent, percent, size, clash, id_bits), "shingle long, sid long, n int, salt byte")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(frequent, marks, percent, size, clash, id_bits), "shingle long, sid long, n int, salt byte")
     rows = rows.repartition(parts(spark), "shingle", "salt").sortWithinPartitions("shingle", "sid")
     live = scratch.keep(rows.mapInArrow(_alive, "shingle long, sid long, n int"))
 

@@ -153,16 +153,21 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.
     return mix(out, 3), begin
 
 
+#: bits of a mark of ``by_row``
+MARK = 6
+
+
 def by_row(x: np.ndarray, row: np.ndarray, rows: int, last: np.ndarray | None = None) -> np.ndarray:
-    """Order of x by row, then unmarked before ``last``, then value.
+    """Order of x by row, then by the marks ``last``, of MARK bits, smaller ones first, then value.
 
     One sort of a key of the row and the leading bits of the value; in the rare case that
     these do not tell all values apart, a sort of all keys.
     """
     bits = max(1, rows.bit_length())
-    key = (row.astype(_U) << _U(64 - bits)) | (x >> _U(bits + 1))
+    wide = bits + (MARK if last is not None else 0)
+    key = (row.astype(_U) << _U(64 - bits)) | (x >> _U(wide))
     if last is not None:
-        key |= last.astype(_U) << _U(63 - bits)
+        key |= last.astype(_U) << _U(64 - wide)
     order = np.argsort(key)
     y = x[order]
     tied = key[order[1:]] == key[order[:-1]]

@@ -400,6 +400,20 @@ def test_components_against_brute_force(spark, monkeypatch, seed, hot, rounds, b
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_phrases_that_no_task_sees_often_open_no_blocks(spark, monkeypatch):
+    """Each in a twentieth of all documents, some one in a window that a task counts: as members of prefixes they made blocks that grow with the table."""
+    rng, state = random.Random(9), []
+    phrases = [" ".join(f"p{k}_{j}" for j in range(12)) for k in range(100)]
+    rows = [(i, " ".join([*rng.sample(phrases, 6), *(f"w{i}_{j}" for j in range(100))])) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(0, 300, 30)]
+    labelled = J._labelled
+    monkeypatch.setattr(J, "COUNTED_AT_ONCE", 2000)
+    monkeypatch.setattr(J, "_labelled", lambda live, *x: (state.append(live.count()), labelled(live, *x))[1])
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs(spark, rows)).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i, _ in rows}
+    assert state[0] < 1500
+
+
 def test_components_of_odd_rows(spark):
     d = docs(spark, ODD)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(d).collect())
