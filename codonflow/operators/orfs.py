@@ -101,7 +101,16 @@ def spliced_pieces(exons: DataFrame, pieces: DataFrame, chunk: int = 1000) -> Da
     Exons that transcripts share are cut out once.
     """
     known = exons.where(F.col("strand").isin("+", "-")).join(pieces.select("chrom").distinct(), "chrom", "left_semi").select("file", "tx_no", "chrom", "strand", "begin", "end")
-    rows = known.join(place_sequences(known, pieces, chunk), ["chrom", "begin", "end"], "left")
+    return _spliced(known, place_sequences(known, pieces, chunk))
+
+
+def spliced_places(exons: DataFrame, places: DataFrame) -> DataFrame:
+    """The same with what ``place_sequences`` gives for the exons; transcripts with an unknown chromosome are empty."""
+    return _spliced(exons.where(F.col("strand").isin("+", "-")).select("file", "tx_no", "chrom", "strand", "begin", "end"), places)
+
+
+def _spliced(known: DataFrame, places: DataFrame) -> DataFrame:
+    rows = known.join(places, ["chrom", "begin", "end"], "left")
     rows = rows.select("file", "tx_no", "chrom", "strand", "begin", F.upper(F.coalesce("seq", F.lit(""))).alias("part"))
     groups = rows.groupBy("file", "tx_no", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("begin", "part"))).alias("all"))
     return groups.select("file", "tx_no", "chrom", "strand", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("seq"))

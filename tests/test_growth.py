@@ -1,11 +1,15 @@
 """Steps whose work grew faster than what they are about."""
 
+import os
 import random
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from codonflow import fixtures as X
+from codonflow import queries as core
 from codonflow.model import fit, hmm, likelihood
 from codonflow.model.likelihood import Patterns, branch_matrices, column_scores, inside
 from codonflow.operators import annotate as N
@@ -208,3 +212,18 @@ def test_gap_mixtures_are_fitted_on_all_gaps(spark, monkeypatch):
         monkeypatch.setattr(T, "GAPS", most)
         p = T.estimate_hmm(exons, 10**9, compat=False)
         assert np.allclose(p.weights, w, rtol=1e-6) and np.allclose(p.lengths, 10**theta / 3, rtol=1e-6)
+
+
+def test_steps_of_an_evaluation_leave_nothing(spark, sf):
+    """Its shuffle files add up to many times the input where they stay until all of it is done."""
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in folders for _, _, own in os.walk(d) for f in own if f.startswith("shuffle_")}
+    before = shuffled()
+    got = core.QUERIES["evaluate_coding_sequences"](spark, sf)
+    rows = got.collect()
+    assert shuffled() <= before
+    exons, _, parts = core._gene_parts(spark, sf)
+    tx = exons.groupBy("file", "tx_no").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).withColumn("feature", F.lit("transcript"))
+    parts = O.score_orfs(parts, X.tracks(spark, sf), X.sizes(spark))
+    plain = O.evaluation_of(parts, "LONGEST", 0.0, exons.select("file", "tx_no", "begin", "end", "feature").unionByName(tx))
+    assert rows == plain.collect() and rows[0].with_orf > 0 and got.schema == plain.schema
