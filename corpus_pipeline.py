@@ -20,7 +20,7 @@ from codonflow.llm.decontaminate import without_leaks
 from codonflow.llm.jaccard_join import one_of_each
 from codonflow.llm.mixing import mix
 from codonflow.llm.quality import keep_good
-from codonflow.llm.shared import remove, shared_dir, table
+from codonflow.llm.shared import cleaning, remove, shared_dir, table
 from codonflow.llm.token_ids import token_table
 
 ORACLE_SQL = None
@@ -61,11 +61,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again; what a stage has read goes, the last result stays."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again; what a stage has read and shuffled goes, the last result stays."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleaning(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if k:
             remove(spark, f"{folder}/{k - 1}")

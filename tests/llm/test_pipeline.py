@@ -1,5 +1,7 @@
 """Stages of the pipeline, each against what its operator says of the stage's own input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 assert ids(df.where("doc_id is not null")) == [*range(30), 40, 41, 42, 43, 44]
             elif k == 2:
                 assert 44 not in ids(df.where("doc_id is not null"))
+
+
+def test_shuffles_of_stages_go_with_them(spark, sf):
+    """They stayed beside those of later stages until the driver collected garbage."""
+    folders = list(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in folders for _, _, own in os.walk(d) for f in own if f.startswith("shuffle_") and f.endswith(".data")}
+    before = shuffled()
+    assert P.run(spark, sf).count() > 0
+    left = shuffled() - before
+    assert len({f.split("_")[1] for f in left}) <= 1, left  # that of the count
